@@ -27,7 +27,7 @@ BUCKETS = 1 << 18
 BLOCK = 1 << 12
 #: Trusted ids are broadcast up to this many rows (8 bytes each) and joined by a shuffle beyond.
 BROADCAST_IDS = 4_000_000
-THRESHOLD = -0.3
+THRESHOLD = -0.15
 
 
 def buckets_of(words: list[bytes], hashes: WordHashes, buckets: int = BUCKETS) -> np.ndarray:

@@ -153,7 +153,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, rat
     mean, sd = m.mean(axis=0), m.std(axis=0)
     m = (m - mean) / sd
     w, v, b, t = np.zeros(m.shape[1]), np.zeros(m.shape[1]), float(np.log(y.mean() / (1 - y.mean()))), 1.0
-    top = np.linalg.norm(m, 2) ** 2 / (4 * len(y)) + 1e-12
+    top = float(np.linalg.eigvalsh(m.T @ m)[-1]) / (4 * len(y)) + 1e-12
     for _ in range(steps):
         p = 1 / (1 + np.exp(-(b + m @ v)))
         new = v + m.T @ (y - p) / len(y) / top
