@@ -38,8 +38,10 @@ SENSITIVE = {
 #: Values that stand for a secret without being one.
 PLACEHOLDER = re.compile(r"(?i)^(?:(?:your|my|the|some)[-_ ]?.*|change[-_ ]?me.*|x{3,}|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%\w+%|none|null|nil|true|false|undefined|example.*|placeholder|redacted|todo|test|dummy|sample)$")
 
-_PAIR = re.compile(r"""(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)["']?[ \t]*(?P<sep>:=|=>|[:=])(?!=)[ \t]*(?P<value>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[^\s"',;(){}\[\]]+)""", re.ASCII)
+#: A name is a whole run of its characters, so a long run is read once.
+_PAIR = re.compile(r"""(?<![A-Za-z0-9_.\-])(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)["']?[ \t]*+(?P<sep>:=|=>|[:=])(?!=)[ \t]*(?P<value>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[^\s"',;(){}\[\]]+)""", re.ASCII)
 _MORE = re.compile(r"""[ \t]*\+[ \t]*("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')""")
+_SIGN = re.compile("[=:]")
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*", re.ASCII)
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -78,15 +80,14 @@ def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]], bool]]:
     """(name, literal, places, quoted) of the assignments, in the order of the text; names are followed to what they
     were given by earlier or later lines."""
     found: list[tuple[str, str, list[tuple[int, int]], bool]] = []
-    at = 0
-    while True:
-        here = [i for i in (text.find("=", at), text.find(":", at)) if i >= 0]
-        if not here:
-            break
-        line = text.rfind("\n", 0, min(here)) + 1
-        end = text.find("\n", line)
+    end = -1
+    for sign in _SIGN.finditer(text):
+        if sign.start() < end:
+            continue  # its line has been read
+        line = text.rfind("\n", 0, sign.start()) + 1
+        end = text.find("\n", sign.start())
         end = len(text) if end < 0 else end
-        for m in _PAIR.finditer(text, max(line, at), end):
+        for m in _PAIR.finditer(text, line, end):
             raw = m["value"]
             quoted = raw[0] in "\"'" and len(raw) > 1
             value, places, stop = (raw[1:-1], [(m.start("value") + 1, m.end("value") - 1)], m.end()) if quoted else (raw, [m.span("value")], m.end())
@@ -95,7 +96,6 @@ def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]], bool]]:
                 places.append((more.start(1) + 1, more.end(1) - 1))
                 stop = more.end()
             found.append((m["name"], value, places, quoted))
-        at = end + 1
     constants = {name: (value, places) for name, value, places, quoted in found if quoted}
     aliases = {name: value for name, value, _, quoted in found if not quoted and _NAME.fullmatch(value)}
     for name, value, places, quoted in found:
