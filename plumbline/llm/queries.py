@@ -105,11 +105,10 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from plumbline.llm.sentencepiece_words import sentencepiece_decode, sentencepiece_encode
+    from plumbline.llm.sentencepiece_words import sentencepiece_encode
 
     model = tokenizer_path("piece_bpe_32k.model")
-    coded = sentencepiece_encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    back = sentencepiece_decode(coded, model)
+    back = sentencepiece_encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model, decoded="decoded")
     return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 

@@ -13,6 +13,7 @@ No piece of the supported models has a space mark after another character, so wo
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,9 @@ from plumbline.llm.common import with_columns
 
 MARK = "▁"
 #: Words whose ids a worker remembers; bounds its memory.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
+#: Pairs of tokens whose verdict a worker remembers.
+PAIRS = 500_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -140,59 +143,66 @@ class PieceModel:
         fits = self._fits.get(key)
         if fits is None:
             a, b = self.pieces[left][0], self.pieces[right][0]
+            if len(self._fits) >= PAIRS:
+                self._fits.clear()
             fits = self._fits[key] = self._merged(a + b) == [a, b]
         return fits
 
     # -- the walk ---------------------------------------------------------------------------------
-    def segment_sorted(self, words: list[str]) -> Iterator[list[str]]:
-        """The tokens of each of the sorted distinct ``words``, sharing the states of common prefixes."""
+    def segment_sorted(self, words: list[str]) -> Iterator[list[tuple[int, str]]]:
+        """The tokens (id, or -1, and text) of each of the sorted distinct ``words``, sharing the states of common prefixes."""
         if self._whole is None:
             self._prepare()
         # for the first i characters: the last token's length and id (-1: a character without a piece), and the score
         size, last, score = [0], [-1], [0.0]
-        state, before = self._merge_state if self.merges else self._best_state, ""
+        step, before = self._merge_states if self.merges else self._best_states, ""
         for word in words:
             same, top = 0, min(len(word), len(before))
+            if word[: top // 2] == before[: top // 2]:
+                same = top // 2
             while same < top and word[same] == before[same]:
                 same += 1
             del size[same + 1 :], last[same + 1 :], score[same + 1 :]
-            for end in range(same + 1, len(word) + 1):
-                state(word, end, size, last, score)
+            step(word, same + 1, size, last, score)
             out, end = [], len(word)
             while end:
-                out.append(word[end - size[end] : end])
+                out.append((last[end], word[end - size[end] : end]))
                 end -= size[end]
             yield out[::-1]
             before = word
 
-    def _merge_state(self, word: str, end: int, size: list[int], last: list[int], score: list[float]) -> None:
-        whole, fits = self._whole, self._fits
-        for n in self._lengths.get(word[end - 2 if end > 1 else 0 : end], ()):
-            if n > end:
-                continue
-            k = whole.get(word[end - n : end])
-            if k is None:
-                continue
-            left = last[end - n]
-            if left >= 0 and n < end:
-                fit = fits.get(left << 32 | k)
-                if not (self._next_to(left, k) if fit is None else fit):
+    def _merge_states(self, word: str, first: int, size: list[int], last: list[int], score: list[float]) -> None:
+        whole, fits, lengths = self._whole.get, self._fits.get, self._lengths.get
+        for end in range(first, len(word) + 1):
+            for n in lengths(word[end - 2 if end > 1 else 0 : end], ()):
+                start = end - n
+                if start < 0:
                     continue
-            size.append(n)
-            last.append(k)
-            return
-        size.append(1)
-        last.append(whole.get(word[end - 1], -1))
-
-    def _best_state(self, word: str, end: int, size: list[int], last: list[int], score: list[float]) -> None:
-        best = (score[end - 1] + self.lowest, 1, -1)
-        for n in range(min(end, self.longest), 0, -1):
-            k = self._whole.get(word[end - n : end])
-            if k is not None and ((s := score[end - n] + self.pieces[k][1]) > best[0] or best[2] < 0 and n == 1):
-                best = (s, n, k)
-        score.append(best[0])
-        size.append(best[1])
-        last.append(best[2])
+                k = whole(word[start:end])
+                if k is None:
+                    continue
+                left = last[start]
+                if left >= 0 and start:
+                    fit = fits(left << 32 | k)
+                    if not (self._next_to(left, k) if fit is None else fit):
+                        continue
+                size.append(n)
+                last.append(k)
+                break
+            else:
+                size.append(1)
+                last.append(whole(word[end - 1], -1))
+
+    def _best_states(self, word: str, first: int, size: list[int], last: list[int], score: list[float]) -> None:
+        for end in range(first, len(word) + 1):
+            best = (score[end - 1] + self.lowest, 1, -1)
+            for n in range(min(end, self.longest), 0, -1):
+                k = self._whole.get(word[end - n : end])
+                if k is not None and ((s := score[end - n] + self.pieces[k][1]) > best[0] or best[2] < 0 and n == 1):
+                    best = (s, n, k)
+            score.append(best[0])
+            size.append(best[1])
+            last.append(best[2])
 
     # -- texts -----------------------------------------------------------------------------------
     def learn(self, words: set[str]) -> None:
@@ -201,8 +211,8 @@ class PieceModel:
             self.known.clear()
         new = sorted(w for w in words if w not in self.known)
         for word, tokens in zip(new, self.segment_sorted(new), strict=True):
-            ids = [i for t in tokens for i in ([self.ids[t]] if t in self.ids else self.single(t))]
-            self.known[word] = np.array(ids, "<i4").tobytes()
+            ids = [i for k, t in tokens for i in ((k,) if k >= 0 else self.single(t))]
+            self.known[word] = array("i", ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.words(t) for t in texts]
@@ -225,8 +235,8 @@ def piece_model(path: str) -> PieceModel:
     return _models[path]
 
 
-def sentencepiece_encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """All columns of ``docs`` plus ``ids`` (array of int).
+def sentencepiece_encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """All columns of ``docs`` plus ``ids`` (array of int), and the text read back from them if ``decoded`` names a column.
 
     Defined cases: a null text has null ids, an empty one none; characters without a piece become byte pieces; a space mark in the
     text is read as a space, as the model's own library does; repeated rows give equal ids; an empty table gives an empty table; an
@@ -242,13 +252,16 @@ def sentencepiece_encode(docs: DataFrame, model: str, text: str = "text", ids: s
                 part = texts[at : at + 1000]
                 coded = own.encode([t or "" for t in part])
                 out += [c if t is not None else None for t, c in zip(part, coded, strict=True)]
+            del texts
+            back = {} if decoded is None else {decoded: pa.array([None if o is None else own.decode(o) for o in out], pa.string())}
             flat = np.concatenate([o for o in out if o is not None] or [np.zeros(0, np.int32)])
             sizes = np.array([0 if o is None else len(o) for o in out], np.int64)
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             none = pa.array([o is None for o in out] or [], pa.bool_())
-            yield {ids: pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()), mask=none if len(out) else None)}
+            del out
+            yield {ids: pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()), mask=none if len(none) else None)} | back
 
-    return with_columns(docs, run, f"`{ids}` array<int>")
+    return with_columns(docs, run, f"`{ids}` array<int>" + (f", `{decoded}` string" if decoded else ""))
 
 
 def sentencepiece_decode(coded: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
