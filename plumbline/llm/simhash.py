@@ -191,11 +191,11 @@ def near_components(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     )
 
 
-def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
+def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 3, found: DataFrame | None = None) -> DataFrame:
     """``docs`` with one row of each near-duplicate component: the one with the smallest id.
 
-    Rows that repeat that id are told apart by a count within the id, so one row stays."""
-    found = near_components(docs, id, text, width, radius)
+    ``found`` (id, component_id) gives components of another kind. Rows that repeat an id are told apart by a count within the id, so one row stays."""
+    found = near_components(docs, id, text, width, radius) if found is None else found
     keep = found.filter(F.col(id).eqNullSafe(F.col("component_id"))).select(F.col(id).alias("__keep")).distinct()
     kept = docs.join(keep, docs[id].eqNullSafe(keep["__keep"]), "left_semi")
     others = [c for c in docs.columns if c != id and not isinstance(docs.schema[c].dataType, T.MapType | T.VariantType)]
