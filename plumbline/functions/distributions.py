@@ -76,3 +76,42 @@ def holm(p_values: list[float]) -> list[float]:
         top = max(top, min(1.0, (len(p_values) - rank) * p_values[i]))
         out[i] = top
     return out
+
+
+# Polynomials in 1 / sqrt(n), n and ln(n) of the published approximation to the Shapiro-Wilk test (1995).
+_LAST = (0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056)
+_LAST_BUT_ONE = (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
+_SMALL_MEAN, _SMALL_LOG_SD = (0.5440, -0.39978, 0.025054, -0.0006714), (1.3822, -0.77857, 0.062767, -0.0020322)
+_LARGE_MEAN, _LARGE_LOG_SD = (-1.5861, -0.31082, -0.083751, 0.0038915), (-0.4803, -0.082676, 0.0030302)
+
+
+def shapiro_wilk(values: list[float]) -> tuple[float, float]:
+    """Statistic and p-value of the test for normality of 4 values or more; equal values give (1, 1)."""
+    x = sorted(values)
+    n = len(x)
+    if n < 4:
+        raise ValueError("the test needs 4 values or more")
+    mean = sum(x) / n
+    spread = sum((v - mean) ** 2 for v in x)
+    if spread == 0:
+        return 1.0, 1.0
+    polynomial = lambda c, at: sum(k * at**i for i, k in enumerate(c))
+    m = [normal_quantile((i + 0.625) / (n + 0.25)) for i in range(n)]
+    norm, u = sum(v * v for v in m), 1 / math.sqrt(n)
+    ends = [polynomial(c, u) + m[-1 - i] / math.sqrt(norm) for i, c in enumerate((_LAST, _LAST_BUT_ONE)[: 1 if n <= 5 else 2])]
+    left = norm - 2 * sum(m[-1 - i] ** 2 for i in range(len(ends)))
+    scale = math.sqrt(left / (1 - 2 * sum(a * a for a in ends)))
+    a = [v / scale for v in m]
+    for i, v in enumerate(ends):
+        a[i], a[-1 - i] = -v, v
+    w = min(1.0, sum(p * q for p, q in zip(a, x, strict=True)) ** 2 / spread)
+    if w == 1:
+        return w, 1.0
+    if n <= 11:
+        room = 0.459 * n - 2.273 - math.log(1 - w)
+        if room <= 0:
+            return w, 0.0
+        z = (-math.log(room) - polynomial(_SMALL_MEAN, n)) / math.exp(polynomial(_SMALL_LOG_SD, n))
+    else:
+        z = (math.log(1 - w) - polynomial(_LARGE_MEAN, math.log(n))) / math.exp(polynomial(_LARGE_LOG_SD, math.log(n)))
+    return w, 1 - normal_cdf(z)

@@ -15,6 +15,7 @@ class Bounds:
     p_values: dict[float, float]
     critical: float
     verdict: str
+    z_values: dict[float, float]
 
     def to_df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(g, p, self.critical, self.verdict) for g, p in self.p_values.items()], "gamma double, p_value double, critical double, verdict string")
@@ -29,13 +30,13 @@ def rosenbaum(theta: float, se: float, treated: int, control: int, gamma_max: fl
     if gamma_max < 1 or step <= 0 or se <= 0 or min(treated, control) < 1:
         raise ValueError("gamma_max has to be 1 or more; step, se and both groups positive")
     n = treated + control
-    scale, out = math.sqrt(n / (4 * treated * control / n)), {}
+    scale, out, left = math.sqrt(n / (4 * treated * control / n)), {}, {}
     for i in range(round((gamma_max - 1) / step) + 1):
         gamma = round(1 + i * step, 2)
-        z = (abs(theta) - se * math.log(gamma) * scale) / se
+        z = left[gamma] = (abs(theta) - se * math.log(gamma) * scale) / se
         out[gamma] = two_sided_normal(theta / se) if gamma == 1 else 1.0 if z <= 0 else 2 * (1 - normal_cdf(z))
     critical = next((g for g, p in out.items() if p > alpha), gamma_max)
-    return Bounds(out, critical, verdict(critical))
+    return Bounds(out, critical, verdict(critical), left)
 
 
 def for_effect(theta: float, se: float, n: int, r2: float = 0.0, **grid) -> Bounds:

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.distributions import binomial_two_sided, normal_quantile, two_sided_t
+from plumbline.functions.distributions import binomial_two_sided, normal_quantile, shapiro_wilk, two_sided_t
 
 
 def partially_linear(n: int, p: int, effect: float, seed: int, binary: bool = True, nonlinear: bool = False, confounding: float = 0.5):
@@ -113,3 +113,27 @@ def poisson_bootstrap(df: DataFrame, replicates: int, id: str, aggregates: dict[
     w = sum(((u >= e).cast("int") for e in edges), F.lit(0))
     rows = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", w).filter("w > 0")
     return rows.groupBy("replicate").agg(F.sum("w").alias("w_sum"), *[F.sum(F.col("w") * F.col(a) * F.col(b)).alias(n) for n, (a, b) in aggregates.items()])
+
+
+def bootstrap_distribution(runs: DataFrame, column: str = "estimate") -> dict:
+    """Shape of a bootstrap distribution: population skewness and excess kurtosis from one aggregate, the normality test on the driver.
+
+    ``runs`` has one row of each replicate, so what comes to the driver is as many numbers as replicates were asked for."""
+    e = F.col(column)
+    n, mean, sd, skew, kurtosis = runs.agg(F.count(e), F.avg(e), F.stddev_samp(e), F.skewness(e), F.kurtosis(e)).first()
+    w, p = shapiro_wilk([r[0] for r in runs.select(e).filter(e.isNotNull()).collect()])
+    return {"n": n, "mean": mean, "sd": sd, "skewness": skew, "kurtosis": kurtosis, "symmetry": max(0.0, 1 - abs(skew) / 2), "shapiro": w, "p_value": p, "normal": p > 0.05}
+
+
+def bootstrap_convergence(estimates: dict[int, float], tolerance: float = 0.05) -> dict:
+    """Whether estimates by number of replicates have settled: their last two relative changes are below ``tolerance``.
+
+    The recommended number is the least from which on all changes stay below, or the largest if they do not settle."""
+    tried = sorted(estimates)
+    steps = [(estimates[a], estimates[b]) for a, b in zip(tried, tried[1:], strict=False)]
+    changes = [abs(b - a) / (abs(a) if abs(a) > 1e-10 else 1.0) for a, b in steps]
+    settled = 0
+    while settled < len(changes) and changes[-1 - settled] < tolerance:
+        settled += 1
+    score = min(1.0, tolerance / (sum(changes) / len(changes) + 1e-10)) if changes else 0.0
+    return {"converged": settled >= 2, "recommended": tried[-settled] if settled >= 2 else tried[-1], "score": score, "changes": changes}

@@ -320,3 +320,116 @@ def bootstrap_slopes(spark, sf_dir):
     d = _events(spark, sf_dir).withColumn("one", F.lit(1.0))
     b = simulation.poisson_bootstrap(d, 50, "event_id", {"sy": ("y", "one"), "st": ("t", "one"), "sty": ("t", "y"), "stt": ("t", "t")})
     return b.select("replicate", ((F.col("sty") - F.col("st") * F.col("sy") / F.col("w_sum")) / (F.col("stt") - F.col("st") * F.col("st") / F.col("w_sum"))).alias("slope"))
+
+
+def _hac(kernel: str) -> None:
+    terms = [(k, E.kernel_weight(kernel, k, _BANDWIDTH)) for k in range(1, _BANDWIDTH + 1)]
+    lags = "".join(f", lag(psi, {k}) OVER (ORDER BY event_id) AS l{k}" for k, _ in terms)
+    total = " + ".join(f"2 * {w!r} * sum(psi * l{k})" for k, w in terms)
+
+    def f(spark, sf_dir):
+        d = _events(spark, sf_dir)
+        mean = d.agg(F.avg("y")).first()[0]
+        se, b = E.hac_se(order.with_position(d.select("event_id", (F.col("y") - mean).alias("psi")), "event_id"), bandwidth=_BANDWIDTH, kernel=kernel)
+        return spark.createDataFrame([(round(se, 6), b)], "se double, bandwidth long")
+
+    f.__name__ = f"hac_{kernel}"
+    query(f"WITH p AS (SELECT event_id, value - avg(value) OVER () AS psi FROM events), l AS (SELECT *{lags} FROM p) SELECT round(sqrt(greatest(sum(psi * psi) + {total}, 0)) / count(*), 6) AS se, CAST({_BANDWIDTH} AS BIGINT) AS bandwidth FROM l")(f)
+
+
+for _k in ("bartlett", "parzen", "quadratic_spectral"):
+    _hac(_k)
+
+
+def _split(strategy: str, width: str, train_from: str) -> None:
+    def f(spark, sf_dir):
+        n = _read(spark, sf_dir, "events").count()
+        return spark.createDataFrame([(i, *x) for i, x in enumerate(order.forward_folds(n, 5, strategy, 2))], "fold long, train_from long, train_to long, test_from long, test_to long")
+
+    f.__name__ = f"{strategy}_folds"
+    query(f"WITH c AS (SELECT count(*) AS n FROM events), w AS (SELECT n, {width} AS w FROM c), k AS (SELECT i, n - 5 * w AS first, n - 5 * w + i * w AS lo, w FROM w, range(5) q(i)) SELECT i AS fold, CAST({train_from} AS BIGINT) AS train_from, lo - 2 AS train_to, lo AS test_from, lo + w AS test_to FROM k")(f)
+
+
+_split("sliding", "n // 6", "greatest(0, lo - 2 - first)")
+_split("purged", "(n - n // 6) // 5", "0")
+_split("blocked", "(n - n // 5) // 5", "0")
+
+
+def _within(name: str, key: str, keys: dict) -> None:
+    def f(spark, sf_dir):
+        d, y, t = E.within(_lines(spark, sf_dir), ["y", "t"], **keys), F.col("y_w"), F.col("t_w")
+        return d.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(y * y), 4).alias("syy"), F.round(F.sum(y * t), 4).alias("syt"))
+
+    f.__name__ = name
+    query(f"WITH {_LINES}, a AS (SELECT {key}, y - avg(y) OVER w AS y1, t - avg(t) OVER w AS t1 FROM d WINDOW w AS (PARTITION BY {key})) SELECT {key}, count(*) AS n, round(sum(y1 * y1), 4) AS syy, round(sum(y1 * t1), 4) AS syt FROM a GROUP BY {key}")(f)
+
+
+_within("within_individual", "unit", {"unit": "unit"})
+_within("within_time", "f", {"period": "f"})
+
+
+def _checked(check, spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(check.level, round(check.value, 6))], "level string, value double")
+
+
+_LEVEL = "CASE WHEN v >= 0.1 THEN 'CRITICAL' WHEN v >= 0.05 THEN 'WARNING' ELSE 'OK' END AS level"
+_KS = ", c AS (SELECT feature, v, count(*) FILTER (WHERE f < 2) AS a, count(*) FILTER (WHERE f >= 2) AS b FROM l GROUP BY 1, 2), r AS (SELECT feature, sum(a) OVER w / sum(a) OVER p - sum(b) OVER w / sum(b) OVER p AS gap FROM c WINDOW w AS (PARTITION BY feature ORDER BY v), p AS (PARTITION BY feature)), k AS (SELECT feature, max(abs(gap)) AS v FROM r GROUP BY 1)"
+
+
+@query(f"WITH {_LINES}, k AS (SELECT abs(avg(d) FILTER (WHERE f < 2) - avg(d) FILTER (WHERE f >= 2)) AS v FROM d) SELECT {_LEVEL}, round(v, 6) AS value FROM k")
+def treatment_shift_binary(spark, sf_dir):
+    d = _lines(spark, sf_dir)
+    return _checked(monitoring.treatment_shift(d.filter("f < 2"), d.filter("f >= 2"), "d"), spark)
+
+
+@query(f"WITH {_LINES}, l AS (SELECT 't' AS feature, t AS v, f FROM d){_KS} SELECT {_LEVEL}, round(v, 6) AS value FROM k")
+def treatment_shift_ks(spark, sf_dir):
+    d = _lines(spark, sf_dir)
+    return _checked(monitoring.treatment_shift(d.filter("f < 2"), d.filter("f >= 2"), "t"), spark)
+
+
+@query(f"WITH {_LINES}, l AS (SELECT 'x' AS feature, x AS v, f FROM d UNION ALL SELECT 'x2', x2, f FROM d UNION ALL SELECT 'unit', unit, f FROM d){_KS}, m AS (SELECT max(v) AS v FROM k) SELECT {_LEVEL}, round(v, 6) AS value FROM m")
+def covariate_shift(spark, sf_dir):
+    d = _lines(spark, sf_dir)
+    return _checked(monitoring.covariate_shift(d.filter("f < 2"), d.filter("f >= 2"), ["x", "x2", "unit"]), spark)
+
+
+@query(f"WITH {_LINES}, s AS (SELECT regr_slope(y, t) AS b, regr_sxx(y, t) AS sxx, regr_syy(y, t) AS syy, regr_sxy(y, t) AS sxy, count(*) AS n FROM d), e AS (SELECT abs(b) / sqrt((syy - b * sxy) / (n - 2) / sxx) AS z FROM s) SELECT round(1 + i * 0.1::DOUBLE, 1) AS gamma, round(z - ln(1 + i * 0.1::DOUBLE), 5) AS z FROM e, range(21) q(i)")
+def confounding_bias_grid(spark, sf_dir):
+    e = E.naive_ols(_lines(spark, sf_dir), "y", "t")
+    return spark.createDataFrame([(g, round(z, 5)) for g, z in sensitivity.for_effect(e.theta, e.se, e.n).z_values.items()], "gamma double, z double")
+
+
+@query()
+def ipw_logit(spark, sf_dir):
+    return _said(E.ipw(E.with_propensity(_lines(spark, sf_dir), "d", ["x", "x2"]), "y", "d"), spark)
+
+
+@query()
+def aipw_logit(spark, sf_dir):
+    return _said(E.aipw(E.with_propensity(_lines(spark, sf_dir), "d", ["x", "x2"]), "y", "d", ["x", "x2"]), spark)
+
+
+def _arms(spark, sf_dir, model) -> DataFrame:
+    d = E.t_learner(_lines(spark, sf_dir), "y", "d", ["x", "x2"], model)
+    return d.agg(F.round(F.avg("effect"), 6).alias("theta"), F.round(F.stddev_samp("effect"), 6).alias("sd"), F.count("effect").alias("n"))
+
+
+@query()
+def forest_t_learner(spark, sf_dir):
+    from pyspark.ml.regression import RandomForestRegressor
+
+    return _arms(spark, sf_dir, RandomForestRegressor(numTrees=10, maxDepth=5, seed=42))
+
+
+@query()
+def boosted_t_learner(spark, sf_dir):
+    from pyspark.ml.regression import GBTRegressor
+
+    return _arms(spark, sf_dir, GBTRegressor(maxIter=5, maxDepth=3, seed=42))
+
+
+@query()
+def bootstrap_shape(spark, sf_dir):
+    b = simulation.bootstrap_distribution(bootstrap_slopes(spark, sf_dir), "slope")
+    return spark.createDataFrame([tuple(b.values())], "n long, mean double, sd double, skewness double, kurtosis double, symmetry double, shapiro double, p_value double, normal boolean")

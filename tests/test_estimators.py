@@ -120,3 +120,31 @@ def test_monitoring(spark, tmp_path):
 def test_monte_carlo(spark):
     v = Z.validation(Z.monte_carlo(spark, 60, Z.dml_estimate), 1.0)
     assert v["n"] == 60 and abs(v["bias"]) < 0.05 and v["coverage"] > 0.8
+
+
+def test_shapiro_wilk():
+    import numpy as np
+
+    from plumbline.functions.distributions import shapiro_wilk
+
+    w, p = shapiro_wilk([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236])  # the published example: 0.79
+    assert abs(w - 0.79) < 0.005 and 0.004 < p < 0.01
+    rng = np.random.default_rng(0)
+    for n in (6, 11, 12, 40):
+        p = np.array([shapiro_wilk(rng.normal(size=n).tolist())[1] for _ in range(2000)])
+        assert abs((p < 0.05).mean() - 0.05) < 0.02 and abs(np.median(p) - 0.5) < 0.05, n
+    assert shapiro_wilk(rng.exponential(size=100).tolist())[1] < 1e-6 and shapiro_wilk([2.0] * 9) == (1.0, 1.0)
+
+
+def test_bootstrap_diagnostics(spark):
+    import numpy as np
+
+    from plumbline.operators import simulation
+
+    x = np.random.default_rng(1).normal(3, 2, 400)
+    b = simulation.bootstrap_distribution(spark.createDataFrame([(float(v),) for v in x], "estimate double"))
+    z = (x - x.mean()) / x.std()
+    assert b["n"] == 400 and b["normal"] and abs(b["skewness"] - (z**3).mean()) < 1e-9 and abs(b["kurtosis"] - (z**4).mean() + 3) < 1e-9
+    c = simulation.bootstrap_convergence({10: 1.0, 20: 1.5, 50: 1.51, 100: 1.512, 200: 1.5121})
+    assert c["converged"] and c["recommended"] == 50
+    assert simulation.bootstrap_convergence({10: 1.0, 20: 1.0, 50: 2.0})["converged"] is False
