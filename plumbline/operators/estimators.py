@@ -7,13 +7,13 @@ import warnings
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.distributions import normal_quantile, t_quantile, two_sided_normal, two_sided_t
 from plumbline.functions.linear import Moments, solve
-from plumbline.operators.moments import moments, predicted, predicted_by_fold
+from plumbline.operators.moments import logistic_models, moments, predicted, predicted_by_fold
 from plumbline.operators.order import forward_folds, lagged, with_position
 
 
@@ -206,16 +206,56 @@ def kernel_weight(kind: str, lag: int, bandwidth: int) -> float:
     raise ValueError(f"unknown kernel {kind!r}: bartlett, parzen or quadratic_spectral")
 
 
-def hac_se(df: DataFrame, psi: str = "psi", pos: str = "pos", bandwidth: int | None = None, kernel: str = "bartlett") -> tuple[float, int]:
-    """Standard error of the mean of ``psi`` and the bandwidth: one aggregate of products with all lags.
+def bartlett_products(df: DataFrame, columns: list[str], n: int, bandwidth: int, pos: str = "pos", block: int = 100_000) -> np.ndarray:
+    """Sums over |k| <= bandwidth of (1 - |k| / (bandwidth + 1)) times the products of columns k places apart.
+
+    That is the mean square of the sums of all windows of bandwidth + 1 places, those that hang over the ends included. Window
+    sums are differences of running sums within blocks of positions, so the work does not grow with the bandwidth."""
+    width = bandwidth + 1
+    block = max(block, width)
+    rows = df.select(F.col(pos).cast("long").alias("__p"), *[F.col(c).cast("double").alias(f"__c{i}") for i, c in enumerate(columns)])
+    if bandwidth:
+        past = df.sparkSession.range(n, n + bandwidth, 1, 1).select(F.col("id").alias("__p"), *[F.lit(0.0).alias(f"__c{i}") for i in range(len(columns))])
+        rows = rows.unionByName(past)
+    own = F.floor(F.col("__p") / block)
+    copies = rows.withColumn("__blk", F.explode(F.when(F.col("__p") % block >= block - bandwidth, F.array(own, own + 1)).otherwise(F.array(own))))
+    order = Window.partitionBy("__blk").orderBy("__p")
+    running = copies.select("__p", "__blk", *[F.sum(f"__c{i}").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(f"__r{i}") for i in range(len(columns))])
+    sums = running.select("__p", "__blk", *[(F.col(f"__r{i}") - F.coalesce(F.lag(f"__r{i}", width).over(order), F.lit(0.0))).alias(f"__s{i}") for i in range(len(columns))])
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    got = sums.filter(F.col("__blk") == own).agg(*[F.sum(F.col(f"__s{i}") * F.col(f"__s{j}")) for i, j in pairs]).first()
+    out = np.zeros((len(columns), len(columns)))
+    for (i, j), v in zip(pairs, got, strict=True):
+        out[i, j] = out[j, i] = (v or 0.0) / width
+    return out
+
+
+def long_run_covariance(df: DataFrame, scores: list[str], n: int, bandwidth: int, pos: str = "pos") -> np.ndarray:
+    """Bartlett long-run covariance of several scores by gapless position, less their means."""
+    means = df.agg(*[F.avg(c) for c in scores]).first()
+    centred = df.select(pos, *[(F.col(c) - F.lit(float(m))).alias(c) for c, m in zip(scores, means, strict=True)])
+    return bartlett_products(centred, scores, n, max(0, min(bandwidth, n - 1)), pos) / n
+
 
-    The bandwidth is floor(n^(1/3)) by default; 0 leaves the lags out."""
+def default_bandwidth(n: int) -> int:
+    return min(n - 1, int(math.floor(round(n ** (1 / 3), 9))))
+
+
+def hac_se(df: DataFrame, psi: str = "psi", pos: str = "pos", bandwidth: int | None = None, kernel: str = "bartlett", chunk: int = 64) -> tuple[float, int]:
+    """Standard error of the mean of ``psi`` and the bandwidth, floor(n^(1/3)) by default; 0 leaves the lags out.
+
+    Bartlett weights come from window sums, whatever the bandwidth; other kernels take one aggregate for each ``chunk`` lags."""
     n = df.count()
-    b = min(n - 1, int(math.floor(round(n ** (1 / 3), 9)))) if bandwidth is None else bandwidth
-    wide = lagged(df.select(pos, psi), {f"__l{k}": (psi, k) for k in range(1, b + 1)}, pos)
-    g = wide.agg(F.sum(F.col(psi) * F.col(psi)), *[F.sum(F.col(psi) * F.col(f"__l{k}")) for k in range(1, b + 1)]).first()
-    omega = (g[0] + 2 * sum(kernel_weight(kernel, k, b) * (g[k] or 0.0) for k in range(1, b + 1))) / n
-    return math.sqrt(max(omega, 0.0) / n), b
+    b = default_bandwidth(n) if bandwidth is None else bandwidth
+    if kernel == "bartlett":
+        return math.sqrt(max(bartlett_products(df, [psi], n, b, pos)[0, 0] / n, 0.0) / n), b
+    omega = df.agg(F.sum(F.col(psi) * F.col(psi))).first()[0]
+    for start in range(1, b + 1, chunk):
+        ks = range(start, min(b, start + chunk - 1) + 1)
+        wide = lagged(df.select(pos, psi), {f"__l{k}": (psi, k) for k in ks}, pos)
+        got = wide.agg(*[F.sum(F.col(psi) * F.col(f"__l{k}")) for k in ks]).first()
+        omega += 2 * sum(kernel_weight(kernel, k, b) * (g or 0.0) for k, g in zip(ks, got, strict=True))
+    return math.sqrt(max(omega / n, 0.0) / n), b
 
 
 def andrews_bandwidth(df: DataFrame, psi: str = "psi", pos: str = "pos") -> int:
@@ -225,25 +265,33 @@ def andrews_bandwidth(df: DataFrame, psi: str = "psi", pos: str = "pos") -> int:
     return max(0, int(1.1447 * (4 * rho**2 * n / ((1 - rho) ** 2 * (1 + rho) ** 2)) ** (1 / 3)))
 
 
-def forward_cross_fit(df: DataFrame, outcome: str, treatment: str, controls: list[str], pos: str, n: int, splits: int, strategy: str, gap: int, learner_y: str, learner_t: str) -> DataFrame:
-    """``df`` plus y_res and t_res; a test block's models see earlier rows only. Rows in no test have null residuals.
+def forward_residuals(df: DataFrame, targets: dict[str, str], controls: list[str], pos: str, n: int, splits: int, strategy: str, gap: int) -> DataFrame:
+    """``df`` plus <target>_res for each target (column -> linear learner); a test block's models see earlier rows only.
 
-    Positions are cut at all ends of training and test ranges; one aggregate gives the moments of the cuts, and every
-    training range is a sum of some."""
+    Rows in no test have null residuals. Positions are cut at all ends of training and test ranges; one aggregate gives the
+    moments of the cuts, and every training range is a sum of some."""
     plan = forward_folds(n, splits, strategy, gap)
+    if len(plan) < splits:
+        warnings.warn(f"{len(plan)} folds instead of {splits}", RuntimeWarning, stacklevel=3)
     ends = sorted({0, n, *(x for f in plan for x in f)})
     cut = F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e <= F.col(pos)))
     marked = df.withColumn("__cut", cut)
-    by, p = moments(marked, [*controls, treatment, outcome], "__cut"), list(range(len(controls)))
-    ys, ts = {}, {}
+    by, p = moments(marked, [*controls, *targets], "__cut"), list(range(len(controls)))
+    models: dict[str, dict] = {c: {} for c in targets}
     for a, b, lo, hi in plan:
         cuts = [by[i + 1] for i, e in enumerate(ends[:-1]) if a <= e < b]
         train = sum(cuts[1:], cuts[0])
-        for i, e in enumerate(ends[:-1]):
-            if lo <= e < hi:
-                ys[i + 1], ts[i + 1] = solve(train, p, len(p) + 1, learner_y), solve(train, p, len(p), learner_t)
-    y, t = predicted_by_fold(ys, "__cut", controls), predicted_by_fold(ts, "__cut", controls)
-    return marked.withColumns({"y_res": F.col(outcome).cast("double") - y, "t_res": F.col(treatment).cast("double") - t}).drop("__cut")
+        tested = [i + 1 for i, e in enumerate(ends[:-1]) if lo <= e < hi]
+        for j, (c, learner) in enumerate(targets.items()):
+            models[c] |= dict.fromkeys(tested, solve(train, p, len(p) + j, learner))
+    return marked.withColumns({f"{c}_res": F.col(c).cast("double") - predicted_by_fold(m, "__cut", controls) for c, m in models.items()}).drop("__cut")
+
+
+def forward_cross_fit(df: DataFrame, outcome: str, treatment: str, controls: list[str], pos: str, n: int, splits: int, strategy: str, gap: int, learner_y: str, learner_t: str) -> DataFrame:
+    """``df`` plus y_res and t_res of models that see earlier rows only."""
+    named = df.withColumns({"__o": F.col(outcome), "__t": F.col(treatment)})
+    res = forward_residuals(named, {"__o": learner_y, "__t": learner_t}, controls, pos, n, splits, strategy, gap)
+    return res.withColumnsRenamed({"__o_res": "y_res", "__t_res": "t_res"}).drop("__o", "__t")
 
 
 @dataclass(frozen=True)
@@ -385,14 +433,85 @@ def dynamic_g(df: DataFrame, outcome: str, treatment: str, controls: list[str],
         for s in range(tau, m):
             g[tau, s] = mom.cross[k[f"r{tau}_t_{tau}"], k[f"r{tau}_t_{s}"]] / mom.n
     inv = np.linalg.inv(g)
-    cov = inv @ (meat.cross / meat.n) @ inv.T / mom.n
+    return _blips(theta, inv @ (meat.cross / meat.n) @ inv.T / mom.n, int(mom.n), alpha)
+
+
+def _blips(theta: np.ndarray, cov: np.ndarray, n: int, alpha: float) -> dict:
     cov = (cov + cov.T) / 2
+    if not (np.isfinite(cov).all() and (np.diag(cov) > 0).all() and cov.sum() > 0):
+        raise ValueError("an effect's variance is not positive and finite")
     se = np.sqrt(np.diag(cov))
     z = normal_quantile(1 - alpha / 2)
-    return {"theta": theta, "se": se, "cov": cov, "ci": np.stack([theta - z * se, theta + z * se], axis=1), "cumulative": float(theta.sum()), "cumulative_se": float(math.sqrt(cov.sum())), "n": int(mom.n)}
+    p = np.array([two_sided_normal(v) for v in theta / se])
+    return {"theta": theta, "se": se, "cov": cov, "ci": np.stack([theta - z * se, theta + z * se], axis=1), "p_value": p, "cumulative": float(theta.sum()), "cumulative_se": float(math.sqrt(cov.sum())), "n": n}
+
+
+def dynamic_g_series(df: DataFrame, outcome: str, treatment: str, controls: list[str], order: str, periods: int, folds: int = 5, gap: int = 0, learner: str = "ridge", bandwidth: int | None = None, alpha: float = 0.05) -> dict:
+    """Effects of a series' treatment now and up to ``periods`` - 1 steps back, from forward-only residuals, with a HAC sandwich."""
+    own = with_position(_complete(df, outcome, treatment, *controls), order, name="__p0")
+    n = own.count()
+    if n <= periods + folds + 10:
+        raise ValueError(f"{n} rows are too few for {periods} periods and {folds} folds")
+    lags = {f"__t{k}": (treatment, k) for k in range(periods)}
+    wide = lagged(own, {c: v for c, v in lags.items() if v[1]}, "__p0").withColumn("__t0", F.col(treatment)).withColumn("__y", F.col(outcome))
+    wide = wide.filter(F.col("__p0") >= periods - 1).withColumn("__pos", F.col("__p0") - (periods - 1))
+    res = forward_residuals(wide, dict.fromkeys(["__y", *lags], learner), controls, "__pos", n - periods + 1, folds, "expanding", gap)
+    names = [f"{c}_res" for c in lags]
+    kept = res.filter(F.col("__y_res").isNotNull()).select("__pos", "__y_res", *names)
+    m = moments(kept, [*names, "__y_res"])[None]
+    gram = m.cross[:periods, :periods]
+    if np.linalg.cond(gram) > 1e12:
+        warnings.warn("the lagged treatments are nearly dependent", RuntimeWarning, stacklevel=2)
+    theta = np.linalg.solve(gram, m.cross[:periods, periods])
+    left = F.col("__y_res") - sum((F.lit(float(w)) * F.col(c) for w, c in zip(theta, names, strict=True)), F.lit(0.0))
+    first, k = kept.agg(F.min("__pos")).first()[0], int(m.n)
+    scores = kept.select((F.col("__pos") - first).alias("pos"), *[(F.col(c) * left).alias(f"s{i}") for i, c in enumerate(names)])
+    bread = np.linalg.inv(gram / k)
+    meat = long_run_covariance(scores, scores.columns[1:], k, default_bandwidth(k) if bandwidth is None else bandwidth)
+    return _blips(theta, bread @ meat @ bread.T / k, k, alpha)
+
+
+def effect_by_period(spark: SparkSession, found: dict) -> DataFrame:
+    """(period, theta, se, ci_lower, ci_upper, p_value) of a dynamic fit."""
+    rows = [(i, float(t), float(s), float(c[0]), float(c[1]), float(p)) for i, (t, s, c, p) in enumerate(zip(found["theta"], found["se"], found["ci"], found["p_value"], strict=True))]
+    return spark.createDataFrame(rows, "period int, theta double, se double, ci_lower double, ci_upper double, p_value double")
+
+
+def cumulative_effect(found: dict, alpha: float = 0.05) -> Effect:
+    return _normal("cumulative", found["cumulative"], found["cumulative_se"], found["n"], alpha)
+
+
+# -- comparisons -------------------------------------------------------------------------------
+def compare(*found: Effect, truth: float | None = None) -> list[dict]:
+    """One entry for each estimate; with a known effect also its bias and whether the interval holds it."""
+    more = lambda e: {} if truth is None else {"bias": e.theta - truth, "covers": e.ci_lower <= truth <= e.ci_upper}
+    return [{"method": e.method, "theta": e.theta, "se": e.se, "ci_lower": e.ci_lower, "ci_upper": e.ci_upper} | more(e) for e in found]
+
+
+def fwl_and_robinson(df: DataFrame, outcome: str, treatment: str, controls: list[str], truth: float | None = None, learner: str = "ridge") -> list[dict]:
+    return compare(fwl(df, outcome, treatment, controls), robinson(df, outcome, treatment, controls, learner), truth=truth)
+
+
+def robinson_and_double_ml(df: DataFrame, outcome: str, treatment: str, controls: list[str], truth: float | None = None, learner: str = "ridge", **folds) -> list[dict]:
+    return compare(robinson(df, outcome, treatment, controls, learner), double_ml(df, outcome, treatment, controls, model_y=learner, model_t=learner, **folds), truth=truth)
 
 
 # -- binary treatments -------------------------------------------------------------------------
+def binary_double_ml(df: DataFrame, outcome: str, treatment: str, controls: list[str], fold: str, learner: str = "ridge", penalty: float = 1.0, alpha: float = 0.05) -> Effect:
+    """Cross-fitted partially linear model of a 0/1 treatment: its model is logistic, the outcome's linear."""
+    own = _complete(df, outcome, treatment, *controls)
+    values = sorted(r[0] for r in own.select(fold).distinct().collect())  # the folds, a handful
+    by, p = moments(own, [*controls, outcome], fold), list(range(len(controls)))
+    total = sum(list(by.values())[1:], next(iter(by.values())))
+    y = predicted_by_fold({k: solve(total - m, p, len(p), learner) for k, m in by.items()}, fold, controls)
+    models = logistic_models(own, treatment, controls, {k: F.col(fold) != k for k in values}, penalty)
+    e = 1 / (1 + F.exp(-predicted_by_fold(models, fold, controls)))
+    res = own.withColumns({"y_res": F.col(outcome).cast("double") - y, "t_res": F.col(treatment).cast("double") - e})
+    theta, n, t2 = orthogonal(res, "binary_double_ml")
+    var = with_influence(res, theta, t2).agg(F.var_samp("psi")).first()[0]
+    return _normal("binary_double_ml", theta, math.sqrt(var / n), n, alpha)
+
+
 def with_propensity(df: DataFrame, treatment: str, controls: list[str], clip: float = 1e-6) -> DataFrame:
     """``df`` plus e, a logistic propensity clipped to [clip, 1 - clip]."""
     from pyspark.ml.classification import LogisticRegression

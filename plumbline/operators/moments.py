@@ -45,3 +45,40 @@ def predicted_by_fold(models: dict, fold: str, columns: list[str]) -> Column:
     for k, m in models.items():
         out = F.when(F.col(fold) == k, predicted(m, columns)) if out is None else out.when(F.col(fold) == k, predicted(m, columns))
     return out if out is not None else F.lit(None).cast("double")
+
+
+def logistic_models(df: DataFrame, target: str, columns: list[str], train: dict, penalty: float = 1.0, rounds: int = 25, tolerance: float = 1e-9) -> dict:
+    """Logistic models of a 0/1 ``target``, one for each training condition, with a ridge of ``penalty`` on the slopes.
+
+    Newton's method on columns scaled by their overall deviations; each step is one aggregate for all models together."""
+    c = len(columns)
+    got = df.agg(*[f(F.col(x).cast("double")) for x in columns for f in (F.avg, F.stddev_pop)], F.avg(F.col(target).cast("double"))).first()
+    mean, sd = np.array(got[0 : 2 * c : 2], float), np.array([s or 1.0 for s in got[1 : 2 * c : 2]], float)
+    share = min(1 - 1e-6, max(1e-6, got[2 * c] if got[2 * c] is not None else 0.5))
+    z = [F.lit(1.0)] + [(F.col(x).cast("double") - F.lit(float(m))) / F.lit(float(s)) for x, m, s in zip(columns, mean, sd, strict=True)]
+    rows = df.select(F.col(target).cast("double").alias("__y"), *[v.alias(f"__z{i}") for i, v in enumerate(z)], *[cond.alias(f"__in{k}") for k, cond in enumerate(train.values())])
+    w = {k: np.r_[np.log(share / (1 - share)), np.zeros(c)] for k in train}
+    left, ridge = list(train), np.diag(np.r_[0.0, penalty / sd**2])
+    at, names = {k: i for i, k in enumerate(train)}, [f"__z{i}" for i in range(c + 1)]
+    sums = [F.sum(F.col("g") * F.col(n)) for n in names] + [F.sum(F.col("h") * F.col(a) * F.col(b)) for i, a in enumerate(names) for b in names[i:]]
+    for _ in range(rounds):
+        said = []
+        for k in left:
+            line = sum((F.lit(float(b)) * F.col(f"__z{i}") for i, b in enumerate(w[k])), F.lit(0.0))
+            said.append(F.when(F.col(f"__in{at[k]}"), F.struct(F.lit(at[k]).alias("k"), F.greatest(F.lit(-30.0), F.least(F.lit(30.0), line)).alias("v"))))
+        lines = rows.select("__y", *names, F.explode(F.array_compact(F.array(*said))).alias("__m")).select("__y", *names, "__m.*")
+        step_rows = lines.select("__y", *names, "k", (1 / (1 + F.exp(-F.col("v")))).alias("p")).select("k", *names, (F.col("__y") - F.col("p")).alias("g"), (F.col("p") * (1 - F.col("p"))).alias("h"))
+        found, done = {r["k"]: r[1:] for r in step_rows.groupBy("k").agg(*sums).collect()}, []
+        for k in list(left):
+            part = [v or 0.0 for v in found.get(at[k], [0.0] * len(sums))]
+            h = np.zeros((c + 1, c + 1))
+            h[np.triu_indices(c + 1)] = part[c + 1 :]
+            h = h + np.triu(h, 1).T + ridge
+            step = np.linalg.lstsq(h, np.array(part[: c + 1]) - ridge @ w[k], rcond=None)[0]
+            w[k] = w[k] + step
+            if np.abs(step).max() < tolerance:
+                done.append(k)
+        left = [k for k in left if k not in done]
+        if not left:
+            break
+    return {k: Linear(float(b[0] - (b[1:] * mean / sd).sum()), b[1:] / sd) for k, b in w.items()}

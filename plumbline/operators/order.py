@@ -40,6 +40,18 @@ def lagged(df: DataFrame, lags: dict[str, tuple[str, int]], pos: str = "pos", bl
     return out.filter(F.col("__blk") == own).drop("__blk")
 
 
+def shuffled_folds(df: DataFrame, pos: str, n: int, folds: int = 5, seed: int = 0, name: str = "fold") -> DataFrame:
+    """``df`` plus the fold that a seeded shuffle of all ``n`` places gives, the first n % folds folds one larger, as published numbers
+    have it. The shuffle is made on the driver, so this is for comparison on small data; ``hash_fold`` is for any size."""
+    import numpy as np
+
+    order, fold = np.arange(n), np.empty(n, int)
+    np.random.RandomState(seed).shuffle(order)
+    fold[order] = np.repeat(np.arange(folds), [n // folds + (k < n % folds) for k in range(folds)])
+    table = df.sparkSession.createDataFrame([(int(i), int(f)) for i, f in enumerate(fold)], f"__pos long, {name} int")
+    return df.join(table, df[pos] == table["__pos"]).drop("__pos")
+
+
 STRATEGIES = ("time_series_split", "expanding", "sliding", "blocked", "purged", "blocked_cv", "purged_cv")
 
 

@@ -33,6 +33,16 @@ def resample(df: DataFrame, frequency: str, method: str = "mean", by: tuple[str,
     return df.filter(F.col(value).isNotNull()).groupBy(*by, period_end(date, frequency).alias("__end")).agg(made[method].alias(value)).withColumnRenamed("__end", date)
 
 
+def with_empty_periods(df: DataFrame, frequency: str, method: str = "mean", by: tuple[str, ...] = ("series_id",), date: str = "date", value: str = "value") -> DataFrame:
+    """What ``resample`` gave, plus the periods between a series' first and last that have no row: null, or 0 for sums."""
+    step = {"D": "INTERVAL 1 DAY", "W": "INTERVAL 7 DAY", "M": "INTERVAL 1 MONTH", "Q": "INTERVAL 3 MONTH", "A": "INTERVAL 1 YEAR"}[frequency]
+    start = F.col("__a") if frequency in "DW" else F.trunc(F.col("__a"), "month")
+    ends = df.groupBy(*by).agg(F.min(date).alias("__a"), F.max(date).alias("__z"))
+    every = ends.select(*by, F.explode(F.sequence(start, F.col("__z"), F.expr(step))).alias("__d")).select(*by, (F.col("__d") if frequency in "DW" else F.last_day("__d")).alias(date))
+    out = every.join(df, [*by, date], "left")
+    return out.withColumn(value, F.coalesce(F.col(value), F.lit(0.0))) if method == "sum" else out
+
+
 def transform(df: DataFrame, kind: str, by: tuple[str, ...] = ("series_id",), date: str = "date", value: str = "value") -> DataFrame:
     """level, pct_change, pct_change_yoy (12 rows back, whatever the frequency), diff, log, log_diff; within each series."""
     w = Window.partitionBy(*by).orderBy(date)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import estimators as E
-from plumbline.operators import monitoring, order, sensitivity, series, simulation
+from plumbline.operators import diagnosis, generators, monitoring, order, production, sensitivity, series, simulation
+from plumbline.sources import macro
 from plumbline.streaming.slopes import windowed_slope
 
 _ALL: dict[str, tuple] = {}
@@ -433,3 +434,133 @@ def boosted_t_learner(spark, sf_dir):
 def bootstrap_shape(spark, sf_dir):
     b = simulation.bootstrap_distribution(bootstrap_slopes(spark, sf_dir), "slope")
     return spark.createDataFrame([tuple(b.values())], "n long, mean double, sd double, skewness double, kurtosis double, symmetry double, shapiro double, p_value double, normal boolean")
+
+
+@query(_ALL["fwl"][1])
+def ols_with_controls(spark, sf_dir):
+    return _said(E.ols_with_controls(_lines(spark, sf_dir), "y", "t", ["x"]), spark)
+
+
+def _compared(name: str, run, *parts: str) -> None:
+    def f(spark, sf_dir):
+        rows = [(e["method"], round(e["theta"], 6), round(e["se"], 6)) for e in run(_lines(spark, sf_dir))]
+        return spark.createDataFrame(rows, "method string, theta double, se double")
+
+    f.__name__ = name
+    query(" UNION ALL ".join(f"SELECT '{p}' AS method, theta, se FROM ({_ALL[p][1]})" for p in parts))(f)
+
+
+_compared("fwl_and_robinson", lambda d: E.fwl_and_robinson(d, "y", "t", ["x"]), "fwl", "robinson")
+_compared("robinson_and_double_ml", lambda d: E.robinson_and_double_ml(d, "y", "t", ["x"], fold="f"), "robinson", "double_ml")
+
+
+@query("""WITH e AS (SELECT event_id, value AS y, CAST(user_id % 10 AS DOUBLE) AS t, CAST(hour(ts) AS DOUBLE) AS x FROM events)
+, a AS (SELECT y, t, x, lag(t) OVER (ORDER BY event_id) AS t1, row_number() OVER (ORDER BY event_id) - 2 AS pos FROM e)
+, d AS (SELECT * FROM a WHERE pos >= 0), c AS (SELECT count(*) AS n, count(*) // 6 AS w FROM d)
+, k AS (SELECT i, n - 5 * w + i * w AS lo, n - 5 * w + (i + 1) * w AS hi FROM c, range(5) q(i))
+, m AS (SELECT any_value(lo) AS lo, any_value(hi) AS hi, regr_slope(y, x) AS by_, regr_intercept(y, x) AS ay, regr_slope(t, x) AS bt_, regr_intercept(t, x) AS at_, regr_slope(t1, x) AS b1, regr_intercept(t1, x) AS a1 FROM k JOIN d ON pos < lo GROUP BY i)
+, r AS (SELECT y - ay - by_ * x AS yr, t - at_ - bt_ * x AS tr, t1 - a1 - b1 * x AS ur FROM d JOIN m ON pos >= lo AND pos < hi)
+, g AS (SELECT sum(tr * tr) AS a, sum(tr * ur) AS b, sum(ur * ur) AS c, sum(tr * yr) AS u, sum(ur * yr) AS v, count(*) AS n FROM r)
+SELECT CAST(i AS INT) AS period, round(CASE i WHEN 0 THEN (c * u - b * v) / (a * c - b * b) ELSE (a * v - b * u) / (a * c - b * b) END, 6) AS theta, n FROM g, range(2) q(i)""")
+def dynamic_g_series(spark, sf_dir):
+    g = E.dynamic_g_series(_events(spark, sf_dir), "y", "t", ["x"], "event_id", 2, learner="ols")
+    return E.effect_by_period(spark, g).select("period", F.round("theta", 6).alias("theta"), F.lit(g["n"]).cast("long").alias("n"))
+
+
+@query()
+def binary_double_ml(spark, sf_dir):
+    return _said(E.binary_double_ml(_lines(spark, sf_dir), "y", "d", ["x", "x2"], "f"), spark)
+
+
+def _fitted(name: str, run) -> None:
+    def f(spark, sf_dir):
+        pipeline, d = run(spark, sf_dir)
+        got = pipeline.fit(d)
+        e, level = got.effect, monitoring.summary(got.checks)["level"]
+        return spark.createDataFrame([(round(e.theta, 6), round(e.se, 6), e.n, level)], "theta double, se double, n long, level string")
+
+    f.__name__ = name
+    query()(f)
+
+
+_fitted("production_series", lambda spark, sf_dir: (production.EffectPipeline(production.Config(("x",), "t", "y", time="event_id")), _events(spark, sf_dir)))
+_fitted("production_binary", lambda spark, sf_dir: (production.EffectPipeline(production.Config(("x", "x2"), "d", "y", id="id", hac=False)), _lines(spark, sf_dir).withColumn("id", F.xxhash64("y", "t", "x", "x2", "unit"))))
+
+
+def _spread(name: str, run) -> None:
+    def f(spark, sf_dir):
+        return run(_events(spark, sf_dir), "y", "t", ["x"], "event_id")
+
+    f.__name__ = name
+    query()(f)
+
+
+_spread("penalty_sensitivity", lambda *a: diagnosis.penalty_sensitivity(*a, penalties=[0.001, 0.01, 0.1, 1.0]))
+_spread("seed_sensitivity", lambda *a: diagnosis.seed_sensitivity(*a, seeds=20))
+_spread("bootstrap_double_ml", lambda *a: diagnosis.bootstrap_double_ml(*a, replicates=50))
+
+
+@query()
+def method_comparison(spark, sf_dir):
+    return diagnosis.method_table(diagnosis.method_runs(spark, diagnosis.Setting(n=500, p=3), 40), 1.0)
+
+
+@query()
+def method_sweep(spark, sf_dir):
+    settings = [diagnosis.Setting(n=n, p=3, confounding=c) for n in (200, 500) for c in (0.2, 1.0)]
+    return diagnosis.sweep(spark, settings, 20)
+
+
+def _simulated(name: str, generator, **options) -> None:
+    def f(spark, sf_dir):
+        d = generators.simulate(spark, generator, 8, **options)
+        return d.groupBy("sim_id").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("y"), F.avg("t").alias("t"), F.corr("y", "t").alias("together"))
+
+    f.__name__ = name
+    query()(f)
+
+
+_simulated("simulated_varied", generators.varied, hte=0.5, hidden=1, degree=2, error=0.1)
+_simulated("simulated_lagged", generators.lagged_effects, units=5, effects=(1.0, 0.5), fixed=1.0)
+_simulated("simulated_dynamic", generators.dynamic_treatments, effects=(1.0, 2.0, 3.0), feedback=True)
+_simulated("simulated_products", generators.priced_products, realism="full")
+
+
+@query()
+def product_recovery(spark, sf_dir):
+    r = generators.product_recovery(spark, 12)
+    return spark.createDataFrame([tuple(r.values())], "n long, failed long, bias double, rmse double, coverage double, mean_se double, sd double")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{n}', '{t}')" for k, (n, t) in macro.CATALOGUE.items()) + ") AS v(series_id, name, default_transform)")
+def macro_catalogue(spark, sf_dir):
+    return macro.catalogue(spark)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', CAST({i} AS INT), '{m}')" for k, v in macro.CONTROL_SETS.items() for i, m in enumerate(v)) + ") AS v(control_set, place, series_id)")
+def macro_control_sets(spark, sf_dir):
+    return macro.control_sets(spark)
+
+
+@query("SELECT bin, 0.0::DOUBLE + bin * 5.0 AS \"from\", (bin + 1) * 5.0 AS \"to\", n FROM (SELECT CAST(least(floor(value / 5.0), 19) AS INT) AS bin, count(*) AS n FROM events WHERE value BETWEEN 0 AND 100 GROUP BY 1)")
+def value_histogram(spark, sf_dir):
+    return diagnosis.histogram(_read(spark, sf_dir, "events"), "value", 0.0, 100.0, 20)
+
+
+@query("WITH d AS (SELECT CAST(ts AS DATE) AS date, avg(value) AS v FROM events GROUP BY 1) SELECT date, round(avg(v) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING), 6) AS mean FROM d", dated=True)
+def running_means(spark, sf_dir):
+    d = _read(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("date")).agg(F.avg("value").alias("v"))
+    return diagnosis.cumulative_means(d, "v", "date").select("date", F.round("mean", 6).alias("mean"))
+
+
+@query(f"WITH {_LONG}, g AS (SELECT series_id, date, sum(value) AS v FROM e WHERE day(date) % 3 = 0 AND value IS NOT NULL GROUP BY 1, 2), s AS (SELECT series_id, unnest(generate_series(min(date)::TIMESTAMP, max(date)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS date FROM g GROUP BY 1) SELECT series_id, date, round(coalesce(v, 0), 6) AS value FROM s LEFT JOIN g USING (series_id, date)", dated=True)
+def resample_with_empty_days(spark, sf_dir):
+    own = series.resample(_long(spark, sf_dir).filter(F.day("date") % 3 == 0), "D", "sum")
+    return series.with_empty_periods(own, "D", "sum").select("series_id", "date", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {_LINES}, u AS (SELECT unit, avg(y) AS m, 1.96 * stddev_samp(y) / sqrt(count(*)) AS h, count(*) AS n FROM d GROUP BY unit) SELECT n % 3 AS third, round(avg(CASE WHEN m - h > 30 OR m + h < 30 THEN 1.0 ELSE 0.0 END), 6) AS power, count(*) AS n FROM u GROUP BY 1")
+def power_by_size(spark, sf_dir):
+    half = F.lit(1.96) * F.stddev_samp("y") / F.sqrt(F.count("y"))
+    u = _lines(spark, sf_dir).groupBy("unit").agg((F.avg("y") - half - 30).alias("ci_lower"), (F.avg("y") + half - 30).alias("ci_upper"), (F.count("y") % 3).alias("third"))
+    return diagnosis.power_curve(u, "third").select("third", F.round("power", 6).alias("power"), "n")

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 RETAIL = "logmove double, price double, feat double, brand string, INCOME double, AGE60 double, EDUC double"
 
-#: Fixed names of macro series and of the sets of them.
+#: Fixed names of the invented macro series.
 SERIES = ("GDPC1", "CPIAUCSL", "UNRATE", "FEDFUNDS")
-CONTROL_SETS = {"activity": ("GDPC1", "UNRATE"), "monetary": ("FEDFUNDS", "CPIAUCSL"), "core": SERIES}
 
 
 def csv_source(spark: SparkSession, path: str, schema: str | None = None, cache: str | None = None, force: bool = False) -> DataFrame:
@@ -40,6 +39,10 @@ def retail(df: DataFrame, features: list[str], brand: str | None = None) -> Data
     return own.select(F.col("logmove").alias("y"), F.ln("price").alias("t"), *features).dropna()
 
 
+def brands(df: DataFrame) -> DataFrame:
+    return df.select("brand").distinct()
+
+
 def savings(df: DataFrame, treatment: str = "e401") -> tuple[DataFrame, list[str]]:
     """y = net_tfa, t = the chosen eligibility, controls = all other columns."""
     controls = [c for c in df.columns if c not in ("net_tfa", "e401", "p401")]
