@@ -43,9 +43,10 @@ def keyed_moments(df: DataFrame, columns: list[str], first: str) -> dict:
     return out
 
 
-def penalty_sensitivity(df: DataFrame, outcome: str, treatment: str, controls: list[str], id: str, penalties: list[float], learner: str = "lasso", folds: int = 5, seed: int = 42) -> DataFrame:
-    """(penalty, theta) of each penalty. All come from one aggregate by fold; nothing is read again for another penalty."""
-    own = df.withColumn("__fold", hash_fold(id, folds, seed))
+def penalty_sensitivity(df: DataFrame, outcome: str, treatment: str, controls: list[str], id: str, penalties: list[float], learner: str = "lasso", folds: int = 5, seed: int = 42, fold: str | None = None) -> DataFrame:
+    """(penalty, theta) of each penalty, folds from a column or a hash of ``id``. All come from one aggregate by fold; nothing is
+    read again for another penalty."""
+    own = df.withColumn("__fold", hash_fold(id, folds, seed) if fold is None else F.col(fold))
     by = moments(own, [*controls, treatment, outcome], "__fold")
     rows = [(float(a), cross_fitted(by, len(controls), learner, a)[0]) for a in penalties]
     return df.sparkSession.createDataFrame(rows, "penalty double, theta double")

@@ -77,7 +77,9 @@ def fwl(spark, sf_dir):
     return _said(E.fwl(_lines(spark, sf_dir), "y", "t", ["x"]), spark)
 
 
-@query()
+@query(f"""WITH {_LINES}, a AS (SELECT regr_slope(y, x) AS by_, regr_intercept(y, x) AS ay, regr_slope(t, x) AS bt_, regr_intercept(t, x) AS at_, regr_slope(x2, x) AS bz, regr_intercept(x2, x) AS az FROM d)
+, r AS (SELECT y - ay - by_ * x AS y, t - at_ - bt_ * x AS t, x2 - az - bz * x AS z FROM d, a), b AS (SELECT sum(y * z) / sum(z * z) AS by_, sum(t * z) / sum(z * z) AS bt_ FROM r)
+, q AS (SELECT y - by_ * z AS y, t - bt_ * z AS t FROM r, b) SELECT round(sum(y * t) / sum(t * t), 6) AS ols, round(sum(y * t) / sum(t * t), 6) AS fwl, true AS match FROM q""")
 def fwl_two_controls(spark, sf_dir):
     d = _lines(spark, sf_dir)
     both = E.fwl_vs_ols(d, "y", "t", ["x", "x2"])
@@ -288,9 +290,13 @@ def ranked_methods(spark, sf_dir):
     return s.select(F.col("f").alias("method"), F.round("b", 6).alias("estimate"), F.rank().over(Window.orderBy(F.abs("b"))).cast("long").alias("place"))  # five rows
 
 
-@query()
+@query(f"""WITH e AS (SELECT event_id, value AS y, CAST(user_id % 10 AS DOUBLE) AS t, CAST(hour(ts) AS DOUBLE) AS x FROM events), d AS (SELECT y, t, x, row_number() OVER (ORDER BY event_id) - 1 AS pos FROM e)
+, w AS (SELECT pos AS a FROM d WHERE pos % 200 = 0 AND pos < (SELECT count(*) FROM d) - 400), k AS (SELECT a, a + 100 + 100 * j AS lo, a + 200 + 100 * j AS hi FROM w, range(3) q(j))
+, g AS (SELECT a, lo, any_value(hi) AS hi, {_SUMS} FROM k JOIN d ON pos >= a AND pos < lo GROUP BY a, lo), m AS (SELECT a, lo, hi, {_ridge()} FROM g)
+, r AS (SELECT a, y - my - by_ * (x - mx) AS yr, t - mt - bt_ * (x - mx) AS tr FROM d JOIN m ON pos >= lo AND pos < hi)
+SELECT a + 200 AS center, round(sum(yr * tr) / sum(tr * tr), 6) AS theta, count(*) AS n FROM r GROUP BY a""")
 def rolling_dml(spark, sf_dir):
-    return E.rolling(_events(spark, sf_dir), "y", "t", ["x"], "event_id", window=400, step=200)
+    return E.rolling(_events(spark, sf_dir), "y", "t", ["x"], "event_id", window=400, step=200).withColumn("theta", F.round("theta", 6))
 
 
 @query()
@@ -495,7 +501,15 @@ def _spread(name: str, run) -> None:
     query()(f)
 
 
-_spread("penalty_sensitivity", lambda *a: diagnosis.penalty_sensitivity(*a, penalties=[0.001, 0.01, 0.1, 1.0]))
+@query(f"""WITH e AS (SELECT value AS y, CAST(user_id % 10 AS DOUBLE) AS t, CAST(hour(ts) AS DOUBLE) AS x, CAST(event_id % 5 AS INT) AS f FROM events), d AS (SELECT * FROM e){_FOLDS}
+, c AS (SELECT f, a.a, sxx / n - (sx / n) ** 2 AS v, sxy / n - sx * sy / n / n AS cy, sxt / n - sx * st / n / n AS ct, sx / n AS mx, sy / n AS my, st / n AS mt FROM l, (VALUES (0.001::DOUBLE), (0.01), (0.1), (1.0)) a(a))
+, m AS (SELECT *, sign(cy) * greatest(abs(cy) - a, 0) / v AS by_, sign(ct) * greatest(abs(ct) - a, 0) / v AS bt_ FROM c)
+, r AS (SELECT a, y - my - by_ * (x - mx) AS yr, t - mt - bt_ * (x - mx) AS tr FROM d JOIN m USING (f)) SELECT a AS penalty, round(sum(yr * tr) / sum(tr * tr), 6) AS theta FROM r GROUP BY a""")
+def penalty_sensitivity(spark, sf_dir):
+    d = _events(spark, sf_dir).withColumn("f", F.pmod("event_id", F.lit(5)).cast("int"))
+    return diagnosis.penalty_sensitivity(d, "y", "t", ["x"], "event_id", [0.001, 0.01, 0.1, 1.0], fold="f").withColumn("theta", F.round("theta", 6))
+
+
 _spread("seed_sensitivity", lambda *a: diagnosis.seed_sensitivity(*a, seeds=20))
 _spread("bootstrap_double_ml", lambda *a: diagnosis.bootstrap_double_ml(*a, replicates=50))
 
