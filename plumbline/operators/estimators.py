@@ -135,38 +135,58 @@ def hash_fold(id: str, folds: int = 5, seed: int = 42) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.col(id)), F.lit(folds)).cast("int")
 
 
-def cross_fit(df: DataFrame, outcome: str, treatment: str, controls: list[str], fold: str, model_y="ridge", model_t="ridge") -> DataFrame:
-    """``df`` plus y_res and t_res from models fitted on the other folds.
-
-    Linear learners (by name) need one aggregate: each fold's training moments are the total less its own. Others are
-    estimators of pyspark.ml, fitted once for each fold."""
-    p = list(range(len(controls)))
-    if isinstance(model_y, str) and isinstance(model_t, str):
-        by = moments(df, [*controls, treatment, outcome], fold)
-        total = sum(list(by.values())[1:], next(iter(by.values())))
-        train = {k: total - m for k, m in by.items()}
-        y = predicted_by_fold({k: solve(m, p, len(p) + 1, model_y) for k, m in train.items()}, fold, controls)
-        t = predicted_by_fold({k: solve(m, p, len(p), model_t) for k, m in train.items()}, fold, controls)
-        return df.withColumns({"y_res": F.col(outcome).cast("double") - y, "t_res": F.col(treatment).cast("double") - t})
+def learner(kind, seed: int = 42):
+    """None for a linear learner (by name), else an estimator of pyspark.ml: the one given, or that of a name."""
+    if not isinstance(kind, str):
+        return kind
+    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+
+    if kind == "random_forest":
+        return RandomForestRegressor(numTrees=100, maxDepth=5, minInstancesPerNode=10, featureSubsetStrategy="all", seed=seed)
+    if kind == "gradient_boosting":
+        return GBTRegressor(maxIter=100, maxDepth=3, stepSize=0.1, seed=seed)
+    return None
+
+
+def _with_predictions(df: DataFrame, controls: list[str], models: dict, parts: list[tuple[Column, Column]], rest: Column | None = None) -> DataFrame:
+    """``df`` plus __m_<target>: of each (train, test) part, what models fitted on its training rows say of its test rows. Rows that
+    ``rest`` holds for are in no test and get nulls. Classifiers say the probability of 1."""
     from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
 
     ready = VectorAssembler(inputCols=controls, outputCol="__x").transform(df)
-    out = None
-    for (k,) in sorted(df.select(fold).distinct().collect()):  # the folds, a handful
-        part = ready.filter(F.col(fold) == k)
-        for name, target, model in (("y", outcome, model_y), ("t", treatment, model_t)):
-            fit = model.copy({model.featuresCol: "__x", model.labelCol: target, model.predictionCol: f"__{name}"}).fit(ready.filter(F.col(fold) != k))
+    out = None if rest is None else ready.filter(rest).withColumns({f"__m_{c}": F.lit(None).cast("double") for c in models})
+    for train, test in parts:
+        part = ready.filter(test)
+        for c, model in models.items():
+            fit = model.copy({model.featuresCol: "__x", model.labelCol: c, model.predictionCol: "__said"}).fit(ready.filter(train))
             part = fit.transform(part)
-            said = F.col(f"__{name}")
-            if "probability" in part.columns:
-                from pyspark.ml.functions import vector_to_array
-
-                said = vector_to_array("probability")[1]
-            part = part.withColumn(f"{name}_res", F.col(target).cast("double") - said).drop(f"__{name}", "probability", "rawPrediction")
+            said = vector_to_array("probability")[1] if "probability" in part.columns else F.col("__said")
+            part = part.withColumn(f"__m_{c}", said).drop("__said", "probability", "rawPrediction")
         out = part if out is None else out.unionByName(part)
     return out.drop("__x")
 
 
+def cross_fit(df: DataFrame, outcome: str, treatment: str, controls: list[str], fold: str, model_y="ridge", model_t="ridge") -> DataFrame:
+    """``df`` plus y_res and t_res from models fitted on the other folds.
+
+    Linear learners (by name) need one aggregate: each fold's training moments are the total less its own. Others are
+    estimators of pyspark.ml, fitted once for each fold. The two targets may have learners of different kinds."""
+    wanted = {"__o": ("y_res", model_y, learner(model_y)), "__t": ("t_res", model_t, learner(model_t))}
+    own = df.withColumns({"__o": F.col(outcome).cast("double"), "__t": F.col(treatment).cast("double")})
+    linear, p = {c: m for c, (_, m, e) in wanted.items() if e is None}, list(range(len(controls)))
+    said = {}
+    if linear:
+        by = moments(own, [*controls, *linear], fold)
+        total = sum(list(by.values())[1:], next(iter(by.values())))
+        said = {c: predicted_by_fold({k: solve(total - m, p, len(p) + j, kind) for k, m in by.items()}, fold, controls) for j, (c, kind) in enumerate(linear.items())}
+    if others := {c: e for c, (_, _, e) in wanted.items() if e is not None}:
+        values = sorted(r[0] for r in own.select(fold).distinct().collect())  # the folds, a handful
+        own = _with_predictions(own, controls, others, [(F.col(fold) != k, F.col(fold) == k) for k in values])
+        said |= {c: F.col(f"__m_{c}") for c in others}
+    return own.withColumns({name: F.col(c) - said[c] for c, (name, _, _) in wanted.items()}).drop("__o", "__t", *[f"__m_{c}" for c in others])
+
+
 def orthogonal(res: DataFrame, what: str) -> tuple[float, float, float]:
     """theta, rows and mean(t_res^2) of the rows with both residuals."""
     m = moments(_complete(res, "y_res", "t_res"), ["t_res", "y_res"])[None]
@@ -265,31 +285,41 @@ def andrews_bandwidth(df: DataFrame, psi: str = "psi", pos: str = "pos") -> int:
     return max(0, int(1.1447 * (4 * rho**2 * n / ((1 - rho) ** 2 * (1 + rho) ** 2)) ** (1 / 3)))
 
 
-def forward_residuals(df: DataFrame, targets: dict[str, str], controls: list[str], pos: str, n: int, splits: int, strategy: str, gap: int) -> DataFrame:
-    """``df`` plus <target>_res for each target (column -> linear learner); a test block's models see earlier rows only.
+def forward_residuals(df: DataFrame, targets: dict, controls: list[str], pos: str, n: int, splits: int, strategy: str, gap: int) -> DataFrame:
+    """``df`` plus <target>_res for each target (column -> learner); a test block's models see earlier rows only.
 
-    Rows in no test have null residuals. Positions are cut at all ends of training and test ranges; one aggregate gives the
-    moments of the cuts, and every training range is a sum of some."""
+    Rows in no test have null residuals. For linear learners, positions are cut at all ends of training and test ranges; one
+    aggregate gives the moments of the cuts, and every training range is a sum of some. Others are fitted once for each fold."""
     plan = forward_folds(n, splits, strategy, gap)
     if len(plan) < splits:
         warnings.warn(f"{len(plan)} folds instead of {splits}", RuntimeWarning, stacklevel=3)
     ends = sorted({0, n, *(x for f in plan for x in f)})
     cut = F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e <= F.col(pos)))
     marked = df.withColumn("__cut", cut)
-    by, p = moments(marked, [*controls, *targets], "__cut"), list(range(len(controls)))
-    models: dict[str, dict] = {c: {} for c in targets}
-    for a, b, lo, hi in plan:
-        cuts = [by[i + 1] for i, e in enumerate(ends[:-1]) if a <= e < b]
-        train = sum(cuts[1:], cuts[0])
-        tested = [i + 1 for i, e in enumerate(ends[:-1]) if lo <= e < hi]
-        for j, (c, learner) in enumerate(targets.items()):
-            models[c] |= dict.fromkeys(tested, solve(train, p, len(p) + j, learner))
-    return marked.withColumns({f"{c}_res": F.col(c).cast("double") - predicted_by_fold(m, "__cut", controls) for c, m in models.items()}).drop("__cut")
-
-
-def forward_cross_fit(df: DataFrame, outcome: str, treatment: str, controls: list[str], pos: str, n: int, splits: int, strategy: str, gap: int, learner_y: str, learner_t: str) -> DataFrame:
+    linear, p = {c: k for c, k in targets.items() if learner(k) is None}, list(range(len(controls)))
+    others = {c: learner(k) for c, k in targets.items() if c not in linear}
+    models: dict[str, dict] = {c: {} for c in linear}
+    if linear:
+        by = moments(marked, [*controls, *linear], "__cut")
+        for a, b, lo, hi in plan:
+            cuts = [by[i + 1] for i, e in enumerate(ends[:-1]) if a <= e < b]
+            train = sum(cuts[1:], cuts[0])
+            tested = [i + 1 for i, e in enumerate(ends[:-1]) if lo <= e < hi]
+            for j, (c, kind) in enumerate(linear.items()):
+                models[c] |= dict.fromkeys(tested, solve(train, p, len(p) + j, kind))
+    said = {c: predicted_by_fold(m, "__cut", controls) for c, m in models.items()}
+    if others:
+        at = F.col(pos)
+        within_tests = [(at >= lo) & (at < hi) for _, _, lo, hi in plan]
+        untested = ~F.greatest(*[w.cast("int") for w in within_tests], F.lit(0)).cast("boolean")
+        marked = _with_predictions(marked, controls, others, [((at >= a) & (at < b), w) for (a, b, _, _), w in zip(plan, within_tests, strict=True)], untested)
+        said |= {c: F.col(f"__m_{c}") for c in others}
+    return marked.withColumns({f"{c}_res": F.col(c).cast("double") - v for c, v in said.items()}).drop("__cut", *[f"__m_{c}" for c in others])
+
+
+def forward_cross_fit(df: DataFrame, outcome: str, treatment: str, controls: list[str], pos: str, n: int, splits: int, strategy: str, gap: int, learner_y, learner_t) -> DataFrame:
     """``df`` plus y_res and t_res of models that see earlier rows only."""
-    named = df.withColumns({"__o": F.col(outcome), "__t": F.col(treatment)})
+    named = df.withColumns({"__o": F.col(outcome).cast("double"), "__t": F.col(treatment).cast("double")})
     res = forward_residuals(named, {"__o": learner_y, "__t": learner_t}, controls, pos, n, splits, strategy, gap)
     return res.withColumnsRenamed({"__o_res": "y_res", "__t_res": "t_res"}).drop("__o", "__t")
 

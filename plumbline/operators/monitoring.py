@@ -85,6 +85,23 @@ def effect_stability(theta: float, baseline: float, se: float | None = None, bas
     return _check("effect_stability", change, "relative change of the effect", details)
 
 
+def run_all(propensities: DataFrame | None = None, reference: DataFrame | None = None, current: DataFrame | None = None, treatment: str | None = None, covariates: list[str] | None = None, r2: tuple[float, float] | None = None, r2_before: tuple[float, float] | None = None, effect: tuple[float, float] | None = None, baseline: tuple[float, float | None] | None = None, history: list[Check] | None = None) -> list[Check]:
+    """The checks whose inputs are given, in the order of ``THRESHOLDS``; they are also added to ``history``."""
+    both = reference is not None and current is not None
+    out = [overlap(propensities)] if propensities is not None else []
+    if both and treatment is not None:
+        out.append(treatment_shift(reference, current, treatment))
+    if r2 is not None:
+        out.append(nuisance(*r2, r2_before))
+    if effect is not None and baseline is not None:
+        out.append(effect_stability(effect[0], baseline[0], effect[1], baseline[1]))
+    if both and covariates:
+        out.append(covariate_shift(reference, current, covariates))
+    if history is not None:
+        history += out
+    return out
+
+
 def summary(checks: list[Check]) -> dict:
     worst = max((LEVELS.index(c.level) for c in checks), default=0)
     return {"level": LEVELS[worst], "counts": {v: sum(c.level == v for c in checks) for v in LEVELS}, "checks": [c.__dict__ for c in checks]}
@@ -122,6 +139,11 @@ class Scheduler:
     def manual(self, reason: str) -> dict:
         return {"retrain": True, "reason": f"manual: {reason}", "severity": "OK"}
 
+    def status(self, now: datetime | None = None) -> dict:
+        """When it last retrained, how often, and whether the cooldown holds."""
+        now = now or datetime.now(timezone.utc)
+        return {"last": self.last, "retrained": len(self.history), "cooling": bool(self.last and now - self.last < self.cooldown), "due": self.last + self.every if self.last else None}
+
     def record(self, decision: dict, now: datetime | None = None) -> None:
         self.last = now or datetime.now(timezone.utc)
         self.history.append({"at": self.last, **decision})

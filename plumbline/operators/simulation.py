@@ -70,6 +70,12 @@ def monte_carlo(spark: SparkSession, simulations: int, estimate: Callable[[int],
     return spark.range(0, simulations, 1, max(1, n)).mapInPandas(run, "sim_id long, estimate double, ci_lower double, ci_upper double")
 
 
+def chunks(tasks: int, parts: int) -> list[tuple[int, int]]:
+    """Half-open ranges of ``tasks`` numbers in at most ``parts`` parts, their lengths at most one apart."""
+    n = max(1, min(parts, tasks))
+    return [(i * tasks // n, (i + 1) * tasks // n) for i in range(n)] if tasks > 0 else []
+
+
 def validation(runs: DataFrame, truth: float, confidence: float = 0.95) -> dict:
     """Bias, squared error, coverage, their tests and a status, from one aggregate."""
     e = F.col("estimate")

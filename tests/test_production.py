@@ -192,3 +192,32 @@ def test_empty_periods(spark):
 def test_shuffled_folds(spark):
     d = order.shuffled_folds(spark.range(11).withColumnRenamed("id", "pos"), "pos", 11, 3, 0)
     assert sorted(r["count"] for r in d.groupBy("fold").count().collect()) == [3, 4, 4]
+
+
+def test_learners_of_different_kinds(spark):
+    from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
+
+    y, t, x = Z.partially_linear(600, 2, 1.0, 3, binary=False)
+    d = Z.to_df(spark, y, t, x)
+    plain = E.double_ml(d, "y", "t", ["x1", "x2"], id="row_id", model_y="ols", model_t="ols").theta
+    mixed = E.double_ml(d, "y", "t", ["x1", "x2"], id="row_id", model_y=LinearRegression(), model_t="ols").theta
+    assert mixed == pytest.approx(plain, rel=1e-6)
+    ordered = [E.TemporalPLR(lags=0, splits=3, model_y=m, model_t=k).fit(d, "y", "t", ["x1", "x2"], "row_id") for m, k in (("ols", "ols"), (LinearRegression(), "ols"), (LinearRegression(), LinearRegression()))]
+    assert len({round(e.theta, 6) for e in ordered}) == 1 and {e.dropped for e in ordered} == {150}
+    tree = E.TemporalPLR(lags=1, splits=2, model_y=DecisionTreeRegressor(maxDepth=3), model_t="ridge").fit(d, "y", "t", ["x1", "x2"], "row_id")
+    assert abs(tree.theta - 1) < 0.3
+    assert E.learner("ridge") is None and E.learner("random_forest").getNumTrees() == 100 and E.learner("gradient_boosting").getMaxDepth() == 3
+    with pytest.raises(ValueError):
+        E.double_ml(d, "y", "t", ["x1"], id="row_id", model_y="none")
+
+
+def test_all_checks_and_status(spark):
+    d, history = spark.createDataFrame([(0.5, 0.0, float(i)) for i in range(50)], "e double, t double, x double"), []
+    got = M.run_all(d, d, d, "t", ["x"], (0.9, 0.9), None, (1.0, 0.1), (1.0, 0.1), history)
+    assert [c.check_name for c in got] == list(M.THRESHOLDS) and {c.level for c in got} == {"OK"} and history == got
+    assert M.run_all(r2=(0.2, 0.9))[0].level == "CRITICAL" and M.run_all() == []
+    s = M.Scheduler()
+    assert s.status() == {"last": None, "retrained": 0, "cooling": False, "due": None}
+    s.record(s.manual("test"))
+    assert s.status()["cooling"] and s.status()["retrained"] == 1
+    assert Z.chunks(10, 4) == [(0, 2), (2, 5), (5, 7), (7, 10)] and Z.chunks(2, 5) == [(0, 1), (1, 2)] and Z.chunks(0, 3) == []
