@@ -22,8 +22,9 @@ from plumbline.llm.common import written
 
 #: Strings with remembered ids; bounds a worker's memory.
 REMEMBERED = 700_000
-#: Pieces of a text that the pre-tokenizer keeps apart, for texts of the first 256 code points, lower-cased.
-_RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+#: Pieces of a text that the pre-tokenizer keeps apart, for texts of the first 256 code points, lower-cased. White space is the
+#: tokenizer's own: unlike Python's it has no U+001C to U+001F.
+_RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 
 
 class WordEncoder:

@@ -230,3 +230,12 @@ def test_piece_cases(spark):
     got = sentencepiece_decode(sentencepiece_encode(spark.createDataFrame(rows, DOCS), model), model).collect()
     assert [(r.ids is None, r.decoded) for r in got] == [(r[1] is None, r[1]) for r in rows]
     assert sentencepiece_encode(spark.createDataFrame([], DOCS), model).collect() == []
+
+
+def test_runs_of_every_latin_character():
+    """The ids of runs are those of the whole text, whatever character of the first 256 stands between or beside words."""
+    encode = P.word_encoder(Q.tokenizer_path("word_bpe_49k.json"))
+    own = P._encoders[Q.tokenizer_path("word_bpe_49k.json")].tokenizer
+    for c in map(chr, range(256)):
+        for text in (f"ab{c}cd 1", f"{c}", f"! {c}{c}? x{c}"):
+            assert np.frombuffer(encode(text), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids, repr(c)
