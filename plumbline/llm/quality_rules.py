@@ -2,8 +2,9 @@
 
 Word unigrams and bigrams are hashed into a fixed number of buckets. Two multinomials over the buckets are
 counted over whole texts: one of the trusted documents, one of all documents. A document's score is the
-mean over its n-grams of log p(trusted) - log p(all); a document is kept if the score is at least the
-threshold. Every document is decided, by the same number.
+mean over its n-grams of the log of trusted count to expected trusted count, its own counts left out of both; both are
+smoothed by the same few counts, so an n-gram too rare to be expected among the trusted says nothing, whatever the size of the
+corpus. A document is kept if the score is at least the threshold. Every document is decided, by the same number.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ BLOCK = 1 << 12
 #: Trusted ids are broadcast up to this many rows (8 bytes each) and joined by a shuffle beyond.
 BROADCAST_IDS = 4_000_000
 THRESHOLD = -0.15
+#: Counts added to the trusted and the expected count of a bucket.
+SUPPORT = 4.0
 
 
 def buckets_of(words: list[bytes], hashes: WordHashes, buckets: int = BUCKETS) -> np.ndarray:
@@ -39,14 +42,16 @@ def buckets_of(words: list[bytes], hashes: WordHashes, buckets: int = BUCKETS) -
     return (both & np.uint64(buckets - 1)).astype(np.int64)
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, id: str = "doc_id", text: str = "text", buckets: int = BUCKETS, smoothing: float = 1.0) -> np.ndarray:
-    """log p(bucket | trusted) - log p(bucket | all), as ``buckets`` numbers, whatever the size of ``docs``.
-
-    ``trusted`` holds the ids of the trusted documents in its first column. Counts are added up in each task over
-    whole texts, sent as blocks of buckets, and added again, so the shuffle has one vector for each task."""
+def _trusted_ids(trusted: DataFrame) -> DataFrame:
+    """(__t): the distinct ids of the trusted documents, which ``trusted`` holds in its first column."""
     ids = trusted.select(F.col(trusted.columns[0]).alias("__t")).filter(F.col("__t").isNotNull()).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def bucket_counts(docs: DataFrame, ids: DataFrame, id: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> np.ndarray:
+    """Counts of each bucket in all documents and in the trusted ones, as 2 x ``buckets`` numbers, whatever the size of ``docs``.
+
+    Counts are added up in each task over whole texts, sent as blocks of buckets, and added again, so the shuffle has one vector for each task."""
     slim = docs.select(F.col(id).alias("__id"), F.col(text).alias("__text"))
     marked = slim.join(ids, F.col("__id") == F.col("__t"), "left").select("__text", F.col("__t").isNotNull().alias("__in"))
 
@@ -82,6 +87,14 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id: str = "doc_id", text: st
     total = np.zeros((2, buckets), np.float64)
     for r in rows:
         total[:, r["block"] * block : (r["block"] + 1) * block] += np.frombuffer(bytes(r["counts"]), "<i8").reshape(2, block)
+    return total
+
+
+def log_ratios(docs: DataFrame, trusted: DataFrame, id: str = "doc_id", text: str = "text", buckets: int = BUCKETS, smoothing: float = 1.0) -> np.ndarray:
+    """log p(bucket | trusted) - log p(bucket | all), as ``buckets`` numbers.
+
+    ``trusted`` holds the ids of the trusted documents in its first column."""
+    total = bucket_counts(docs, _trusted_ids(trusted), id, text, buckets)
     if not total[1].any():
         return np.zeros(buckets, np.float32)
     # the trusted counts are smoothed towards the corpus, so an n-gram that nobody has seen says nothing
@@ -91,6 +104,14 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id: str = "doc_id", text: st
     return (np.log(p) - np.log(prior)).astype(np.float32)
 
 
+def held_out_score(own: np.ndarray, good: bool, counts: np.ndarray, sums: np.ndarray) -> float:
+    """Mean log of trusted to expected count over the buckets ``own`` of a document, without its own counts; ``good``: it is trusted."""
+    at, n = np.unique(own, return_counts=True)
+    everywhere, trusted = counts[0, at] - n, counts[1, at] - (n if good else 0)
+    share = (sums[1] - (len(own) if good else 0)) / max(1.0, sums[0] - len(own))
+    return float(n @ np.log((trusted + SUPPORT) / (everywhere * share + SUPPORT)) / len(own))
+
+
 def quality_rules(
     docs: DataFrame,
     trusted: DataFrame,
@@ -107,16 +128,19 @@ def quality_rules(
     equal values; an empty table gives an empty table; input columns with the names of the added ones
     are replaced; a null id is never trusted.
     """
-    ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, trusted, id, text, buckets))
+    ids = _trusted_ids(trusted)
+    counted = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, ids, id, text, buckets))
+    marked = docs.join(ids, docs[id] == F.col("__t"), "left").withColumn("__in", F.col("__t").isNotNull()).drop("__t")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Array]]:
-        hashes, weights = WordHashes(), ratios.value.astype(np.float64)
+        hashes, counts = WordHashes(), counted.value
+        sums = counts.sum(axis=1)
         for batch in batches:
             rows = []
-            for doc in raw_texts(batch, text):
+            for doc, good in zip(raw_texts(batch, text), batch.column("__in").to_pylist(), strict=True):
                 words = words_of(doc)
                 n, repeat = len(words), repeated_window_words(words)
-                score = float(weights[buckets_of(words, hashes, buckets)].mean()) if n else 0.0
+                score = held_out_score(buckets_of(words, hashes, buckets), good, counts, sums) if n else 0.0
                 failed = n < MIN_WORDS or 100 * repeat > MAX_REPEATED_PERCENT * n
                 rows.append((n, chars_in_words(doc), len(doc) - len(doc.translate(None, SYMBOLS)), duplicate_lines(doc), repeat, failed, score, not failed and score >= threshold))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
@@ -125,4 +149,4 @@ def quality_rules(
             yield {name: pa.array(c, k) for name, c, k in zip(names, columns, kinds, strict=True)}
 
     added = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean"
-    return with_columns(docs, judge, added)
+    return with_columns(marked, judge, added).drop("__in")

@@ -99,3 +99,18 @@ def test_rule_ensemble_cases(spark):
     assert got.count() == 4 and got.schema["score"].dataType == T.DoubleType() and got.agg(F.countDistinct("score")).first()[0] == 1
     assert E.quality_scores(spark.createDataFrame([], KIND), model).collect() == []
     assert E.fit_quality(spark.createDataFrame([], KIND), labels).rules == ()
+
+
+def test_clean_documents_stay_in_every_language(spark, sf_dir, small_dir):
+    """Unlabelled documents without the marks of the bad ones stay, and trusted ones are judged like them, whatever the size of the corpus."""
+    odd = re.compile(r"(###|\$\$\$|%%%|&&&|\*\*\*|!!|^\|)\W*$")
+    for d in (small_dir, sf_dir, f"{sf_dir}/../sf0.1"):
+        labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality")
+        docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang")
+        trusted = labels.filter("quality = 1").select("doc_id")
+        m = R.quality_rules(docs, trusted).filter("not base_failed").join(labels, "doc_id", "left").select("text", "lang", "quality", "kept").toPandas()
+        m["bad"] = [sum(bool(odd.search(w)) for w in t.split()) > 0.15 * len(t.split()) for t in m.text]
+        clean = m[m.quality.isna() & ~m.bad]
+        assert (clean.groupby("lang").kept.mean() > 0.95).all() and m[m.quality == 1].kept.mean() > 0.95, d
+        if d != small_dir:
+            assert m[m.bad].kept.mean() < 0.1, d
