@@ -2,8 +2,9 @@
 
 The base patterns find key formats anywhere. On top, each line that holds a separator is lexed as source or
 configuration syntax into pairs of a name and a literal: ``name = "x"``, ``name: x``, ``"name": "x"``, ``export NAME=x``,
-``Name => 'x'``, ``name = "a" + "b"``. A value that is itself a name is looked up among the constants that the text
-assigns, so ``K = "x"`` followed by ``password = K`` gives the literal the name password as well. A literal is
+``Name => 'x'``, ``name = "a" + "b"``, ``at["name"] = "x"``, ``name: type = "x"``, ``name = b"x"``, and in triple quotes. A value that is
+itself a name is looked up among the constants that the text assigns, so ``K = "x"`` followed by ``password = K`` gives every
+literal of K the name password as well. A literal is
 scored by the most sensitive name it gets and by its own look; those over the threshold are spans of kind ``literal``.
 """
 
@@ -38,11 +39,21 @@ SENSITIVE = {
 #: Values that stand for a secret without being one.
 PLACEHOLDER = re.compile(r"(?i)^(?:(?:your|my|the|some)[-_ ]?.*|change[-_ ]?me.*|x{3,}|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%\w+%|none|null|nil|true|false|undefined|example.*|placeholder|redacted|todo|test|dummy|sample)$")
 
+_STRING = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')"""
+#: What may stand before a string's quote.
+_PREFIX = r"(?:[bBrRfFuUL]{1,2}|u8|[@$]{1,2})?"
+_TYPE = r"[&*]?(?:'\w++[ \t]++)?(?P<type>[A-Za-z_][\w.]*+)(?:\[(?:[^\n=:\[\]]++|\[(?:[^\n=:\[\]]++|\[[^\n=:\[\]]*+\])*+\])*+\]|<[^\n=:>]*+>++)?\??"
 #: A name is a whole run of its characters, so a long run is read once.
-_PAIR = re.compile(r"""(?<![A-Za-z0-9_.\-])(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)["']?[ \t]*+(?P<sep>:=|=>|[:=])(?!=)[ \t]*(?P<value>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[^\s"',;(){}\[\]]+)""", re.ASCII)
-_MORE = re.compile(r"""[ \t]*\+[ \t]*("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')""")
+_PAIR = re.compile(
+    r"""(?<![A-Za-z0-9_.\-])(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)["']?(?:[ \t]*+\])?[ \t]*+"""
+    r"""(?:[?!]?:[ \t]*+""" + _TYPE + r"""(?:[ \t]*+\|[ \t]*+""" + _TYPE.replace("?P<type>", "?:") + r""")*+[ \t]*+(?==(?![=>])))?"""
+    r"""(?P<sep>:=|=>|[:=])(?!=)[ \t]*(?P<value>(?P<prefix>""" + _PREFIX + r""")(?:(?P<triple>\"{3}|'{3})|(?P<string>""" + _STRING + r"""))|[^\s"',;(){}\[\]]+)""",
+    re.ASCII,
+)
+_MORE = re.compile(r"""[ \t]*\+[ \t]*""" + _PREFIX + "(" + _STRING + ")")
+#: An interpolated string without text of its own.
+_FILLED = re.compile(r"(?:\{[^{}]*\})+")
 _SIGN = re.compile("[=:]")
-_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*", re.ASCII)
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 Span = tuple[str, int, int]
@@ -77,10 +88,9 @@ def look(value: str) -> float:
 
 
 def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]], bool]]:
-    """(name, literal, places, quoted) of the assignments, in the order of the text; names are followed to what they
-    were given by earlier or later lines."""
-    found: list[tuple[str, str, list[tuple[int, int]], bool]] = []
+    """(name, value, places, quoted) of the assignments, in the order of the text."""
     end = -1
+    unclosed: set[str] = set()
     for sign in _SIGN.finditer(text):
         if sign.start() < end:
             continue  # its line has been read
@@ -88,32 +98,53 @@ def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]], bool]]:
         end = text.find("\n", sign.start())
         end = len(text) if end < 0 else end
         for m in _PAIR.finditer(text, line, end):
-            raw = m["value"]
-            quoted = raw[0] in "\"'" and len(raw) > 1
-            value, places, stop = (raw[1:-1], [(m.start("value") + 1, m.end("value") - 1)], m.end()) if quoted else (raw, [m.span("value")], m.end())
-            while quoted and (more := _MORE.match(text, stop, end)):
-                value += more[1][1:-1]
-                places.append((more.start(1) + 1, more.end(1) - 1))
-                stop = more.end()
-            found.append((m["name"], value, places, quoted))
-    constants = {name: (value, places) for name, value, places, quoted in found if quoted}
-    aliases = {name: value for name, value, _, quoted in found if not quoted and _NAME.fullmatch(value)}
-    for name, value, places, quoted in found:
-        yield name, value, places, quoted
-        if not quoted:
-            seen: set[str] = set()
-            while value in aliases and value not in constants and value not in seen:
-                seen.add(value)
-                value = aliases[value]
-            if value in constants:
-                yield name, *constants[value], True
+            value, places, quoted = m["value"], [m.span("value")], True
+            if mark := m["triple"]:
+                # what stands between is read for assignments too
+                close = -1 if mark in unclosed else text.find(mark, m.end())
+                if close < 0:
+                    unclosed.add(mark)
+                    continue
+                value = text[m.end() : close]
+                at = m.end() + len(value) - len(value.lstrip())
+                value = value.strip()
+                places = [(at, at + len(value))]
+            elif m["string"]:
+                value, places, stop = m["string"][1:-1], [(m.start("string") + 1, m.end("string") - 1)], m.end()
+                while more := _MORE.match(text, stop, end):
+                    value += more[1][1:-1]
+                    places.append((more.start(1) + 1, more.end(1) - 1))
+                    stop = more.end()
+            else:
+                quoted = False
+            if m["prefix"] and {"f", "F", "$"} & set(m["prefix"]) and _FILLED.fullmatch(value):
+                continue
+            yield m["name"], value, places, quoted
+            if m["type"] and sensitivity(m["type"]):
+                yield m["type"], value, places, quoted  # ``settings: password = "x"``
 
 
 def literal_spans(text: str, threshold: float = 0.55) -> list[Span]:
-    """Literals whose name's sensitivity times their look is at least ``threshold``."""
+    """Literals whose name's sensitivity times their look is at least ``threshold``.
+
+    A sensitive name hands its sensitivity on to the names that it is given by earlier or later lines, and so to all their quoted literals."""
+    found = list(pairs(text))
+    given: dict[str, list[str]] = {}
+    for name, value, _, quoted in found:
+        if not quoted:
+            given.setdefault(name, []).append(value)
+    own = {name: s for name in {f[0] for f in found} if (s := sensitivity(name)) >= threshold}
+    reached: dict[str, float] = {}
+    for name in sorted(own, key=lambda n: -own[n]):
+        todo = [name]
+        while todo:
+            if (one := todo.pop()) not in reached:
+                reached[one] = own[name]
+                todo += given.get(one, [])
     out = set()
-    for name, value, places, _ in pairs(text):
-        if (s := sensitivity(name)) >= threshold and s * look(value) >= threshold:
+    for name, value, places, quoted in found:
+        s = (reached if quoted else own).get(name, 0.0)
+        if s >= threshold and s * look(value) >= threshold:
             out |= {("literal", a, b) for a, b in places if b > a}
     return list(out)
 

@@ -138,3 +138,27 @@ def test_secret_cases(spark):
     clean = {r.doc_id: r.text for r in S.secret_scan(df, redact=True).collect()}
     assert clean[1] is None and clean[2] == "" and clean[3].startswith("Ä <assign> x")
     assert S.secret_scan(spark.createDataFrame([], KIND)).collect() == []
+
+
+def test_one_of_each_keeps_texts_of_null_and_repeated_ids(spark):
+    """Different texts without an id, or of one id, are components of their own; equal rows and near ones come down to one."""
+    texts = [f"text {i} of its own: " + " ".join(f"w{i}x{j}" for j in range(40)) for i in range(8)]
+    rows = [(None, t, "x", "y") for t in texts[:5]] + [(1, texts[5], "x", "y"), (1, texts[6], "x", "y"), (1, texts[6], "x", "y"), (None, texts[6], "x", "y"), (2, texts[7], "x", "y"), (None, texts[7].upper(), "x", "y")]
+    kept = H.one_of_each(spark.createDataFrame(rows, KIND)).collect()
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    assert sorted(((r.doc_id, r.text) for r in kept), key=key) == sorted([*((None, t) for t in texts[:5]), (1, texts[5]), (1, texts[6]), (2, texts[7])], key=key)
+
+
+def test_assignments_by_subscript_type_prefix_and_triple_quotes():
+    v = "Zk8qLm2vR7tY"
+    for line in (
+        f'config["password"] = "{v}"', f"os.environ['API_TOKEN'] = '{v}'", f'password: str = "{v}"', f'const secret: string = "{v}"', f'token: str | None = "{v}"', f'password: Dict[str, List[str]] = "{v}"',
+        f'password = b"{v}"', f"password = r'{v}'", f'password = f"{v}"', f'password = """{v}"""', f"password = '''\n  {v}\n'''", f'x = """\npassword = "{v}"\n"""', f'settings: password = "{v}"',
+    ):
+        assert v in literals("x\n" + line + "\ny"), line
+    assert literals('password = f"{get_password(1)}"') == set()
+
+
+def test_every_literal_of_a_name_is_followed():
+    assert literals('K = "Zk8qLm2vR7tYpW3n"\npassword = K\nK = ""\n') == {"Zk8qLm2vR7tYpW3n"}
+    assert literals('K = "Zk8qLm2vR7tYpW3n"\nJ = "Ab8qLm2vR7tYpW3n"\nalias = K\nalias = J\npassword = alias\n') == {"Zk8qLm2vR7tYpW3n", "Ab8qLm2vR7tYpW3n"}
