@@ -10,12 +10,12 @@ DataFrame operations.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -191,14 +191,17 @@ def near_components(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     )
 
 
-def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 3, found: DataFrame | None = None) -> DataFrame:
-    """``docs`` with one row of each near-duplicate component: the one with the smallest id.
+def one_of_each(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 3, find: Callable[[DataFrame, str], DataFrame] | None = None
+) -> DataFrame:
+    """``docs`` with one row of each near-duplicate component: the one with the smallest id, null ids last.
 
-    ``found`` (id, component_id) gives components of another kind. Rows that repeat an id are told apart by a count within the id, so one row stays."""
-    found = near_components(docs, id, text, width, radius) if found is None else found
-    keep = found.filter(F.col(id).eqNullSafe(F.col("component_id"))).select(F.col(id).alias("__keep")).distinct()
-    kept = docs.join(keep, docs[id].eqNullSafe(keep["__keep"]), "left_semi")
+    Rows are told apart by id and content, so different texts of one id, or without one, stay unless a component joins them; of rows
+    that are equal in all columns one stays. ``find`` (a table and its key column to key and component_id) gives components of another kind."""
+    find = find or (lambda rows, key: near_components(rows, key, text, width, radius))
     others = [c for c in docs.columns if c != id and not isinstance(docs.schema[c].dataType, T.MapType | T.VariantType)]
-    order = Window.partitionBy(id).orderBy(F.xxhash64(F.lit(0), *others))
-    return kept.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
-
+    key = F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), F.xxhash64(F.lit(0), *others).alias("content"))
+    keyed = docs.withColumn("__key", key)
+    # the smallest key of a component names it
+    keep = find(keyed, "__key").filter("__key = component_id").select("__key").distinct()
+    return keyed.join(keep, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
