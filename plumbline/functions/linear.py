@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 
@@ -14,6 +14,7 @@ class Moments:
     n: float
     sums: np.ndarray
     cross: np.ndarray
+    more: dict = field(default_factory=dict, compare=False)
 
     def __add__(self, other: Moments) -> Moments:
         return Moments(self.n + other.n, self.sums + other.sums, self.cross + other.cross)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import math
 import warnings
 from dataclasses import asdict, dataclass, field
@@ -14,7 +15,8 @@ from pyspark.sql import types as T
 from plumbline.functions.distributions import normal_quantile, t_quantile, two_sided_normal, two_sided_t
 from plumbline.functions.linear import Moments, solve
 from plumbline.operators.moments import logistic_models, moments, predicted, predicted_by_fold
-from plumbline.operators.order import forward_folds, lagged, with_position
+from plumbline.operators.order import forward_folds, lagged, positioned
+from plumbline.sources.shared import written
 
 
 @dataclass(frozen=True)
@@ -68,6 +70,11 @@ def _slope(m: Moments, y: int, t: int, what: str) -> float:
     return float(m.cross[y, t] / m.cross[t, t])
 
 
+def _r2(left: float, whole: float) -> float:
+    """Share of the variation that a model explains; 0 where there is none."""
+    return float(1 - left / whole) if whole > 1e-10 else 0.0
+
+
 # -- one fit on all rows ------------------------------------------------------------------------
 def naive_ols(df: DataFrame, outcome: str, treatment: str, alpha: float = 0.05) -> Effect:
     """Slope of the outcome on the treatment alone."""
@@ -92,7 +99,7 @@ def fwl(df: DataFrame, outcome: str, treatment: str, controls: list[str], interc
     rss = float(r[1, 1] - theta * r[0, 1])
     se = math.sqrt(max(rss, 0) / df_left / r[0, 0])
     q = t_quantile(1 - alpha / 2, df_left)
-    r2 = [1 - r[i, i] / c[j, j] if c[j, j] > 1e-10 else 0.0 for i, j in ((1, y), (0, t))]
+    r2 = [_r2(r[i, i], c[j, j]) for i, j in ((1, y), (0, t))]
     return Effect("fwl", theta, se, theta - q * se, theta + q * se, two_sided_t(theta / se, df_left), int(m.n), 0, {"r2_y": r2[0], "r2_t": r2[1]})
 
 
@@ -123,11 +130,12 @@ def robinson(df: DataFrame, outcome: str, treatment: str, controls: list[str], l
     p = list(range(len(controls)))
     ft, fy = solve(m, p, len(p), learner), solve(m, p, len(p) + 1, learner)
     r = own.select((F.col(outcome) - predicted(fy, controls)).alias("y"), (F.col(treatment) - predicted(ft, controls)).alias("t"))
-    k = moments(r, ["t", "y"])[None]
+    k, c = moments(r, ["t", "y"])[None], m.centred()
     theta = _slope(k, 1, 0, "robinson")
     e = k.centred()
     var = (e[1, 1] - 2 * theta * e[0, 1] + theta**2 * e[0, 0]) / (k.n - 1)
-    return _normal("robinson", theta, math.sqrt(var / k.cross[0, 0]), k.n, alpha)
+    r2 = {name: _r2(k.cross[i, i], c[j, j]) for name, i, j in (("r2_y", 1, len(p) + 1), ("r2_t", 0, len(p)))}
+    return _normal("robinson", theta, math.sqrt(var / k.cross[0, 0]), k.n, alpha, **r2)
 
 
 # -- cross-fitting --------------------------------------------------------------------------------
@@ -154,7 +162,8 @@ def _with_predictions(df: DataFrame, controls: list[str], models: dict, parts: l
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    ready = VectorAssembler(inputCols=controls, outputCol="__x").transform(df)
+    # written once: every fold and target reads it again
+    ready = VectorAssembler(inputCols=controls, outputCol="__x").transform(written(df))
     out = None if rest is None else ready.filter(rest).withColumns({f"__m_{c}": F.lit(None).cast("double") for c in models})
     for train, test in parts:
         part = ready.filter(test)
@@ -187,13 +196,34 @@ def cross_fit(df: DataFrame, outcome: str, treatment: str, controls: list[str],
     return own.withColumns({name: F.col(c) - said[c] for c, (name, _, _) in wanted.items()}).drop("__o", "__t", *[f"__m_{c}" for c in others])
 
 
-def orthogonal(res: DataFrame, what: str) -> tuple[float, float, float]:
-    """theta, rows and mean(t_res^2) of the rows with both residuals."""
-    m = moments(_complete(res, "y_res", "t_res"), ["t_res", "y_res"])[None]
-    theta = _slope(m, 1, 0, what)
-    if m.cross[0, 0] / m.n < 1e-6:
+@dataclass(frozen=True)
+class Orthogonal:
+    """theta, rows, mean(t_res^2), mean(psi^2) and the nuisances' fits, of the rows with both residuals, and the first position."""
+
+    theta: float
+    n: float
+    t2: float
+    psi2: float
+    fits: dict
+    first: int | None = None
+
+
+def orthogonal(res: DataFrame, what: str, outcome: str | None = None, treatment: str | None = None, pos: str | None = None) -> Orthogonal:
+    """All that one pass over the residuals gives; fits only where outcome and treatment are named. Every row has to have its residuals: a
+    filter on them would repeat their expressions in front of the scan."""
+    y, t = F.col("y_res"), F.col("t_res")
+    also = {"tyty": F.sum(t * y * t * y), "ttty": F.sum(t * t * t * y), "tttt": F.sum(t * t * t * t)} | ({"first": F.min(pos)} if pos else {})
+    named = [c for c in (treatment, outcome) if c]
+    m = moments(res, ["t_res", "y_res", *named], also=also)[None]
+    theta, t2 = _slope(m, 1, 0, what), float(m.cross[0, 0] / m.n)
+    if t2 < 1e-6:
         warnings.warn(f"{what}: weak overlap", RuntimeWarning, stacklevel=3)
-    return theta, m.n, float(m.cross[0, 0] / m.n)
+    psi2 = max(0.0, m.more["tyty"] - 2 * theta * m.more["ttty"] + theta**2 * m.more["tttt"]) / t2**2 / m.n
+    fits = {}
+    if outcome and treatment:
+        c = m.centred()
+        fits = {"r2_y": _r2(m.cross[1, 1], c[3, 3]), "r2_t": _r2(m.cross[0, 0], c[2, 2])}
+    return Orthogonal(theta, m.n, t2, psi2, fits, m.more.get("first"))
 
 
 def with_influence(res: DataFrame, theta: float, t2: float) -> DataFrame:
@@ -207,10 +237,11 @@ def double_ml(df: DataFrame, outcome: str, treatment: str, controls: list[str],
         if id is None:
             raise ValueError("give a fold column, or an id to make folds of")
         own, fold = own.withColumn("__fold", hash_fold(id, folds, seed)), "__fold"
+    else:
+        own = own.filter(F.col(fold).isNotNull())
     res = cross_fit(own, outcome, treatment, controls, fold, model_y, model_t)
-    theta, n, t2 = orthogonal(res, "double_ml")
-    var = with_influence(_complete(res, "y_res", "t_res"), theta, t2).agg(F.var_samp("psi")).first()[0]
-    return _normal("double_ml", theta, math.sqrt(var / n), n, alpha)
+    o = orthogonal(res, "double_ml", outcome, treatment)
+    return _normal("double_ml", o.theta, math.sqrt(o.psi2 / (o.n - 1)), o.n, alpha, **o.fits)
 
 
 # -- dependent rows ----------------------------------------------------------------------------
@@ -261,11 +292,11 @@ def default_bandwidth(n: int) -> int:
     return min(n - 1, int(math.floor(round(n ** (1 / 3), 9))))
 
 
-def hac_se(df: DataFrame, psi: str = "psi", pos: str = "pos", bandwidth: int | None = None, kernel: str = "bartlett", chunk: int = 64) -> tuple[float, int]:
-    """Standard error of the mean of ``psi`` and the bandwidth, floor(n^(1/3)) by default; 0 leaves the lags out.
+def hac_se(df: DataFrame, psi: str = "psi", pos: str = "pos", bandwidth: int | None = None, kernel: str = "bartlett", chunk: int = 64, n: int | None = None) -> tuple[float, int]:
+    """Standard error of the mean of ``psi`` and the bandwidth, floor(n^(1/3)) by default; 0 leaves the lags out. ``n``: the rows, if known.
 
     Bartlett weights come from window sums, whatever the bandwidth; other kernels take one aggregate for each ``chunk`` lags."""
-    n = df.count()
+    n = df.count() if n is None else n
     b = default_bandwidth(n) if bandwidth is None else bandwidth
     if kernel == "bartlett":
         return math.sqrt(max(bartlett_products(df, [psi], n, b, pos)[0, 0] / n, 0.0) / n), b
@@ -285,16 +316,16 @@ def andrews_bandwidth(df: DataFrame, psi: str = "psi", pos: str = "pos") -> int:
     return max(0, int(1.1447 * (4 * rho**2 * n / ((1 - rho) ** 2 * (1 + rho) ** 2)) ** (1 / 3)))
 
 
-def forward_residuals(df: DataFrame, targets: dict, controls: list[str], pos: str, n: int, splits: int, strategy: str, gap: int) -> DataFrame:
+def forward_residuals(df: DataFrame, targets: dict, controls: list[str], pos: str, n: int, splits: int, strategy: str, gap: int, tested: bool = False, **options) -> DataFrame:
     """``df`` plus <target>_res for each target (column -> learner); a test block's models see earlier rows only.
 
-    Rows in no test have null residuals. For linear learners, positions are cut at all ends of training and test ranges; one
+    Rows in no test have null residuals, or are left out if only ``tested`` ones are wanted. For linear learners, positions are cut at all ends of training and test ranges; one
     aggregate gives the moments of the cuts, and every training range is a sum of some. Others are fitted once for each fold."""
-    plan = forward_folds(n, splits, strategy, gap)
+    plan = forward_folds(n, splits, strategy, gap, **options)
     if len(plan) < splits:
         warnings.warn(f"{len(plan)} folds instead of {splits}", RuntimeWarning, stacklevel=3)
     ends = sorted({0, n, *(x for f in plan for x in f)})
-    cut = F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e <= F.col(pos)))
+    cut = sum(((F.col(pos) >= e).cast("int") for e in ends[1:]), F.lit(1))
     marked = df.withColumn("__cut", cut)
     linear, p = {c: k for c, k in targets.items() if learner(k) is None}, list(range(len(controls)))
     others = {c: learner(k) for c, k in targets.items() if c not in linear}
@@ -308,25 +339,27 @@ def forward_residuals(df: DataFrame, targets: dict, controls: list[str], pos: st
             for j, (c, kind) in enumerate(linear.items()):
                 models[c] |= dict.fromkeys(tested, solve(train, p, len(p) + j, kind))
     said = {c: predicted_by_fold(m, "__cut", controls) for c, m in models.items()}
+    at = F.col(pos)
     if others:
-        at = F.col(pos)
         within_tests = [(at >= lo) & (at < hi) for _, _, lo, hi in plan]
         untested = ~F.greatest(*[w.cast("int") for w in within_tests], F.lit(0)).cast("boolean")
-        marked = _with_predictions(marked, controls, others, [((at >= a) & (at < b), w) for (a, b, _, _), w in zip(plan, within_tests, strict=True)], untested)
+        marked = _with_predictions(marked, controls, others, [((at >= a) & (at < b), w) for (a, b, _, _), w in zip(plan, within_tests, strict=True)], None if tested else untested)
         said |= {c: F.col(f"__m_{c}") for c in others}
+    if tested:  # tests follow each other
+        marked = marked.filter((at >= min(f[2] for f in plan)) & (at < max(f[3] for f in plan)))
     return marked.withColumns({f"{c}_res": F.col(c).cast("double") - v for c, v in said.items()}).drop("__cut", *[f"__m_{c}" for c in others])
 
 
-def forward_cross_fit(df: DataFrame, outcome: str, treatment: str, controls: list[str], pos: str, n: int, splits: int, strategy: str, gap: int, learner_y, learner_t) -> DataFrame:
-    """``df`` plus y_res and t_res of models that see earlier rows only."""
+def forward_cross_fit(df: DataFrame, outcome: str, treatment: str, controls: list[str], pos: str, n: int, splits: int, strategy: str, gap: int, learner_y, learner_t, **options) -> DataFrame:
+    """The tested rows of ``df`` plus y_res and t_res of models that see earlier rows only."""
     named = df.withColumns({"__o": F.col(outcome).cast("double"), "__t": F.col(treatment).cast("double")})
-    res = forward_residuals(named, {"__o": learner_y, "__t": learner_t}, controls, pos, n, splits, strategy, gap)
+    res = forward_residuals(named, {"__o": learner_y, "__t": learner_t}, controls, pos, n, splits, strategy, gap, True, **options)
     return res.withColumnsRenamed({"__o_res": "y_res", "__t_res": "t_res"}).drop("__o", "__t")
 
 
 @dataclass(frozen=True)
 class TemporalPLR:
-    """Partially linear model of an ordered series: lagged treatments, forward-only folds, HAC errors."""
+    """Partially linear model of an ordered series: lagged treatments, forward-only folds, HAC errors. ``split``: further options of forward_folds()."""
 
     lags: int = 1
     model_y: str = "ridge"
@@ -336,21 +369,26 @@ class TemporalPLR:
     gap: int = 0
     bandwidth: int | None = None
     kernel: str = "bartlett"
+    split: dict = field(default_factory=dict)
 
-    def residuals(self, df: DataFrame, outcome: str, treatment: str, controls: list[str], order: str) -> DataFrame:
-        own = with_position(_complete(df, outcome, treatment, *controls), order, name="__p0")
+    def placed(self, df: DataFrame, outcome: str, treatment: str, controls: list[str], order: str) -> tuple[DataFrame, int]:
+        """Residuals of the tested rows, by gapless pos, and the number of all rows that have their lags."""
+        own, n = positioned(_complete(df, outcome, treatment, *controls), order, name="__p0")
         names = {f"t_lag{k}": (treatment, k) for k in range(1, self.lags + 1)}
         own = lagged(own, names, "__p0").filter(F.col("__p0") >= self.lags).withColumn("pos", F.col("__p0") - self.lags)
-        n = own.count()
-        return forward_cross_fit(own, outcome, treatment, [*controls, *names], "pos", n, self.splits, self.strategy, self.gap, self.model_y, self.model_t)
+        own = written(own) if self.lags else own
+        n = max(0, n - self.lags)
+        return forward_cross_fit(own, outcome, treatment, [*controls, *names], "pos", n, self.splits, self.strategy, self.gap, self.model_y, self.model_t, **self.split), n
+
+    def residuals(self, df: DataFrame, outcome: str, treatment: str, controls: list[str], order: str) -> DataFrame:
+        return self.placed(df, outcome, treatment, controls, order)[0]
 
     def fit(self, df: DataFrame, outcome: str, treatment: str, controls: list[str], order: str, alpha: float = 0.05) -> Effect:
-        res = self.residuals(df, outcome, treatment, controls, order)
-        total, kept = res.count(), _complete(res, "y_res", "t_res")
-        theta, n, t2 = orthogonal(kept, "temporal")
-        first = kept.agg(F.min("pos")).first()[0]
-        se, b = hac_se(with_influence(kept, theta, t2).withColumn("pos", F.col("pos") - first), bandwidth=self.bandwidth, kernel=self.kernel)
-        return _normal("temporal_plr", theta, se, n, alpha, total - int(n), bandwidth=b)
+        kept, total = self.placed(df, outcome, treatment, controls, order)
+        o = orthogonal(kept, "temporal", outcome, treatment, "pos")
+        psi = with_influence(kept, o.theta, o.t2).select((F.col("pos") - o.first).alias("pos"), "psi")
+        se, b = hac_se(psi, bandwidth=self.bandwidth, kernel=self.kernel, n=int(o.n))
+        return _normal("temporal_plr", o.theta, se, o.n, alpha, total - int(o.n), bandwidth=b, **o.fits)
 
 
 def effect(df: DataFrame, theta: float, t0: float = 0.0, t1: float = 1.0) -> DataFrame:
@@ -363,12 +401,14 @@ def effect_interval(df: DataFrame, e: Effect, t0: float = 0.0, t1: float = 1.0)
     return df.withColumns({"effect_lower": F.lit(ends[0]), "effect_upper": F.lit(ends[1])})
 
 
-def rolling(df: DataFrame, outcome: str, treatment: str, controls: list[str], order: str, window: int = 100, step: int = 10, folds: int = 3, learner: str = "ridge") -> DataFrame:
-    """(center, theta, n) of a forward cross-fitted fit in each window of positions.
+def rolling(df: DataFrame, outcome: str, treatment: str, controls: list[str], order: str, window: int = 100, step: int = 10, folds: int = 3, learner="ridge", bandwidth: int | None = None) -> DataFrame:
+    """(center, theta, se, n) of a forward cross-fitted fit with HAC errors in each window of positions.
 
-    Each row goes to the windows that hold it; moments by (window, cut) are one aggregate and the rest is small algebra in a grouped function."""
-    own = with_position(_complete(df, outcome, treatment, *controls), order)
-    n, h = own.count(), window // 2
+    Each row goes to the windows that hold it, window / step of them; a window's rows, never more than ``window``, meet in one grouped
+    function. ``learner`` is a linear one by name or an object with fit(x, y) and predict(x), copied for each fit. Windows of fewer than 30
+    rows are refused; those whose treatment residuals do not vary are left out, so each center belongs to its own estimate."""
+    own, n = positioned(_complete(df, outcome, treatment, *controls), order)
+    h = window // 2
     if n < 2 * h or 2 * h < 30:
         raise ValueError("no window has 30 rows")
     last = (n - 2 * h - 1) // step if n > 2 * h else 0
@@ -378,20 +418,33 @@ def rolling(df: DataFrame, outcome: str, treatment: str, controls: list[str], or
     rows = rows.select((F.col("__w") * step + h).alias("center"), (F.col("pos") - F.col("__w") * step).alias("__i"), *[F.col(c).cast("double").alias(f"__z{i}") for i, c in enumerate([*controls, treatment, outcome])])
     k, splits = len(controls), min(folds, 2 * h // 10)
 
+    def said(z, a, b, lo, hi, j):
+        if isinstance(learner, str):
+            fit = solve(Moments(b - a, z[a:b].sum(axis=0), z[a:b].T @ z[a:b]), list(range(k)), k + j, learner)
+            return fit.intercept + z[lo:hi, :k] @ fit.slopes
+        fit = copy.deepcopy(learner)
+        fit.fit(z[a:b, :k], z[a:b, k + j])
+        return fit.predict(z[lo:hi, :k])
+
     def one(pdf):
         import pandas as pd
 
         z = pdf.sort_values("__i").filter(like="__z").to_numpy(float)
         y = np.full((len(z), 2), np.nan)
         for a, b, lo, hi in forward_folds(len(z), splits):
-            m = Moments(b - a, z[a:b].sum(axis=0), z[a:b].T @ z[a:b])
             for j in (0, 1):
-                fit = solve(m, list(range(k)), k + j, learner)
-                y[lo:hi, j] = z[lo:hi, k + j] - fit.intercept - z[lo:hi, :k] @ fit.slopes
-        y = y[~np.isnan(y[:, 0])]
-        return pd.DataFrame({"center": [int(pdf["center"].iloc[0])], "theta": [float(y[:, 0] @ y[:, 1] / (y[:, 0] @ y[:, 0]))], "n": [len(y)]})
+                y[lo:hi, j] = z[lo:hi, k + j] - said(z, a, b, lo, hi, j)
+        t, y = y[~np.isnan(y[:, 0])].T
+        m = len(t)
+        if not t @ t >= 1e-10:
+            return pd.DataFrame({"center": [], "theta": [], "se": [], "n": []})
+        theta = float(y @ t / (t @ t))
+        psi = (y - theta * t) * t / np.mean(t * t)
+        width = default_bandwidth(m) if bandwidth is None else min(bandwidth, m - 1)
+        omega = psi @ psi + 2 * sum(kernel_weight("bartlett", lag, width) * (psi[lag:] @ psi[:-lag]) for lag in range(1, width + 1))
+        return pd.DataFrame({"center": [int(pdf["center"].iloc[0])], "theta": [theta], "se": [math.sqrt(max(omega / m, 0.0) / m)], "n": [m]})
 
-    return rows.groupBy("center").applyInPandas(one, "center long, theta double, n long")
+    return rows.groupBy("center").applyInPandas(one, "center long, theta double, se double, n long")
 
 
 def within(df: DataFrame, columns: list[str], unit: str | None = None, period: str | None = None) -> DataFrame:
@@ -408,34 +461,31 @@ def panel(df: DataFrame, outcome: str, treatment: str, controls: list[str], unit
     if effects not in ("individual", "time", "twoway"):
         raise ValueError("effects: individual, time or twoway")
     own = within(_complete(df, outcome, treatment, *controls), [outcome, treatment, *controls], unit if effects != "time" else None, period if effects != "individual" else None)
-    own = with_position(own, order)
-    n = own.count()
-    res = forward_cross_fit(own, f"{outcome}_w", f"{treatment}_w", [f"{c}_w" for c in controls], "pos", n, splits, "expanding", 0, learner, learner)
-    kept = _complete(res, "y_res", "t_res")
-    theta, m, t2 = orthogonal(kept, "panel")
-    psi = with_influence(kept, theta, t2)
+    own, n = positioned(own, order)
+    kept = forward_cross_fit(own, f"{outcome}_w", f"{treatment}_w", [f"{c}_w" for c in controls], "pos", n, splits, "expanding", 0, learner, learner)
+    o = orthogonal(kept, "panel", f"{outcome}_w", f"{treatment}_w", "pos")
+    psi, m = with_influence(kept, o.theta, o.t2), int(o.n)
     if cluster:
         g, s = psi.groupBy(unit).agg(F.sum("psi").alias("s")).agg(F.count("s"), F.sum(F.col("s") * F.col("s"))).first()
         if g < 2:
             raise ValueError("cluster-robust errors need two units")
         se = math.sqrt(g / (g - 1) * s / m**2)
     else:
-        se, _ = hac_se(psi.withColumn("pos", F.col("pos") - F.lit(n - int(m))))
-    return _normal("panel", theta, se, m, alpha, n - int(m))
+        se, _ = hac_se(psi.select((F.col("pos") - o.first).alias("pos"), "psi"), n=m)
+    return _normal("panel", o.theta, se, m, alpha, n - m, **o.fits)
 
 
-def dynamic_g(df: DataFrame, outcome: str, treatment: str, controls: list[str], unit: str, periods: list, period: str = "period", folds: int = 5, learner: str = "ridge", alpha: float = 0.05) -> dict:
+def dynamic_g(df: DataFrame, outcome: str, treatment: str, controls: list[str], unit: str, periods: list, period: str = "period", folds: int = 5, learner: str = "ridge", alpha: float = 0.05, fold: str | None = None) -> dict:
     """Effects of each period's treatment on the last outcome, peeled backwards, with the joint sandwich covariance.
 
-    Units are rows after a pivot; one set of moments by fold serves all stages, as every stage's history is some of its columns."""
+    Folds come from a hash of the unit or from a column, the same in all rows of a unit. Units are rows after a pivot; one set of moments by fold serves all stages, as every stage's history is some of its columns."""
     m = len(periods)
     agg = [F.max(F.when(F.col(period) == p, F.col(c).cast("double"))).alias(f"{n}_{j}") for j, p in enumerate(periods) for n, c in [("t", treatment), *[(f"x{i}", c) for i, c in enumerate(controls)]]]
-    wide = df.groupBy(F.col(unit).alias("__u")).agg(*agg, F.max(F.when(F.col(period) == periods[-1], F.col(outcome).cast("double"))).alias("y"), F.count(F.lit(1)).alias("__n"))
+    wide = df.groupBy(F.col(unit).alias("__u")).agg(*agg, F.max(F.when(F.col(period) == periods[-1], F.col(outcome).cast("double"))).alias("y"), F.count(F.lit(1)).alias("__n"), (F.max(fold) if fold else F.first(hash_fold(unit, folds))).alias("__fold"))
     if not wide.filter(F.col("__n") != m).isEmpty():
         raise ValueError("every unit needs one row in each period")
     xs = [[f"x{i}_{j}" for i in range(len(controls))] for j in range(m)]
     cols = [c for x in xs for c in x] + [f"t_{j}" for j in range(m)] + ["y"]
-    wide = wide.withColumn("__fold", hash_fold("__u", folds))
     by = moments(wide, cols, "__fold")
     total = sum(list(by.values())[1:], next(iter(by.values())))
     at = {c: i for i, c in enumerate(cols)}
@@ -478,16 +528,16 @@ def _blips(theta: np.ndarray, cov: np.ndarray, n: int, alpha: float) -> dict:
 
 def dynamic_g_series(df: DataFrame, outcome: str, treatment: str, controls: list[str], order: str, periods: int, folds: int = 5, gap: int = 0, learner: str = "ridge", bandwidth: int | None = None, alpha: float = 0.05) -> dict:
     """Effects of a series' treatment now and up to ``periods`` - 1 steps back, from forward-only residuals, with a HAC sandwich."""
-    own = with_position(_complete(df, outcome, treatment, *controls), order, name="__p0")
-    n = own.count()
+    own, n = positioned(_complete(df, outcome, treatment, *controls), order, name="__p0")
     if n <= periods + folds + 10:
         raise ValueError(f"{n} rows are too few for {periods} periods and {folds} folds")
     lags = {f"__t{k}": (treatment, k) for k in range(periods)}
     wide = lagged(own, {c: v for c, v in lags.items() if v[1]}, "__p0").withColumn("__t0", F.col(treatment)).withColumn("__y", F.col(outcome))
     wide = wide.filter(F.col("__p0") >= periods - 1).withColumn("__pos", F.col("__p0") - (periods - 1))
-    res = forward_residuals(wide, dict.fromkeys(["__y", *lags], learner), controls, "__pos", n - periods + 1, folds, "expanding", gap)
+    wide = written(wide)
+    res = forward_residuals(wide, dict.fromkeys(["__y", *lags], learner), controls, "__pos", n - periods + 1, folds, "expanding", gap, True)
     names = [f"{c}_res" for c in lags]
-    kept = res.filter(F.col("__y_res").isNotNull()).select("__pos", "__y_res", *names)
+    kept = res.select("__pos", "__y_res", *names)
     m = moments(kept, [*names, "__y_res"])[None]
     gram = m.cross[:periods, :periods]
     if np.linalg.cond(gram) > 1e12:
@@ -537,9 +587,8 @@ def binary_double_ml(df: DataFrame, outcome: str, treatment: str, controls: list
     models = logistic_models(own, treatment, controls, {k: F.col(fold) != k for k in values}, penalty)
     e = 1 / (1 + F.exp(-predicted_by_fold(models, fold, controls)))
     res = own.withColumns({"y_res": F.col(outcome).cast("double") - y, "t_res": F.col(treatment).cast("double") - e})
-    theta, n, t2 = orthogonal(res, "binary_double_ml")
-    var = with_influence(res, theta, t2).agg(F.var_samp("psi")).first()[0]
-    return _normal("binary_double_ml", theta, math.sqrt(var / n), n, alpha)
+    o = orthogonal(res, "binary_double_ml", outcome, treatment)
+    return _normal("binary_double_ml", o.theta, math.sqrt(o.psi2 / (o.n - 1)), o.n, alpha, **o.fits)
 
 
 def with_propensity(df: DataFrame, treatment: str, controls: list[str], clip: float = 1e-6) -> DataFrame:

@@ -9,16 +9,24 @@ from pyspark.sql import functions as F
 from plumbline.functions.linear import Linear, Moments
 
 
-def moments(df: DataFrame, columns: list[str], by: str | None = None) -> dict:
+#: Rows whose means are the shift of moments().
+PILOT = 100
+
+
+def moments(df: DataFrame, columns: list[str], by: str | None = None, also: dict[str, Column] | None = None) -> dict:
     """Moments of ``columns`` for each value of ``by`` (None: of all rows), in one aggregate with map-side sums.
 
-    Values are shifted by the overall means before they are multiplied, which keeps the products well-scaled, and
-    shifted back afterwards in double-double order of magnitude. The result has one row for each fold."""
+    Values are shifted by the means of a few rows before they are multiplied, which keeps the products well-scaled, and
+    shifted back afterwards; the shift changes nothing but rounding. The result has one row for each fold. ``also`` names
+    further aggregates of the same pass, found in ``more`` of the moments."""
     c = len(columns)
-    shift = np.array([x or 0.0 for x in df.agg(*[F.avg(F.col(x).cast("double")) for x in columns]).first()], float)
-    z = [F.col(x).cast("double") - F.lit(float(s)) for x, s in zip(columns, shift, strict=True)]
+    values = [F.col(x).cast("double") for x in columns]
+    pilot = np.array([[v or 0.0 for v in r] for r in df.select(*values).limit(PILOT).collect()] or [[0.0] * c], float)
+    shift = np.where(np.isfinite(pilot), pilot, 0.0).mean(axis=0)
+    z = [x - F.lit(float(s)) for x, s in zip(values, shift, strict=True)]
     pairs = [(i, j) for i in range(c) for j in range(i, c)]
     sums = [F.count(F.lit(1)).alias("n")] + [F.sum(v).alias(f"s{i}") for i, v in enumerate(z)] + [F.sum(z[i] * z[j]).alias(f"c{i}_{j}") for i, j in pairs]
+    sums += [v.alias(f"__also_{k}") for k, v in (also or {}).items()]
     rows = (df.groupBy(F.col(by).alias("__by")) if by else df.groupBy()).agg(*sums).collect()
     out = {}
     for r in rows:
@@ -28,7 +36,7 @@ def moments(df: DataFrame, columns: list[str], by: str | None = None) -> dict:
             m[i, j] = m[j, i] = r[f"c{i}_{j}"] or 0.0
         n = r["n"]
         full = m + np.outer(shift, s) + np.outer(s, shift) + n * np.outer(shift, shift)
-        out[r["__by"] if by else None] = Moments(float(n), s + n * shift, full)
+        out[r["__by"] if by else None] = Moments(float(n), s + n * shift, full, {k: r[f"__also_{k}"] for k in also or {}})
     return out
 
 

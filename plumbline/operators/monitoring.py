@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.distributions import kolmogorov_tail, two_sided_normal
+from plumbline.sources.shared import written
 
 #: Fixed default thresholds: warning and critical.
 THRESHOLDS = {"overlap": (0.05, 0.10), "treatment_shift": (0.05, 0.10), "nuisance": (0.50, 0.30), "effect_stability": (0.20, 0.50), "covariate_shift": (0.05, 0.10)}
@@ -46,13 +47,23 @@ def overlap(df: DataFrame, propensity: str = "e", lower: float = 0.01, upper: fl
 def ks_statistics(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
     """(feature, statistic, n, m): two-sample Kolmogorov-Smirnov of all columns at once.
 
-    Values are counted by feature before anything is put in order, and the order is by feature."""
+    Values are counted by feature, dealt by ranges of (feature, value) and sorted within them. Each range says how far the two running
+    shares move apart within it, from where they stand at its start; what stands before it is added afterwards, to one row of each range and feature,
+    so no task needs more than a range, however many distinct values a feature has."""
     long = lambda df, side: df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x"), F.lit(side).alias("s")).select("x.*", "s")
     both = long(reference, 0).unionByName(long(current, 1)).filter(F.col("v").isNotNull())
     at = both.groupBy("feature", "v").agg(F.sum(1 - F.col("s")).alias("a"), F.sum("s").alias("b"))
-    upto, whole = Window.partitionBy("feature").orderBy("v").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("feature")
-    run = at.select("feature", F.sum("a").over(upto).alias("ca"), F.sum("b").over(upto).alias("cb"), F.sum("a").over(whole).alias("n"), F.sum("b").over(whole).alias("m"))
-    return run.groupBy("feature").agg(F.max(F.abs(F.col("ca") / F.col("n") - F.col("cb") / F.col("m"))).alias("statistic"), F.max("n").alias("n"), F.max("m").alias("m"))
+    at = written(at.repartitionByRange("feature", "v").withColumn("__range", F.spark_partition_id()))
+    sizes = {r["feature"]: (r["a"], r["b"]) for r in at.groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()}
+    of = lambda i: F.element_at(F.create_map(*[F.lit(x) for c, v in sizes.items() for x in (c, int(v[i]))]), F.col("feature")).cast("long")
+    if not sizes:
+        return at.select("feature", F.lit(0.0).alias("statistic"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("m"))
+    upto = Window.partitionBy("feature", "__range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    moved = at.withColumn("gap", F.sum("a").over(upto) / of(0) - F.sum("b").over(upto) / of(1))
+    ranges = moved.groupBy("feature", "__range").agg(F.min("gap").alias("low"), F.max("gap").alias("high"), F.max_by("gap", "v").alias("end"))
+    before = F.coalesce(F.sum("end").over(Window.partitionBy("feature").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    apart = ranges.select("feature", F.greatest(F.abs(before + F.col("low")), F.abs(before + F.col("high"))).alias("d")).groupBy("feature").agg(F.max("d").alias("statistic"))
+    return apart.select("feature", "statistic", of(0).alias("n"), of(1).alias("m")).filter("n > 0 AND m > 0")
 
 
 def treatment_shift(reference: DataFrame, current: DataFrame, treatment: str) -> Check:

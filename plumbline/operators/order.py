@@ -4,24 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from plumbline.sources.shared import written
 
-def with_position(df: DataFrame, order: str, ties: tuple[str, ...] = (), buckets: int = 200, name: str = "pos") -> DataFrame:
-    """``df`` plus the 0-based place in the order of ``order`` (a number or time), ties by ``ties``.
+#: Bits of monotonically_increasing_id() below the number of the partition.
+_ROW = 33
+#: Rows that shuffled_folds() takes at most, as it makes its shuffle on the driver.
+SHUFFLED = 5_000_000
 
-    Rows are ranked within value ranges; the ranges' counts, at most ``buckets`` of them, give the offsets."""
-    key = F.col(order).cast("double") if dict(df.dtypes)[order] != "date" else F.unix_date(order).cast("double")
-    keyed = df.withColumn("__k", key)
-    cuts = sorted(set(keyed.approxQuantile("__k", [i / buckets for i in range(1, buckets)], 0.25 / buckets))) if buckets > 1 else []
-    bucket = F.lit(0) if not cuts else F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("__k")))
-    keyed = keyed.withColumn("__b", F.when(F.col("__k").isNull(), F.lit(-1)).otherwise(bucket))
-    counts = sorted((r["__b"], r["count"]) for r in keyed.groupBy("__b").count().collect())
-    start, at = {}, 0
-    for b, n in counts:
-        start[b], at = at, at + n
-    offset = F.element_at(F.create_map(*[F.lit(x) for b, s in start.items() for x in (b, s)]), F.col("__b")) if start else F.lit(0)
-    rank = F.row_number().over(Window.partitionBy("__b").orderBy(order, *ties))
-    return keyed.withColumn(name, (offset + rank - 1).cast("long")).drop("__k", "__b")
+
+def positioned(df: DataFrame, order: str, ties: tuple[str, ...] = (), name: str = "pos", partitions: int | None = None) -> tuple[DataFrame, int]:
+    """``df`` plus the 0-based place in the order of ``order``, ties by ``ties`` and then by a hash of the row, and the number of rows.
+
+    Rows are dealt by ranges of that whole key, so rows of one value are dealt over several tasks as well, sorted within
+    their range and written once: every pass over the result sees the same places. The rows of each range, one number a partition,
+    are what the driver gets. Nulls come first. Only rows equal in all columns are interchangeable."""
+    hashed = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType | T.VariantType)]
+    keyed = df.withColumn("__h", F.xxhash64(*hashed))
+    keys = [F.col(c) for c in (order, *ties, "__h")]
+    dealt = keyed.repartitionByRange(partitions, *keys) if partitions else keyed.repartitionByRange(*keys)
+    placed = written(dealt.sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id()).drop("__h"))
+    part, row = F.shiftright("__at", _ROW), F.col("__at").bitwiseAND((1 << _ROW) - 1)
+    rows = {r[0]: r[1] for r in placed.groupBy(part.alias("p")).agg(F.max(row) + 1).collect()}
+    starts, total = [], 0
+    for p in range(max(rows, default=0) + 1):
+        starts.append(total)
+        total += rows.get(p, 0)
+    start = F.element_at(F.array(*[F.lit(s).cast("long") for s in starts]), (part + 1).cast("int"))
+    return placed.withColumn(name, start + row).drop("__at"), total
+
+
+def with_position(df: DataFrame, order: str, ties: tuple[str, ...] = (), name: str = "pos", partitions: int | None = None) -> DataFrame:
+    """``df`` with the place that positioned() gives."""
+    return positioned(df, order, ties, name, partitions)[0]
 
 
 def lagged(df: DataFrame, lags: dict[str, tuple[str, int]], pos: str = "pos", block: int = 100_000) -> DataFrame:
@@ -42,9 +58,11 @@ def lagged(df: DataFrame, lags: dict[str, tuple[str, int]], pos: str = "pos", bl
 
 def shuffled_folds(df: DataFrame, pos: str, n: int, folds: int = 5, seed: int = 0, name: str = "fold") -> DataFrame:
     """``df`` plus the fold that a seeded shuffle of all ``n`` places gives, the first n % folds folds one larger, as published numbers
-    have it. The shuffle is made on the driver, so this is for comparison on small data; ``hash_fold`` is for any size."""
+    have it. The shuffle is made on the driver, so more than SHUFFLED rows are refused; ``hash_fold`` is for any size."""
     import numpy as np
 
+    if n > SHUFFLED:
+        raise ValueError(f"{n} rows are too many for a shuffle on the driver: use hash_fold")
     order, fold = np.arange(n), np.empty(n, int)
     np.random.RandomState(seed).shuffle(order)
     fold[order] = np.repeat(np.arange(folds), [n // folds + (k < n % folds) for k in range(folds)])
@@ -55,28 +73,36 @@ def shuffled_folds(df: DataFrame, pos: str, n: int, folds: int = 5, seed: int =
 STRATEGIES = ("time_series_split", "expanding", "sliding", "blocked", "purged", "blocked_cv", "purged_cv")
 
 
-def forward_folds(n: int, splits: int = 5, strategy: str = "expanding", gap: int = 0, train_size: int | None = None) -> list[tuple[int, int, int, int]]:
+def forward_folds(
+    n: int, splits: int = 5, strategy: str = "expanding", gap: int = 0, train_size: int | None = None, test_size: int | None = None,
+    min_train_size: int = 1, block_size: int | None = None, gap_blocks: int | None = None, purge_length: int | None = None,
+) -> list[tuple[int, int, int, int]]:
     """(train from, train to, test from, test to) of each fold, half-open; training always ends ``gap`` before its test.
 
     expanding and time_series_split: tests of n // (splits + 1) rows at the end. sliding: the same tests, training on a window.
-    purged: the first n // (splits + 1) rows train, the rest is cut into tests. blocked: n // splits rows train first."""
+    purged: the first n // (splits + 1) rows train, the rest is cut into tests; ``purge_length`` is its name for the gap.
+    blocked: the rows are blocks of n // (2 * (splits + 1)), those of no whole block at the end are in no test, and expanding folds are
+    made of blocks with ``gap_blocks`` blocks (one for every ten rows of the gap, at least one) between training and test.
+    Folds with fewer than ``min_train_size`` training rows are left out."""
     kind = strategy.lower()
     if kind not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}: {', '.join(STRATEGIES)}")
-    if kind.startswith("purged"):
-        test = (n - n // (splits + 1)) // splits
-    elif kind.startswith("blocked"):
-        test = (n - n // splits) // splits
-    else:
-        test = n // (splits + 1)
-    if test < 1:
+    unit, units = 1, n
+    if kind.startswith("blocked"):
+        unit = block_size or max(1, n // (2 * (splits + 1)))
+        units, gap = n // unit, unit * (max(1, gap // 10) if gap_blocks is None else gap_blocks)
+    elif kind.startswith("purged") and purge_length is not None:
+        gap = purge_length
+    test = unit * ((units - units // (splits + 1)) // splits if kind.startswith("purged") else units // (splits + 1))
+    test = test_size or test
+    first = units * unit - splits * test
+    if test < 1 or first < 1:
         raise ValueError(f"{n} rows are too few for {splits} folds")
-    first = n - splits * test
     out = []
     for k in range(splits):
         at = first + k * test
         end = at - gap
         start = max(0, end - (train_size or first)) if kind == "sliding" else 0
-        if end > start:
+        if end - start >= max(1, min_train_size):
             out.append((start, end, at, at + test))
     return out

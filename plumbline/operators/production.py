@@ -13,7 +13,7 @@ from plumbline.functions.linear import Linear, solve
 from plumbline.operators import monitoring
 from plumbline.operators.estimators import Effect, _complete, _normal, andrews_bandwidth, hac_se, hash_fold, orthogonal, with_influence
 from plumbline.operators.moments import logistic_models, moments, predicted, predicted_by_fold
-from plumbline.operators.order import forward_folds, with_position
+from plumbline.operators.order import forward_folds, positioned
 
 
 @dataclass(frozen=True)
@@ -82,11 +82,10 @@ class EffectPipeline:
         if c.time is None:
             k = range(c.folds)
             return df.withColumn("__part", hash_fold(c.id, c.folds, c.seed)), {i: {j for j in k if j != i} for i in k}
-        own = with_position(df, c.time)
-        n = own.count()
+        own, n = positioned(df, c.time)
         plan = forward_folds(n, c.folds)
         ends = sorted({0, n, *(x for f in plan for x in f)})
-        part = F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e <= F.col("pos"))) - 1
+        part = sum(((F.col("pos") >= e).cast("int") for e in ends[1:]), F.lit(0))
         inside = lambda a, b: {i for i, e in enumerate(ends[:-1]) if a <= e < b}
         return own.withColumn("__part", part), {i: inside(a, b) for a, b, lo, hi in plan for i in inside(lo, hi)}
 
@@ -126,9 +125,9 @@ class EffectPipeline:
             n, theta, sd = res.agg(F.count("psi"), F.avg("psi"), F.stddev_pop("psi")).first()
             res = res.withColumn("psi", F.col("psi") - F.lit(theta))
         else:
-            theta, n, t2 = orthogonal(res, "pipeline")
-            res = with_influence(res, theta, t2)
-            sd = res.agg(F.stddev_pop("psi")).first()[0]
+            o = orthogonal(res, "pipeline")
+            theta, n, sd = o.theta, o.n, math.sqrt(o.psi2)
+            res = with_influence(res, theta, o.t2)
         if c.hac:
             first = res.agg(F.min("pos")).first()[0]
             scored = res.select((F.col("pos") - first).alias("pos"), "psi")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.order import with_position
+
 #: Fixed frequency names.
 FREQUENCIES = ("D", "W", "M", "Q", "A")
 METHODS = ("mean", "last", "first", "sum")
@@ -26,8 +28,9 @@ def period_end(date: str, frequency: str) -> Column:
 
 
 def resample(df: DataFrame, frequency: str, method: str = "mean", by: tuple[str, ...] = ("series_id",), date: str = "date", value: str = "value") -> DataFrame:
-    """One value for each series and period, labelled by the period's end. Periods without rows give none."""
-    made = {"mean": F.avg(value), "sum": F.sum(value), "last": F.max_by(value, date), "first": F.min_by(value, date)}
+    """One value for each series and period, labelled by the period's end. Periods without rows give none. Of several values of
+    a period's last (first) day the largest (smallest) counts."""
+    made = {"mean": F.avg(value), "sum": F.sum(value), "last": F.max_by(value, F.struct(date, value)), "first": F.min_by(value, F.struct(date, value))}
     if method not in made:
         raise ValueError(f"unknown method {method!r}: {', '.join(METHODS)}")
     return df.filter(F.col(value).isNotNull()).groupBy(*by, period_end(date, frequency).alias("__end")).agg(made[method].alias(value)).withColumnRenamed("__end", date)
@@ -58,25 +61,38 @@ def align(df: DataFrame, series: list[str], date: str = "date", value: str = "va
     return df.filter(F.col(id).isin(series)).groupBy(date).agg(*[F.max(F.when(F.col(id) == s, F.col(value))).alias(s) for s in series])
 
 
-def fill(df: DataFrame, columns: list[str], method: str, date: str = "date", by: tuple[str, ...] = ()) -> DataFrame:
+def fill(df: DataFrame, columns: list[str], method: str, date: str = "date", by: tuple[str, ...] = (), block: int = 100_000) -> DataFrame:
     """ffill, bfill or interpolate (linear in time between known values, then the last known); other methods leave gaps.
 
-    Aligned series are of the length of a calendar, so an ordered window over them is small."""
-    w = Window.partitionBy(*(by or (F.lit(0),))).orderBy(date)
+    With ``by`` an ordered window runs within each series. Without, rows are ranked in blocks of positions, and the known values next to a
+    block come from one row of each block."""
+    if not columns or method not in ("ffill", "bfill", "interpolate"):
+        return df
+    day = F.unix_date(F.to_date(date)).cast("double")
+    known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), day.alias("d"))) for c in columns}
+    keys, at = list(by), date
+    out = df
+    if not by:
+        keys, at = ["__blk"], "__pos"
+        out = with_position(df, date, name="__pos").withColumn("__blk", F.floor(F.col("__pos") / block))
+        ends = out.groupBy("__blk").agg(*[f(known[c], F.when(F.col(c).isNotNull(), F.col("__pos"))).alias(f"__{n}_{i}") for i, c in enumerate(columns) for n, f in (("z", F.max_by), ("a", F.min_by))])
+        blocks = Window.orderBy("__blk")  # one row for each ``block`` rows
+        past, coming = blocks.rowsBetween(Window.unboundedPreceding, -1), blocks.rowsBetween(1, Window.unboundedFollowing)
+        ends = ends.select("__blk", *[f(f"__{n}_{i}", ignorenulls=True).over(w).alias(f"__{n}_{i}") for i in range(len(columns)) for n, f, w in (("z", F.last, past), ("a", F.first, coming))])
+        out = out.join(ends, "__blk", "left")
+    w = Window.partitionBy(*keys).orderBy(at)
     before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    out = {}
-    for c in columns:
-        last, following = F.last(c, ignorenulls=True).over(before), F.first(c, ignorenulls=True).over(after)
-        if method == "ffill":
-            out[c] = last
-        elif method == "bfill":
-            out[c] = following
-        elif method == "interpolate":
-            day = F.unix_date(F.to_date(date)).cast("double")
-            known = F.when(F.col(c).isNotNull(), day)
-            d0, d1 = F.last(known, ignorenulls=True).over(before), F.first(known, ignorenulls=True).over(after)
-            out[c] = F.when(F.col(c).isNotNull(), F.col(c)).when(following.isNull(), last).otherwise(last + (following - last) * (day - d0) / (d1 - d0))
-    return df.withColumns(out) if out else df
+    made = {}
+    for i, c in enumerate(columns):
+        last, following = F.last(known[c], ignorenulls=True).over(before), F.first(known[c], ignorenulls=True).over(after)
+        if not by:
+            last, following = F.coalesce(last, F.col(f"__z_{i}")), F.coalesce(following, F.col(f"__a_{i}"))
+        if method == "interpolate":
+            between = last["v"] + (following["v"] - last["v"]) * (day - last["d"]) / (following["d"] - last["d"])
+            made[c] = F.when(F.col(c).isNotNull(), F.col(c)).when(following.isNull(), last["v"]).otherwise(between)
+        else:
+            made[c] = (last if method == "ffill" else following)["v"]
+    return out.withColumns(made).select(*df.columns)
 
 
 def missing_percent(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -296,7 +296,7 @@ def ranked_methods(spark, sf_dir):
 , r AS (SELECT a, y - my - by_ * (x - mx) AS yr, t - mt - bt_ * (x - mx) AS tr FROM d JOIN m ON pos >= lo AND pos < hi)
 SELECT a + 200 AS center, round(sum(yr * tr) / sum(tr * tr), 6) AS theta, count(*) AS n FROM r GROUP BY a""")
 def rolling_dml(spark, sf_dir):
-    return E.rolling(_events(spark, sf_dir), "y", "t", ["x"], "event_id", window=400, step=200).withColumn("theta", F.round("theta", 6))
+    return E.rolling(_events(spark, sf_dir), "y", "t", ["x"], "event_id", window=400, step=200).select("center", F.round("theta", 6).alias("theta"), "n")
 
 
 @query()
@@ -348,18 +348,19 @@ for _k in ("bartlett", "parzen", "quadratic_spectral"):
     _hac(_k)
 
 
-def _split(strategy: str, width: str, train_from: str) -> None:
+def _split(strategy: str, width: str, train_from: str, gap: str = "2", rows: str = "n") -> None:
     def f(spark, sf_dir):
         n = _read(spark, sf_dir, "events").count()
         return spark.createDataFrame([(i, *x) for i, x in enumerate(order.forward_folds(n, 5, strategy, 2))], "fold long, train_from long, train_to long, test_from long, test_to long")
 
     f.__name__ = f"{strategy}_folds"
-    query(f"WITH c AS (SELECT count(*) AS n FROM events), w AS (SELECT n, {width} AS w FROM c), k AS (SELECT i, n - 5 * w AS first, n - 5 * w + i * w AS lo, w FROM w, range(5) q(i)) SELECT i AS fold, CAST({train_from} AS BIGINT) AS train_from, lo - 2 AS train_to, lo AS test_from, lo + w AS test_to FROM k")(f)
+    query(f"WITH c AS (SELECT count(*) AS n FROM events), w AS (SELECT {rows} AS n, {width} AS w, {gap} AS gap FROM c), k AS (SELECT i, n - 5 * w AS first, n - 5 * w + i * w AS lo, w, gap FROM w, range(5) q(i)) SELECT i AS fold, CAST({train_from} AS BIGINT) AS train_from, lo - gap AS train_to, lo AS test_from, lo + w AS test_to FROM k")(f)
 
 
-_split("sliding", "n // 6", "greatest(0, lo - 2 - first)")
+_split("sliding", "n // 6", "greatest(0, lo - gap - first)")
 _split("purged", "(n - n // 6) // 5", "0")
-_split("blocked", "(n - n // 5) // 5", "0")
+# in blocks of n // 12 rows: tests of a sixth of the blocks, one block between training and test
+_split("blocked", "(n // 12) * ((n // (n // 12)) // 6)", "0", "n // 12", "(n // 12) * (n // (n // 12))")
 
 
 def _within(name: str, key: str, keys: dict) -> None:

@@ -49,7 +49,7 @@ def test_refusals(spark):
 
 def test_positions_and_lags_in_blocks(spark):
     d = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k")).repartition(6)
-    rows = O.lagged(O.with_position(d, "k", buckets=20), {"l1": ("k", 1), "l5": ("k", 5)}, block=64).orderBy("k").collect()
+    rows = O.lagged(O.with_position(d, "k", partitions=20), {"l1": ("k", 1), "l5": ("k", 5)}, block=64).orderBy("k").collect()
     assert [(r.pos, r.l1, r.l5) for r in rows] == [(i, i - 1 if i else None, i - 5 if i > 4 else None) for i in range(5000)]
 
 
