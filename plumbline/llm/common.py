@@ -2,44 +2,36 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from plumbline.sources.shared import nullable, scratch, shared_folder, written
+
+__all__ = ["WHITESPACE", "Remembered", "nullable", "raw_texts", "scratch", "shared_folder", "with_columns", "written"]
+
 #: The white space of every word and line contract: space and the five controls from tab to return.
 WHITESPACE = b" \t\n\x0b\x0c\r"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
+class Remembered(dict):
+    """What a worker remembers of strings; starts anew beyond ``limit`` bytes, which bounds its memory and changes no result.
 
-    Where the setting is absent, a local session (tests) gets a temporary folder; any other
-    session has to name one, as a machine's own folder would be invisible to the others.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, lineage cut, safe to reread
-    after executors are lost."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/plumbline/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(nullable(df.schema)).parquet(path)
-
-
-def nullable(schema: T.StructType) -> T.StructType:
-    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
+    An entry counts as its own bytes and what a dictionary spends on it."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.bytes = limit, 0
+
+    def keep(self, key: str | bytes, value: bytes | int) -> bytes | int:
+        if self.bytes > self.limit:
+            self.clear()
+            self.bytes = 0
+        self.bytes += 200 + (len(key) if isinstance(key, bytes) or key.isascii() else 4 * len(key)) + (len(value) if isinstance(value, bytes) else 0)
+        self[key] = value
+        return value
 
 
 def raw_texts(batch: pa.RecordBatch, column: str) -> list[bytes]:

@@ -1,15 +1,12 @@
 """Line deduplication through a sharded minimal perfect hash.
 
 1. Every document gives its distinct line keys as 128-bit hashes; tasks add up before the shuffle.
-2. Keys found in at least ``min_docs`` documents are split into shards by hash. Each shard builds a
-   minimal perfect hash: levels of bits, where a key owns the first level in which no other key shares
-   its position, and the rank of its bit is its slot. The slot holds a 64-bit fingerprint (the half of the
-   hash that chose no position) and the document count.
-3. Documents look their lines up in those arrays; lines are never joined to lines.
-
-The arrays are broadcast only if their measured size is within ``broadcast_bytes``. Beyond it the
-probes travel instead: each document sends its distinct hashes to the shards' tasks, salted so that a
-line of very many documents is dealt over several tasks, and gets back the ones found.
+2. All distinct hashes are split into shards. Each shard builds a minimal perfect hash: levels of bits, where a key owns the first
+   level in which no other key shares its position, and the rank of its bit is its slot. The slot holds a 32-bit fingerprint (of the
+   half of the hash that chose no position) and the document count.
+3. Documents look their lines up in those arrays, and the count found decides; lines are never joined to lines. A document sends its
+   distinct hashes to the tasks of their shards and gets back those that are frequent. A shard whose keys are asked for
+   very often is copied to as many tasks as its counts, which are known by then, call for.
 """
 
 from __future__ import annotations
@@ -29,7 +26,10 @@ from plumbline.llm.common import WHITESPACE, raw_texts, with_columns, written
 FLUSH = 400_000
 #: Slots of the bit levels for each key that is still unplaced.
 GAMMA = 1.6
-INDEX = "shard int, salt int, n long, sizes binary, bits binary, ranks binary, prints binary, counts binary"
+PARTS = ("sizes", "bits", "ranks", "prints", "counts")
+INDEX = "shard int, n long, load long, sizes binary, bits binary, ranks binary, prints binary, counts binary"
+#: The largest count that is stored; larger ones count as it.
+MOST = (1 << 32) - 1
 
 
 def line_keys(text: bytes) -> list[bytes]:
@@ -85,8 +85,8 @@ class PerfectHash:
         bits = np.concatenate(levels) if levels else np.zeros(0, "<u8")
         ranks = np.concatenate([[0], np.cumsum(np.bitwise_count(bits), dtype=np.int64)])[:-1] if len(bits) else np.zeros(0, np.int64)
         slots = np.argsort(np.argsort(at)) if len(at) else at
-        own_prints, own_counts = np.empty(len(keys), "<u8"), np.empty(len(keys), np.int64)
-        own_prints[slots], own_counts[slots] = prints, counts
+        own_prints, own_counts = np.empty(len(keys), "<u4"), np.empty(len(keys), "<u4")
+        own_prints[slots], own_counts[slots] = prints.astype("<u4"), np.minimum(counts, MOST)
         return cls(np.array(sizes, np.int64), bits, ranks.astype(np.int64), own_prints, own_counts)
 
     @staticmethod
@@ -106,7 +106,7 @@ class PerfectHash:
             if hit.any():
                 below = np.bitwise_count(word[hit] & ((np.uint64(1) << bit[hit]) - np.uint64(1)))
                 slot = self.ranks[p[hit] >> 6] + below
-                right = self.prints[slot] == prints[left[hit]]
+                right = self.prints[slot] == prints[left[hit]].astype("<u4")
                 found[left[hit][right]] = self.counts[slot[right]]
             left, base = left[~hit], base + int(m)
         return found
@@ -116,7 +116,7 @@ class PerfectHash:
 
     @classmethod
     def of(cls, parts: list[bytes]) -> PerfectHash:
-        return cls(*(np.frombuffer(p, d) for p, d in zip(parts, ("<i8", "<u8", "<i8", "<u8", "<i8"), strict=True)))
+        return cls(*(np.frombuffer(p, d) for p, d in zip(parts, ("<i8", "<u8", "<i8", "<u4", "<u4"), strict=True)))
 
 
 def line_counts(docs: DataFrame, text: str = "text", min_chars: int = 1) -> DataFrame:
@@ -146,39 +146,22 @@ def line_counts(docs: DataFrame, text: str = "text", min_chars: int = 1) -> Data
     return rows.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
 
 
-def line_index(docs: DataFrame, text: str = "text", min_docs: int = 10, min_chars: int = 1, keys_per_shard: int = 1 << 18) -> DataFrame:
-    """The perfect-hash arrays of the keys found in at least ``min_docs`` rows, a row for each shard."""
-    frequent = written(line_counts(docs, text, min_chars).filter(F.col("n") >= min_docs))
-    shards = max(1, math.ceil(frequent.count() / keys_per_shard))
+def line_index(docs: DataFrame, text: str = "text", min_chars: int = 1, keys_per_shard: int = 1 << 18) -> tuple[DataFrame, int]:
+    """The perfect-hash arrays of all distinct keys, a row for each shard with its keys (n) and the sum of their counts (load),
+    and the number of shards."""
+    counted = written(line_counts(docs, text, min_chars))
+    shards = max(1, math.ceil(counted.count() / keys_per_shard))
 
     def build(table: pa.Table) -> pa.Table:
         own = {c: table.column(c).to_numpy() for c in ("h1", "h2", "n")}
         order = np.lexsort((own["h2"], own["h1"]))
         h = PerfectHash.build(own["h1"][order].view("<u8"), own["h2"][order].view("<u8"), own["n"][order])
-        row = [[int(table.column("shard")[0].as_py())], [0], [len(order)], *([p] for p in h.parts())]
-        kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
-        return pa.Table.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["shard", "salt", "n", "sizes", "bits", "ranks", "prints", "counts"])
-
-    dealt = frequent.withColumn("shard", F.pmod(F.col("h1"), F.lit(shards)).cast("int"))
-    return written(dealt.groupBy("shard").applyInArrow(build, INDEX)).withColumn("shards", F.lit(shards))
-
-
-def _dropped(batch: pa.RecordBatch, text: str, hit, min_chars: int) -> Iterator[tuple[list[bytes], list[bool]]]:
-    """The lines of each document and which of them go, asking ``hit`` once for all of the batch."""
-    lines, digests, at = [], [], []
-    for i, doc in enumerate(raw_texts(batch, text)):
-        lines.append(doc.split(b"\n"))
-        for j, raw in enumerate(lines[-1]):
-            key = raw.strip(WHITESPACE).lower()
-            if _long_enough(key, min_chars):
-                digests.append(xxhash.xxh3_128_digest(key))
-                at.append((i, j))
-    flags = [[False] * len(x) for x in lines]
-    if digests:
-        for k in np.flatnonzero(hit(digests)):
-            i, j = at[k]
-            flags[i][j] = True
-    yield from zip(lines, flags, strict=True)
+        row = [[int(table.column("shard")[0].as_py())], [len(order)], [int(own["n"].sum())], *([p] for p in h.parts())]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
+        return pa.Table.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["shard", "n", "load", *PARTS])
+
+    dealt = counted.withColumn("shard", F.pmod(F.col("h1"), F.lit(shards)).cast("int"))
+    return written(dealt.groupBy("shard").applyInArrow(build, INDEX)), shards
 
 
 def _columns(cut: Iterator[tuple[list[bytes], list[bool]]], text: str) -> dict[str, pa.Array]:
@@ -191,6 +174,67 @@ def _columns(cut: Iterator[tuple[list[bytes], list[bool]]], text: str) -> dict[s
     return {text: pa.array(kept, pa.binary()).cast(pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}
 
 
+def _asked(docs: DataFrame, text: str, min_chars: int, shards: int, salts: np.ndarray) -> DataFrame:
+    """(shard, salt, key, keys): the distinct hashes of each document, cut up by shard. ``salts``: the copies of each shard."""
+    sent = docs.sparkSession.sparkContext.broadcast(salts)  # one number for each ``keys_per_shard`` distinct lines
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
+        for batch in batches:
+            digests, sizes = [], []
+            for doc in raw_texts(batch, "text"):
+                own = {digest(k) for k in line_keys(doc) if _long_enough(k, min_chars)}
+                digests += own
+                sizes.append(len(own))
+            whole = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 16)
+            row, shard = np.repeat(np.arange(len(sizes)), sizes), whole.view("<i8")[:, 0] % shards
+            order = np.lexsort((shard, row))
+            row, shard = row[order], shard[order]
+            starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (shard[1:] != shard[:-1])]) if len(row) else np.zeros(0, int)
+            offsets = np.r_[starts, len(row)].astype(np.int32) * 16
+            data = np.ascontiguousarray(whole[order])
+            keys = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+            own = batch.column("key").to_numpy()[row[starts]]
+            salt = own.view(np.uint64) % sent.value[shard[starts]].astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(shard[starts].astype(np.int32)), pa.array(salt.astype(np.int32)), pa.array(own), keys], names=["shard", "salt", "key", "keys"])
+
+    return docs.select(F.col("__key").alias("key"), F.col(text).alias("text")).mapInArrow(ask, "shard int, salt int, key long, keys binary")
+
+
+def _frequent(index: DataFrame, asked: DataFrame, salts: Column, min_docs: int) -> DataFrame:
+    """(__key, __hits): those of the hashes asked for whose count is at least ``min_docs``."""
+    none: Column = F.lit(None)
+    arrays = index.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    both = arrays.select("shard", "salt", F.lit(0).alias("kind"), none.cast("long").alias("key"), none.cast("binary").alias("keys"), *PARTS).unionByName(
+        asked.select("shard", "salt", F.lit(1).alias("kind"), "key", "keys", *(none.cast("binary").alias(p) for p in PARTS))
+    )
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
+        for batch in batches:
+            kinds, keys = batch.column("kind").to_numpy(), batch.column("keys")
+            arrays = np.flatnonzero(kinds == 0)
+            at, hits = [], []
+            # the arrays of a shard come right before what is asked of it
+            for lo, hi in zip(np.r_[0, arrays], np.r_[arrays, len(kinds)], strict=True):
+                if lo < len(kinds) and kinds[lo] == 0:
+                    own = PerfectHash.of([batch.column(p)[int(lo)].as_py() for p in PARTS])
+                    lo += 1
+                if lo >= hi:
+                    continue
+                part = keys.slice(lo, hi - lo).to_pylist()
+                found = own.counts_of(*_halves(part)) >= min_docs
+                ends = np.cumsum([len(k) // 16 for k in part])
+                for i in np.unique(np.searchsorted(ends, np.flatnonzero(found), side="right")).tolist():
+                    first = int(ends[i - 1]) if i else 0
+                    at.append(lo + i)
+                    hits.append(b"".join(part[i][16 * j : 16 * j + 16] for j in np.flatnonzero(found[first : ends[i]]).tolist()))
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(at, pa.int64())), pa.array(hits, pa.binary())], names=["__key", "__hits"])
+
+    found = both.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(answer, "__key long, __hits binary")
+    return found.groupBy("__key").agg(F.collect_set("__hits").alias("__hits"))  # of one document: its own lines at most
+
+
 def line_dedup(
     docs: DataFrame,
     id: str = "doc_id",
@@ -198,99 +242,38 @@ def line_dedup(
     min_docs: int = 10,
     min_chars: int = 1,
     keys_per_shard: int = 1 << 18,
-    broadcast_bytes: int = 64 << 20,
-    salts: int = 16,
+    probes_per_task: int = 1 << 21,
 ) -> DataFrame:
     """All columns of ``docs``, the text without its frequent lines, plus n_lines (before) and n_dropped.
 
     A line's key is the line without white space at both ends, A-Z lower-cased. Lines whose key has at
-    least ``min_chars`` code points and is in at least ``min_docs`` rows go, in every row. Defined cases: a null
-    or empty text is one empty line and comes back empty; empty keys always stay; repeated rows count as
-    documents of their own; a null id is a value like any other; an empty table gives an empty table; input
+    least ``min_chars`` code points and is in at least ``min_docs`` rows go, in every row. A shard holds about ``keys_per_shard`` distinct lines;
+    one that is asked for more than ``probes_per_task`` is copied to several tasks. Defined cases: a null
+    or empty text is one empty line and comes back empty; empty keys always stay; a text is read whole in one task, however long; repeated rows
+    count as documents of their own; a null id is a value like any other (rows are found again by a hash of id and text; were two hashes
+    equal, both would be asked for both's lines, which changes nothing); an empty table gives an empty table; input
     columns named n_lines or n_dropped are replaced.
     """
-    index = line_index(docs, text, min_docs, min_chars, keys_per_shard)
-    size = index.agg(F.sum(sum((F.length(c) for c in ("sizes", "bits", "ranks", "prints", "counts")), F.lit(0))).alias("b"), F.max("shards").alias("s")).first()
-    added = f"`{text}` string, n_lines long, n_dropped long"
-    if (size["b"] or 0) > broadcast_bytes:
-        return _routed(docs, index, id, text, min_chars, int(size["s"]), salts, added)
-    rows = index.drop("shards").collect()  # at most broadcast_bytes
-    shards = int(size["s"] or 1)
-    sent = docs.sparkSession.sparkContext.broadcast({r["shard"]: [bytes(r[c]) for c in ("sizes", "bits", "ranks", "prints", "counts")] for r in rows})
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Array]]:
-        own = {k: PerfectHash.of(v) for k, v in sent.value.items()}
-
-        def hit(digests: list[bytes]) -> np.ndarray:
-            a, b = _halves(digests)
-            where, found = a.view("<i8") % shards, np.zeros(len(a), bool)
-            for k, h in own.items():
-                here = np.flatnonzero(where == k) if shards > 1 else np.arange(len(a))
-                found[here] = h.counts_of(a[here], b[here]) > 0
-            return found
-
-        for batch in batches:
-            yield _columns(_dropped(batch, text, hit, min_chars), text)
-
-    return with_columns(docs, probe, added)
-
-
-def _routed(docs: DataFrame, index: DataFrame, id: str, text: str, min_chars: int, shards: int, salts: int, added: str) -> DataFrame:
-    """The lookup for arrays too large to broadcast: probes go to the shards and hits come back by id."""
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, out = batch.column("id"), ([], [], [], [])
-            for i, doc in enumerate(raw_texts(batch, "text")):
-                digests = list({xxhash.xxh3_128_digest(k) for k in line_keys(doc) if _long_enough(k, min_chars)})
-                if not digests:
-                    continue
-                a, _ = _halves(digests)
-                by: dict[int, list[bytes]] = {}
-                for s, d in zip((a.view("<i8") % shards).tolist(), digests, strict=True):
-                    by.setdefault(s, []).append(d)
-                for s, own in by.items():
-                    for o, v in zip(out, (s, xxhash.xxh32_intdigest(own[0] + i.to_bytes(8, "little")) % salts, i, b"".join(own)), strict=True):
-                        o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), ids.take(pa.array(out[2], pa.int64())), pa.array(out[3], pa.binary())], names=["shard", "salt", "id", "keys"])
-
-    kind = docs.schema[id].dataType.simpleString()
-    parts = ("sizes", "bits", "ranks", "prints", "counts")
-    probes = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(ask, f"shard int, salt int, id {kind}, keys binary")
-    arrays = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    none: Column = F.lit(None)
-    both = arrays.select("shard", "salt", F.lit(0).alias("kind"), none.cast(kind).alias("id"), none.cast("binary").alias("keys"), *parts).unionByName(
-        probes.select("shard", "salt", F.lit(1).alias("kind"), "id", "keys", *(none.cast("binary").alias(p) for p in parts))
-    )
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, own = None, None
-        for batch in batches:
-            shard, salt, kinds, keys = (batch.column(c).to_pylist() for c in ("shard", "salt", "kind", "keys"))
-            at, hits = [], []
-            for i, k in enumerate(kinds):
-                if k == 0:
-                    key, own = (shard[i], salt[i]), PerfectHash.of([batch.column(p)[i].as_py() for p in parts])
-                elif key == (shard[i], salt[i]):
-                    own_keys = [keys[i][j : j + 16] for j in range(0, len(keys[i]), 16)]
-                    found = own.counts_of(*_halves(own_keys)) > 0
-                    if found.any():
-                        at.append(i)
-                        hits.append(b"".join(x for x, f in zip(own_keys, found, strict=True) if f))
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at, pa.int64())), pa.array(hits, pa.binary())], names=["__id", "__hits"])
-
-    found = both.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(answer, f"__id {kind}, __hits binary")
-    found = found.groupBy("__id").agg(F.collect_list("__hits").alias("__hits"))  # of one document: its own lines at most
-    joined = docs.join(found, docs[id].eqNullSafe(found["__id"]), "left").drop("__id")
+    index, shards = line_index(docs, text, min_chars, keys_per_shard)
+    salts = np.ones(shards, np.int64)
+    for r in index.filter(F.col("load") > probes_per_task).select("shard", "load").collect():  # two numbers a shard
+        salts[r["shard"]] = -(-r["load"] // probes_per_task)
+    copies = F.greatest(F.lit(1), F.ceil(F.col("load") / probes_per_task)).cast("int")
+    keyed = docs.withColumn("__key", F.xxhash64(id, text))
+    found = _frequent(index, _asked(keyed, text, min_chars, shards, salts), copies, min_docs)
+    joined = keyed.join(found, "__key", "left").select(*docs.columns, "__hits")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Array]]:
         for batch in batches:
-            gone = [{h[j : j + 16] for h in (x or []) for j in range(0, len(h), 16)} for x in batch.column("__hits").to_pylist()]
             out = []
-            for doc, g in zip(raw_texts(batch, text), gone, strict=True):
+            for doc, hits in zip(raw_texts(batch, text), batch.column("__hits").to_pylist(), strict=True):
                 lines = doc.split(b"\n")
+                if not hits:
+                    out.append((lines, [False] * len(lines)))
+                    continue
+                gone = {h[j : j + 16] for h in hits for j in range(0, len(h), 16)}
                 keys = (x.strip(WHITESPACE).lower() for x in lines)
-                out.append((lines, [_long_enough(k, min_chars) and xxhash.xxh3_128_digest(k) in g for k in keys]))
+                out.append((lines, [_long_enough(k, min_chars) and xxhash.xxh3_128_digest(k) in gone for k in keys]))
             yield _columns(iter(out), text)
 
-    return with_columns(joined, cut, added).drop("__hits")
+    return with_columns(joined, cut, f"`{text}` string, n_lines long, n_dropped long").drop("__hits")

@@ -3,7 +3,8 @@
 Documents become token ids and pieces of at most the sequence length. Packers place pieces online: the open bins are kept
 by free space, with a bitset of the free spaces that occur, so the fullest bin that still fits is one bit operation away. The number
 of open bins is fixed; when one more is needed, the fullest closes first. What a packer's last open bins hold goes to a
-next round with fewer packers, until one is left, so the ends of many packers do not add up to waste.
+next round with fewer packers, until one is left, so the ends of many packers do not add up to waste. Small neighbours in an open bin are
+glued together for that, so a packer hands on at most RUNS + 1 items a bin, however small its pieces, and every packer of every round has a bounded input.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import written
+from plumbline.llm.common import Remembered, written
 
-#: Strings with remembered ids; bounds a worker's memory.
-REMEMBERED = 700_000
+#: Bytes of strings whose ids a worker remembers.
+REMEMBERED = 160 << 20
+#: Items of an open bin are glued together to at least this part of a sequence.
+RUNS = 16
 #: Pieces of a text that the pre-tokenizer keeps apart, for texts of the first 256 code points, lower-cased. White space is the
 #: tokenizer's own: unlike Python's it has no U+001C to U+001F.
 _RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
@@ -37,7 +40,7 @@ class WordEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known = Tokenizer.from_file(path), Remembered(REMEMBERED)
 
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, "<u4").tobytes()
@@ -53,13 +56,14 @@ class WordEncoder:
             return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
         runs = _RUNS.findall(text.lower())
         known = self.known
-        if len(known) >= REMEMBERED:
-            known.clear()
         new = [r for r in dict.fromkeys(runs) if r not in known]
-        if new:
-            for r, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[r] = self._bytes(e.ids)
-        return b"".join(map(known.__getitem__, runs))
+        if not new:
+            return b"".join(map(known.__getitem__, runs))
+        fresh = dict(zip(new, (self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        out = b"".join([fresh[r] if r in fresh else known[r] for r in runs])
+        for r, ids in fresh.items():
+            known.keep(r, ids)
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -131,63 +135,82 @@ class BestFit:
         return {k for stack in self.bins for k in stack}
 
 
+def _glued(bins: np.ndarray, offsets: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The number of the run in its bin, and the place in the run, of the items of open bins: runs of neighbours of at least ``least``, but for a bin's last."""
+    run, place = np.zeros(len(bins), np.int64), np.zeros(len(bins), np.int64)
+    last, number, size = -1, 0, 0
+    for i in np.lexsort((offsets, bins)).tolist():
+        if bins[i] != last:
+            last, number, size = bins[i], 0, 0
+        elif size >= least:
+            number, size = number + 1, 0
+        run[i], place[i] = number, size
+        size += sizes[i]
+    return run, place
+
+
+def _round(left: DataFrame, packers: int, round_no: int, length: int, open_bins: int) -> DataFrame:
+    """(__key, length, __seq, offset, __run, __place) of the items (__key, length): a bin that is closed, or the run that goes on."""
+    dealt = left.withColumn("__packer", F.pmod(F.xxhash64(F.lit(round_no), "__key"), F.lit(packers)).cast("int")).repartition("__packer")
+    # the order is by a hash: one that any attempt repeats, and without long runs of like sizes
+    dealt = dealt.select("__key", "length", "__packer").sortWithinPartitions("__packer", F.xxhash64(F.lit(7), "__key"), "__key")
+    final = packers == 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, fit, held = None, None, []
+
+        def out() -> pa.RecordBatch:
+            keys, sizes, bins, offsets = (np.concatenate([h[i] for h in held]) for i in range(4))
+            rest = np.zeros(len(keys), bool) if final else np.isin(bins, np.array(sorted(fit.still_open()), np.int64))
+            runs, places = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+            runs[rest], places[rest] = _glued(bins[rest], offsets[rest], sizes[rest], max(1, length // RUNS))
+            arrays = [
+                pa.array(keys), pa.array(sizes), pa.array((round_no << 56) + (packer << 28) + bins, mask=rest), pa.array(offsets),
+                pa.array((packer << 34) + (bins << 6) + runs, mask=~rest), pa.array(places),
+            ]
+            return pa.RecordBatch.from_arrays(arrays, names=["__key", "length", "__seq", "offset", "__run", "__place"])
+
+        for batch in batches:
+            who, keys, sizes = (batch.column(c).to_numpy() for c in ("__packer", "__key", "length"))
+            for p in np.unique(who).tolist():
+                here = who == p
+                if p != packer:
+                    if held:
+                        yield out()
+                    packer, fit, held = p, BestFit(length, open_bins), []
+                placed = np.array([fit.place(s) for s in sizes[here].tolist()], np.int64).reshape(-1, 2)
+                held.append((keys[here], sizes[here], placed[:, 0], placed[:, 1]))
+        if held:
+            yield out()
+
+    return written(dealt.mapInArrow(run, "__key long, length long, __seq long, offset long, __run long, __place long"))
+
+
 def packed(rows: DataFrame, length: int = 4096, open_bins: int = 512, rows_per_packer: int = 200_000) -> DataFrame:
     """``rows`` (with columns __key: a unique long, and length) plus sequence_id and offset.
 
-    Only key and length travel. Round by round the pieces of the bins left open go to fewer packers."""
-    left = written(rows.select("__key", "length"))
-    total, done, round_no = left.count(), None, 0
-    packers = max(1, -(-total // rows_per_packer))
-    kind = "__key long, length long, __packer int, __bin long, offset long, __left boolean"
+    Only key and length travel. A packer has about ``rows_per_packer`` items in memory and hands on at most ``open_bins`` * (RUNS + 1), so
+    rounds get smaller by a fixed factor until one packer is left; the rounds' tables are then followed back to the pieces."""
+    left, rounds = written(rows.select("__key", "length")), []
     while True:
-        if packers > 1:
-            dealt = left.withColumn("__packer", F.pmod(F.xxhash64(F.lit(round_no), "__key"), F.lit(packers)).cast("int"))
-            dealt = dealt.repartition("__packer")
-        else:
-            dealt = left.withColumn("__packer", F.lit(0)).coalesce(1) if total <= rows_per_packer else left.withColumn("__packer", F.lit(0)).repartition("__packer")
-        # the order is by a hash: one that any attempt repeats, and without long runs of like sizes
-        dealt = dealt.select("__key", "length", "__packer").sortWithinPartitions("__packer", F.xxhash64(F.lit(7), "__key"), "__key")
-        final = packers == 1
-
-        def run(batches: Iterator[pa.RecordBatch], final: bool = final) -> Iterator[pa.RecordBatch]:
-            packer, fit, held = None, None, []
-
-            def out() -> pa.RecordBatch:
-                keys, sizes, bins, offsets = (np.concatenate([h[i] for h in held]) for i in range(4))
-                open_now = np.array(sorted(fit.still_open()), np.int64)
-                rest = np.zeros(len(keys), bool) if final else np.isin(bins, open_now)
-                arrays = [pa.array(keys), pa.array(sizes), pa.array(np.full(len(keys), packer, np.int32)), pa.array(bins), pa.array(offsets), pa.array(rest)]
-                return pa.RecordBatch.from_arrays(arrays, names=["__key", "length", "__packer", "__bin", "offset", "__left"])
-
-            for batch in batches:
-                who, keys, sizes = (batch.column(c).to_numpy() for c in ("__packer", "__key", "length"))
-                for p in np.unique(who).tolist():
-                    here = who == p
-                    if p != packer:
-                        if held:
-                            yield out()
-                        packer, fit, held = p, BestFit(length, open_bins), []
-                    placed = np.array([fit.place(s) for s in sizes[here].tolist()], np.int64).reshape(-1, 2)
-                    held.append((keys[here], sizes[here], placed[:, 0], placed[:, 1]))
-            if held:
-                yield out()
-
-        got = written(dealt.mapInArrow(run, kind))
-        # round, packer and bin in one number
-        number = F.lit(round_no << 56) + F.col("__packer").cast("long") * F.lit(1 << 28) + F.col("__bin")
-        closed = got.filter("not __left").select("__key", number.alias("sequence_id"), "offset")
-        done = closed if done is None else done.unionByName(closed)
-        if final:
-            return rows.join(done, "__key")
-        left = got.filter("__left").select("__key", "length")
-        packers = max(1, min(packers // 16, -(-left.count() // rows_per_packer)))
-        round_no += 1
+        # after the first round a packer takes at least what two hand on, so rounds always get smaller
+        packers = max(1, -(-left.count() // max(rows_per_packer, 2 * open_bins * (RUNS + 1) if rounds else 1)))
+        rounds.append(_round(left, packers, len(rounds), length, open_bins))
+        if packers == 1:
+            break
+        left = written(rounds[-1].filter("__run IS NOT NULL").groupBy(F.col("__run").alias("__key")).agg(F.sum("length").alias("length")))
+    done = rounds[-1].select("__key", F.col("__seq").alias("sequence_id"), "offset")
+    for one in rounds[-2::-1]:
+        on = one.filter("__run IS NOT NULL").select(F.col("__key").alias("__item"), "__run", "__place").join(done, F.col("__run") == F.col("__key"))
+        on = on.select(F.col("__item").alias("__key"), "sequence_id", (F.col("offset") + F.col("__place")).alias("offset"))
+        done = one.filter("__seq IS NOT NULL").select("__key", F.col("__seq").alias("sequence_id"), "offset").unionByName(on)
+    return rows.join(done, "__key")
 
 
 def pack(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text", length: int = 4096, end: int = 1, open_bins: int = 512, rows_per_packer: int = 200_000) -> DataFrame:
     """A row for each piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Defined cases: a null or empty text is the end id alone; a piece of the whole length is a sequence by itself; repeated
+    Defined cases: a text is encoded whole, however long; a null or empty text is the end id alone; a piece of the whole length is a sequence by itself; repeated
     rows are packed each on their own; a null id is kept; an empty table gives an empty table; extra columns are not read.
     """
     own = written(pieces(docs, tokenizer, id, text, length, end).withColumn("__key", F.monotonically_increasing_id()))

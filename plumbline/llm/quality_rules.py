@@ -26,6 +26,8 @@ MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 BUCKETS = 1 << 18
 #: Buckets in one row of counts on their way through the shuffle.
 BLOCK = 1 << 12
+#: Words whose buckets are counted at a time.
+HELD = 1 << 20
 #: Trusted ids are broadcast up to this many rows (8 bytes each) and joined by a shuffle beyond.
 BROADCAST_IDS = 4_000_000
 THRESHOLD = -0.15
@@ -57,13 +59,24 @@ def bucket_counts(docs: DataFrame, ids: DataFrame, id: str = "doc_id", text: str
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, hashes = np.zeros((2, buckets), np.int64), WordHashes()
+        held: tuple[list, list] = ([], [])
+
+        def added(side: int) -> None:
+            if held[side]:
+                own[side] += np.bincount(np.concatenate(held[side]), minlength=buckets)
+                held[side].clear()
+
         for batch in batches:
+            size = 0
             for doc, good in zip(raw_texts(batch, "__text"), batch.column("__in").to_pylist(), strict=True):
                 if words := words_of(doc):
-                    n = np.bincount(buckets_of(words, hashes, buckets), minlength=0)
-                    own[0, : len(n)] += n
-                    if good:
-                        own[1, : len(n)] += n
+                    held[bool(good)].append(buckets_of(words, hashes, buckets))
+                    size += len(words)
+                    if size >= HELD:
+                        added(0), added(1)
+                        size = 0
+            added(0), added(1)
+        own[0] += own[1]
         yield from _blocks(own)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,11 +20,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plumbline.llm.common import with_columns
+from plumbline.llm.common import Remembered, with_columns
 
 MARK = "▁"
-#: Words whose ids a worker remembers; bounds its memory.
-REMEMBERED = 300_000
+#: Bytes of words whose ids a worker remembers.
+REMEMBERED = 90 << 20
 #: Pairs of tokens whose verdict a worker remembers.
 PAIRS = 500_000
 
@@ -74,7 +74,7 @@ class PieceModel:
         self.lowest = min((s for _, s, kind in pieces if kind == 1), default=0.0) - 10.0
         self._whole: dict[str, int] | None = None
         self._fits: dict[int, bool] = {}
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered(REMEMBERED)
         said = {6: lambda p: bytes([int(p[3:5], 16)]), 2: lambda p: " ⁇ ".encode(), 3: lambda p: b""}
         self.said = [said.get(kind, str.encode)(p) for p, _, kind in pieces]
 
@@ -205,19 +205,18 @@ class PieceModel:
             last.append(best[2])
 
     # -- texts -----------------------------------------------------------------------------------
-    def learn(self, words: set[str]) -> None:
-        """Segments those of the distinct words that are not known yet."""
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        new = sorted(w for w in words if w not in self.known)
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of the distinct words; those not remembered are segmented, in one walk."""
+        out = {w: k for w in words if (k := self.known.get(w)) is not None}
+        new = sorted(words - out.keys())
         for word, tokens in zip(new, self.segment_sorted(new), strict=True):
             ids = [i for k, t in tokens for i in ((k,) if k >= 0 else self.single(t))]
-            self.known[word] = array("i", ids).tobytes()
+            out[word] = self.known.keep(word, array("i", ids).tobytes())
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.words(t) for t in texts]
-        self.learn({w for ws in split for w in ws})
-        get = self.known.__getitem__
+        get = self.learn({w for ws in split for w in ws}).__getitem__
         return [np.frombuffer(b"".join(map(get, ws)), "<i4") for ws in split]
 
     def decode(self, ids: np.ndarray) -> str:
@@ -238,7 +237,7 @@ def piece_model(path: str) -> PieceModel:
 def sentencepiece_encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """All columns of ``docs`` plus ``ids`` (array of int), and the text read back from them if ``decoded`` names a column.
 
-    Defined cases: a null text has null ids, an empty one none; characters without a piece become byte pieces; a space mark in the
+    Defined cases: a text is read whole, however long, and a run without spaces is one word of it; a null text has null ids, an empty one none; characters without a piece become byte pieces; a space mark in the
     text is read as a space, as the model's own library does; repeated rows give equal ids; an empty table gives an empty table; an
     input column named as ``ids`` is replaced.
     """

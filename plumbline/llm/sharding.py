@@ -26,7 +26,7 @@ def interleaved(docs: DataFrame, order_by: list[Column], source: str = "source",
     rows = docs.count()
     n = _buckets(rows)
     high = 1 << 53
-    h = F.xxhash64(F.lit(seed), order_by[0])  # what follows it in order_by only breaks ties
+    h = F.xxhash64(F.lit(seed), *order_by)  # of all of it, so rows of one id are dealt over the buckets too
     keyed = docs.withColumn("__h", h).withColumn("__b", F.floor(F.pmod(F.col("__h"), F.lit(high)) * (n / high)).cast("int"))
     ties = [F.col("__h"), *order_by]
     per = keyed.groupBy(F.col(source).alias("__s"), F.col("__b").alias("__sb")).agg(F.count(F.lit(1)).alias("__n"))
@@ -51,7 +51,7 @@ def shard(docs: DataFrame, shards: int = 40, id: str = "doc_id", text: str = "te
     """(id, size, text_crc32, law, shard, slot, grown_shard) for every row; law ``rows``.
 
     Shard counts differ by one row at most, and every source is in each shard in proportion. ``size`` is
-    the text's UTF-8 bytes plus 16. Defined cases: a null text has no bytes and the checksum of an empty one; a
+    the text's UTF-8 bytes plus 16. Equal texts are not held together: law ``rows`` deals each row by itself. Defined cases: a null text has no bytes and the checksum of an empty one; a
     null source is a source; rows that are equal in all of id, text and source are interchangeable; fewer rows
     than shards leave shards empty; an empty table gives an empty table; extra columns are not read.
     """

@@ -5,20 +5,20 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from plumbline.llm.common import WHITESPACE
+from plumbline.llm.common import WHITESPACE, Remembered
 
-#: Words that a worker remembers before it starts anew; bounds its memory, not what is counted.
-REMEMBERED = 600_000
+#: Bytes of words that a worker remembers.
+REMEMBERED = 100 << 20
 
 
-class WordHashes(dict):
+class WordHashes(Remembered):
     """64-bit hash of a word, remembered."""
 
+    def __init__(self, limit: int = REMEMBERED):
+        super().__init__(limit)
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+        return self.keep(word, xxhash.xxh3_64_intdigest(word))
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))

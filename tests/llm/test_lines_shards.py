@@ -36,10 +36,10 @@ def cases():
     return rows + [rows[0], rows[0]]
 
 
-@pytest.mark.parametrize("routed", [False, True])
-def test_line_dedup_cases(spark, routed):
+@pytest.mark.parametrize("copied", [False, True])
+def test_line_dedup_cases(spark, copied):
     df = spark.createDataFrame(cases(), KIND)
-    got = L.line_dedup(df, min_docs=3, keys_per_shard=2, broadcast_bytes=0 if routed else 1 << 20)
+    got = L.line_dedup(df, min_docs=3, keys_per_shard=2, probes_per_task=5 if copied else 1 << 20)
     assert set(got.columns) == {"doc_id", "text", "source", "n_lines", "n_dropped"}
     rows = Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect())
     assert rows == brute([(r[0], r[1]) for r in cases()], 3)

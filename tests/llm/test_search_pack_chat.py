@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -69,6 +70,23 @@ def test_search_cases(spark):
     assert A.ann_search(spark.createDataFrame([], VECS), df).collect() == []
 
 
+@pytest.mark.parametrize("total, rerank", [(60_000, 200), (100_000, 500)])
+def test_recall_with_few_reranked(spark, total, rerank):
+    """At most one in two hundred rows is measured exactly, more rows than the first pass samples included."""
+    rng = np.random.default_rng(total)
+    centres = rng.normal(size=(10, 64))
+    x = (centres[rng.integers(0, 10, total)] * 0.7 + rng.normal(size=(total, 64))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(total), "embedding": list(x)})).repartition(8)
+    got = by_query(A.ann_search(df, df.filter("vec_id % 1000 = 0"), rerank=rerank).collect())
+    hit = 0
+    for q, found in got.items():
+        d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hit += len(set(np.argsort(d)[:10].tolist()) & {i for i, _ in found})
+    assert len(got) == total // 1000 and hit >= 0.9 * 10 * len(got)
+
+
 def test_beam_is_no_worse_than_greedy():
     x = np.random.default_rng(2).normal(size=(500, 16)).astype(np.float32)
     books = A.Codebooks.fit(x, 6, 16)
