@@ -1,10 +1,16 @@
 """Secret scans: base patterns plus assignment-aware lexing.
 
-The base patterns find key formats anywhere. On top, each line that holds a separator is lexed as source or
-configuration syntax into pairs of a name and a literal: ``name = "x"``, ``name: x``, ``"name": "x"``, ``export NAME=x``,
-``Name => 'x'``, ``name = "a" + "b"``, ``at["name"] = "x"``, ``name: type = "x"``, ``name = b"x"``, and in triple quotes. A value that is
-itself a name is looked up among the constants that the text assigns, so ``K = "x"`` followed by ``password = K`` gives every
-literal of K the name password as well. A literal is
+The base patterns find key formats anywhere. On top, lines that can hold an assignment are cut into tokens (strings with prefixes, triple quotes and
+backticks, names, operators, bare words) and read as source or configuration syntax into pairs of a target name and a literal:
+
+- ``name = "x"``, ``name: x``, ``"name": "x"``, ``name := x``, ``name ?= x``, ``Name => 'x'``, ``name == "x"``, ``at["name"] = "x"``, ``var name Type = "x"``,
+  ``name: Type = "x"``, ``--name=x``, ``--name x``, ``set name "x"``;
+- values that are sums, alternatives and calls: ``A + "x"``, ``a or "x"``, ``new String("x")``, ``getenv("NAME", "x")``;
+- calls with a name and a literal, ``put("name", "x")`` and ``setName("x")``;
+- elements and attributes: ``<name>x</name>``, ``<add key="name" value="x"/>``; block values (``name: |`` and the line below).
+
+A value that is itself a name is looked up among the constants that the text assigns, by whole and by last part, so ``K = "x"`` before or
+after ``password = K`` gives every literal of K the name password as well. A literal is
 scored by the most sensitive name it gets and by its own look; those over the threshold are spans of kind ``literal``.
 """
 
@@ -34,26 +40,40 @@ _LONG_HEX = re.compile(r"[0-9a-f]{16}")
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0,
     "privatekey": 1.0, "secretkey": 1.0, "accesskey": 0.9, "credential": 0.9, "credentials": 0.9, "signingkey": 0.9,
-    "encryptionkey": 0.9, "clientsecret": 1.0, "authkey": 0.9, "bearer": 0.8, "auth": 0.5, "key": 0.4, "pass": 0.7,
+    "encryptionkey": 0.9, "clientsecret": 1.0, "authkey": 0.9, "bearer": 0.8, "authorization": 0.9, "auth": 0.5, "key": 0.4, "pass": 0.7,
 }
 #: Values that stand for a secret without being one.
 PLACEHOLDER = re.compile(r"(?i)^(?:(?:your|my|the|some)[-_ ]?.*|change[-_ ]?me.*|x{3,}|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%\w+%|none|null|nil|true|false|undefined|example.*|placeholder|redacted|todo|test|dummy|sample)$")
 
-_STRING = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')"""
-#: What may stand before a string's quote.
-_PREFIX = r"(?:[bBrRfFuUL]{1,2}|u8|[@$]{1,2})?"
-_TYPE = r"[&*]?(?:'\w++[ \t]++)?(?P<type>[A-Za-z_][\w.]*+)(?:\[(?:[^\n=:\[\]]++|\[(?:[^\n=:\[\]]++|\[[^\n=:\[\]]*+\])*+\])*+\]|<[^\n=:>]*+>++)?\??"
-#: A name is a whole run of its characters, so a long run is read once.
-_PAIR = re.compile(
-    r"""(?<![A-Za-z0-9_.\-])(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)["']?(?:[ \t]*+\])?[ \t]*+"""
-    r"""(?:[?!]?:[ \t]*+""" + _TYPE + r"""(?:[ \t]*+\|[ \t]*+""" + _TYPE.replace("?P<type>", "?:") + r""")*+[ \t]*+(?==(?![=>])))?"""
-    r"""(?P<sep>:=|=>|[:=])(?!=)[ \t]*(?P<value>(?P<prefix>""" + _PREFIX + r""")(?:(?P<triple>\"{3}|'{3})|(?P<string>""" + _STRING + r"""))|[^\s"',;(){}\[\]]+)""",
-    re.ASCII,
-)
-_MORE = re.compile(r"""[ \t]*\+[ \t]*""" + _PREFIX + "(" + _STRING + ")")
+#: A name as sensitive as the threshold asks for has one of these in it.
+_STEMS = re.compile("pass|pwd|secret|token|cred|bearer|key|authorization", re.IGNORECASE)
+#: Where a line can hold a pair.
+_SIGN = re.compile(r"[=:(]|--[A-Za-z]|^[ \t]*#?(?:set|define|env|setenv)[ \t]", re.IGNORECASE | re.MULTILINE)
+#: Quotes inside words are no strings, so apostrophes of prose are none. A run of name characters is read once.
+_TOKEN = re.compile(
+    r"""(?P<string>(?<![A-Za-z0-9_])(?P<prefix>[bBrRfFuUL]{1,2}|u8|[@$]{1,2})?(?:(?P<triple>\"{3}|'{3})|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`))"""
+    r"""|(?P<op>:=|=>|->|::|[=!<>]=|[?+]=|\|\||\?\?|[=:+(),;{}\[\]<>|?])"""
+    r"""|(?P<name>(?<![A-Za-z0-9_.\-])-{0,2}[$A-Za-z_][A-Za-z0-9_.\-]*+)"""
+    r"""|(?P<bare>[^\s"'`=:+(),;{}\[\]<>|?]++)"""
+)
+_BARE = re.compile(r"""[^\s"'`,;(){}\[\]]++""")
+_NAME = re.compile(r"[$A-Za-z_][A-Za-z0-9_.\-]*")
+_JOIN = re.compile(r"[ \t]*+(?:\+(?![=+])|\.\.|\|\||\?\?|or\b)[ \t]*+")
+_SPACE = re.compile(r"[ \t]*+(?:new\b[ \t]*+)?")
 #: An interpolated string without text of its own.
 _FILLED = re.compile(r"(?:\{[^{}]*\})+")
-_SIGN = re.compile("[=:]")
+#: Calls whose first literal is a name that the others are values of.
+_LOOKUP = re.compile(r"(?:^|[._])(?:get_?env|env|get|get_?property|get_?or_?default|put|set|set_?env|set_?property|define|add_?header|set_?header|putenv|option|config)$", re.IGNORECASE)
+_SETTER = re.compile(r"(?:^|\.)(?:set|with|add|put|use)_?[A-Z]", re.ASCII)
+#: Words before a value that are no part of it.
+_SCHEME = re.compile(r"(?:Bearer|Basic|Token)[ \t]+", re.IGNORECASE)
+_ELEMENT = re.compile(r"<([A-Za-z_][\w.\-]*+)(?:[ \t][^<>\n]*+)?>([^<>\n]++)</")
+_TAG = re.compile(r"<[A-Za-z_][^<>\n]*+>")
+_ATTRIBUTE = re.compile(r"""(?<![\w.\-])([A-Za-z_][\w.\-]*+)[ \t]*+=[ \t]*+(?:"([^"\n]*+)"|'([^'\n]*+)')""")
+_ASSIGNS = {"=", ":=", "=>", "?=", "+=", "==", ":"}
+_ENDS = {";", ",", "{", "}", "("}
+#: Tokens before a sign that can name its target.
+_BEFORE = 8
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 Span = tuple[str, int, int]
@@ -87,64 +107,231 @@ def look(value: str) -> float:
     return min(1.0, 0.2 * (n >= 8) + 0.2 * (n >= 16) + 0.2 * (kinds - 1) + 0.2 * (entropy >= 2.5) + 0.2 * (entropy >= 3.5))
 
 
-def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]], bool]]:
-    """(name, value, places, quoted) of the assignments, in the order of the text."""
-    end = -1
-    unclosed: set[str] = set()
-    for sign in _SIGN.finditer(text):
-        if sign.start() < end:
-            continue  # its line has been read
-        line = text.rfind("\n", 0, sign.start()) + 1
-        end = text.find("\n", sign.start())
-        end = len(text) if end < 0 else end
-        for m in _PAIR.finditer(text, line, end):
-            value, places, quoted = m["value"], [m.span("value")], True
-            if mark := m["triple"]:
-                # what stands between is read for assignments too
-                close = -1 if mark in unclosed else text.find(mark, m.end())
-                if close < 0:
-                    unclosed.add(mark)
-                    continue
-                value = text[m.end() : close]
-                at = m.end() + len(value) - len(value.lstrip())
-                value = value.strip()
-                places = [(at, at + len(value))]
+Literal = tuple[str, list[tuple[int, int]]]
+
+
+class Lines:
+    """Reads the pairs of a text: ``found`` has (names, names that constants are looked up by, literal, quoted), ``given`` the names that a name is given."""
+
+    def __init__(self, text: str):
+        self.text, self.found, self.given, self.unclosed = text, [], {}, set()
+
+    # -- values ------------------------------------------------------------------------------------
+    def string(self, m: re.Match) -> tuple[Literal | None, int]:
+        """The literal of a string token, none for a mere interpolation, and where it ends."""
+        text, mark = self.text, m["triple"]
+        if mark:
+            close = -1 if mark in self.unclosed else text.find(mark, m.end())
+            if close < 0:
+                self.unclosed.add(mark)
+                return None, m.end()
+            value = text[m.end() : close]
+            # the lines of a longer one are read for pairs of their own as well
+            at, end = m.end() + len(value) - len(value.lstrip()), m.end() if "\n" in value else close + 3
+            value = value.strip()
+        else:
+            at, end = m.start("string") + len(m["prefix"] or "") + 1, m.end()
+            value = text[at : end - 1]
+        if m["prefix"] and {"f", "F", "$"} & set(m["prefix"]) and _FILLED.fullmatch(value):
+            return None, end
+        if scheme := _SCHEME.match(value):
+            at, value = at + scheme.end(), value[scheme.end() :]
+        return (value, [(at, at + len(value))]), end
+
+    def call(self, name: str, at: int, end: int) -> tuple[list[Literal], int]:
+        """The literals among a call's arguments, from its bracket on, and where it ends. Pairs among them are noted."""
+        depth, out, names = 0, [], []
+        while at < end and (m := _TOKEN.search(self.text, at, end)):
+            at = m.end()
+            if m["op"] in ("(", "[", "{"):
+                depth += 1
+            elif m["op"] in (")", "]", "}"):
+                depth -= 1
+                if depth <= 0:
+                    break
             elif m["string"]:
-                value, places, stop = m["string"][1:-1], [(m.start("string") + 1, m.end("string") - 1)], m.end()
-                while more := _MORE.match(text, stop, end):
-                    value += more[1][1:-1]
-                    places.append((more.start(1) + 1, more.end(1) - 1))
-                    stop = more.end()
+                literal, at = self.string(m)
+                if literal:
+                    out.append(literal)
+            elif m["op"] in _ASSIGNS:
+                # an argument with a name of its own is read as a pair of the line
+                out = out[:-1] if m["op"] != "==" else out
+                names.append(at)
+        if len(out) > 1 and _NAME.fullmatch(out[0][0]) and (_LOOKUP.search(name) or sensitivity(out[0][0])):
+            for literal in out[1:]:
+                self.found.append(((out[0][0],), (), literal))
+            out = out[1:]
+        elif len(out) == 1 and _LOOKUP.search(name):
+            out = []  # the name of what is looked up
+        return ([] if names else out), at
+
+    def value(self, names: tuple[str, ...], at: int, end: int, aliases: tuple[str, ...]) -> int:
+        """Reads what is given to ``names`` from ``at`` on: literals, names and calls, joined by signs. Returns where it ends."""
+        text, joined = self.text, None
+        while True:
+            at = _SPACE.match(text, at, end).end()
+            m = _TOKEN.match(text, at, end)
+            if m and m["string"]:
+                literal, at = self.string(m)
+                if literal and joined:
+                    joined = (joined[0] + literal[0], joined[1] + literal[1])
+                else:
+                    joined = literal
             else:
-                quoted = False
-            if m["prefix"] and {"f", "F", "$"} & set(m["prefix"]) and _FILLED.fullmatch(value):
-                continue
-            yield m["name"], value, places, quoted
-            if m["type"] and sensitivity(m["type"]):
-                yield m["type"], value, places, quoted  # ``settings: password = "x"``
+                if joined:
+                    self.found.append((names, aliases, joined))
+                joined = None
+                m = _BARE.match(text, at, end)
+                if not m:
+                    return at
+                word, at = m[0], m.end()
+                if at < end and text[at] == "(":
+                    literals, at = self.call(word, at, end)
+                    self.found += [(names, aliases, literal) for literal in literals]
+                else:
+                    self.found.append((names, (), (word, [m.span()])))
+                    for name in aliases:
+                        self.given.setdefault(name, []).append(word)
+            go = _JOIN.match(text, at, end)
+            if not go:
+                break
+            at = go.end()
+        if joined:
+            self.found.append((names, aliases, joined))
+        return at
+
+    # -- targets -----------------------------------------------------------------------------------
+    def said(self, m: re.Match) -> str | None:
+        """The name that a token is, or that it quotes."""
+        if m["name"]:
+            return m["name"].lstrip("-$")
+        if m["string"] and not m["triple"]:
+            inner = m["string"][len(m["prefix"] or "") + 1 : -1]
+            return inner if _NAME.fullmatch(inner) else None
+        return None
+
+    def targets(self, before: list[re.Match], op: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+        """Names of an assignment's target, by the tokens before the sign, and those that constants are looked up by."""
+        if not before:
+            return (), ()
+        if before[-1]["op"] == "]" and len(before) > 1 and (key := self.said(before[-2])):
+            own = [key, *([n] if len(before) > 3 and (n := self.said(before[-4])) else [])]
+            return tuple(own), (key,)
+        if op in (":", "=>"):
+            own = self.said(before[-1])
+            return ((own,), (own,)) if own else ((), ())
+        own = tuple(n for t in before if (n := self.said(t)))
+        return own, own[-2:]
+
+    def line(self, lo: int, end: int) -> int:
+        """Reads one line; returns where reading goes on, which is later after a string of several lines."""
+        text, before, at = self.text, [], lo
+        while at < end and (m := _TOKEN.search(text, at, end)):
+            at, op = m.end(), m["op"]
+            if op in _ASSIGNS:
+                names, aliases = self.targets(before, op)
+                if op == ":" and names and (typed := self.annotation(at, end)):
+                    at = self.value((*names, *typed[0]), typed[1], end, aliases)
+                    before = []
+                elif names:
+                    block = text[at:end].strip()
+                    if op == ":" and block in ("|", ">", "|-", ">-"):
+                        return self.block(names, end)
+                    at = max(at, self.value(names, at, end, aliases))
+                    before = []
+                else:
+                    before = []
+            elif op in _ENDS:
+                if op == "(" and before and before[-1]["name"]:
+                    name = before[-1]["name"]
+                    literals, _ = self.call(name, m.start(), end)
+                    if _SETTER.search(name):
+                        self.found += [((name,), (), literal) for literal in literals]
+                before = []
+            else:
+                if m["string"]:
+                    literal, at = self.string(m)
+                    if literal and len(before) > 1 and before[-1]["name"] and (before[-2]["name"] or "").lower() in ("set", "define", "env", "setenv"):
+                        self.found.append(((before[-1]["name"],), (before[-1]["name"],), literal))
+                elif m["name"] and m["name"].startswith("--") and at < end and text[at] in " \t":
+                    self.value((m["name"].lstrip("-"),), at, end, ())
+                before = [*before[1 - _BEFORE :], m]
+        return max(at, end)
+
+    def annotation(self, at: int, end: int) -> tuple[tuple[str, ...], int] | None:
+        """The names of a type that stands after a colon and before a sign, and where that sign ends."""
+        names, depth = [], 0
+        for m in _TOKEN.finditer(self.text, at, end):
+            if m["op"] in ("=", ":="):
+                return tuple(names), m.end()
+            depth += (m["op"] in ("[", "<")) - (m["op"] in ("]", ">"))
+            if m["string"] or m["op"] in ("(", ")", ";", "{", "}", ":") or m["op"] == "," and depth <= 0 or m["bare"] and m["bare"][0] not in "&*":
+                return None
+            if m["name"]:
+                names.append(m["name"])
+        return None
+
+    def block(self, names: tuple[str, ...], end: int) -> int:
+        """The line below a block sign is the value."""
+        stop = self.text.find("\n", end + 1)
+        stop = len(self.text) if stop < 0 else stop
+        value = self.text[end + 1 : stop]
+        if value.strip() and value[0] in " \t":
+            at = end + 1 + len(value) - len(value.lstrip())
+            self.found.append((names, (), (value.strip(), [(at, at + len(value.strip()))])))
+            return stop
+        return end
+
+    def read(self) -> Lines:
+        text, end = self.text, -1
+        for sign in _SIGN.finditer(text):
+            if sign.start() < end:
+                continue  # its line has been read
+            lo = max(end + 1, text.rfind("\n", 0, sign.start()) + 1)
+            stop = text.find("\n", max(sign.start(), lo))
+            end = self.line(lo, len(text) if stop < 0 else stop)
+        if "</" in text:
+            for m in _ELEMENT.finditer(text):
+                self.found.append(((m[1],), (), (m[2], [m.span(2)])))
+        if "value" in text:
+            for tag in _TAG.finditer(text):
+                own = {m[1].lower(): m for m in _ATTRIBUTE.finditer(tag[0])}
+                name = next((own[k] for k in ("key", "name", "id") if k in own), None)
+                if name and "value" in own:
+                    g = 2 if own["value"][2] is not None else 3
+                    a, b = (tag.start() + x for x in own["value"].span(g))
+                    self.found.append(((name[2] or name[3] or "",), (), (own["value"][g], [(a, b)])))
+        return self
 
 
 def literal_spans(text: str, threshold: float = 0.55) -> list[Span]:
     """Literals whose name's sensitivity times their look is at least ``threshold``.
 
-    A sensitive name hands its sensitivity on to the names that it is given by earlier or later lines, and so to all their quoted literals."""
-    found = list(pairs(text))
-    given: dict[str, list[str]] = {}
-    for name, value, _, quoted in found:
-        if not quoted:
-            given.setdefault(name, []).append(value)
-    own = {name: s for name in {f[0] for f in found} if (s := sensitivity(name)) >= threshold}
+    A sensitive name hands its sensitivity on to the names that it is given by earlier or later lines, and so to all their quoted literals;
+    each name is followed once, so long chains cost no more than their length."""
+    if not _STEMS.search(text):
+        return []
+    lines = Lines(text).read()
+    own = {name: s for name in {n for f in lines.found for n in f[0]} if (s := sensitivity(name)) >= threshold}
+    if not own:
+        return []
+    known, by_part = lines.given.keys() | {n for f in lines.found for n in f[1]}, {}
+    for name in known:
+        by_part.setdefault(name.rsplit(".", 1)[-1], set()).add(name)
     reached: dict[str, float] = {}
-    for name in sorted(own, key=lambda n: -own[n]):
+    for name in sorted(own, key=lambda n: (-own[n], n)):
         todo = [name]
         while todo:
             if (one := todo.pop()) not in reached:
                 reached[one] = own[name]
-                todo += given.get(one, [])
+                for other in lines.given.get(one, ()):
+                    todo.append(other)
+                    todo += by_part.pop(other.rsplit(".", 1)[-1], ())
     out = set()
-    for name, value, places, quoted in found:
-        s = (reached if quoted else own).get(name, 0.0)
-        if s >= threshold and s * look(value) >= threshold:
+    for names, aliases, (value, places) in lines.found:
+        s = max([own.get(n, 0.0) for n in names] + [reached.get(n, 0.0) for n in aliases])
+        # a value that the text assigns to is a name
+        if s >= threshold and value not in known and s * look(value) >= threshold:
             out |= {("literal", a, b) for a, b in places if b > a}
     return list(out)
 
@@ -167,7 +354,7 @@ def redacted(text: str, found: list[Span], mark: str = "<{kind}>") -> str:
 def secret_scan(docs: DataFrame, text: str = "text", redact: bool = False) -> DataFrame:
     """All columns of ``docs`` plus spans (array of kind, start, end; code points, end exclusive), for every row.
 
-    With ``redact`` the text has its spans replaced by their kinds. Defined cases: a null text is scanned as an empty
+    With ``redact`` the text has its spans replaced by their kinds. Defined cases: a text is read whole, in time that grows with its length; a null text is scanned as an empty
     one (and stays null); spans of different kinds may overlap; repeated rows give equal results; an empty table gives
     an empty table; an input column named spans is replaced.
     """

@@ -1,7 +1,9 @@
 """SimHash components and secret scans."""
 
 import hashlib
+import random
 import re
+import time
 
 import numpy as np
 import xxhash
@@ -162,3 +164,58 @@ def test_assignments_by_subscript_type_prefix_and_triple_quotes():
 def test_every_literal_of_a_name_is_followed():
     assert literals('K = "Zk8qLm2vR7tYpW3n"\npassword = K\nK = ""\n') == {"Zk8qLm2vR7tYpW3n"}
     assert literals('K = "Zk8qLm2vR7tYpW3n"\nJ = "Ab8qLm2vR7tYpW3n"\nalias = K\nalias = J\npassword = alias\n') == {"Zk8qLm2vR7tYpW3n", "Ab8qLm2vR7tYpW3n"}
+
+
+V = "Zk8qLm2vR7tY9xW"
+#: Ways to write a sensitive name with a literal, and ways that give none.
+FORMS = (
+    'var secretKey string = "%s"', '<add key="password" value="%s"/>', "<property name='secretKey' value='%s'/>", "<password>%s</password>", 'password = A + "%s"', 'key = getenv("API_KEY", "%s")',
+    'password = os.getenv("DB_PW", "%s")', "token = `%s`", 'password = Foo("%s")', 'connect(host="h", password="%s")', "login('user', password = '%s')", '{"a": {"client_secret": "%s"}}', 'set password "%s"',
+    "--password=%s", "--password %s", 'String password = new String("%s");', "password: |\n  %s", 'if password == "%s":', 'let password: Option<&str> = Some("%s");', "PASSWORD ?= %s", 'setPassword("%s")',
+    'headers = {"Authorization": "Bearer %s"}', 'opts.put("password", "%s")', 'password = os.environ.get("X") or "%s"', "define('DB_PASSWORD', '%s');", 'class A:\n  K = "%s"\npassword = A.K', "don't say password: %s",
+)
+PLAIN = ('password = os.getenv("DB_PASSWORD_NAME_1")', 'colour = "%s"', "the token of the day is %s", 'x: str = "%s"\npassword: str', 'password = ""', 'label: "%s"  # password field', 'f(password=None, name="%s")')
+
+
+def test_forms_of_source_and_configuration():
+    for form in FORMS:
+        text = "x\n" + form % V + "\ny"
+        assert V in literals(text), form
+        [(a, b)] = {(a, b) for kind, a, b in S.spans(text) if kind == "literal"}
+        assert text[a:b] == V
+    for form in PLAIN:
+        assert not literals("x\n" + (form % V if "%s" in form else form) + "\ny"), form
+
+
+def test_made_files_against_what_was_put_in():
+    """Brute force from the other side: files made of lines with known literals give exactly the sensitive ones."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghkmnpqrstuvwxyzABCDEFGHKLMNPQRSTUVWXYZ23456789") for _ in range(n)) + "q7Z"
+    for _ in range(150):
+        lines, want = [], set()
+        for k in range(rng.randrange(1, 25)):
+            v, kind = word(16), rng.randrange(6)
+            if kind == 0:
+                lines.append(rng.choice(FORMS[:10] + FORMS[10:16] + FORMS[17:22]) % v)
+                want.add(v)
+            elif kind == 1:
+                lines.append(f'{rng.choice(["colour", "path", "title"])}{k} = "{v}"')
+            elif kind == 2:
+                lines.append(f'CONST_{k} = "{v}"\nalias_{k} = CONST_{k}\ndb_password = alias_{k}')
+                want.add(v)
+            elif kind == 3:
+                lines.append(f"some words about {v} and nothing else, it's told")
+            elif kind == 4:
+                lines.append(f'{{"name{k}": "{v}", "n": {k}}}')
+            else:
+                lines.append(f'return format("{v}", {k})')
+        rng.shuffle(lines)
+        got = literals("\n".join(lines))
+        assert got == want, [x for x in lines if any(v in x for v in got ^ want)]
+
+
+def test_long_texts_take_time_in_proportion():
+    for text in ("\n".join(f"a{i}=a{i + 1}" for i in range(100_000)) + "\npassword=a0", "password " * 200_000, '"' * 300_000 + "password", "password = " + "(" * 200_000, '"""\npassword=' * 50_000, "password = a" + " + a" * 100_000, "<password>" * 100_000 + "</x>", "a:" * 200_000 + "password"):
+        at = time.time()
+        S.spans(text)
+        assert time.time() - at < 8, text[:30]
