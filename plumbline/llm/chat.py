@@ -1,16 +1,18 @@
 """Chat formatting in DataFrame operations only.
 
 Records come in many layouts: rows of turns, prompt and response, instruction with input and output, lists of messages
-under several names. The nested field paths of a record are hashed to a fingerprint, and the fingerprint selects a
-declarative mapping to canonical turns. A template marks the turns and escapes control strings inside roles and
+under several names. The nested field paths of a record, or of a table's schema, are hashed to a fingerprint, and the fingerprint selects a
+declarative mapping to canonical turns. A record's paths come from walking its value, so what else it holds does not matter. A template marks the turns and escapes control strings inside roles and
 texts; the escape is reversible, so the turns can be read back from what was formatted.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,8 +28,8 @@ Path = str
 
 @dataclass(frozen=True)
 class Mapping:
-    """How a layout gives turns: either a list (``each``: its path, ``role`` and ``text``: paths within), or
-    fixed fields (``fields``: path and role, in order; absent or empty optional ones give no turn), or rows (``rows``)."""
+    """How a layout gives turns: fixed fields (``fields``: path and role, in order; absent or empty optional ones give no turn), then a
+    list (``each``: its path, ``role`` and ``text``: fields within; a text may be a list of parts with texts), or rows (``rows``)."""
 
     name: str
     paths: tuple[Path, ...]
@@ -38,19 +40,33 @@ class Mapping:
     rows: tuple[Path, Path, Path, Path] | None = None
 
 
+def _messages(name: str, at: str = "messages", system: bool = False) -> tuple[Mapping, ...]:
+    """Messages whose contents are texts, lists of parts, or now one and now the other."""
+    kinds = {"": (".content",), "_of_parts": (".content[].text",), "_mixed": (".content", ".content[].text")}
+    first = (("system", "system"),) if system else ()
+    return tuple(Mapping(name + k, (*("system",) * system, f"{at}[].role", *(f"{at}[]{t}" for t in texts)), each=at, fields=first) for k, texts in kinds.items())
+
+
 #: The layouts that are known, by their field paths. ``[]`` stands for the elements of a list.
 MAPPINGS = (
     Mapping("turn_rows", ("conv_id", "role", "text", "turn"), rows=("conv_id", "turn", "role", "text")),
-    Mapping("messages", ("messages[].content", "messages[].role"), each="messages"),
+    *_messages("messages"),
+    *_messages("system_messages", system=True),
+    *(m for w in ("data", "conversation", "record") for m in _messages(f"{w}_messages", f"{w}.messages")),
+    Mapping("no_messages", ("messages[]",), each="messages"),
     Mapping("turns", ("turns[].role", "turns[].text"), each="turns", text="text"),
     Mapping("from_value", ("conversations[].from", "conversations[].value"), each="conversations", role="from", text="value"),
     Mapping("prompt_response", ("prompt", "response"), fields=(("prompt", "user"), ("response", "assistant"))),
+    Mapping("prompt_input_response", ("input", "prompt", "response"), fields=(("prompt", "user"), ("input", "user"), ("response", "assistant"))),
     Mapping("prompt_completion", ("completion", "prompt"), fields=(("prompt", "user"), ("completion", "assistant"))),
     Mapping("question_answer", ("answer", "question"), fields=(("question", "user"), ("answer", "assistant"))),
     Mapping("instruction_output", ("instruction", "output"), fields=(("instruction", "user"), ("output", "assistant"))),
+    Mapping("instruction_response", ("instruction", "response"), fields=(("instruction", "user"), ("response", "assistant"))),
     Mapping("instruction_input_output", ("input", "instruction", "output"), fields=(("instruction", "user"), ("input", "user"), ("output", "assistant"))),
     Mapping("system_prompt_response", ("prompt", "response", "system"), fields=(("system", "system"), ("prompt", "user"), ("response", "assistant"))),
 )
+#: Levels of nesting that a record is walked down; what lies deeper is no part of any mapping.
+DEPTH = 6
 #: Roles of other layouts by their canonical names.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 _VOCABULARY = sorted({p for m in MAPPINGS for p in m.paths})
@@ -62,8 +78,14 @@ def fingerprint_of(paths: Column) -> Column:
     return F.xxhash64(F.array_join(known, "\n"))
 
 
-def _of(mapping: Mapping) -> Column:
-    return F.xxhash64(F.lit("\n".join(sorted(mapping.paths))))
+def fingerprint(paths: Iterable[Path]) -> int:
+    """What fingerprint_of() gives for known paths: the signed XXH64 (seed 42) of the sorted ones, a line each."""
+    h = xxhash.xxh64_intdigest("\n".join(sorted(set(paths) & set(_VOCABULARY))).encode(), 42)
+    return h - (h >> 63 << 64)
+
+
+#: The mappings by their fingerprints.
+BY_FINGERPRINT = {fingerprint(m.paths): m for m in MAPPINGS}
 
 
 def schema_paths(schema: T.DataType, at: str = "") -> list[Path]:
@@ -76,16 +98,14 @@ def schema_paths(schema: T.DataType, at: str = "") -> list[Path]:
 
 
 def mapping_of(schema: T.StructType) -> Mapping:
-    """The mapping of a table whose columns are the record, by the same fingerprint as of single records."""
-    paths = tuple(sorted(set(schema_paths(schema)) & set(_VOCABULARY)))
-    for m in MAPPINGS:
-        if tuple(sorted(m.paths)) == paths:
-            return m
-    # other columns may share a name with another layout's fields: then the rows layout wins, if it is whole
-    for m in MAPPINGS:
-        if m.rows and set(m.paths) <= set(paths):
-            return m
-    raise ValueError(f"no mapping for fields {paths}")
+    """The mapping of a table whose columns are the record, by the same fingerprint as of single records.
+
+    Other columns may share a name with another layout's fields: then the rows layout wins, if it is whole."""
+    paths = set(schema_paths(schema))
+    found = BY_FINGERPRINT.get(fingerprint(paths)) or next((m for m in MAPPINGS if m.rows and fingerprint(paths & set(m.paths)) == fingerprint(m.paths)), None)
+    if not found:
+        raise ValueError(f"no mapping for fields {sorted(paths)}")
+    return found
 
 
 def _turn(role: Column, text: Column) -> Column:
@@ -99,7 +119,10 @@ _TURNS = "array<struct<role:string,text:string>>"
 
 
 def turns_of_rows(rows: DataFrame) -> DataFrame:
-    """(conv_id, turns) of a table of turns, in the order of the turn numbers (ties by role and text)."""
+    """(conv_id, turns) of a table of turns, in the order of the turn numbers (ties by role and text).
+
+    The mapping is chosen by the fingerprint of the table's fields; other columns, those that share a name with another layout's fields
+    included, are not read."""
     m = mapping_of(rows.schema)
     if not m.rows:
         raise ValueError("not a table of turns")
@@ -110,10 +133,16 @@ def turns_of_rows(rows: DataFrame) -> DataFrame:
     return grouped.select(F.col(conv).alias("conv_id"), F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
+def _part_text(content: Column) -> Column:
+    """The text of a content: itself, or those of its parts, joined."""
+    parts = F.try_variant_get(content, "$", "array<variant>")
+    return F.when(parts.isNull(), F.try_variant_get(content, "$", "string")).otherwise(F.array_join(F.transform(parts, lambda p: F.try_variant_get(p, "$.text", "string")), ""))
+
+
 def _list_turns(m: Mapping, record: Column) -> Column:
     """Turns of a list layout in a variant record."""
-    kind = f"array<struct<`{m.role}`:string,`{m.text}`:string>>"
-    return F.transform(F.try_variant_get(record, f"$.{m.each}", kind), lambda t: _turn(t[m.role], t[m.text]))
+    elements = F.try_variant_get(record, f"$.{m.each}", "array<variant>")
+    return F.transform(elements, lambda t: _turn(F.try_variant_get(t, f"$.{m.role}", "string"), _part_text(F.try_variant_get(t, f"$.{m.text}", "variant"))))
 
 
 def _field_turns(m: Mapping, record: Column) -> Column:
@@ -121,41 +150,45 @@ def _field_turns(m: Mapping, record: Column) -> Column:
     return F.filter(all_of, lambda t: (t["text"] != "") | (t["role"] == "assistant"))
 
 
+def _record_turns(m: Mapping, record: Column) -> Column:
+    if not m.each:
+        return _field_turns(m, record)
+    return F.concat(_field_turns(m, record), _list_turns(m, record)) if m.fields else _list_turns(m, record)
+
+
 def record_paths(record: Column) -> Column:
-    """The nested field paths of a variant record of objects and lists of objects, as an array of strings.
-
-    Read off the schema that Spark states for the value: ``OBJECT<a: ARRAY<OBJECT<b: STRING>>, c: STRING>``."""
-    said = F.regexp_replace(F.schema_of_variant(record), "`", "")
-    top = F.regexp_replace(said, r"^OBJECT<|>$", "")
-    lists = F.regexp_extract_all(top, F.lit(r"(\w+: ARRAY<OBJECT<[^<>]*>>)"), 1)
-    nested = F.flatten(
-        F.transform(
-            lists,
-            lambda x: F.transform(
-                F.regexp_extract_all(F.regexp_replace(x, r"^\w+: ARRAY<OBJECT<", ""), F.lit(r"(\w+): "), 1),
-                lambda f: F.concat(F.regexp_extract(x, r"^(\w+)", 1), F.lit("[]."), f),
-            ),
-        )
-    )
-    plain = F.regexp_extract_all(F.regexp_replace(top, r"\w+: ARRAY<OBJECT<[^<>]*>>", ""), F.lit(r"(\w+): "), 1)
-    return F.array_distinct(F.concat(nested, plain))
+    """The nested field paths of a variant record, as an array of strings: those of its values that are neither objects nor lists with
+    elements, DEPTH levels down."""
+    nodes = F.array(F.struct(F.lit("").alias("path"), record.alias("value")))
+    none = F.array().cast("array<struct<path:string,value:variant>>")
+
+    def below(n: Column) -> Column:
+        fields = F.map_entries(F.try_variant_get(n["value"], "$", "map<string,variant>"))
+        elements = F.try_variant_get(n["value"], "$", "array<variant>")
+        name = lambda f: F.concat(n["path"], F.when(n["path"] == "", "").otherwise("."), f["key"])
+        inside = F.transform(fields, lambda f: F.struct(name(f).alias("path"), f["value"].alias("value")))
+        each = F.transform(elements, lambda e: F.struct(F.concat(n["path"], F.lit("[]")).alias("path"), e.alias("value")))
+        empty = F.array(F.struct(F.concat(n["path"], F.lit("[]")).alias("path"), F.lit(None).cast("variant").alias("value")))
+        # a node that has nothing below it is kept for the next level
+        return F.coalesce(F.when(F.size(inside) > 0, inside), F.when(F.size(each) > 0, each), F.when(F.size(elements) == 0, empty), F.array(n))
+
+    for _ in range(DEPTH):
+        nodes = F.flatten(F.transform(F.coalesce(nodes, none), below))
+    return F.array_distinct(F.transform(nodes, lambda n: n["path"]))
 
 
 def turns_of_records(records: DataFrame, record: str = "record") -> DataFrame:
     """All columns of ``records`` plus layout and turns, from a JSON text column of mixed layouts.
 
-    A record that is no JSON, or whose fields fit no mapping, gets a null layout and null turns: it is not dropped."""
+    A record that is no JSON, or whose fields fit no mapping, gets a null layout and null turns: it is not dropped. A layout never stands
+    beside null turns. Columns of the table named layout or turns are replaced."""
     parsed = records.withColumn("__v", F.try_parse_json(record))
     parsed = parsed.withColumn("__fp", F.when(F.col("__v").isNotNull(), fingerprint_of(record_paths(F.col("__v")))))
-    per_record = [m for m in MAPPINGS if not m.rows]
-    layout = reduce(lambda c, m: c.when(F.col("__fp") == _of(m), F.lit(m.name)), per_record, F.when(F.lit(False), F.lit("")))
-    turns = reduce(
-        lambda c, m: c.when(F.col("__fp") == _of(m), (_list_turns if m.each else _field_turns)(m, F.col("__v"))),
-        per_record,
-        F.when(F.lit(False), F.lit(None).cast(_TURNS)),
-    )
+    per_record = [(h, m) for h, m in BY_FINGERPRINT.items() if not m.rows]
+    layout = reduce(lambda c, x: c.when(F.col("__fp") == x[0], F.lit(x[1].name)), per_record, F.when(F.lit(False), F.lit("")))
+    turns = reduce(lambda c, x: c.when(F.col("__fp") == x[0], _record_turns(x[1], F.col("__v"))), per_record, F.when(F.lit(False), F.lit(None).cast(_TURNS)))
     kept = [c for c in records.columns if c.lower() not in ("layout", "turns")]
-    return parsed.select(*kept, layout.alias("layout"), turns.alias("turns"))
+    return parsed.withColumn("__turns", turns).select(*kept, F.when(F.col("__turns").isNotNull(), layout).alias("layout"), F.col("__turns").alias("turns"))
 
 
 def escaped(text: Column) -> Column:

@@ -202,6 +202,38 @@ def test_layouts_by_fingerprint(spark):
     assert C.mapping_of(spark.createDataFrame([], "conv_id long, turn long, role string, text string, prompt string").schema).name == "turn_rows"
 
 
+def test_nested_and_extra_fields(spark):
+    """What a record holds beside a known layout changes nothing; what fits none gives neither layout nor turns."""
+    both = [("user", "q"), ("assistant", "a")]
+    say = [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]
+    parts = [{"role": "user", "content": [{"type": "text", "text": "q"}, {"type": "image", "source": {"url": "u"}}]}, {"role": "assistant", "content": [{"text": "a"}]}]
+    cases = [
+        ("messages", {"messages": [m | {"meta": {"lang": "en", "tags": ["x", {"y": 1}]}} for m in say]}, both),
+        ("messages_of_parts", {"messages": parts}, both),
+        ("messages_mixed", {"messages": [parts[0], say[1]]}, both),
+        ("data_messages", {"data": {"messages": say}, "id": 3}, both),
+        ("system_messages", {"system": "s", "messages": say}, [("system", "s"), *both]),
+        ("no_messages", {"messages": []}, []),
+        ("prompt_response", {"id": {"text": "t", "role": 1}, "prompt": "q", "response": "a"}, both),
+        ("prompt_input_response", {"prompt": "q", "input": "i", "response": "a"}, [both[0], ("user", "i"), both[1]]),
+        (None, {"other": {"messages": say}}, None),
+        (None, {"messages": "text"}, None),
+        (None, {"prompt": "q"}, None),
+        (None, [1, 2], None),
+        (None, 5, None),
+        ("messages", {"messages": [*say, {"role": None, "content": None}]}, [*both, ("", "")]),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, (_, r, _) in enumerate(cases)], "n long, record string")
+    got = {r.n: (r.layout, r.turns if r.turns is None else [tuple(t) for t in r.turns]) for r in C.turns_of_records(df).collect()}
+    assert got == {i: (layout, turns) for i, (layout, _, turns) in enumerate(cases)}
+
+
+def test_fingerprints_of_schemas_and_records_agree(spark):
+    paths = F.array(*map(F.lit, ("turn", "other", "text", "conv_id", "role")))
+    assert spark.range(1).select(C.fingerprint_of(paths)).first()[0] == C.fingerprint(["role", "text", "turn", "conv_id", "z"])
+    assert len(C.BY_FINGERPRINT) == len(C.MAPPINGS)
+
+
 def library():
     import sentencepiece
 
