@@ -45,6 +45,18 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(nullable(df.schema)).parquet(path)
 
 
+def _deleted(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that written() gave, once nothing reads it any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder.rsplit("/", 2)[-2] == "plumbline":
+            _deleted(df.sparkSession, folder)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Deletes at its end what written() wrote inside, but for what goes through the function it gives: that is
@@ -64,5 +76,4 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     finally:
         _open.reset(token)
         for path in own:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _deleted(spark, path)
