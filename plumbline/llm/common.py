@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from plumbline.sources.shared import nullable, scratch, shared_folder, written
+from plumbline.sources.shared import discard, nullable, scratch, shared_folder, written
 
-__all__ = ["WHITESPACE", "Remembered", "nullable", "raw_texts", "scratch", "shared_folder", "with_columns", "written"]
+__all__ = ["WHITESPACE", "Remembered", "discard", "nullable", "raw_texts", "scratch", "shared_folder", "with_columns", "written"]
 
 #: The white space of every word and line contract: space and the five controls from tab to return.
 WHITESPACE = b" \t\n\x0b\x0c\r"

@@ -3,7 +3,8 @@
 Distinct fingerprints are compared with exclusive-or and bit counts in numpy, tile against tile. Tile pairs
 whose population counts differ by more than the radius are skipped, as are those that share none of the
 radius + 1 equal slices of bits, one of which two fingerprints within the radius have in common: a tile is
-the fingerprints of one slice value and one population count. Both skips lose no pair. A tile pair gives the
+the fingerprints of one slice value and one population count. Both skips lose no pair; what is left to compare still grows with the
+square of the distinct fingerprints, divided by the number of slice values (65,536) and by the counts. A tile pair gives the
 links of a spanning forest, not all its pairs, and components are found by rounds of star contraction in
 DataFrame operations.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import raw_texts, written
+from plumbline.llm.common import discard, raw_texts, written
 
 #: Shingles whose bits are added up at a time.
 CHUNK = 1 << 16
@@ -142,7 +143,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that each node of ``links`` (src, dst: longs) is joined with.
 
     Large-star and small-star steps in turn, each a grouped minimum and a join; every round is written to the
-    shared folder, and nothing but two sums comes to the driver."""
+    shared folder, which drops the one before, and nothing but two sums comes to the driver. A hub's links meet in one key of two longs a row: adaptive
+    execution splits it where it outgrows a partition, and every round leaves fewer of them."""
     pairs = written(links.filter("src != dst").select(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi")).distinct())
     if pairs.isEmpty():
         return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
@@ -163,7 +165,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     last = None
     for _ in range(rounds):
-        pairs = written(star(star(pairs, True), False))
+        before, pairs = pairs, written(star(star(pairs, True), False))
+        discard(before)
         now = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first())
         if now == last:
             return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
