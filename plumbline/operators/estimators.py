@@ -591,16 +591,10 @@ def binary_double_ml(df: DataFrame, outcome: str, treatment: str, controls: list
     return _normal("binary_double_ml", o.theta, math.sqrt(o.psi2 / (o.n - 1)), o.n, alpha, **o.fits)
 
 
-def with_propensity(df: DataFrame, treatment: str, controls: list[str], clip: float = 1e-6) -> DataFrame:
+def with_propensity(df: DataFrame, treatment: str, controls: list[str], clip: float = 1e-6, penalty: float = 0.0) -> DataFrame:
     """``df`` plus e, a logistic propensity clipped to [clip, 1 - clip]."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    ready = VectorAssembler(inputCols=controls, outputCol="__x").transform(df)
-    fit = LogisticRegression(featuresCol="__x", labelCol=treatment, probabilityCol="__p", rawPredictionCol="__r", predictionCol="__q").fit(ready)
-    e = F.greatest(F.lit(clip), F.least(F.lit(1 - clip), vector_to_array("__p")[1]))
-    return fit.transform(ready).withColumn("e", e).drop("__x", "__p", "__r", "__q")
+    model = logistic_models(df, treatment, controls, {0: F.lit(True)}, penalty)[0]
+    return df.withColumn("e", F.greatest(F.lit(clip), F.least(F.lit(1 - clip), 1 / (1 + F.exp(-predicted(model, controls))))))
 
 
 def ipw(df: DataFrame, outcome: str, treatment: str, propensity: str = "e", alpha: float = 0.05) -> Effect:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import estimators as E
 from plumbline.operators import diagnosis, generators, monitoring, order, production, sensitivity, series, simulation
-from plumbline.sources import macro
+from plumbline.sources import macro, tables
+from plumbline.sources.shared import shared_folder
 from plumbline.streaming.slopes import windowed_slope
 
 _ALL: dict[str, tuple] = {}
@@ -99,7 +102,14 @@ def double_ml(spark, sf_dir):
     return _said(E.double_ml(_lines(spark, sf_dir), "y", "t", ["x"], fold="f"), spark)
 
 
-@query()
+_SOFT = "sign({0}) * greatest(abs({0}) - 0.1, 0) / {1}"
+
+
+@query(f"""WITH RECURSIVE {_LINES}, q AS (SELECT d.*, k FROM d JOIN range(5) r(k) ON d.f != k)
+, c AS (SELECT k, avg(x) AS mx, avg(x2) AS mz, avg(y) AS my, avg(t) AS mt, var_pop(x) AS xx, var_pop(x2) AS zz, covar_pop(x, x2) AS xz, covar_pop(y, x) AS yx, covar_pop(y, x2) AS yz, covar_pop(t, x) AS tx, covar_pop(t, x2) AS tz FROM q GROUP BY k)
+, w AS (SELECT k, 0 AS i, 0.0::DOUBLE AS y1, 0.0::DOUBLE AS y2, 0.0::DOUBLE AS t1, 0.0::DOUBLE AS t2 FROM c
+ UNION ALL SELECT k, i + 1, y1, {_SOFT.format('(yz - xz * y1)', 'zz')}, t1, {_SOFT.format('(tz - xz * t1)', 'zz')} FROM (SELECT k, i, {_SOFT.format('(yx - xz * y2)', 'xx')} AS y1, {_SOFT.format('(tx - xz * t2)', 'xx')} AS t1, xz, yz, tz, zz FROM w JOIN c USING (k) WHERE i < 200))
+, r AS (SELECT y - my - y1 * (x - mx) - y2 * (x2 - mz) AS yr, t - mt - t1 * (x - mx) - t2 * (x2 - mz) AS tr FROM d JOIN c ON d.f = c.k JOIN w ON d.f = w.k AND w.i = 200){_IID}""")
 def double_ml_lasso(spark, sf_dir):
     return _said(E.double_ml(_lines(spark, sf_dir), "y", "t", ["x", "x2"], fold="f", model_y="lasso", model_t="lasso"), spark)
 
@@ -183,7 +193,7 @@ def _long(spark, sf_dir) -> DataFrame:
 
 
 def _resampled(frequency: str, method: str, fn: str):
-    @query(f"WITH {_LONG} SELECT series_id, CAST({_END[frequency]} AS DATE) AS date, round({fn}(value), 6) AS value FROM e WHERE value IS NOT NULL GROUP BY 1, 2", dated=True)
+    @query(f"WITH {_LONG} SELECT series_id, CAST({_END[frequency]} AS DATE) AS date, round({fn.format('value')}, 6) AS value FROM e WHERE value IS NOT NULL GROUP BY 1, 2", dated=True)
     def run(spark, sf_dir):
         return series.resample(_long(spark, sf_dir), frequency, method).withColumn("value", F.round("value", 6)).select("series_id", "date", "value")
 
@@ -191,8 +201,9 @@ def _resampled(frequency: str, method: str, fn: str):
     _ALL[name] = _ALL.pop("run")
 
 
-for _f, _m, _n in (("D", "mean", "avg"), ("W", "sum", "sum"), ("M", "mean", "avg"), ("Q", "sum", "sum"), ("A", "mean", "avg")):
-    _resampled(_f, _m, _n)
+for _f in series.FREQUENCIES:
+    for _m, _n in (("mean", "avg({})"), ("sum", "sum({})"), ("last", "last({} ORDER BY date, value)"), ("first", "first({} ORDER BY date, value)")):
+        _resampled(_f, _m, _n)
 
 _DAILY = f"{_LONG}, g AS (SELECT series_id, date, sum(value) AS v FROM e WHERE value IS NOT NULL GROUP BY 1, 2), l AS (SELECT *, lag(v, 1) OVER w AS p, lag(v, 12) OVER w AS y FROM g WINDOW w AS (PARTITION BY series_id ORDER BY date))"
 
@@ -205,7 +216,7 @@ def _transformed(kind: str, expression: str):
     _ALL[f"transform_{kind}"] = _ALL.pop("run")
 
 
-for _k, _x in (("pct_change", "(v / p - 1) * 100"), ("pct_change_yoy", "(v / y - 1) * 100"), ("diff", "v - p"), ("log_diff", "100 * (ln(v) - ln(p))"), ("log", "ln(v)")):
+for _k, _x in (("pct_change", "(v / p - 1) * 100"), ("pct_change_yoy", "(v / y - 1) * 100"), ("diff", "v - p"), ("log_diff", "100 * (ln(v) - ln(p))"), ("log", "ln(v)"), ("level", "v")):
     _transformed(_k, _x)
 
 
@@ -224,6 +235,12 @@ def forward_filled(spark, sf_dir):
     return series.fill(g, ["v"], "ffill").select("date", F.round("v", 6).alias("v"))
 
 
+@query(f"WITH {_GAPS} SELECT date, round(first_value(v IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS v FROM g", dated=True)
+def backward_filled(spark, sf_dir):
+    g = _long(spark, sf_dir).groupBy("date").agg(F.when(F.day("date") % 3 == 0, F.avg("value")).alias("v"))
+    return series.fill(g, ["v"], "bfill").select("date", F.round("v", 6).alias("v"))
+
+
 @query(f"WITH {_GAPS}, b AS (SELECT date, v, last_value(v IGNORE NULLS) OVER a AS v0, first_value(v IGNORE NULLS) OVER z AS v1, last_value(CASE WHEN v IS NOT NULL THEN date END IGNORE NULLS) OVER a AS d0, first_value(CASE WHEN v IS NOT NULL THEN date END IGNORE NULLS) OVER z AS d1 FROM g WINDOW a AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), z AS (ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT date, round(CASE WHEN v IS NOT NULL THEN v WHEN v1 IS NULL THEN v0 ELSE v0 + (v1 - v0) * (date - d0) / (d1 - d0) END, 6) AS v FROM b", dated=True)
 def interpolated(spark, sf_dir):
     g = _long(spark, sf_dir).groupBy("date").agg(F.when(F.day("date") % 3 == 0, F.avg("value")).alias("v"))
@@ -408,12 +425,31 @@ def confounding_bias_grid(spark, sf_dir):
     return spark.createDataFrame([(g, round(z, 5)) for g, z in sensitivity.for_effect(e.theta, e.se, e.n).z_values.items()], "gamma double, z double")
 
 
-@query()
+def _newton(rows: str, target: str, penalty: float = 0.0, rounds: int = 9) -> str:
+    """Steps w0, w1, ... of Newton's method for logistic models on x and x2 (ridge on the slopes), one for each k of ``rows``."""
+    out = [f"w0 AS (SELECT k, ln(avg({target}) / (1 - avg({target}))) AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2 FROM {rows} GROUP BY k)"]
+    for i in range(rounds):
+        p = "1 / (1 + exp(-(b0 + b1 * x + b2 * x2)))"
+        out.append(f"""l{i} AS (SELECT k, x, x2, b0, b1, b2, {target} - {p} AS g, {p} * (1 - {p}) AS h FROM {rows} JOIN w{i} USING (k))
+, s{i} AS (SELECT k, any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2, sum(g) AS g0, sum(g * x) - {penalty} * any_value(b1) AS g1, sum(g * x2) - {penalty} * any_value(b2) AS g2
+, sum(h) AS a, sum(h * x) AS b, sum(h * x2) AS c, sum(h * x * x) + {penalty} AS d, sum(h * x * x2) AS e, sum(h * x2 * x2) + {penalty} AS f FROM l{i} GROUP BY k)
+, w{i + 1} AS (SELECT k, b0 + (g0 * (d * f - e * e) - b * (g1 * f - e * g2) + c * (g1 * e - d * g2)) / z AS b0, b1 + (a * (g1 * f - g2 * e) - g0 * (b * f - e * c) + c * (b * g2 - g1 * c)) / z AS b1
+, b2 + (a * (d * g2 - e * g1) - b * (b * g2 - g1 * c) + g0 * (b * e - d * c)) / z AS b2 FROM (SELECT *, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) AS z FROM s{i}))""")
+    return ", ".join(out)
+
+
+#: Centred sums of y on x and x2, and slopes by them with a ridge; ``{r}``: the ridge.
+_TWO = """SELECT *, (cyx * (czz + {r}) - cyz * cxz) / z AS b1, (cyz * (cxx + {r}) - cyx * cxz) / z AS b2 FROM (SELECT *, (cxx + {r}) * (czz + {r}) - cxz * cxz AS z FROM (
+SELECT k, avg(x) AS mx, avg(x2) AS mz, avg({t}) AS my, regr_sxx(x, x) AS cxx, regr_sxx(x2, x2) AS czz, regr_sxy(x, x2) AS cxz, regr_sxy({t}, x) AS cyx, regr_sxy({t}, x2) AS cyz FROM {rows} GROUP BY k))"""
+_LOGIT = f"{_LINES}, q AS (SELECT *, 0 AS k FROM d), {_newton('q', 'd')}, e AS (SELECT q.*, greatest(1e-6, least(1 - 1e-6, 1 / (1 + exp(-(b0 + b1 * x + b2 * x2))))) AS e FROM q JOIN w9 USING (k))"
+
+
+@query(f"WITH {_LOGIT}, v AS (SELECT y * d / e - y * (1 - d) / (1 - e) AS v FROM e) SELECT round(avg(v), 6) AS theta, round(sqrt(var_samp(v) / count(*)), 6) AS se, count(*) AS n FROM v")
 def ipw_logit(spark, sf_dir):
     return _said(E.ipw(E.with_propensity(_lines(spark, sf_dir), "d", ["x", "x2"]), "y", "d"), spark)
 
 
-@query()
+@query(f"WITH {_LOGIT}, arms AS (SELECT y, x, x2, d AS k FROM d), m AS ({_TWO.format(r=0, t='y', rows='arms')}), f AS (SELECT e.y, e.d, e.e, a.my + a.b1 * (x - a.mx) + a.b2 * (x2 - a.mz) AS m0, b.my + b.b1 * (x - b.mx) + b.b2 * (x2 - b.mz) AS m1 FROM e JOIN m a ON a.k = 0 JOIN m b ON b.k = 1), v AS (SELECT m1 - m0 + d * (y - m1) / e - (1 - d) * (y - m0) / (1 - e) AS v FROM f) SELECT round(avg(v), 6) AS theta, round(sqrt(var_samp(v) / count(*)), 6) AS se, count(*) AS n FROM v")
 def aipw_logit(spark, sf_dir):
     return _said(E.aipw(E.with_propensity(_lines(spark, sf_dir), "d", ["x", "x2"]), "y", "d", ["x", "x2"]), spark)
 
@@ -474,7 +510,10 @@ def dynamic_g_series(spark, sf_dir):
     return E.effect_by_period(spark, g).select("period", F.round("theta", 6).alias("theta"), F.lit(g["n"]).cast("long").alias("n"))
 
 
-@query()
+_OTHERS = "q AS (SELECT d.*, k FROM d JOIN range(5) r(k) ON d.f != k)"
+
+
+@query(f"WITH {_LINES}, {_OTHERS}, {_newton('q', 'd', 1.0)}, m AS ({_TWO.format(r=1, t='y', rows='q')}), r AS (SELECT y - my - m.b1 * (x - mx) - m.b2 * (x2 - mz) AS yr, d - 1 / (1 + exp(-(w.b0 + w.b1 * x + w.b2 * x2))) AS tr FROM d JOIN m ON d.f = m.k JOIN w9 w ON d.f = w.k){_IID}")
 def binary_double_ml(spark, sf_dir):
     return _said(E.binary_double_ml(_lines(spark, sf_dir), "y", "d", ["x", "x2"], "f"), spark)
 
@@ -579,3 +618,145 @@ def power_by_size(spark, sf_dir):
     half = F.lit(1.96) * F.stddev_samp("y") / F.sqrt(F.count("y"))
     u = _lines(spark, sf_dir).groupBy("unit").agg((F.avg("y") - half - 30).alias("ci_lower"), (F.avg("y") + half - 30).alias("ci_upper"), (F.count("y") % 3).alias("third"))
     return diagnosis.power_curve(u, "third").select("third", F.round("power", 6).alias("power"), "n")
+
+
+# -- sources, stores, monitoring and errors over tables -------------------------------------------
+_RETAIL = "SELECT ln(l_quantity) AS logmove, l_extendedprice / l_quantity AS price, l_discount AS feat, l_returnflag AS brand, l_tax AS INCOME, CAST(l_linenumber AS DOUBLE) AS AGE60, CAST(l_suppkey AS DOUBLE) AS EDUC FROM lineitem"
+
+
+def _retail(spark, sf_dir) -> DataFrame:
+    """The lines as a retail table, by way of a CSV file."""
+    lines = _read(spark, sf_dir, "lineitem").select(
+        F.ln("l_quantity").alias("logmove"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_discount").alias("feat"), F.col("l_returnflag").alias("brand"),
+        F.col("l_tax").alias("INCOME"), F.col("l_linenumber").cast("double").alias("AGE60"), F.col("l_suppkey").cast("double").alias("EDUC"),
+    )
+    path = f"{shared_folder(spark)}/plumbline/retail-{uuid.uuid4().hex}"
+    lines.write.csv(path, header=True)
+    return tables.csv_source(spark, path, tables.RETAIL)
+
+
+@query(f"WITH r AS ({_RETAIL}) SELECT brand, count(*) AS n, round(sum(logmove), 4) AS logmove, round(sum(price), 2) AS price, round(sum(EDUC), 2) AS educ FROM r GROUP BY brand")
+def retail_csv(spark, sf_dir):
+    return _retail(spark, sf_dir).groupBy("brand").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("logmove"), 4).alias("logmove"), F.round(F.sum("price"), 2).alias("price"), F.round(F.sum("EDUC"), 2).alias("educ"))
+
+
+@query(f"WITH r AS ({_RETAIL}) SELECT round(y, 6) AS y, round(t, 6) AS t, round(INCOME, 6) AS income, count(*) AS n FROM (SELECT logmove AS y, ln(price) AS t, INCOME FROM r WHERE brand = 'R') GROUP BY 1, 2, 3")
+def retail_of_brand(spark, sf_dir):
+    own = tables.retail(_retail(spark, sf_dir), ["INCOME"], "R")
+    return own.groupBy(F.round("y", 6).alias("y"), F.round("t", 6).alias("t"), F.round("INCOME", 6).alias("income")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT DISTINCT 'brand' AS kind, l_returnflag AS name FROM lineitem UNION ALL SELECT 'feature', unnest(['feat', 'INCOME', 'AGE60', 'EDUC'])")
+def retail_introspection(spark, sf_dir):
+    r = _retail(spark, sf_dir)
+    return tables.brands(r).select(F.lit("brand").alias("kind"), F.col("brand").alias("name")).unionByName(spark.createDataFrame([("feature", c) for c in tables.features(r)], "kind string, name string"))
+
+
+_DAILY_MEANS = f"WITH {_LONG}, g AS (SELECT series_id, date, avg(value) AS value FROM e GROUP BY 1, 2)"
+
+
+def _daily(spark, sf_dir) -> DataFrame:
+    return series.resample(_long(spark, sf_dir), "D")
+
+
+def _chosen(name: str, ids: list[str], start: str | None, end: str | None, cached: bool = False) -> None:
+    def f(spark, sf_dir):
+        own = _daily(spark, sf_dir)
+        if cached:
+            cache = macro.Cache(spark, f"{shared_folder(spark)}/plumbline/cache-{uuid.uuid4().hex}")
+            cache.write(own)
+            own = cache.read(ids, start, end)
+        else:
+            own = macro.series(own, ids, start, end)
+        return own.select("series_id", "date", F.round("value", 6).alias("value"))
+
+    f.__name__ = name
+    dates = "".join(f" AND date {sign} DATE '{d}'" for sign, d in ((">=", start), ("<=", end)) if d)
+    query(f"{_DAILY_MEANS} SELECT series_id, date, round(value, 6) AS value FROM g WHERE series_id IN ({', '.join(map(repr, ids))}){dates}", dated=True)(f)
+
+
+_chosen("series_single", ["click"], None, None)
+_chosen("series_several", ["click", "purchase"], "2024-01-05", "2024-01-20")
+_chosen("series_cached", ["click", "view"], "2024-01-03", None, cached=True)
+
+
+@query(f"{_DAILY_MEANS}, l AS (SELECT series_id, date, value - lag(value) OVER (PARTITION BY series_id ORDER BY date) AS v FROM g), w AS (SELECT date, max(v) FILTER (WHERE series_id = 'click') AS click, max(v) FILTER (WHERE series_id = 'purchase') AS purchase FROM l WHERE series_id IN ('click', 'purchase') GROUP BY date), f AS (SELECT date, last_value(click IGNORE NULLS) OVER o AS click, last_value(purchase IGNORE NULLS) OVER o AS purchase FROM w WHERE date BETWEEN DATE '2024-01-02' AND DATE '2024-01-25' WINDOW o AS (ORDER BY date ROWS UNBOUNDED PRECEDING)) SELECT date, round(click, 6) AS click, round(purchase, 6) AS purchase FROM f WHERE click IS NOT NULL AND purchase IS NOT NULL", dated=True)
+def macro_controls_of_events(spark, sf_dir):
+    wide = series.macro_controls(_long(spark, sf_dir), ["click", "purchase"], "2024-01-02", "2024-01-25", "D", kind="diff")
+    return wide.select("date", F.round("click", 6).alias("click"), F.round("purchase", 6).alias("purchase"))
+
+
+_RUNS = "r AS (SELECT event_type AS method, event_id AS sim_id, value AS estimate, value - 20 AS ci_lower, value + 20 AS ci_upper FROM events), m AS (SELECT method, avg(estimate - 40) AS bias, abs(avg(estimate - 40)) AS abs_bias, avg((estimate - 40) ** 2) AS mse, avg(CASE WHEN ci_lower <= 40 AND ci_upper >= 40 THEN 1.0 ELSE 0.0 END) AS coverage, avg(ci_upper - ci_lower) AS width, count(estimate) AS n FROM r GROUP BY method)"
+
+
+def _runs(spark, sf_dir) -> DataFrame:
+    return _read(spark, sf_dir, "events").select(F.col("event_type").alias("method"), F.col("event_id").alias("sim_id"), F.col("value").alias("estimate"), (F.col("value") - 20).alias("ci_lower"), (F.col("value") + 20).alias("ci_upper"))
+
+
+@query(f"WITH {_RUNS} SELECT method, round(bias, 6) AS bias, round(abs_bias, 6) AS abs_bias, round(mse, 4) AS mse, round(sqrt(mse), 6) AS rmse, round(coverage, 6) AS coverage, round(width, 6) AS width, n FROM m")
+def method_summary(spark, sf_dir):
+    t = diagnosis.method_table(_runs(spark, sf_dir), 40.0)
+    return t.select("method", *[F.round(c, 4 if c == "mse" else 6).alias(c) for c in ("bias", "abs_bias", "mse", "rmse", "coverage", "width")], "n")
+
+
+@query(f"WITH {_RUNS} SELECT arg_min(method, abs_bias) AS best_bias, arg_max(method, abs_bias) AS worst_bias, arg_min(method, mse) AS best_mse, arg_max(method, coverage) AS best_coverage, round(avg(abs_bias), 6) AS mean_abs_bias, round(avg(mse), 4) AS mean_mse, round(avg(coverage), 6) AS mean_coverage FROM m")
+def best_and_worst_methods(spark, sf_dir):
+    b = diagnosis.best_and_worst(diagnosis.method_table(_runs(spark, sf_dir), 40.0))
+    row = (b["best_bias"], b["worst_bias"], b["best_mse"], b["best_coverage"], round(b["mean_abs_bias"], 6), round(b["mean_mse"], 4), round(b["mean_coverage"], 6))
+    return spark.createDataFrame([row], "best_bias string, worst_bias string, best_mse string, best_coverage string, mean_abs_bias double, mean_mse double, mean_coverage double")
+
+
+@query(f"WITH {_RUNS} SELECT count(*) AS n, round(avg(estimate - 40), 6) AS bias, round(avg((estimate - 40) ** 2), 4) AS mse, round(avg(CASE WHEN ci_lower <= 40 AND ci_upper >= 40 THEN 1.0 ELSE 0.0 END), 6) AS coverage, CASE WHEN abs(avg(estimate - 40)) > 0.15 THEN 'FAIL' END AS status FROM r")
+def bias_validation(spark, sf_dir):
+    v = simulation.validation(_runs(spark, sf_dir), 40.0)
+    return spark.createDataFrame([(v["n"], round(v["bias"], 6), round(v["mse"], 4), round(v["coverage"], 6), v["status"])], "n long, bias double, mse double, coverage double, status string")
+
+
+@query("SELECT event_type AS method, CASE WHEN value > 50 THEN 'FAIL' ELSE 'PASS' END AS status, count(*) AS count FROM events GROUP BY 1, 2")
+def stored_results(spark, sf_dir):
+    store = tables.ResultStore(spark, f"{shared_folder(spark)}/plumbline/results-{uuid.uuid4().hex}")
+    store.write(_read(spark, sf_dir, "events").select(F.col("event_type").alias("method"), F.when(F.col("value") > 50, "FAIL").otherwise("PASS").alias("status"), "value"))
+    return store.counts()
+
+
+@query(f"WITH {_LINES}, s AS (SELECT regr_slope(y, t) AS b, regr_sxx(y, t) AS sxx, regr_syy(y, t) AS syy, regr_sxy(y, t) AS sxy, count(*) AS n FROM d), e AS (SELECT b, sqrt((syy - b * sxy) / (n - 2) / sxx) AS se FROM s) SELECT DISTINCT f, round(-2 * b, 5) AS effect, round(-2 * b - 2 * 1.959963984540054 * se, 5) AS effect_lower, round(-2 * b + 2 * 1.959963984540054 * se, 5) AS effect_upper FROM d, e")
+def effects_of_a_change(spark, sf_dir):
+    d = _lines(spark, sf_dir)
+    e = E.naive_ols(d, "y", "t")
+    return E.effect_interval(E.effect(d.select("f").distinct(), e.theta, 3.0, 1.0), e, 3.0, 1.0).select("f", *[F.round(c, 5).alias(c) for c in ("effect", "effect_lower", "effect_upper")])
+
+
+_STABLE = "st AS (SELECT abs(b - a) / abs(a) AS v FROM (SELECT regr_slope(y, t) FILTER (WHERE f < 2) AS a, regr_slope(y, t) FILTER (WHERE f >= 2) AS b FROM d))"
+
+
+@query(f"WITH {_LINES}, {_STABLE} SELECT CASE WHEN v >= 0.5 THEN 'CRITICAL' WHEN v >= 0.2 THEN 'WARNING' ELSE 'OK' END AS level, round(v, 6) AS value FROM st")
+def effect_stability_check(spark, sf_dir):
+    d = _lines(spark, sf_dir)
+    return _checked(monitoring.effect_stability(E.naive_ols(d.filter("f >= 2"), "y", "t").theta, E.naive_ols(d.filter("f < 2"), "y", "t").theta), spark)
+
+
+@query(f"WITH {_LINES}, {_STABLE}, a AS (SELECT 'effect_stability' AS check_name, CASE WHEN v >= 0.5 THEN 'CRITICAL' WHEN v >= 0.2 THEN 'WARNING' ELSE 'OK' END AS level, round(v, 6) AS value FROM st UNION ALL SELECT 'treatment_shift', * FROM ({_ALL['treatment_shift_binary'][1]}) UNION ALL SELECT 'covariate_shift', * FROM ({_ALL['covariate_shift'][1]})) SELECT check_name, level, value FROM a")
+def all_checks(spark, sf_dir):
+    d = _lines(spark, sf_dir)
+    old, new = d.filter("f < 2"), d.filter("f >= 2")
+    slope = lambda rows: E.naive_ols(rows, "y", "t").theta
+    found = monitoring.run_all(reference=old, current=new, treatment="d", covariates=["x", "x2", "unit"], effect=(slope(new), None), baseline=(slope(old), None))
+    return monitoring.to_df(spark, found).select("check_name", "level", F.round("value", 6).alias("value"))
+
+
+@query("WITH p AS (SELECT event_id, value - avg(value) OVER () AS psi FROM events), l AS (SELECT psi, lag(psi) OVER (ORDER BY event_id) AS b FROM p), r AS (SELECT greatest(-0.97, least(0.97, regr_slope(psi, b))) AS r, count(*) AS n FROM l) SELECT CAST(floor(1.1447 * (4 * r ** 2 * n / ((1 - r) ** 2 * (1 + r) ** 2)) ** (1.0 / 3)) AS BIGINT) AS bandwidth FROM r")
+def andrews_bandwidth(spark, sf_dir):
+    d = _events(spark, sf_dir)
+    psi = order.with_position(d.select("event_id", (F.col("y") - d.agg(F.avg("y")).first()[0]).alias("psi")), "event_id")
+    return spark.createDataFrame([(E.andrews_bandwidth(psi),)], "bandwidth long")
+
+
+def _lagged_products(a: str, b: str) -> str:
+    return " + ".join([f"sum({a} * {b})", *(f"{1 - k / 5} * (sum({a} * {b}{k}) + sum({b} * {a}{k}))" for k in range(1, 5))])
+
+
+@query(f"WITH e AS (SELECT event_id, value - avg(value) OVER () AS a, user_id % 10 - avg(user_id % 10) OVER () AS b FROM events), l AS (SELECT a, b, {', '.join(f'lag({c}, {k}) OVER (ORDER BY event_id) AS {c}{k}' for c in 'ab' for k in range(1, 5))} FROM e) SELECT round(({_lagged_products('a', 'a')}) / count(*), 4) AS aa, round(({_lagged_products('a', 'b')}) / count(*), 4) AS ab, round(({_lagged_products('b', 'b')}) / count(*), 4) AS bb FROM l")
+def long_run_covariance(spark, sf_dir):
+    d, n = order.positioned(_events(spark, sf_dir).select("event_id", "y", "t"), "event_id")
+    c = E.long_run_covariance(d, ["y", "t"], n, 4)
+    return spark.createDataFrame([(round(float(c[0, 0]), 4), round(float(c[0, 1]), 4), round(float(c[1, 1]), 4))], "aa double, ab double, bb double")

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources.shared import written
+
 RETAIL = "logmove double, price double, feat double, brand string, INCOME double, AGE60 double, EDUC double"
 
 #: Fixed names of the invented macro series.
@@ -43,6 +45,11 @@ def brands(df: DataFrame) -> DataFrame:
     return df.select("brand").distinct()
 
 
+def features(df: DataFrame) -> list[str]:
+    """The columns of a retail table that can be features: all but the sales, the price and the brand."""
+    return [c for c in df.columns if c not in ("logmove", "price", "brand")]
+
+
 def savings(df: DataFrame, treatment: str = "e401") -> tuple[DataFrame, list[str]]:
     """y = net_tfa, t = the chosen eligibility, controls = all other columns."""
     controls = [c for c in df.columns if c not in ("net_tfa", "e401", "p401")]
@@ -82,5 +89,18 @@ class ResultStore:
             df = df if v is None else df.filter(F.col(c) == v)
         return df.orderBy(F.desc("stored_at")).limit(limit)
 
+    def purge(self, older_than_days: float, now: float | None = None) -> int:
+        """Drops the results stored more than so many days ago, and says how many. What stays is written to a new table that then takes the
+        old one's place."""
+        import time
+
+        table = self.spark.read.parquet(self.path)
+        young = F.unix_timestamp("stored_at") >= int((now or time.time()) - 86_400 * older_than_days)
+        kept = written(table.filter(young))
+        dropped = table.count() - kept.count()
+        if dropped:
+            kept.write.mode("overwrite").parquet(self.path)
+        return dropped
+
     def counts(self) -> DataFrame:
         return self.spark.read.parquet(self.path).groupBy("method", "status").count()
