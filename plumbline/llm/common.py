@@ -17,7 +17,7 @@ WHITESPACE = b" \t\n\x0b\x0c\r"
 
 
 class Remembered(dict):
-    """What a worker remembers of strings; starts anew beyond ``limit`` bytes, which bounds its memory and changes no result.
+    """What a worker remembers of strings, by ``limit`` bytes: room() starts anew beyond them, which bounds its memory and changes no result.
 
     An entry counts as its own bytes and what a dictionary spends on it."""
 
@@ -25,10 +25,12 @@ class Remembered(dict):
         super().__init__()
         self.limit, self.bytes = limit, 0
 
-    def keep(self, key: str | bytes, value: bytes | int) -> bytes | int:
+    def room(self) -> None:
         if self.bytes > self.limit:
             self.clear()
             self.bytes = 0
+
+    def keep(self, key: str | bytes, value: bytes | int) -> bytes | int:
         self.bytes += 200 + (len(key) if isinstance(key, bytes) or key.isascii() else 4 * len(key)) + (len(value) if isinstance(value, bytes) else 0)
         self[key] = value
         return value

@@ -56,14 +56,12 @@ class WordEncoder:
             return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
         runs = _RUNS.findall(text.lower())
         known = self.known
+        known.room()
         new = [r for r in dict.fromkeys(runs) if r not in known]
-        if not new:
-            return b"".join(map(known.__getitem__, runs))
-        fresh = dict(zip(new, (self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        out = b"".join([fresh[r] if r in fresh else known[r] for r in runs])
-        for r, ids in fresh.items():
-            known.keep(r, ids)
-        return out
+        if new:
+            for r, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                known.keep(r, self._bytes(e.ids))
+        return b"".join(map(known.__getitem__, runs))
 
 
 _encoders: dict[str, WordEncoder] = {}

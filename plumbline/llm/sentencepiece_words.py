@@ -205,18 +205,18 @@ class PieceModel:
             last.append(best[2])
 
     # -- texts -----------------------------------------------------------------------------------
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of the distinct words; those not remembered are segmented, in one walk."""
-        out = {w: k for w in words if (k := self.known.get(w)) is not None}
-        new = sorted(words - out.keys())
+    def learn(self, words: set[str]) -> None:
+        """Segments those of the distinct words that are not remembered, in one walk."""
+        self.known.room()
+        new = sorted(w for w in words if w not in self.known)
         for word, tokens in zip(new, self.segment_sorted(new), strict=True):
             ids = [i for k, t in tokens for i in ((k,) if k >= 0 else self.single(t))]
-            out[word] = self.known.keep(word, array("i", ids).tobytes())
-        return out
+            self.known.keep(word, array("i", ids).tobytes())
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.words(t) for t in texts]
-        get = self.learn({w for ws in split for w in ws}).__getitem__
+        self.learn({w for ws in split for w in ws})
+        get = self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, ws)), "<i4") for ws in split]
 
     def decode(self, ids: np.ndarray) -> str:

@@ -18,6 +18,7 @@ class WordHashes(Remembered):
         super().__init__(limit)
 
     def __missing__(self, word: bytes) -> int:
+        self.room()
         return self.keep(word, xxhash.xxh3_64_intdigest(word))
 
     def of(self, words: list[bytes]) -> np.ndarray:
