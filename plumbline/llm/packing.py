@@ -13,6 +13,7 @@ import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from plumbline.llm.common import Remembered, written
 
 #: Bytes of strings whose ids a worker remembers.
 REMEMBERED = 160 << 20
+#: New strings that go to the tokenizer as one text, and characters of texts (or one longer text) that are cut into runs at a time.
+TOGETHER, CUT = 200, 1 << 20
 #: Items of an open bin are glued together to at least this part of a sequence.
 RUNS = 16
 #: Pieces of a text that the pre-tokenizer keeps apart, for texts of the first 256 code points, lower-cased. White space is the
@@ -45,33 +48,66 @@ class WordEncoder:
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, "<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
+    def _runs(self, text: str) -> list[str] | None:
+        """The runs of a text; None where it has to be encoded whole."""
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            whole = True
-        else:
-            whole = "<|" in text
-        if whole:
-            return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        runs = _RUNS.findall(text.lower())
-        known = self.known
-        known.room()
-        new = [r for r in dict.fromkeys(runs) if r not in known]
-        if new:
+            return None
+        return None if "<|" in text else _RUNS.findall(text.lower())
+
+    def _learn(self, new: list[str]) -> None:
+        """Remembers the ids of ``new`` runs, encoded as one text with spaces between, which the pre-tokenizer cuts at."""
+        found = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
+        of = np.array(found.word_ids)
+        cuts = np.flatnonzero(of[1:] != of[:-1]) + 1
+        if len(cuts) + 1 != len(new):  # a run that is not one word of the tokenizer's
             for r, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known.keep(r, self._bytes(e.ids))
-        return b"".join(map(known.__getitem__, runs))
+                self.known.keep(r, self._bytes(e.ids))
+            return
+        data = self._bytes(found.ids)
+        ends = [0, *(4 * cuts).tolist(), len(data)]
+        for r, lo, hi in zip(new, ends, ends[1:], strict=False):
+            self.known.keep(r, data[lo:hi])
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        cut, known = [self._runs(t) for t in texts], self.known
+        known.room()
+        new = [r for r in dict.fromkeys(chain.from_iterable(c for c in cut if c)) if r not in known]
+        for at in range(0, len(new), TOGETHER):
+            self._learn(new[at : at + TOGETHER])
+        whole = lambda t: self._bytes(self.tokenizer.encode(t, add_special_tokens=False).ids)
+        return [whole(t) if c is None else b"".join([known[r] for r in c]) for t, c in zip(texts, cut, strict=True)]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
 
 _encoders: dict[str, WordEncoder] = {}
 
 
-def word_encoder(path: str) -> Callable[[str], bytes]:
+def _encoder(path: str) -> WordEncoder:
     """The encoder of a file, one for each worker process, so what it remembers serves its later tasks too."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
-    return _encoders[path].encode
+    return _encoders[path]
+
+
+def word_encoder(path: str) -> Callable[[str], bytes]:
+    return _encoder(path).encode
+
+
+def _parts(texts: list[str | None]) -> Iterator[list[str]]:
+    """``texts`` in order, null as empty, in lists of about CUT characters."""
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t or "") > CUT:
+            yield part
+            part, size = [], 0
+        part.append(t or "")
+        size += len(t or "")
+    if part:
+        yield part
 
 
 def pieces(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text", length: int = 4096, end: int = 1) -> DataFrame:
@@ -79,11 +115,11 @@ def pieces(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "tex
     last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_encoder(tokenizer)
+        encode_all = _encoder(tokenizer).encode_all
         for batch in batches:
             row, start, size, crc = [], [], [], []
-            for i, t in enumerate(batch.column("__text").to_pylist()):
-                data = (encode(t) if t else b"") + last
+            for i, ids in enumerate(chain.from_iterable(map(encode_all, _parts(batch.column("__text").to_pylist())))):
+                data = ids + last
                 for at in range(0, len(data), 4 * length):
                     part = data[at : at + 4 * length]
                     row.append(i)
