@@ -122,6 +122,27 @@ def test_monte_carlo(spark):
     assert v["n"] == 60 and abs(v["bias"]) < 0.05 and v["coverage"] > 0.8
 
 
+def test_status_takes_both_tests_corrected(spark):
+    def status(bias, spread, inside, **kw):
+        rows = [(2 + bias + spread * (-1) ** i, *((1.0, 3.0) if i < inside else (2.5, 3.0))) for i in range(100)]
+        return Z.validation(spark.createDataFrame(rows, "estimate double, ci_lower double, ci_upper double"), 2.0, **kw)["status"]
+
+    assert status(0.0, 0.1, 95) == "PASS" and status(0.2, 0.1, 95) == "FAIL"
+    assert status(0.0, 0.1, 60) == "WARNING"  # coverage alone
+    assert status(-0.004, 0.0, 100) == "WARNING"  # no spread: any bias counts
+    assert status(0.12, 0.1, 95) == "FAIL" and status(0.12, 4.0, 95) == "PASS"
+    # a bias test between 0.025 and 0.05
+    assert status(0.12, 0.57, 95) == "PASS" and status(0.12, 0.57, 95, correction="none") == "WARNING"
+
+
+def test_corrections():
+    assert Z.any_rejected([0.025, 0.9], 0.05) and Z.any_rejected([0.025, 0.9], 0.05, "holm")
+    assert not Z.any_rejected([0.026, 0.9], 0.05) and Z.any_rejected([0.026, 0.9], 0.05, "none")
+    for bad in ([], [float("nan")]):
+        with pytest.raises(ValueError):
+            Z.any_rejected(bad, 0.05)
+
+
 def test_shapiro_wilk():
     import numpy as np
 
