@@ -599,20 +599,29 @@ def with_propensity(df: DataFrame, treatment: str, controls: list[str], clip: fl
 
 def ipw(df: DataFrame, outcome: str, treatment: str, propensity: str = "e", alpha: float = 0.05) -> Effect:
     """Horvitz-Thompson difference of means for a given propensity column, with the error of its mean."""
-    y, t, e = F.col(outcome).cast("double"), F.col(treatment).cast("double"), F.col(propensity)
-    n, mean, var = df.select((y * t / e - y * (1 - t) / (1 - e)).alias("v")).agg(F.count("v"), F.avg("v"), F.var_samp("v")).first()
+    n, mean, var = with_weighted(df, outcome, treatment, propensity).agg(F.count("v"), F.avg("v"), F.var_samp("v")).first()
     return _normal("ipw", mean, math.sqrt(var / n), n, alpha)
 
 
+def with_weighted(df: DataFrame, outcome: str, treatment: str, propensity: str = "e") -> DataFrame:
+    """``df`` plus v, whose mean is the Horvitz-Thompson estimate; ``simulation.bootstrap_interval`` resamples it, propensities kept."""
+    y, t, e = F.col(outcome).cast("double"), F.col(treatment).cast("double"), F.col(propensity)
+    return df.withColumn("v", y * t / e - y * (1 - t) / (1 - e))
+
+
 def aipw(df: DataFrame, outcome: str, treatment: str, controls: list[str], propensity: str = "e", alpha: float = 0.05) -> Effect:
     """Doubly robust mean difference: least squares in each arm and a given propensity."""
+    n, mean, var = with_doubly_robust(df, outcome, treatment, controls, propensity).agg(F.count("v"), F.avg("v"), F.var_samp("v")).first()
+    return _normal("aipw", mean, math.sqrt(var / n), n, alpha)
+
+
+def with_doubly_robust(df: DataFrame, outcome: str, treatment: str, controls: list[str], propensity: str = "e") -> DataFrame:
+    """``df`` plus v, whose mean is the doubly robust estimate; arms and propensities are kept when it is resampled."""
     by = moments(df, [*controls, outcome], treatment)
     p = list(range(len(controls)))
     arm = {int(k): predicted(solve(m, p, len(p), "ols"), controls) for k, m in by.items()}
     y, t, e = F.col(outcome).cast("double"), F.col(treatment).cast("double"), F.col(propensity)
-    v = arm[1] - arm[0] + t * (y - arm[1]) / e - (1 - t) * (y - arm[0]) / (1 - e)
-    n, mean, var = df.select(v.alias("v")).agg(F.count("v"), F.avg("v"), F.var_samp("v")).first()
-    return _normal("aipw", mean, math.sqrt(var / n), n, alpha)
+    return df.withColumn("v", arm[1] - arm[0] + t * (y - arm[1]) / e - (1 - t) * (y - arm[0]) / (1 - e))
 
 
 def t_learner(df: DataFrame, outcome: str, treatment: str, controls: list[str], model) -> DataFrame:

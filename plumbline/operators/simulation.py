@@ -136,6 +136,14 @@ def poisson_bootstrap(df: DataFrame, replicates: int, id: str, aggregates: dict[
     return rows.groupBy("replicate").agg(F.sum("w").alias("w_sum"), *[F.sum(F.col("w") * F.col(a) * F.col(b)).alias(n) for n, (a, b) in aggregates.items()])
 
 
+def bootstrap_interval(df: DataFrame, column: str, id: str, replicates: int = 1000, alpha: float = 0.05, seed: int = 42) -> tuple[float, float]:
+    """Percentile interval of the mean of ``column`` over Poisson resamples; rows without a value are left out."""
+    rows = df.select(F.col(id).alias("__id"), F.col(column).cast("double").alias("__v"), F.lit(1.0).alias("__one")).filter("__v IS NOT NULL")
+    means = poisson_bootstrap(rows, replicates, "__id", {"s": ("__v", "__one")}, seed).select((F.col("s") / F.col("w_sum")).alias("m"))
+    low, high = means.agg(F.percentile("m", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))).first()[0]
+    return low, high
+
+
 def bootstrap_distribution(runs: DataFrame, column: str = "estimate") -> dict:
     """Shape of a bootstrap distribution: population skewness and excess kurtosis from one aggregate, the normality test on the driver.
 

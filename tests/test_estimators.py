@@ -135,6 +135,17 @@ def test_status_takes_both_tests_corrected(spark):
     assert status(0.12, 0.57, 95) == "PASS" and status(0.12, 0.57, 95, correction="none") == "WARNING"
 
 
+def test_bootstrap_intervals_of_weighted_means(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=3000)
+    t = (rng.uniform(size=3000) < 1 / (1 + np.exp(-x))).astype(int)
+    rows = [(i, float(2 * t[i] + x[i] + e), int(t[i]), float(x[i])) for i, e in enumerate(rng.normal(size=3000))]
+    d = E.with_propensity(spark.createDataFrame(rows, "id long, y double, d int, x double"), "d", ["x"])
+    for fit, v in ((E.ipw(d, "y", "d"), E.with_weighted(d, "y", "d")), (E.aipw(d, "y", "d", ["x"]), E.with_doubly_robust(d, "y", "d", ["x"]))):
+        low, high = Z.bootstrap_interval(v, "v", "id", 400)
+        assert low == pytest.approx(fit.theta - 1.96 * fit.se, abs=0.4 * fit.se) and high == pytest.approx(fit.theta + 1.96 * fit.se, abs=0.4 * fit.se)
+
+
 def test_corrections():
     assert Z.any_rejected([0.025, 0.9], 0.05) and Z.any_rejected([0.025, 0.9], 0.05, "holm")
     assert not Z.any_rejected([0.026, 0.9], 0.05) and Z.any_rejected([0.026, 0.9], 0.05, "none")
