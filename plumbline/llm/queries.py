@@ -112,8 +112,36 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.common import written
+    from plumbline.llm.mixing import mixed, row_key, word_count
+
+    # the texts are read once
+    sized = written(_table(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("size"), row_key("doc_id", "text").alias("key")))
+    mix = mixed(sized, "key", weights=(5, 2, 1), share=1.5, most=2.0)
+    return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.alignment import aligned, with_pair_counts
+
+    found = aligned(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    done = with_pair_counts(found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest.alias("groups_sha256"), "linked_a", "linked_b", "times"))
+    return done.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.lexical import lexical_search
+
+    return lexical_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
 def queries() -> dict:
-    own = (op1_line_dedup, op2_stratified_shards, op3_rule_ensemble, op4_additive_ann, op5_best_fit_packing, op6_quality_rules, op7_simhash_tiles, op8_secret_scan, op9_chat_format, op10_sentencepiece)
+    own = (
+        op1_line_dedup, op2_stratified_shards, op3_rule_ensemble, op4_additive_ann, op5_best_fit_packing, op6_quality_rules, op7_simhash_tiles, op8_secret_scan, op9_chat_format, op10_sentencepiece,
+        op11_source_mix, op12_token_alignment, op13_lexical_search,
+    )
     return {f.__name__: f for f in own}
 
 
@@ -164,6 +192,56 @@ FROM rows GROUP BY conv_id
 """
 
 
+#: Targets: in the order of size over weight, sources are full as long as their part of what is left is above their top.
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS k,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, '') || ' ' || coalesce(text, '')) AS key
+  FROM documents
+), sources AS (
+  SELECT k, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][(((row_number() OVER (ORDER BY k)) - 1) % 3 + 1)::INT]::DOUBLE AS w
+  FROM docs GROUP BY k
+), filling AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()::DOUBLE - coalesce(sum(2.0::DOUBLE * source_size) OVER before, 0)) / sum(w) OVER after AS level
+  FROM sources
+  WINDOW before AS (ORDER BY source_size / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         after AS (ORDER BY source_size / w, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+), goals AS (
+  SELECT k, source_size, least(w * (SELECT coalesce(max(level), 0) FROM filling WHERE level * w <= 2.0::DOUBLE * source_size), 2.0::DOUBLE * source_size) AS target FROM filling
+), placed AS (
+  SELECT doc_id, size, source_size, target, (row_number() OVER (PARTITION BY d.k ORDER BY length(bin(size)), substr(bin(size), 1, 4), key)) - 1 AS i,
+         CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS e,
+         ('0x' || substr(md5('42 ' || d.k), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+  FROM docs d JOIN goals g ON d.k = g.k
+)
+SELECT doc_id, size, source_size, target, (least(floor((i + 1) * e + u) - floor(i * e + u), ceil(e)) * size)::BIGINT AS taken FROM placed
+"""
+
+OP13_SQL = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents
+), docs AS (
+  SELECT r, doc_id, len(t)::BIGINT AS n, t FROM words WHERE len(t) > 0
+), whole AS (
+  SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM docs
+), posts AS (
+  SELECT r, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, n, unnest(t) AS term FROM docs) GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2.0::DOUBLE * any_value(n_docs) + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w FROM posts, whole GROUP BY term
+), items AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), scores AS (
+  SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM items JOIN weights USING (term) JOIN posts USING (term), whole GROUP BY item_id, r, doc_id
+), ranked AS (
+  SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, r))::INT AS rank, doc_id, score FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can state the result; the others are tested against brute force in tests/llm."""
-    return {"op1_line_dedup": OP1_SQL, "op9_chat_format": op9_sql()}
+    return {"op1_line_dedup": OP1_SQL, "op9_chat_format": op9_sql(), "op11_source_mix": OP11_SQL, "op13_lexical_search": OP13_SQL}
