@@ -21,16 +21,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Remembered, raw_texts, with_columns, written
+from plumbline.llm.common import Remembered, by_bytes, raw_texts, with_columns, written
 
 #: Fixed: how the byte-level vocabulary cuts a text before it merges bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text that are aligned at a time (a longer text by itself), and distinct pairs that a task counts before it sends them on.
-CHUNK, FLUSH = 4 << 20, 1 << 21
+CHUNK, FLUSH = 1 << 20, 1 << 20
 #: Salts of the first count, pairs that are sent to every task at most (16 bytes each).
 SALTS, HEAD = 8, 1 << 20
 #: Bytes of units that a worker remembers for each tokenizer.
-REMEMBERED = 100 << 20
+REMEMBERED = 64 << 20
 #: Bits of a pair's number; above them stands the number of its document in a chunk.
 SHIFT = 40
 #: Where a space is no beginning of a unit that has more than it.
@@ -191,17 +191,9 @@ def aligned(docs: DataFrame, a: str, b: str, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Array]]:
         own = Aligner(a, b)
         for batch in batches:
-            texts, parts, lo = raw_texts(batch, text), [], 0
-            while lo < len(texts) or not parts:
-                hi, held = lo, 0
-                while hi < len(texts) and (hi == lo or held + len(texts[hi]) <= CHUNK):
-                    held += len(texts[hi])
-                    hi += 1
-                parts.append(own.align(texts[lo:hi]))
-                lo = hi
-            yield {name: pa.concat_arrays([p[name] for p in parts]) for name in parts[0]}
-
-    return with_columns(docs, run, COLUMNS)
+            yield own.align(raw_texts(batch, text))
+
+    return with_columns(docs, run, COLUMNS, cut=by_bytes(text, CHUNK))
 
 
 def pair_counts(found: DataFrame) -> DataFrame:

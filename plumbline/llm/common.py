@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from plumbline.sources.shared import discard, nullable, scratch, shared_folder, written
 
-__all__ = ["WHITESPACE", "Remembered", "discard", "nullable", "raw_texts", "scratch", "shared_folder", "with_columns", "written"]
+__all__ = ["WHITESPACE", "Remembered", "by_bytes", "discard", "nullable", "raw_texts", "scratch", "shared_folder", "with_columns", "written"]
 
 #: The white space of every word and line contract: space and the five controls from tab to return.
 WHITESPACE = b" \t\n\x0b\x0c\r"
@@ -41,13 +42,30 @@ def raw_texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [b or b"" for b in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def by_bytes(column: str, most: int) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+    """Cuts a batch into runs of rows with at most ``most`` bytes in a text column, a longer text by itself."""
+
+    def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        lo = held = 0
+        for i, n in enumerate(pc.binary_length(batch.column(column)).fill_null(0).to_pylist()):
+            if i > lo and held + n > most:
+                yield batch.slice(lo, i - lo)
+                lo, held = i, 0
+            held += n
+        if lo < batch.num_rows or not batch.num_rows:
+            yield batch.slice(lo)
+
+    return cut
+
+
 def with_columns(
     df: DataFrame,
     compute: Callable[[Iterator[pa.RecordBatch]], Iterable[dict[str, pa.Array]]],
     added: str,
     needs: list[str] | None = None,
+    cut: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]] | None = None,
 ) -> DataFrame:
-    """``df`` plus columns that ``compute`` makes batch by batch in Arrow.
+    """``df`` plus columns that ``compute`` makes batch by batch in Arrow. ``cut`` cuts the batches up beforehand.
 
     ``compute`` gets an iterator of batches and yields, for each, the columns of the DDL string
     ``added``. A column of the input with the same name (in any letter case) is replaced, in place,
@@ -66,9 +84,10 @@ def with_columns(
         held: list[pa.RecordBatch] = []
 
         def watched() -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                held[:] = [b]
-                yield b
+            for whole in batches:
+                for b in cut(whole) if cut else (whole,):
+                    held[:] = [b]
+                    yield b
 
         for columns in compute(watched()):
             b = held[0]
