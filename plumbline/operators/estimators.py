@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.distributions import normal_quantile, t_quantile, two_sided_normal, two_sided_t
 from plumbline.functions.linear import Moments, solve
-from plumbline.operators.moments import logistic_models, moments, predicted, predicted_by_fold
+from plumbline.operators.moments import celled, fitted_on, inner_fold, logistic_models, moments, predicted, predicted_by_fold
 from plumbline.operators.order import forward_folds, lagged, positioned
 from plumbline.sources.shared import written
 
@@ -59,7 +59,7 @@ def _complete(df: DataFrame, *columns: str) -> DataFrame:
     keep = None
     for c in columns:
         d = F.col(c).cast("double")
-        ok = d.isNotNull() & ~F.isnan(d)
+        ok = F.abs(d) < F.lit(float("inf"))  # neither null nor, as Spark orders values, infinite or NaN
         keep = ok if keep is None else keep & ok
     return df.filter(keep)
 
@@ -176,19 +176,25 @@ def _with_predictions(df: DataFrame, controls: list[str], models: dict, parts: l
     return out.drop("__x")
 
 
-def cross_fit(df: DataFrame, outcome: str, treatment: str, controls: list[str], fold: str, model_y="ridge", model_t="ridge") -> DataFrame:
+def cross_fit(df: DataFrame, outcome: str, treatment: str, controls: list[str], fold: str, model_y="ridge", model_t="ridge", inner: str | None = None) -> DataFrame:
     """``df`` plus y_res and t_res from models fitted on the other folds.
 
-    Linear learners (by name) need one aggregate: each fold's training moments are the total less its own. Others are
+    Linear learners (by name) need one aggregate: each fold's training moments are the total less its own. ``ridge_cv`` chooses its penalty within the training
+    rows, over inner folds (of the column ``inner``, or three by a hash of the row), from the same aggregate. Others are
     estimators of pyspark.ml, fitted once for each fold. The two targets may have learners of different kinds."""
     wanted = {"__o": ("y_res", model_y, learner(model_y)), "__t": ("t_res", model_t, learner(model_t))}
     own = df.withColumns({"__o": F.col(outcome).cast("double"), "__t": F.col(treatment).cast("double")})
     linear, p = {c: m for c, (_, m, e) in wanted.items() if e is None}, list(range(len(controls)))
     said = {}
     if linear:
-        by = moments(own, [*controls, *linear], fold)
-        total = sum(list(by.values())[1:], next(iter(by.values())))
-        said = {c: predicted_by_fold({k: solve(total - m, p, len(p) + j, kind) for k, m in by.items()}, fold, controls) for j, (c, kind) in enumerate(linear.items())}
+        if "ridge_cv" in linear.values():
+            cells = celled(own, [*controls, *linear], fold, F.col(inner) if inner else inner_fold([*controls, treatment, outcome]))
+            fit = lambda k, j, kind: fitted_on(cells, [f for f in cells if f != k], p, len(p) + j, kind)
+        else:
+            cells = moments(own, [*controls, *linear], fold)
+            total = sum(list(cells.values())[1:], next(iter(cells.values())))
+            fit = lambda k, j, kind: solve(total - cells[k], p, len(p) + j, kind)
+        said = {c: predicted_by_fold({k: fit(k, j, kind) for k in cells}, fold, controls) for j, (c, kind) in enumerate(linear.items())}
     if others := {c: e for c, (_, _, e) in wanted.items() if e is not None}:
         values = sorted(r[0] for r in own.select(fold).distinct().collect())  # the folds, a handful
         own = _with_predictions(own, controls, others, [(F.col(fold) != k, F.col(fold) == k) for k in values])
@@ -230,8 +236,8 @@ def with_influence(res: DataFrame, theta: float, t2: float) -> DataFrame:
     return res.withColumn("psi", (F.col("y_res") - F.lit(theta) * F.col("t_res")) * F.col("t_res") / F.lit(t2))
 
 
-def double_ml(df: DataFrame, outcome: str, treatment: str, controls: list[str], fold: str | None = None, id: str | None = None, folds: int = 5, model_y="ridge", model_t="ridge", alpha: float = 0.05, seed: int = 42) -> Effect:
-    """Cross-fitted partially linear model with the influence-function error. Folds come from a column or a hash of ``id``."""
+def double_ml(df: DataFrame, outcome: str, treatment: str, controls: list[str], fold: str | None = None, id: str | None = None, folds: int = 5, model_y="ridge", model_t="ridge", alpha: float = 0.05, seed: int = 42, inner: str | None = None) -> Effect:
+    """Cross-fitted partially linear model with the influence-function error. Folds come from a column or a hash of ``id``; ``inner``: see cross_fit()."""
     own = _complete(df, outcome, treatment, *controls)
     if fold is None:
         if id is None:
@@ -239,7 +245,7 @@ def double_ml(df: DataFrame, outcome: str, treatment: str, controls: list[str],
         own, fold = own.withColumn("__fold", hash_fold(id, folds, seed)), "__fold"
     else:
         own = own.filter(F.col(fold).isNotNull())
-    res = cross_fit(own, outcome, treatment, controls, fold, model_y, model_t)
+    res = cross_fit(own, outcome, treatment, controls, fold, model_y, model_t, inner)
     o = orthogonal(res, "double_ml", outcome, treatment)
     return _normal("double_ml", o.theta, math.sqrt(o.psi2 / (o.n - 1)), o.n, alpha, **o.fits)
 
@@ -335,9 +341,9 @@ def forward_residuals(df: DataFrame, targets: dict, controls: list[str], pos: st
         for a, b, lo, hi in plan:
             cuts = [by[i + 1] for i, e in enumerate(ends[:-1]) if a <= e < b]
             train = sum(cuts[1:], cuts[0])
-            tested = [i + 1 for i, e in enumerate(ends[:-1]) if lo <= e < hi]
+            inside = [i + 1 for i, e in enumerate(ends[:-1]) if lo <= e < hi]
             for j, (c, kind) in enumerate(linear.items()):
-                models[c] |= dict.fromkeys(tested, solve(train, p, len(p) + j, kind))
+                models[c] |= dict.fromkeys(inside, solve(train, p, len(p) + j, kind))
     said = {c: predicted_by_fold(m, "__cut", controls) for c, m in models.items()}
     at = F.col(pos)
     if others:
@@ -401,17 +407,81 @@ def effect_interval(df: DataFrame, e: Effect, t0: float = 0.0, t1: float = 1.0)
     return df.withColumns({"effect_lower": F.lit(ends[0]), "effect_upper": F.lit(ends[1])})
 
 
+def _rolling_cells(own: DataFrame, columns: list[str], width: int, step: int, last: int, plan: list, learner: str, bandwidth: int | None) -> DataFrame:
+    """rolling() for linear learners. ``columns``: controls, treatment, outcome; windows 0 to ``last`` begin ``step`` places apart."""
+    c, k = len(columns), len(columns) - 2
+    pilot = own.select(*[F.col(x).cast("double") for x in columns]).limit(100).agg(*[F.avg(x) for x in columns]).first()
+    # columns less constants: no slope or residual changes, and products stay well-scaled
+    rows = own.select(F.col("pos").alias("__p"), *[(F.col(x).cast("double") - F.lit(float(v or 0.0))).alias(f"__z{i}") for i, (x, v) in enumerate(zip(columns, pilot, strict=True))])
+    p, pairs = F.col("__p"), [(i, j) for i in range(c) for j in range(i, c)]
+    ends = sorted({e for fold in plan for e in fold})
+    begun = [F.when(p >= e, F.least(F.floor((p - e) / step), F.lit(last)) * step + e) for e in ends]
+    cells = rows.groupBy(F.greatest(F.lit(0), *begun).alias("__c")).agg(
+        F.count(F.lit(1)).cast("double").alias("m0"), *[F.sum(f"__z{i}").alias(f"m{1 + i}") for i in range(c)], *[F.sum(F.col(f"__z{i}") * F.col(f"__z{j}")).alias(f"m{1 + c + q}") for q, (i, j) in enumerate(pairs)]
+    )
+    size = 1 + c + len(pairs)
+
+    def windows(df: DataFrame, at: str, roles: list[tuple]) -> DataFrame:
+        """A row for each window and role whose range, counted from the window's start, holds the place ``at``."""
+        each = df.select("*", F.inline(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(test).alias("test"), F.lit(a).alias("a"), F.lit(b).alias("b")) for j, test, a, b in roles])))
+        lo, hi = F.greatest(F.lit(0), F.ceil((F.col(at) - F.col("b") + 1) / step)).cast("long"), F.least(F.lit(last), F.floor((F.col(at) - F.col("a")) / step)).cast("long")
+        return each.filter(lo <= hi).withColumn("w", F.explode(F.sequence(lo, hi))).drop("a", "b")
+
+    roles = [x for j, (a, b, lo, hi) in enumerate(plan) for x in ((j, False, a, b), (j, True, lo, hi))]
+    sums = windows(cells, "__c", roles).groupBy("w", "j").agg(*[F.array(*[F.sum(F.when(F.col("test") == t, F.col(f"m{i}"))) for i in range(size)]).alias("tested" if t else "trained") for t in (False, True)])
+
+    def fit(batches):
+        import pandas as pd
+
+        def own_moments(v):
+            cross = np.zeros((c, c))
+            for (i, j), x in zip(pairs, v[1 + c :], strict=True):
+                cross[i, j] = cross[j, i] = x
+            return Moments(float(v[0]), np.array(v[1 : 1 + c], float), cross)
+
+        for pdf in batches:
+            out = []
+            for trained, tested in zip(pdf["trained"], pdf["tested"], strict=True):
+                m, t = own_moments(trained), own_moments(tested)
+                fits = [solve(m, list(range(k)), k + j, learner) for j in (0, 1)]
+                # residuals are (1, z) times these two columns
+                turn = np.array([[-f.intercept, *-f.slopes, *(1.0 if i == j else 0.0 for i in (0, 1))] for j, f in enumerate(fits)])
+                full = np.block([[np.array([[t.n]]), t.sums[None]], [t.sums[:, None], t.cross]])
+                r = turn @ full @ turn.T
+                out.append((turn[0].tolist(), turn[1].tolist(), r[0, 0], r[0, 1], t.n))
+            yield pd.DataFrame({"w": pdf["w"], "j": pdf["j"]} | {n: [o[i] for o in out] for i, n in enumerate(("ct", "cy", "tt", "ty", "n"))})
+
+    models = sums.mapInPandas(fit, "w long, j int, ct array<double>, cy array<double>, tt double, ty double, n double")
+    of = models.groupBy("w").agg(F.sum("tt").alias("tt"), F.sum("ty").alias("ty"), F.sum("n").cast("long").alias("n"), F.map_from_entries(F.collect_list(F.struct("j", F.struct("ct", "cy")))).alias("fits")).filter("tt >= 1e-10")
+    first, m = plan[0][2], sum(hi - lo for _, _, lo, hi in plan)
+    b = default_bandwidth(m) if bandwidth is None else min(bandwidth, m - 1)
+    met = windows(rows, "__p", [x for x in roles if x[1]]).join(of, "w").withColumn("f", F.col("fits")[F.col("j")])
+    res = lambda name: sum((F.col("f")[name][1 + i] * F.col(f"__z{i}") for i in range(c)), F.col("f")[name][0])
+    psi = met.select("w", "tt", "ty", "n", (p - F.col("w") * step - first).alias("i"), res("ct").alias("t"), res("cy").alias("y"))
+    psi = psi.withColumn("psi", (F.col("y") - F.col("ty") / F.col("tt") * F.col("t")) * F.col("t") * F.col("n") / F.col("tt"))
+    # a window has its test rows only; the mean square of all sums of b + 1 neighbours, those that hang over the ends included, has Bartlett's weights
+    at = Window.partitionBy("w").orderBy("i")
+    inside, over = F.sum("psi").over(at.rowsBetween(-b, 0)), F.when(F.col("i") >= m - b, F.sum("psi").over(at.rowsBetween(0, b)))
+    squares = psi.select("w", "tt", "ty", "n", inside.alias("u"), (over if b else F.lit(None).cast("double")).alias("v"))
+    omega = F.sum(F.col("u") * F.col("u") + F.coalesce(F.col("v") * F.col("v"), F.lit(0.0))) / (b + 1)
+    done = squares.groupBy("w", "tt", "ty", "n").agg(omega.alias("o"))
+    return done.select((F.col("w") * step + width // 2).alias("center"), (F.col("ty") / F.col("tt")).alias("theta"), (F.sqrt(F.greatest(F.col("o") / F.col("n"), F.lit(0.0)) / F.col("n"))).alias("se"), "n")
+
+
 def rolling(df: DataFrame, outcome: str, treatment: str, controls: list[str], order: str, window: int = 100, step: int = 10, folds: int = 3, learner="ridge", bandwidth: int | None = None) -> DataFrame:
     """(center, theta, se, n) of a forward cross-fitted fit with HAC errors in each window of positions.
 
-    Each row goes to the windows that hold it, window / step of them; a window's rows, never more than ``window``, meet in one grouped
-    function. ``learner`` is a linear one by name or an object with fit(x, y) and predict(x), copied for each fit. Windows of fewer than 30
+    ``learner`` is a linear one by name or an object with fit(x, y) and predict(x), copied for each fit. Linear ones take their models and effects from the moments of
+    cells between all windows' and folds' ends, which neighbouring windows share; for the errors a row meets the windows that test it (test rows / step of them), as psi is a window's own. With an
+    object, each row goes to the windows that hold it, whose rows, never more than ``window``, meet in one grouped function. Windows of fewer than 30
     rows are refused; those whose treatment residuals do not vary are left out, so each center belongs to its own estimate."""
     own, n = positioned(_complete(df, outcome, treatment, *controls), order)
     h = window // 2
     if n < 2 * h or 2 * h < 30:
         raise ValueError("no window has 30 rows")
     last = (n - 2 * h - 1) // step if n > 2 * h else 0
+    if isinstance(learner, str):
+        return _rolling_cells(own, [*controls, treatment, outcome], 2 * h, step, last, forward_folds(2 * h, min(folds, 2 * h // 10)), learner, bandwidth)
     lo = F.greatest(F.lit(0), F.ceil((F.col("pos") - 2 * h + 1) / step))
     hi = F.least(F.lit(last), F.floor(F.col("pos") / step))
     rows = own.filter(lo <= hi).withColumn("__w", F.explode(F.sequence(lo.cast("long"), hi.cast("long"))))
@@ -419,9 +489,6 @@ def rolling(df: DataFrame, outcome: str, treatment: str, controls: list[str], or
     k, splits = len(controls), min(folds, 2 * h // 10)
 
     def said(z, a, b, lo, hi, j):
-        if isinstance(learner, str):
-            fit = solve(Moments(b - a, z[a:b].sum(axis=0), z[a:b].T @ z[a:b]), list(range(k)), k + j, learner)
-            return fit.intercept + z[lo:hi, :k] @ fit.slopes
         fit = copy.deepcopy(learner)
         fit.fit(z[a:b, :k], z[a:b, k + j])
         return fit.predict(z[lo:hi, :k])

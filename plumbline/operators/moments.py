@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.linear import Linear, Moments
+from plumbline.functions.linear import Linear, Moments, ridge_cv, solve
 
 
 #: Rows whose means are the shift of moments().
@@ -40,6 +40,31 @@ def moments(df: DataFrame, columns: list[str], by: str | None = None, also: dict
     return out
 
 
+def celled(df: DataFrame, columns: list[str], part: str, inner: Column) -> dict:
+    """Moments of ``columns`` by part and inner fold: {part: {inner fold: moments}}, in one aggregate."""
+    out: dict = {}
+    for (k, i), m in moments(df.withColumn("__cell", F.struct(F.col(part).alias("part"), inner.alias("inner"))), columns, "__cell").items():
+        out.setdefault(k, {})[i] = m
+    return out
+
+
+def fitted_on(cells: dict, parts, features: list[int], target: int, learner: str) -> Linear:
+    """A linear learner on the rows of some ``parts`` of celled(); ``ridge_cv`` chooses its penalty over their inner folds."""
+    inner: dict = {}
+    for k in parts:
+        for i, m in cells.get(k, {}).items():
+            inner[i] = inner[i] + m if i in inner else m
+    own = [inner[i] for i in sorted(inner, key=str)]
+    if learner == "ridge_cv":
+        return ridge_cv(own, features, target)[1]
+    return solve(sum(own[1:], own[0]), features, target, learner)
+
+
+def inner_fold(columns: list[str], folds: int = 3, seed: int = 7) -> Column:
+    """Inner folds by a hash of the row's values."""
+    return F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in columns]), F.lit(folds)).cast("int")
+
+
 def predicted(model: Linear, columns: list[str]) -> Column:
     out = F.lit(model.intercept)
     for c, w in zip(columns, model.slopes, strict=True):
@@ -55,8 +80,8 @@ def predicted_by_fold(models: dict, fold: str, columns: list[str]) -> Column:
     return out if out is not None else F.lit(None).cast("double")
 
 
-def logistic_models(df: DataFrame, target: str, columns: list[str], train: dict, penalty: float = 1.0, rounds: int = 25, tolerance: float = 1e-9) -> dict:
-    """Logistic models of a 0/1 ``target``, one for each training condition, with a ridge of ``penalty`` on the slopes.
+def logistic_models(df: DataFrame, target: str, columns: list[str], train: dict, penalty: float | dict = 1.0, rounds: int = 25, tolerance: float = 1e-9) -> dict:
+    """Logistic models of a 0/1 ``target``, one for each training condition, with a ridge of ``penalty`` (or of each model's own) on the slopes.
 
     Newton's method on columns scaled by their overall deviations; each step is one aggregate for all models together."""
     c = len(columns)
@@ -66,7 +91,7 @@ def logistic_models(df: DataFrame, target: str, columns: list[str], train: dict,
     z = [F.lit(1.0)] + [(F.col(x).cast("double") - F.lit(float(m))) / F.lit(float(s)) for x, m, s in zip(columns, mean, sd, strict=True)]
     rows = df.select(F.col(target).cast("double").alias("__y"), *[v.alias(f"__z{i}") for i, v in enumerate(z)], *[cond.alias(f"__in{k}") for k, cond in enumerate(train.values())])
     w = {k: np.r_[np.log(share / (1 - share)), np.zeros(c)] for k in train}
-    left, ridge = list(train), np.diag(np.r_[0.0, penalty / sd**2])
+    left, ridge = list(train), {k: np.diag(np.r_[0.0, (penalty[k] if isinstance(penalty, dict) else penalty) / sd**2]) for k in train}
     at, names = {k: i for i, k in enumerate(train)}, [f"__z{i}" for i in range(c + 1)]
     sums = [F.sum(F.col("g") * F.col(n)) for n in names] + [F.sum(F.col("h") * F.col(a) * F.col(b)) for i, a in enumerate(names) for b in names[i:]]
     for _ in range(rounds):
@@ -81,8 +106,8 @@ def logistic_models(df: DataFrame, target: str, columns: list[str], train: dict,
             part = [v or 0.0 for v in found.get(at[k], [0.0] * len(sums))]
             h = np.zeros((c + 1, c + 1))
             h[np.triu_indices(c + 1)] = part[c + 1 :]
-            h = h + np.triu(h, 1).T + ridge
-            step = np.linalg.lstsq(h, np.array(part[: c + 1]) - ridge @ w[k], rcond=None)[0]
+            h = h + np.triu(h, 1).T + ridge[k]
+            step = np.linalg.lstsq(h, np.array(part[: c + 1]) - ridge[k] @ w[k], rcond=None)[0]
             w[k] = w[k] + step
             if np.abs(step).max() < tolerance:
                 done.append(k)
@@ -90,3 +115,24 @@ def logistic_models(df: DataFrame, target: str, columns: list[str], train: dict,
         if not left:
             break
     return {k: Linear(float(b[0] - (b[1:] * mean / sd).sum()), b[1:] / sd) for k, b in w.items()}
+
+
+#: Penalties that a cross-validated logistic model is chosen from, the strongest first.
+LOGISTIC_PENALTIES = tuple(10.0 ** (4 - 8 * i / 9) for i in range(10))
+
+
+def logistic_cv(df: DataFrame, target: str, columns: list[str], train: dict, inner: Column, folds: int = 3, penalties: tuple[float, ...] = LOGISTIC_PENALTIES) -> dict:
+    """Logistic models whose penalties have the best mean accuracy over the inner folds (the strongest of equals).
+
+    Models of all (training condition, inner fold, penalty) share each Newton step, one aggregate gives all their accuracies, and the chosen ones are fitted together."""
+    kept = df.withColumn("__inner", inner)
+    jobs = {(k, i, a): c & (F.col("__inner") != i) for k, c in train.items() for i in range(folds) for a in penalties}
+    models = logistic_models(kept, target, columns, jobs, {job: job[2] for job in jobs}, tolerance=1e-5)  # they only tell right from wrong
+    y = F.col(target).cast("double")
+    right = [F.avg(F.when(train[k] & (F.col("__inner") == i), ((predicted(models[k, i, a], columns) > 0).cast("double") == y).cast("double"))) for k, i, a in jobs]
+    scores: dict = {}
+    for (k, _, a), v in zip(jobs, kept.agg(*right).first(), strict=True):
+        scores.setdefault(k, {}).setdefault(a, []).append(v or 0.0)
+    # accuracies are shares of counts: differences below rounding are none
+    chosen = {k: max(by, key=lambda a, by=by: (round(sum(by[a]), 9), a)) for k, by in scores.items()}
+    return logistic_models(df, target, columns, train, chosen)

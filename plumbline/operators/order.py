@@ -58,11 +58,11 @@ def lagged(df: DataFrame, lags: dict[str, tuple[str, int]], pos: str = "pos", bl
 
 def shuffled_folds(df: DataFrame, pos: str, n: int, folds: int = 5, seed: int = 0, name: str = "fold") -> DataFrame:
     """``df`` plus the fold that a seeded shuffle of all ``n`` places gives, the first n % folds folds one larger, as published numbers
-    have it. The shuffle is made on the driver, so more than SHUFFLED rows are refused; ``hash_fold`` is for any size."""
+    have it. The shuffle is made on the driver, so more than SHUFFLED rows are refused; ``kfold`` is for any size."""
     import numpy as np
 
     if n > SHUFFLED:
-        raise ValueError(f"{n} rows are too many for a shuffle on the driver: use hash_fold")
+        raise ValueError(f"{n} rows are too many for a shuffle on the driver: use kfold")
     order, fold = np.arange(n), np.empty(n, int)
     np.random.RandomState(seed).shuffle(order)
     fold[order] = np.repeat(np.arange(folds), [n // folds + (k < n % folds) for k in range(folds)])
@@ -70,6 +70,19 @@ def shuffled_folds(df: DataFrame, pos: str, n: int, folds: int = 5, seed: int =
     return df.join(table, df[pos] == table["__pos"]).drop("__pos")
 
 
+def kfold(df: DataFrame, id: str, folds: int = 5, seed: int = 0, name: str = "fold") -> DataFrame:
+    """``df`` plus its fold of a seeded shuffle of any size, the first n % folds folds one row larger than the others.
+
+    Rows are put in the order of a hash of seed and ``id`` (ties by the row itself) by ranges, and the order is cut at the folds' ends. The same rows get the same folds,
+    however they are dealt."""
+    key = F.md5(F.concat(F.lit(f"{seed} "), F.coalesce(F.col(id).cast("string"), F.lit(""))).cast("binary"))
+    placed, n = positioned(df.withColumn("__key", key), "__key", name="__place")
+    size, larger = divmod(n, folds)
+    first = larger * (size + 1)
+    fold = F.expr(f"CASE WHEN __place < {first}L THEN __place div {size + 1}L ELSE {larger}L + (__place - {first}L) div {max(size, 1)}L END")
+    return placed.withColumn(name, fold.cast("int")).drop("__key", "__place")
+
+
 STRATEGIES = ("time_series_split", "expanding", "sliding", "blocked", "purged", "blocked_cv", "purged_cv")
 
 

@@ -9,10 +9,10 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.linear import Linear, solve
+from plumbline.functions.linear import Linear
 from plumbline.operators import monitoring
 from plumbline.operators.estimators import Effect, _complete, _normal, andrews_bandwidth, hac_se, hash_fold, orthogonal, with_influence
-from plumbline.operators.moments import logistic_models, moments, predicted, predicted_by_fold
+from plumbline.operators.moments import celled, fitted_on, inner_fold, logistic_cv, logistic_models, predicted, predicted_by_fold
 from plumbline.operators.order import forward_folds, positioned
 
 
@@ -20,7 +20,7 @@ from plumbline.operators.order import forward_folds, positioned
 class Config:
     """``time`` orders rows and makes folds look backwards; without it, folds are a hash of ``id``.
 
-    ``score``: aipw (outcome models by arm) or simple (one outcome model, as published numbers have it)."""
+    The linear learner and, where ``penalty`` is None, the logistic model's penalty are chosen within each training set over ``inner`` folds by a hash of the row. ``score``: aipw (outcome models by arm) or simple (one outcome model, as published numbers have it)."""
 
     features: tuple[str, ...]
     treatment: str = "treatment"
@@ -30,11 +30,12 @@ class Config:
     folds: int = 5
     hac: bool = True
     bandwidth: int | None = None
-    learner: str = "ridge"
-    penalty: float = 1.0
+    learner: str = "ridge_cv"
+    penalty: float | None = None
     clip: float = 0.01
     score: str = "aipw"
     seed: int = 42
+    inner: int = 3
 
     def __post_init__(self) -> None:
         if self.time is None and self.id is None:
@@ -97,16 +98,17 @@ class EffectPipeline:
         x = [f"{f}_z" for f in c.features]
         values = {float(r[0]) for r in own.select(F.col(c.treatment).cast("double")).distinct().limit(3).collect()}
         self.binary = values == {0.0, 1.0}
-        p = list(range(len(x)))
+        p, inner = list(range(len(x))), inner_fold([c.outcome, c.treatment, *c.features], c.inner)
         t, y = F.col(c.treatment).cast("double"), F.col(c.outcome).cast("double")
 
         def fitted(rows: DataFrame, target: str) -> dict[int, Linear]:
-            by = moments(rows, [*x, target], "__part")
-            return {i: solve(sum((by[j] for j in sorted(train & set(by))[1:]), by[min(train & set(by))]), p, len(p), c.learner) for i, train in plan.items()}
+            cells = celled(rows, [*x, target], "__part", inner)
+            return {i: fitted_on(cells, sorted(train), p, len(p), c.learner) for i, train in plan.items()}
 
         at = lambda models: predicted_by_fold(models, "__part", x)
         if self.binary:
-            self.models = logistic_models(own, c.treatment, x, {i: F.col("__part").isin(*train) for i, train in plan.items()}, c.penalty)
+            train = {i: F.col("__part").isin(*parts) for i, parts in plan.items()}
+            self.models = logistic_cv(own, c.treatment, x, train, inner, c.inner) if c.penalty is None else logistic_models(own, c.treatment, x, train, c.penalty)
             e = 1 / (1 + F.exp(-at(self.models)))
         else:
             self.models = fitted(own, c.treatment)

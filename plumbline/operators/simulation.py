@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.distributions import binomial_two_sided, holm, normal_quantile, shapiro_wilk, two_sided_t
+from plumbline.operators.order import positioned
+from plumbline.operators.resampling import resampled_moments
 
 
 def partially_linear(n: int, p: int, effect: float, seed: int, binary: bool = True, nonlinear: bool = False, confounding: float = 0.5):
@@ -107,6 +109,23 @@ def validation(runs: DataFrame, truth: float, confidence: float = 0.95, level: f
     return {"n": int(n), "bias": bias, "mse": mse, "coverage": inside / n, "bias_p_value": p_bias, "coverage_p_value": p_cover, "status": status}
 
 
+def bias_samples(runs: DataFrame, truth: float, replicates: int = 1000, seed: int = 42, estimate: str = "estimate") -> DataFrame:
+    """(replicate, bias): the mean bias of resamples of the runs, drawn with replacement, each as large as the runs are many."""
+    placed, n = positioned(runs.select(F.col(estimate).cast("double").alias("__e")).filter("__e IS NOT NULL"), "__e")
+    return resampled_moments(placed, ["__e"], n, replicates, seed=seed).select("replicate", (F.col("s")[0] / F.col("w_sum") - F.lit(float(truth))).alias("bias"))
+
+
+def baseline_validation(runs: DataFrame, truth: float, replicates: int = 1000, level: float = 0.05, seed: int = 42) -> dict:
+    """Bias with its percentile interval, squared error, coverage and a status: FAIL or WARNING where a t-test of the resampled means
+    refuses a bias of zero at 1 % or at ``level``."""
+    e = F.col("estimate")
+    n, bias, mse, inside = runs.agg(F.count(e), F.avg(e - truth), F.avg((e - truth) ** 2), F.avg(((F.col("ci_lower") <= truth) & (F.col("ci_upper") >= truth)).cast("double"))).first()
+    drawn = bias_samples(runs, truth, replicates, seed).agg(F.avg("bias"), F.stddev_pop("bias"), F.percentile("bias", F.array(F.lit(0.025), F.lit(0.975)))).first()
+    mean, sd, (low, high) = drawn
+    p = two_sided_t(mean / (sd / math.sqrt(replicates)), replicates - 1) if sd > 0 else float(mean == 0)
+    return {"n": int(n), "bias": bias, "mse": mse, "coverage": inside, "bias_lower": low, "bias_upper": high, "bias_p_value": p, "status": "FAIL" if p < 0.01 else "WARNING" if p < level else "PASS"}
+
+
 def dml_estimate(seed: int, n: int = 1000, p: int = 5, effect: float = 1.0, folds: int = 5) -> tuple[float, float, float]:
     """One simulated fit, in memory: cross-fitted ridge on its own draw (for ``monte_carlo``)."""
     y, t, x = partially_linear(n, p, effect, seed, binary=False)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import estimators as E
-from plumbline.operators import diagnosis, generators, monitoring, order, production, sensitivity, series, simulation
+from plumbline.operators import diagnosis, generators, monitoring, order, production, quantiles, resampling, sensitivity, series, simulation, spine
 from plumbline.sources import macro, tables
 from plumbline.sources.shared import shared_folder
 from plumbline.streaming.slopes import windowed_slope
@@ -295,8 +295,10 @@ def windowed_slopes(spark, sf_dir):
 
 @query("SELECT event_type, count(*) AS n, round(median(value), 6) AS median, round(quantile_cont(value, 0.025), 6) AS p025, round(quantile_cont(value, 0.975), 6) AS p975, round(stddev_pop(value), 6) AS sd FROM events GROUP BY event_type")
 def distribution_summary(spark, sf_dir):
-    e = _read(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("value"), 6).alias("median"), F.round(F.percentile("value", F.lit(0.025)), 6).alias("p025"), F.round(F.percentile("value", F.lit(0.975)), 6).alias("p975"), F.round(F.stddev_pop("value"), 6).alias("sd"))
+    e = _read(spark, sf_dir, "events").select("event_type", "value")
+    counts = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.stddev_pop("value"), 6).alias("sd"))
+    found = quantiles.quantiles(e, "value", {"median": 0.5, "p025": 0.025, "p975": 0.975}, "event_type")
+    return counts.join(found, "event_type").select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("median", "p025", "p975")], "sd")
 
 
 @query(f"WITH {_LINES}, s AS (SELECT f, regr_slope(y, t) AS b FROM d GROUP BY f) SELECT f AS method, round(b, 6) AS estimate, rank() OVER (ORDER BY abs(b)) AS place FROM s")
@@ -310,21 +312,42 @@ def ranked_methods(spark, sf_dir):
 @query(f"""WITH e AS (SELECT event_id, value AS y, CAST(user_id % 10 AS DOUBLE) AS t, CAST(hour(ts) AS DOUBLE) AS x FROM events), d AS (SELECT y, t, x, row_number() OVER (ORDER BY event_id) - 1 AS pos FROM e)
 , w AS (SELECT pos AS a FROM d WHERE pos % 200 = 0 AND pos < (SELECT count(*) FROM d) - 400), k AS (SELECT a, a + 100 + 100 * j AS lo, a + 200 + 100 * j AS hi FROM w, range(3) q(j))
 , g AS (SELECT a, lo, any_value(hi) AS hi, {_SUMS} FROM k JOIN d ON pos >= a AND pos < lo GROUP BY a, lo), m AS (SELECT a, lo, hi, {_ridge()} FROM g)
-, r AS (SELECT a, y - my - by_ * (x - mx) AS yr, t - mt - bt_ * (x - mx) AS tr FROM d JOIN m ON pos >= lo AND pos < hi)
-SELECT a + 200 AS center, round(sum(yr * tr) / sum(tr * tr), 6) AS theta, count(*) AS n FROM r GROUP BY a""")
+, r AS (SELECT a, pos, y - my - by_ * (x - mx) AS yr, t - mt - bt_ * (x - mx) AS tr FROM d JOIN m ON pos >= lo AND pos < hi)
+, h AS (SELECT a, sum(yr * tr) / sum(tr * tr) AS theta, avg(tr * tr) AS t2, count(*) AS n FROM r GROUP BY a), s AS (SELECT a, pos, (yr - theta * tr) * tr / t2 AS psi FROM r JOIN h USING (a))
+, o AS (SELECT u.a, sum(CASE WHEN u.pos = v.pos THEN 1 ELSE 2 END * (1 - (u.pos - v.pos) / 7.0::DOUBLE) * u.psi * v.psi) AS omega FROM s u JOIN s v ON u.a = v.a AND u.pos - v.pos BETWEEN 0 AND 6 GROUP BY u.a)
+SELECT a + 200 AS center, round(theta, 6) AS theta, round(sqrt(omega / n / n), 6) AS se, n FROM h JOIN o USING (a)""")
 def rolling_dml(spark, sf_dir):
-    return E.rolling(_events(spark, sf_dir), "y", "t", ["x"], "event_id", window=400, step=200).select("center", F.round("theta", 6).alias("theta"), "n")
+    return E.rolling(_events(spark, sf_dir), "y", "t", ["x"], "event_id", window=400, step=200).select("center", F.round("theta", 6).alias("theta"), F.round("se", 6).alias("se"), "n")
 
 
-@query()
+#: A customer's orders, counted and summed up by period.
+_PERIODS = """u AS (SELECT o_custkey AS u, CAST(o_custkey % 5 AS INT) AS f, count(*) FILTER (WHERE year(o_orderdate) < 1998) AS t0, count(*) FILTER (WHERE year(o_orderdate) >= 1998) AS t1,
+ coalesce(sum(o_totalprice) FILTER (WHERE year(o_orderdate) >= 1998), 0) / 1000 AS y FROM orders GROUP BY o_custkey)"""
+
+
+@query(f"""WITH {_PERIODS}, k AS (SELECT DISTINCT f AS k FROM u), s AS (SELECT k, count(*) AS n, sum(t0) AS s0, sum(t1) AS s1, sum(y) AS sy, sum(t0 * t0) AS s00, sum(t0 * t1) AS s01, sum(t0 * y) AS s0y FROM k JOIN u ON f <> k GROUP BY k)
+, b AS (SELECT *, (s0y - s0 * sy / n) / (s00 - s0 * s0 / n + 1) AS by_, (s01 - s0 * s1 / n) / (s00 - s0 * s0 / n + 1) AS bt_ FROM s)
+, r AS (SELECT y - sy / n AS y0, t0 - s0 / n AS a, t1 - s1 / n AS c, y - sy / n - by_ * (t0 - s0 / n) AS y1, t1 - s1 / n - bt_ * (t0 - s0 / n) AS e FROM u JOIN b ON f = k)
+, h AS (SELECT sum(e * y1) / sum(e * e) AS th1, sum(a * a) AS aa, sum(a * c) AS ac, sum(e * e) AS ee, sum(a * y0) AS ay, count(*) AS n FROM r)
+, g AS (SELECT *, (ay - th1 * ac) / aa AS th0 FROM h)
+, m AS (SELECT any_value(th0) AS th0, any_value(th1) AS th1, any_value(g.n) AS n, any_value(aa / g.n) AS p, any_value(ac / g.n) AS q, any_value(ee / g.n) AS w,
+ avg((a * (y0 - th0 * a - th1 * c)) ** 2) AS m00, avg(a * (y0 - th0 * a - th1 * c) * e * (y1 - th1 * e)) AS m01, avg((e * (y1 - th1 * e)) ** 2) AS m11 FROM r, g)
+SELECT 0 AS period, round(th0, 6) AS theta, round(sqrt((m00 / p ** 2 - 2 * q * m01 / (p ** 2 * w) + q ** 2 * m11 / (p ** 2 * w ** 2)) / n), 6) AS se, n FROM m
+UNION ALL SELECT 1, round(th1, 6), round(sqrt(m11 / w ** 2 / n), 6), n FROM m""")
 def dynamic_g_panel(spark, sf_dir):
-    o = _read(spark, sf_dir, "orders").select("o_custkey", (F.col("o_totalprice") / 1000).alias("y"), F.month("o_orderdate").cast("double").alias("t"), F.dayofmonth("o_orderdate").cast("double").alias("x"), "o_orderkey")
-    from pyspark.sql import Window
+    o = _read(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_totalprice")
+    late = (F.year("o_orderdate") >= 1998).cast("int")
+    panel = spine.spined(o, "o_custkey", late, [0, 1], {"t": F.lit(1), "y": F.col("o_totalprice") / 1000})
+    g = E.dynamic_g(panel.withColumn("f", F.pmod("o_custkey", F.lit(5)).cast("int")), "y", "t", [], "o_custkey", [0, 1], fold="f")
+    return spark.createDataFrame([(i, round(float(a), 6), round(float(b), 6), g["n"]) for i, (a, b) in enumerate(zip(g["theta"], g["se"], strict=True))], "period int, theta double, se double, n long")
 
-    first = o.withColumn("period", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))).filter("period <= 2")
-    full = first.groupBy(F.col("o_custkey").alias("u")).count().filter("count = 2")
-    g = E.dynamic_g(first.join(full, first["o_custkey"] == full["u"], "left_semi"), "y", "t", ["x"], "o_custkey", [1, 2])
-    return spark.createDataFrame([(i, float(a), float(b), g["n"]) for i, (a, b) in enumerate(zip(g["theta"], g["se"], strict=True))], "period int, theta double, se double, n long")
+
+@query(f"""WITH {_PERIODS} SELECT o_custkey, p AS period, coalesce(n, 0)::DOUBLE AS t, round(coalesce(v, 0), 6)::DOUBLE AS y FROM (SELECT DISTINCT o_custkey FROM orders) CROSS JOIN (SELECT 1994 + range AS p FROM range(8)) LEFT JOIN
+ (SELECT o_custkey, year(o_orderdate) AS p, count(*) AS n, sum(o_totalprice) / 1000 AS v FROM orders GROUP BY ALL) USING (o_custkey, p)""")
+def panel_spine(spark, sf_dir):
+    o = _read(spark, sf_dir, "orders")
+    full = spine.spined(o, "o_custkey", F.year("o_orderdate"), list(range(1994, 2002)), {"t": F.lit(1), "y": F.col("o_totalprice") / 1000})
+    return full.select("o_custkey", F.col("period").cast("long").alias("period"), "t", F.round("y", 6).alias("y"))
 
 
 @query()
@@ -760,3 +783,45 @@ def long_run_covariance(spark, sf_dir):
     d, n = order.positioned(_events(spark, sf_dir).select("event_id", "y", "t"), "event_id")
     c = E.long_run_covariance(d, ["y", "t"], n, 4)
     return spark.createDataFrame([(round(float(c[0, 0]), 4), round(float(c[0, 1]), 4), round(float(c[1, 1]), 4))], "aa double, ab double, bb double")
+
+
+_CV_SUMS = ", ".join(f"sum({c}) AS {c}" for c in ("n", "sx", "sxx", "sg", "sxg", "sgg"))
+
+
+@query(f"""WITH l AS (SELECT l_extendedprice / 1000 AS y, l_discount * 100 AS t, l_quantity / 1000 AS x, CAST(l_orderkey % 5 AS INT) AS f, l_linenumber % 3 AS i FROM lineitem)
+, c AS (SELECT f, i, 'y' AS g, count(*) AS n, sum(x) AS sx, sum(x * x) AS sxx, sum(y) AS sg, sum(x * y) AS sxg, sum(y * y) AS sgg FROM l GROUP BY f, i UNION ALL SELECT f, i, 't', count(*), sum(x), sum(x * x), sum(t), sum(x * t), sum(t * t) FROM l GROUP BY f, i)
+, v AS (SELECT k.f, c.i, c.g, {_CV_SUMS} FROM (SELECT DISTINCT f FROM l) k JOIN c ON c.f <> k.f GROUP BY k.f, c.i, c.g)
+, w AS (SELECT a.f, a.i, a.g, {", ".join(f"sum(b.{c}) AS {c}" for c in ("n", "sx", "sxx", "sg", "sxg"))} FROM v a JOIN v b ON a.f = b.f AND a.g = b.g AND a.i <> b.i GROUP BY a.f, a.i, a.g)
+, p AS (SELECT v.f, v.g, alpha, v.n, v.sx / v.n AS mx, v.sg / v.n AS mg, w.sx / w.n AS ux, w.sg / w.n AS ug, (w.sxg - w.sx * w.sg / w.n) / (w.sxx - w.sx * w.sx / w.n + alpha) AS b,
+ v.sxx - v.sx * v.sx / v.n AS cxx, v.sxg - v.sx * v.sg / v.n AS cxg, v.sgg - v.sg * v.sg / v.n AS cgg FROM v JOIN w USING (f, i, g), (VALUES (0.1::DOUBLE), (1.0::DOUBLE), (10.0::DOUBLE)) z(alpha))
+, q AS (SELECT f, g, alpha, row_number() OVER (PARTITION BY f, g ORDER BY sum(1 - (cgg - 2 * b * cxg + b * b * cxx + n * (mg - ug - b * (mx - ux)) ** 2) / cgg) DESC, alpha) AS place FROM p GROUP BY f, g, alpha)
+, m AS (SELECT v.f, v.g, any_value(alpha) AS alpha, sum(sx) / sum(n) AS mx, sum(sg) / sum(n) AS mg, (sum(sxg) - sum(sx) * sum(sg) / sum(n)) / (sum(sxx) - sum(sx) * sum(sx) / sum(n) + any_value(alpha)) AS b FROM v JOIN q ON v.f = q.f AND v.g = q.g AND place = 1 GROUP BY v.f, v.g)
+, r AS (SELECT y - o.mg - o.b * (x - o.mx) AS yr, t - e.mg - e.b * (x - e.mx) AS tr FROM l JOIN m o ON l.f = o.f AND o.g = 'y' JOIN m e ON l.f = e.f AND e.g = 't'){_IID}""")
+def double_ml_ridge_cv(spark, sf_dir):
+    d = _read(spark, sf_dir, "lineitem").select(
+        (F.col("l_extendedprice") / 1000).alias("y"), (F.col("l_discount") * 100).alias("t"), (F.col("l_quantity") / 1000).alias("x"),
+        F.pmod("l_orderkey", F.lit(5)).cast("int").alias("f"), F.pmod("l_linenumber", F.lit(3)).cast("int").alias("i"),
+    )
+    return _said(E.double_ml(d, "y", "t", ["x"], fold="f", model_y="ridge_cv", model_t="ridge_cv", inner="i"), spark)
+
+
+@query("WITH o AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY md5('0 ' || o_orderkey)) - 1 AS p, count(*) OVER () AS n FROM orders), f AS (SELECT *, CAST(CASE WHEN p < (n % 7) * (n // 7 + 1) THEN p // (n // 7 + 1) ELSE n % 7 + (p - (n % 7) * (n // 7 + 1)) // (n // 7) END AS INT) AS fold FROM o) SELECT fold, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys, round(sum(o_totalprice), 2) AS price FROM f GROUP BY fold")
+def shuffled_kfold(spark, sf_dir):
+    folded = order.kfold(_read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 7)
+    return folded.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"), F.round(F.sum("o_totalprice"), 2).alias("price"))
+
+
+@query(f"WITH {_LINES} SELECT CAST(r.range AS INT) AS replicate, (SELECT count(*) FROM d) AS w_sum, true AS near FROM range(40) r")
+def resampled_slopes(spark, sf_dir):
+    """Every replicate has as many draws as rows, and its slope is within six errors of the whole sample's."""
+    d, n = order.positioned(_lines(spark, sf_dir).select("y", "t"), "y")
+    whole = E.naive_ols(d, "y", "t")
+    return resampling.resampled_slopes(d, "y", "t", n, 40).select("replicate", "w_sum", (F.abs(F.col("estimate") - F.lit(whole.theta)) < F.lit(6 * whole.se)).alias("near"))
+
+
+@query(f"WITH {_RUNS} SELECT count(*) AS n, round(avg(estimate - 40), 6) AS bias, round(avg((estimate - 40) ** 2), 4) AS mse, round(avg(CASE WHEN ci_lower <= 40 AND ci_upper >= 40 THEN 1.0 ELSE 0.0 END), 6) AS coverage, true AS inside, CASE WHEN abs(avg(estimate - 40)) > 0.15 THEN 'FAIL' END AS status FROM r")
+def baseline_validation(spark, sf_dir):
+    """With the resampled interval: whether it holds the bias."""
+    v = simulation.baseline_validation(_runs(spark, sf_dir), 40.0, replicates=400)
+    row = (v["n"], round(v["bias"], 6), round(v["mse"], 4), round(v["coverage"], 6), v["bias_lower"] < v["bias"] < v["bias_upper"], v["status"])
+    return spark.createDataFrame([row], "n long, bias double, mse double, coverage double, inside boolean, status string")
