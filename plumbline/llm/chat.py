@@ -53,6 +53,8 @@ MAPPINGS = (
     *_messages("messages"),
     *_messages("system_messages", system=True),
     *(m for w in ("data", "conversation", "record") for m in _messages(f"{w}_messages", f"{w}.messages")),
+    *_messages("conversations", "conversations"),
+    Mapping("messages_of_roles", ("messages[].role",), each="messages"),
     Mapping("no_messages", ("messages[]",), each="messages"),
     Mapping("turns", ("turns[].role", "turns[].text"), each="turns", text="text"),
     Mapping("from_value", ("conversations[].from", "conversations[].value"), each="conversations", role="from", text="value"),
@@ -62,9 +64,12 @@ MAPPINGS = (
     Mapping("question_answer", ("answer", "question"), fields=(("question", "user"), ("answer", "assistant"))),
     Mapping("instruction_output", ("instruction", "output"), fields=(("instruction", "user"), ("output", "assistant"))),
     Mapping("instruction_response", ("instruction", "response"), fields=(("instruction", "user"), ("response", "assistant"))),
+    Mapping("instruction_input_response", ("input", "instruction", "response"), fields=(("instruction", "user"), ("input", "user"), ("response", "assistant"))),
     Mapping("instruction_input_output", ("input", "instruction", "output"), fields=(("instruction", "user"), ("input", "user"), ("output", "assistant"))),
     Mapping("system_prompt_response", ("prompt", "response", "system"), fields=(("system", "system"), ("prompt", "user"), ("response", "assistant"))),
 )
+#: Fields of a list's elements that hold a role and a text, in the order they are looked for after the layout's own.
+ROLE_FIELDS, TEXT_FIELDS = ("role", "from"), ("content", "value", "text")
 #: Levels of nesting that a record is walked down; what lies deeper is no part of any mapping.
 DEPTH = 6
 #: Roles of other layouts by their canonical names.
@@ -72,9 +77,9 @@ ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assi
 _VOCABULARY = sorted({p for m in MAPPINGS for p in m.paths})
 
 
-def fingerprint_of(paths: Column) -> Column:
-    """Hash of the known ones among an array of field paths, sorted; unknown fields do not count."""
-    known = F.array_sort(F.array_intersect(paths, F.array(*[F.lit(p) for p in _VOCABULARY])))
+def fingerprint_of(paths: Column, known: Iterable[Path] = _VOCABULARY) -> Column:
+    """Hash of the ``known`` ones among an array of field paths, sorted; other fields do not count."""
+    known = F.array_sort(F.array_intersect(paths, F.array(*[F.lit(p) for p in known])))
     return F.xxhash64(F.array_join(known, "\n"))
 
 
@@ -139,10 +144,20 @@ def _part_text(content: Column) -> Column:
     return F.when(parts.isNull(), F.try_variant_get(content, "$", "string")).otherwise(F.array_join(F.transform(parts, lambda p: F.try_variant_get(p, "$.text", "string")), ""))
 
 
+def _first_of(element: Column, names: Iterable[str], read) -> Column:
+    """What ``read`` makes of the first field of these names that an element has, as a list of one; an empty list if it has none."""
+    fields = F.try_variant_get(element, "$", "map<string,variant>")
+    has = [(F.map_contains_key(fields, n), F.array(read(F.try_variant_get(element, f"$.{n}", "variant")))) for n in dict.fromkeys(names)]
+    return reduce(lambda c, x: c.when(*x), has[1:], F.when(*has[0])).otherwise(F.array().cast("array<string>"))
+
+
 def _list_turns(m: Mapping, record: Column) -> Column:
-    """Turns of a list layout in a variant record."""
+    """Turns of a list layout in a variant record. Each element is read by its own fields, so lists may mix layouts; null if one has no role, as its text would be lost."""
     elements = F.try_variant_get(record, f"$.{m.each}", "array<variant>")
-    return F.transform(elements, lambda t: _turn(F.try_variant_get(t, f"$.{m.role}", "string"), _part_text(F.try_variant_get(t, f"$.{m.text}", "variant"))))
+    role = lambda t: _first_of(t, (m.role, *ROLE_FIELDS), lambda v: F.try_variant_get(v, "$", "string"))
+    text = lambda t: _first_of(t, (m.text, *TEXT_FIELDS), _part_text)
+    turns = F.transform(elements, lambda t: F.when(F.size(role(t)) > 0, _turn(F.get(role(t), F.lit(0)), F.get(text(t), F.lit(0)))))
+    return F.when(~F.exists(turns, lambda t: t.isNull()), turns)
 
 
 def _field_turns(m: Mapping, record: Column) -> Column:
@@ -180,13 +195,16 @@ def record_paths(record: Column) -> Column:
 def turns_of_records(records: DataFrame, record: str = "record") -> DataFrame:
     """All columns of ``records`` plus layout and turns, from a JSON text column of mixed layouts.
 
-    A record that is no JSON, or whose fields fit no mapping, gets a null layout and null turns: it is not dropped. A layout never stands
+    A record has the first layout, of those with more fields before those with fewer, whose own fields it all has: fields that no layout or another one names change nothing. A record that is no JSON, or whose fields fit no mapping, gets a null layout and null turns: it is not dropped. A layout never stands
     beside null turns. Columns of the table named layout or turns are replaced."""
     parsed = records.withColumn("__v", F.try_parse_json(record))
-    parsed = parsed.withColumn("__fp", F.when(F.col("__v").isNotNull(), fingerprint_of(record_paths(F.col("__v")))))
-    per_record = [(h, m) for h, m in BY_FINGERPRINT.items() if not m.rows]
-    layout = reduce(lambda c, x: c.when(F.col("__fp") == x[0], F.lit(x[1].name)), per_record, F.when(F.lit(False), F.lit("")))
-    turns = reduce(lambda c, x: c.when(F.col("__fp") == x[0], _record_turns(x[1], F.col("__v"))), per_record, F.when(F.lit(False), F.lit(None).cast(_TURNS)))
+    parsed = parsed.withColumn("__paths", F.when(F.col("__v").isNotNull(), record_paths(F.col("__v"))))
+    per_record = sorted((m for m in MAPPINGS if not m.rows), key=lambda m: -len(m.paths))
+    # the fingerprint of those of its paths that the mapping names
+    own = reduce(lambda c, m: c.when(fingerprint_of(F.col("__paths"), m.paths) == fingerprint(m.paths), F.lit(m.name)), per_record, F.when(F.lit(False), F.lit("")))
+    parsed = parsed.withColumn("__layout", own)
+    layout = F.col("__layout")
+    turns = reduce(lambda c, m: c.when(layout == m.name, _record_turns(m, F.col("__v"))), per_record, F.when(F.lit(False), F.lit(None).cast(_TURNS)))
     kept = [c for c in records.columns if c.lower() not in ("layout", "turns")]
     return parsed.withColumn("__turns", turns).select(*kept, F.when(F.col("__turns").isNotNull(), layout).alias("layout"), F.col("__turns").alias("turns"))
 

@@ -103,20 +103,6 @@ def bucket_counts(docs: DataFrame, ids: DataFrame, id: str = "doc_id", text: str
     return total
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, id: str = "doc_id", text: str = "text", buckets: int = BUCKETS, smoothing: float = 1.0) -> np.ndarray:
-    """log p(bucket | trusted) - log p(bucket | all), as ``buckets`` numbers.
-
-    ``trusted`` holds the ids of the trusted documents in its first column."""
-    total = bucket_counts(docs, _trusted_ids(trusted), id, text, buckets)
-    if not total[1].any():
-        return np.zeros(buckets, np.float32)
-    # the trusted counts are smoothed towards the corpus, so an n-gram that nobody has seen says nothing
-    prior = (total[0] + smoothing) / (total[0].sum() + smoothing * buckets)
-    strength = smoothing * buckets
-    p = (total[1] + strength * prior) / (total[1].sum() + strength)
-    return (np.log(p) - np.log(prior)).astype(np.float32)
-
-
 def held_out_score(own: np.ndarray, good: bool, counts: np.ndarray, sums: np.ndarray) -> float:
     """Mean log of trusted to expected count over the buckets ``own`` of a document, without its own counts; ``good``: it is trusted."""
     at, n = np.unique(own, return_counts=True)

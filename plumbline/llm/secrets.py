@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,6 +44,8 @@ SENSITIVE = {
     "privatekey": 1.0, "secretkey": 1.0, "accesskey": 0.9, "credential": 0.9, "credentials": 0.9, "signingkey": 0.9,
     "encryptionkey": 0.9, "clientsecret": 1.0, "authkey": 0.9, "bearer": 0.8, "authorization": 0.9, "auth": 0.5, "key": 0.4, "pass": 0.7,
 }
+#: Last parts of names whose value is about a secret without being one.
+ABOUT = {"file", "path", "dir", "type", "name", "url", "uri", "field", "length", "count", "policy", "prefix"}
 #: Values that stand for a secret without being one.
 PLACEHOLDER = re.compile(r"(?i)^(?:(?:your|my|the|some)[-_ ]?.*|change[-_ ]?me.*|x{3,}|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%\w+%|none|null|nil|true|false|undefined|example.*|placeholder|redacted|todo|test|dummy|sample)$")
 
@@ -60,6 +64,8 @@ _BARE = re.compile(r"""[^\s"'`,;(){}\[\]]++""")
 _NAME = re.compile(r"[$A-Za-z_][A-Za-z0-9_.\-]*")
 _JOIN = re.compile(r"[ \t]*+(?:\+(?![=+])|\.\.|\|\||\?\?|or\b)[ \t]*+")
 _SPACE = re.compile(r"[ \t]*+(?:new\b[ \t]*+)?")
+#: A command before its quoted argument.
+_COMMAND = re.compile(r"[A-Z][A-Za-z]*+-[A-Z][A-Za-z]*+[ \t]++(?=[\"'])")
 #: An interpolated string without text of its own.
 _FILLED = re.compile(r"(?:\{[^{}]*\})+")
 #: Calls whose first literal is a name that the others are values of.
@@ -90,9 +96,12 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+@lru_cache(4096)
 def sensitivity(name: str) -> float:
     """How sensitive a name's value is, by its words and by neighbouring words run together."""
     words = [w.lower() for part in re.split(r"[_.\-]+", name) for w in _PARTS.findall(part)]
+    if words and words[-1] in ABOUT:
+        return 0.0
     joined = [*words, *(a + b for a, b in zip(words, words[1:], strict=False))]
     return max((SENSITIVE.get(w, 0.0) for w in joined), default=0.0)
 
@@ -115,6 +124,7 @@ class Lines:
 
     def __init__(self, text: str):
         self.text, self.found, self.given, self.unclosed = text, [], {}, set()
+        self.extent, self.calls, self.literals, self.ranges, self.signs = (0, 0), None, [], [], []
 
     # -- values ------------------------------------------------------------------------------------
     def string(self, m: re.Match) -> tuple[Literal | None, int]:
@@ -138,32 +148,59 @@ class Lines:
             at, value = at + scheme.end(), value[scheme.end() :]
         return (value, [(at, at + len(value))]), end
 
-    def call(self, name: str, at: int, end: int) -> tuple[list[Literal], int]:
-        """The literals among a call's arguments, from its bracket on, and where it ends. Pairs among them are noted."""
-        depth, out, names = 0, [], []
+    def lexed(self, lo: int, end: int) -> None:
+        """Reads the brackets of a line once: ``calls`` has for each "(" the literals inside, at any depth, as a range of ``literals``, where it ends, and whether an
+        argument has a name of its own. An opened bracket ends with the line at the latest."""
+        self.literals, self.calls, self.ranges, signs = [], {}, [], []
+        open_, level, at = [], [], lo
         while at < end and (m := _TOKEN.search(self.text, at, end)):
-            at = m.end()
-            if m["op"] in ("(", "[", "{"):
-                depth += 1
-            elif m["op"] in (")", "]", "}"):
-                depth -= 1
-                if depth <= 0:
-                    break
+            at, op = m.end(), m["op"]
+            if op in ("(", "[", "{"):
+                open_.append((m.start(), len(self.literals)))
+            elif op in (")", "]", "}"):
+                if open_:
+                    start, first = open_.pop()
+                    self.calls[start] = (first, len(self.literals), at)
             elif m["string"]:
                 literal, at = self.string(m)
-                if literal:
-                    out.append(literal)
-            elif m["op"] in _ASSIGNS:
-                # an argument with a name of its own is read as a pair of the line
-                out = out[:-1] if m["op"] != "==" else out
-                names.append(at)
-        if len(out) > 1 and _NAME.fullmatch(out[0][0]) and (_LOOKUP.search(name) or sensitivity(out[0][0])):
-            for literal in out[1:]:
-                self.found.append(((out[0][0],), (), literal))
-            out = out[1:]
-        elif len(out) == 1 and _LOOKUP.search(name):
-            out = []  # the name of what is looked up
-        return ([] if names else out), at
+                if literal and open_:
+                    self.literals.append(literal)
+                    level.append(open_[-1][0])
+            elif op in _ASSIGNS:
+                signs.append(m.start())
+                # a literal before a sign of its own bracket is a key
+                if op != "==" and open_ and self.literals and level[-1] == open_[-1][0] and open_[-1][1] < len(self.literals):
+                    self.literals.pop()
+                    level.pop()
+        for start, first in open_:
+            self.calls[start] = (first, len(self.literals), end)
+        self.signs = signs
+
+    def call(self, name: str, at: int) -> tuple[int, int, int]:
+        """The range of literals that a call's bracket holds as values, and where it ends. What a name among them is given is noted."""
+        if self.calls is None:
+            self.lexed(*self.extent)
+        first, past, close = self.calls.get(at, (0, 0, at + 1))
+        if past - first > 1 and _NAME.fullmatch(key := self.literals[first][0]) and (_LOOKUP.search(name) or sensitivity(key)):
+            self.ranges.append((first + 1, past, key))
+            first += 1
+        elif past - first == 1 and _LOOKUP.search(name):
+            first = past  # the name of what is looked up
+        # an argument with a name of its own is read as a pair of the line
+        named = bisect_left(self.signs, close) > bisect_left(self.signs, at)
+        return (past if named else first), past, close
+
+    def settled(self) -> None:
+        """Gives each literal of a line the most sensitive name among the calls around it; calls lie in each other, so one pass does."""
+        waiting, around = sorted(self.ranges, key=lambda r: (-r[0], r[1])), []
+        for i, literal in enumerate(self.literals) if waiting else ():
+            while around and around[-1][0] <= i:
+                around.pop()
+            while waiting and waiting[-1][0] <= i:
+                _, past, name = waiting.pop()
+                around.append((past, max(name, around[-1][1] if around else name, key=sensitivity)))
+            if around:
+                self.found.append(((around[-1][1],), (), literal))
 
     def value(self, names: tuple[str, ...], at: int, end: int, aliases: tuple[str, ...]) -> int:
         """Reads what is given to ``names`` from ``at`` on: literals, names and calls, joined by signs. Returns where it ends."""
@@ -181,13 +218,16 @@ class Lines:
                 if joined:
                     self.found.append((names, aliases, joined))
                 joined = None
+                if command := _COMMAND.match(text, at, end):
+                    at = command.end()
+                    continue
                 m = _BARE.match(text, at, end)
                 if not m:
                     return at
                 word, at = m[0], m.end()
                 if at < end and text[at] == "(":
-                    literals, at = self.call(word, at, end)
-                    self.found += [(names, aliases, literal) for literal in literals]
+                    first, past, at = self.call(word, at)
+                    self.found += [(names, aliases, literal) for literal in self.literals[first:past]]
                 else:
                     self.found.append((names, (), (word, [m.span()])))
                     for name in aliases:
@@ -226,6 +266,7 @@ class Lines:
     def line(self, lo: int, end: int) -> int:
         """Reads one line; returns where reading goes on, which is later after a string of several lines."""
         text, before, at = self.text, [], lo
+        self.extent, self.calls, self.literals, self.ranges = (lo, end), None, [], []
         while at < end and (m := _TOKEN.search(text, at, end)):
             at, op = m.end(), m["op"]
             if op in _ASSIGNS:
@@ -244,9 +285,9 @@ class Lines:
             elif op in _ENDS:
                 if op == "(" and before and before[-1]["name"]:
                     name = before[-1]["name"]
-                    literals, _ = self.call(name, m.start(), end)
-                    if _SETTER.search(name):
-                        self.found += [((name,), (), literal) for literal in literals]
+                    first, past, _ = self.call(name, m.start())
+                    if past > first and _SETTER.search(name):
+                        self.ranges.append((first, past, name))
                 before = []
             else:
                 if m["string"]:
@@ -254,7 +295,7 @@ class Lines:
                     if literal and len(before) > 1 and before[-1]["name"] and (before[-2]["name"] or "").lower() in ("set", "define", "env", "setenv"):
                         self.found.append(((before[-1]["name"],), (before[-1]["name"],), literal))
                 elif m["name"] and m["name"].startswith("--") and at < end and text[at] in " \t":
-                    self.value((m["name"].lstrip("-"),), at, end, ())
+                    at = max(at, self.value((m["name"].lstrip("-"),), at, end, ()))
                 before = [*before[1 - _BEFORE :], m]
         return max(at, end)
 
@@ -290,6 +331,7 @@ class Lines:
             lo = max(end + 1, text.rfind("\n", 0, sign.start()) + 1)
             stop = text.find("\n", max(sign.start(), lo))
             end = self.line(lo, len(text) if stop < 0 else stop)
+            self.settled()
         if "</" in text:
             for m in _ELEMENT.finditer(text):
                 self.found.append(((m[1],), (), (m[2], [m.span(2)])))

@@ -1,8 +1,11 @@
 """Quality rules and the rule ensemble."""
 
+import math
 import re
+from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,19 +43,34 @@ def test_base_counts_against_brute_force(spark, sf_dir):
         assert r.kept == (not r.base_failed and r.score >= R.THRESHOLD)
 
 
-def test_log_ratio_against_brute_force(spark, small_dir):
+@pytest.mark.parametrize("trust", ["quality = 1", "quality = 7"])
+def test_verdicts_against_brute_force(spark, small_dir, trust):
     docs = spark.read.parquet(f"{small_dir}/documents.parquet").select("doc_id", "text")
-    trusted = spark.read.parquet(f"{small_dir}/labels.parquet").filter("quality = 1").select("doc_id")
-    got = R.log_ratios(docs.repartition(7), trusted, buckets=1 << 12)
-    good, total = {r[0] for r in trusted.collect()}, np.zeros((2, 1 << 12))
-    for r in docs.collect():
-        words = W.words_of(r.text.encode())
-        for b in R.buckets_of(words, W.WordHashes(), 1 << 12) if words else []:
-            total[0, b] += 1
-            total[1, b] += r.doc_id in good
-    prior = (total[0] + 1) / (total[0].sum() + 4096)
-    want = np.log((total[1] + 4096 * prior) / (total[1].sum() + 4096)) - np.log(prior)
-    assert np.allclose(got, want, atol=1e-5)
+    docs = docs.unionByName(docs.limit(5)).unionByName(spark.createDataFrame([(None, "lone " * 60), (10**6, None)], "doc_id long, text string"))
+    trusted = spark.read.parquet(f"{small_dir}/labels.parquet").filter(trust).select("doc_id")
+    rows, good = docs.collect(), {r[0] for r in trusted.collect()}
+    hashes, grams = W.WordHashes(), []
+    for r in rows:
+        words = [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", r.text or "")]
+        single, two = [int(R.buckets_of([w], hashes)[0]) for w in words], [int(R.buckets_of([a, b], hashes)[2]) for a, b in zip(words, words[1:], strict=False)]
+        grams.append(Counter(single + two))
+    everywhere, inside = Counter(), Counter()
+    for r, g in zip(rows, grams, strict=True):
+        everywhere.update(g)
+        if r.doc_id in good:
+            inside.update(g)
+    want = []
+    for r, g in zip(rows, grams, strict=True):
+        own, mine, score = sum(g.values()), r.doc_id in good, 0.0
+        if own:
+            share = (sum(inside.values()) - mine * own) / max(1, sum(everywhere.values()) - own)
+            score = sum(n * math.log((inside[b] - mine * n + R.SUPPORT) / ((everywhere[b] - n) * share + R.SUPPORT)) for b, n in g.items()) / own
+        want.append((r.doc_id, r.text, score))
+    got = {(r.doc_id, r.text): r for r in R.quality_rules(docs.repartition(7), trusted).collect()}
+    assert len({w[:2] for w in want}) == len(got)
+    for id, text, score in want:
+        r = got[id, text]
+        assert math.isclose(r.score, score, rel_tol=1e-9, abs_tol=1e-9) and r.kept == (not r.base_failed and score >= R.THRESHOLD), id
 
 
 def test_quality_rules_cases(spark):

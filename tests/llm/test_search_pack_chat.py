@@ -222,12 +222,28 @@ def test_nested_and_extra_fields(spark):
         (None, [1, 2], None),
         (None, 5, None),
         ("messages", {"messages": [*say, {"role": None, "content": None}]}, [*both, ("", "")]),
+        ("messages", {"conv_id": 5, "messages": say}, both),
+        ("messages", {"messages": say, "text": "t", "prompt": "p"}, both),
+        ("messages", {"messages": [say[0], {"from": "gpt", "value": "a"}]}, both),
+        ("messages", {"messages": [*say, {"role": "assistant", "tool_calls": [1]}]}, [*both, ("assistant", "")]),
+        (None, {"messages": [*say, {"content": "whose?"}]}, None),
+        (None, {"messages": [*say, "whose?"]}, None),
+        ("conversations", {"conversations": [{"from": "human", "value": "q"}, {"role": "assistant", "content": "a"}]}, both),
+        ("conversations", {"conversations": say}, both),
+        ("instruction_input_response", {"instruction": "q", "input": "i", "response": "a", "text": "t"}, [both[0], ("user", "i"), both[1]]),
+        ("messages_of_roles", {"messages": [{"role": "user"}, {"role": "assistant"}]}, [("user", ""), ("assistant", "")]),
     ]
     df = spark.createDataFrame([(i, json.dumps(r)) for i, (_, r, _) in enumerate(cases)], "n long, record string")
     got = {r.n: (r.layout, r.turns if r.turns is None else [tuple(t) for t in r.turns]) for r in C.turns_of_records(df).collect()}
     assert got == {i: (layout, turns) for i, (layout, _, turns) in enumerate(cases)}
 
 
+def test_repeated_records_and_none(spark):
+    df = spark.createDataFrame([(1, '{"prompt": "q", "response": "a"}')] * 3, "n long, record string")
+    assert [r.layout for r in C.turns_of_records(df).collect()] == ["prompt_response"] * 3
+    assert C.turns_of_records(df.limit(0)).collect() == []
+
+
 def test_fingerprints_of_schemas_and_records_agree(spark):
     paths = F.array(*map(F.lit, ("turn", "other", "text", "conv_id", "role")))
     assert spark.range(1).select(C.fingerprint_of(paths)).first()[0] == C.fingerprint(["role", "text", "turn", "conv_id", "z"])
