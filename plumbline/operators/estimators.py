@@ -16,6 +16,7 @@ from plumbline.functions.distributions import normal_quantile, t_quantile, two_s
 from plumbline.functions.linear import Moments, solve
 from plumbline.operators.moments import celled, fitted_on, inner_fold, logistic_models, moments, predicted, predicted_by_fold
 from plumbline.operators.order import forward_folds, lagged, positioned
+from plumbline.operators.resampling import drawn
 from plumbline.sources.shared import written
 
 
@@ -156,20 +157,37 @@ def learner(kind, seed: int = 42):
     return None
 
 
+#: learner() where a parameter has its name.
+_learner = learner
+
+
+def pooled(jobs: list, at_once: int = 4) -> list:
+    """The results of functions without arguments, in order; at most ``at_once`` run at a time, as Spark jobs of one session."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+
+    spark = SparkSession.getActiveSession()
+    own = inheritable_thread_target(spark) if spark else lambda job: job
+    with ThreadPoolExecutor(at_once) as pool:
+        return [f.result() for f in [pool.submit(own(job)) for job in jobs]]
+
+
 def _with_predictions(df: DataFrame, controls: list[str], models: dict, parts: list[tuple[Column, Column]], rest: Column | None = None) -> DataFrame:
     """``df`` plus __m_<target>: of each (train, test) part, what models fitted on its training rows say of its test rows. Rows that
     ``rest`` holds for are in no test and get nulls. Classifiers say the probability of 1."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    # written once: every fold and target reads it again
+    # written once: every fold and target reads it again, several at a time
     ready = VectorAssembler(inputCols=controls, outputCol="__x").transform(written(df))
     out = None if rest is None else ready.filter(rest).withColumns({f"__m_{c}": F.lit(None).cast("double") for c in models})
-    for train, test in parts:
+    jobs = [lambda m=m, c=c, train=train: m.copy({m.featuresCol: "__x", m.labelCol: c, m.predictionCol: "__said"}).fit(ready.filter(train)) for train, _ in parts for c, m in models.items()]
+    fits = iter(pooled(jobs))
+    for _, test in parts:
         part = ready.filter(test)
-        for c, model in models.items():
-            fit = model.copy({model.featuresCol: "__x", model.labelCol: c, model.predictionCol: "__said"}).fit(ready.filter(train))
-            part = fit.transform(part)
+        for c in models:
+            part = next(fits).transform(part)
             said = vector_to_array("probability")[1] if "probability" in part.columns else F.col("__said")
             part = part.withColumn(f"__m_{c}", said).drop("__said", "probability", "rawPrediction")
         out = part if out is None else out.unionByName(part)
@@ -298,21 +316,39 @@ def default_bandwidth(n: int) -> int:
     return min(n - 1, int(math.floor(round(n ** (1 / 3), 9))))
 
 
-def hac_se(df: DataFrame, psi: str = "psi", pos: str = "pos", bandwidth: int | None = None, kernel: str = "bartlett", chunk: int = 64, n: int | None = None) -> tuple[float, int]:
+def hac_se(df: DataFrame, psi: str = "psi", pos: str = "pos", bandwidth: int | None = None, kernel: str = "bartlett", n: int | None = None) -> tuple[float, int]:
     """Standard error of the mean of ``psi`` and the bandwidth, floor(n^(1/3)) by default; 0 leaves the lags out. ``n``: the rows, if known.
 
-    Bartlett weights come from window sums, whatever the bandwidth; other kernels take one aggregate for each ``chunk`` lags."""
+    Bartlett weights come from window sums, other kernels from a transform of each block of positions: the work hardly grows with the bandwidth."""
     n = df.count() if n is None else n
     b = default_bandwidth(n) if bandwidth is None else bandwidth
     if kernel == "bartlett":
         return math.sqrt(max(bartlett_products(df, [psi], n, b, pos)[0, 0] / n, 0.0) / n), b
-    omega = df.agg(F.sum(F.col(psi) * F.col(psi))).first()[0]
-    for start in range(1, b + 1, chunk):
-        ks = range(start, min(b, start + chunk - 1) + 1)
-        wide = lagged(df.select(pos, psi), {f"__l{k}": (psi, k) for k in ks}, pos)
-        got = wide.agg(*[F.sum(F.col(psi) * F.col(f"__l{k}")) for k in ks]).first()
-        omega += 2 * sum(kernel_weight(kernel, k, b) * (g or 0.0) for k, g in zip(ks, got, strict=True))
-    return math.sqrt(max(omega / n, 0.0) / n), b
+    return math.sqrt(max(kernel_products(df, psi, min(b, n - 1), b, kernel, pos) / n, 0.0) / n), b
+
+
+def kernel_products(df: DataFrame, column: str, lags: int, bandwidth: int, kernel: str, pos: str = "pos", block: int = 1 << 16) -> float:
+    """Sum over |k| <= ``lags`` of a kernel's weight at k times the products of a column k places apart, by gapless ``pos``.
+
+    A block of positions and the ``lags`` rows before it meet in one task, where all lags are taken at once by a Fourier transform. Blocks are at least four times as long as that
+    overlap, so at most a quarter of the rows is copied."""
+    block = max(block, 4 * lags)
+    weights = np.array([0.0] + [kernel_weight(kernel, k, bandwidth) for k in range(1, lags + 1)])
+    p = F.col(pos).cast("long")
+    own = F.floor(p / block)
+    rows = df.select(p.alias("p"), F.col(column).cast("double").alias("v"), F.explode(F.when(p % block >= block - lags, F.array(own, own + 1)).otherwise(F.array(own))).alias("blk"))
+
+    def one(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("p")
+        v, first = pdf["v"].to_numpy(), int(pdf["blk"].iloc[0]) * block
+        mine = v[pdf["p"].to_numpy() >= first]
+        size = 1 << int(len(v) + len(weights)).bit_length()
+        past = np.fft.irfft(np.fft.rfft(v, size) * np.fft.rfft(weights, size), size)[len(v) - len(mine) : len(v)]
+        return pd.DataFrame({"s": [float(mine @ mine + 2 * (mine @ past))]})
+
+    return rows.groupBy("blk").applyInPandas(one, "s double").agg(F.sum("s")).first()[0] or 0.0
 
 
 def andrews_bandwidth(df: DataFrame, psi: str = "psi", pos: str = "pos") -> int:
@@ -542,11 +578,12 @@ def panel(df: DataFrame, outcome: str, treatment: str, controls: list[str], unit
     return _normal("panel", o.theta, se, m, alpha, n - m, **o.fits)
 
 
-def dynamic_g(df: DataFrame, outcome: str, treatment: str, controls: list[str], unit: str, periods: list, period: str = "period", folds: int = 5, learner: str = "ridge", alpha: float = 0.05, fold: str | None = None) -> dict:
+def dynamic_g(df: DataFrame, outcome: str, treatment: str, controls: list[str], unit: str, periods: list, period: str = "period", folds: int = 5, learner="ridge", alpha: float = 0.05, fold: str | None = None) -> dict:
     """Effects of each period's treatment on the last outcome, peeled backwards, with the joint sandwich covariance.
 
-    Folds come from a hash of the unit or from a column, the same in all rows of a unit. Units are rows after a pivot; one set of moments by fold serves all stages, as every stage's history is some of its columns."""
-    m = len(periods)
+    Folds come from a hash of the unit or from a column, the same in all rows of a unit. Units are rows after a pivot; one set of moments by fold serves all stages, as every stage's history is some of its columns.
+    Forests, boosted trees and other estimators of pyspark.ml are fitted for each stage, fold and target, several at a time; a stage without a history takes means."""
+    m, flexible = len(periods), _learner(learner)
     agg = [F.max(F.when(F.col(period) == p, F.col(c).cast("double"))).alias(f"{n}_{j}") for j, p in enumerate(periods) for n, c in [("t", treatment), *[(f"x{i}", c) for i, c in enumerate(controls)]]]
     wide = df.groupBy(F.col(unit).alias("__u")).agg(*agg, F.max(F.when(F.col(period) == periods[-1], F.col(outcome).cast("double"))).alias("y"), F.count(F.lit(1)).alias("__n"), (F.max(fold) if fold else F.first(hash_fold(unit, folds))).alias("__fold"))
     if not wide.filter(F.col("__n") != m).isEmpty():
@@ -559,10 +596,16 @@ def dynamic_g(df: DataFrame, outcome: str, treatment: str, controls: list[str],
     stage = []
     for tau in range(m):
         history = [c for x in xs[: tau + 1] for c in x] + [f"t_{j}" for j in range(tau)]
-        for target in ["y", *[f"t_{s}" for s in range(tau, m)]]:
-            models = {k: solve(total - v, [at[c] for c in history], at[target], learner) for k, v in by.items()}
+        targets = ["y", *[f"t_{s}" for s in range(tau, m)]]
+        if flexible is not None and history:
+            wide = _with_predictions(wide, history, dict.fromkeys(targets, flexible), [(F.col("__fold") != k, F.col("__fold") == k) for k in by])
+            wide = wide.withColumnsRenamed({f"__m_{c}": f"__m{tau}_{c}" for c in targets})
+            stage += [(F.col(c) - F.col(f"__m{tau}_{c}")).alias(f"r{tau}_{c}") for c in targets]
+            continue
+        for target in targets:
+            models = {k: solve(total - v, [at[c] for c in history], at[target], learner if flexible is None else "ols") for k, v in by.items()}
             stage.append((F.col(target) - predicted_by_fold(models, "__fold", history)).alias(f"r{tau}_{target}"))
-    res = wide.select(*stage)
+    res = written(wide.select(*stage)) if flexible is not None else wide.select(*stage)
     names = res.columns
     mom = moments(res, names)[None]
     k = {c: i for i, c in enumerate(names)}
@@ -695,8 +738,33 @@ def t_learner(df: DataFrame, outcome: str, treatment: str, controls: list[str],
     """``df`` plus effect: the difference of a pyspark.ml regressor fitted in each arm (forests, boosted trees)."""
     from pyspark.ml.feature import VectorAssembler
 
-    ready = out = VectorAssembler(inputCols=controls, outputCol="__x").transform(df)
-    for k in (0, 1):
-        fit = model.copy({model.featuresCol: "__x", model.labelCol: outcome, model.predictionCol: f"__f{k}"}).fit(ready.filter(F.col(treatment) == k))
+    out = VectorAssembler(inputCols=controls, outputCol="__x").transform(df)
+    for fit in _arms(out, outcome, treatment, model):
         out = fit.transform(out)
     return out.withColumn("effect", F.col("__f1") - F.col("__f0")).drop("__x", "__f0", "__f1")
+
+
+def _arms(ready: DataFrame, outcome: str, treatment: str, model, weight: str | None = None) -> list:
+    """The model fitted in each arm, which say __f0 and __f1."""
+    own = lambda k: {model.featuresCol: "__x", model.labelCol: outcome, model.predictionCol: f"__f{k}"} | ({model.weightCol: weight} if weight else {})
+    return pooled([lambda k=k: model.copy(own(k)).fit(ready.filter(F.col(treatment) == k)) for k in (0, 1)], 2)
+
+
+def t_learner_effect(df: DataFrame, outcome: str, treatment: str, controls: list[str], model, replicates: int = 100, alpha: float = 0.05, seed: int = 42) -> Effect:
+    """The mean effect of t_learner() with the percentile interval of resamples: each draws as many rows as there are, with replacement, refits both arms under the draws as weights,
+    and averages the effect over what it drew. Rows are written once with all their draws; several replicates are fitted at a time."""
+    from pyspark.ml.feature import VectorAssembler
+
+    own, n = positioned(_complete(df, outcome, treatment, *controls), treatment)
+    ready = VectorAssembler(inputCols=controls, outputCol="__x").transform(written(drawn(own, n, replicates, seed=seed)))
+
+    def mean(weight) -> float:
+        rows = ready.withColumn("__w", weight.cast("double")).filter("__w > 0")
+        for fit in _arms(rows, outcome, treatment, model, "__w"):
+            rows = fit.transform(rows)
+        return rows.agg(F.sum(F.col("__w") * (F.col("__f1") - F.col("__f0"))) / F.sum("__w")).first()[0]
+
+    theta, *found = pooled([lambda w=w: mean(w) for w in (F.lit(1.0), *[F.col("draws")[r] for r in range(replicates)])])
+    low, high = np.quantile(found, [alpha / 2, 1 - alpha / 2])
+    se = float(np.std(found, ddof=1))
+    return Effect("t_learner", float(theta), se, float(low), float(high), two_sided_normal(theta / se), n, 0, {"replicates": replicates})

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of a block.
 BLOCK = 1024
@@ -42,6 +43,23 @@ def block_weights(n: int, block: int, replicates: int, seed: int) -> np.ndarray:
     return out
 
 
+def drawn(df: DataFrame, n: int, replicates: int, pos: str = "pos", seed: int = 42) -> DataFrame:
+    """``df`` plus draws: how often each of ``replicates`` resamples draws the row, as an array. ``pos``: see resampled_moments()."""
+    kind = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in df.schema.fields if f.name != "draws"], T.StructField("draws", T.ArrayType(T.IntegerType()))])
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+        for batch in batches:
+            out = []
+            for p in batch.column(pos).to_pylist():
+                if (block := p // BLOCK) not in known:
+                    known = {block: block_weights(n, block, replicates, seed).astype(np.int32)}
+                out.append(known[block][:, p - block * BLOCK])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], names=[*batch.schema.names, "draws"])
+
+    return df.drop("draws").mapInArrow(draw, kind)
+
+
 def resampled_moments(df: DataFrame, columns: list[str], n: int, replicates: int, pos: str = "pos", seed: int = 42) -> DataFrame:
     """(replicate, w_sum, s: sums of ``columns``, c: sums of their products, row by row of the upper triangle) of each resample.
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
+import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.sources.shared import written
-
 RETAIL = "logmove double, price double, feat double, brand string, INCOME double, AGE60 double, EDUC double"
 
 #: Fixed names of the invented macro series.
@@ -75,32 +77,91 @@ def synthetic_macro(spark: SparkSession, start: str, periods: int, seed: int = 4
 
 
 class ResultStore:
-    """Validation results as an append-only Parquet table."""
+    """Validation results as Parquet parts that a manifest lists.
+
+    Every write adds a part and then a manifest of a higher number; the highest one is what readers see. So a writer that stops at any point leaves the last whole state in
+    place, and nothing is overwritten. Draws that are stored by the hash of what they were made from are made once."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _files(self, folder: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+        files = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return files, at, [s.getPath().getName() for s in files.listStatus(at)] if files.exists(at) else []
+
+    def manifest(self) -> tuple[int, list[str]]:
+        """The number of the manifest that holds, 0 without any, and the parts it lists."""
+        whole = sorted(int(n) for n in self._files("manifests")[2] if n.isdigit())
+        if not whole:
+            return 0, []
+        return whole[-1], sorted(r[0] for r in self.spark.read.schema("value string").text(f"{self.path}/manifests/{whole[-1]}").collect())
+
+    def _swap(self, number: int, parts: list[str]) -> None:
+        """Puts a new manifest in place: written beside the others, then renamed, which shows it whole or not at all."""
+        files, at, _ = self._files("manifests")
+        new, path = f"{self.path}/manifests/new-{uuid.uuid4().hex}", self.spark._jvm.org.apache.hadoop.fs.Path
+        self.spark.createDataFrame([(p,) for p in parts], "value string").coalesce(1).write.text(new)
+        to = path(f"{self.path}/manifests/{number}")
+        if files.exists(to) or not files.rename(path(new), to):
+            raise OSError(f"manifest {number} of {self.path} was written by someone else")
+
+    def _part(self, df: DataFrame) -> str:
+        name = uuid.uuid4().hex
+        df.write.parquet(f"{self.path}/parts/{name}")
+        return name
 
     def write(self, df: DataFrame) -> None:
-        df.withColumn("stored_at", F.current_timestamp()).write.mode("append").parquet(self.path)
+        number, parts = self.manifest()
+        self._swap(number + 1, [*parts, self._part(df.withColumn("stored_at", F.current_timestamp()))])
+
+    def read(self) -> DataFrame:
+        """All results; a store without any has no columns to read."""
+        _, parts = self.manifest()
+        if not parts:
+            raise ValueError(f"no results in {self.path}")
+        return self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.path}/parts/{p}" for p in parts])
 
     def find(self, method: str | None = None, status: str | None = None, limit: int = 100) -> DataFrame:
-        df = self.spark.read.parquet(self.path)
+        df = self.read()
         for c, v in (("method", method), ("status", status)):
             df = df if v is None else df.filter(F.col(c) == v)
         return df.orderBy(F.desc("stored_at")).limit(limit)
 
+    def index(self) -> DataFrame:
+        """(method, status, n, first, last): what the store holds, and since when."""
+        return self.read().groupBy("method", "status").agg(F.count(F.lit(1)).alias("n"), F.min("stored_at").alias("first"), F.max("stored_at").alias("last"))
+
     def purge(self, older_than_days: float, now: float | None = None) -> int:
-        """Drops the results stored more than so many days ago, and says how many. What stays is written to a new table that then takes the
-        old one's place."""
+        """Drops the results stored more than so many days ago, and says how many. What stays is a new part, which a new manifest lists alone; vacuum() deletes the old ones."""
         import time
 
-        table = self.spark.read.parquet(self.path)
+        number, _ = self.manifest()
+        table = self.read()
         young = F.unix_timestamp("stored_at") >= int((now or time.time()) - 86_400 * older_than_days)
-        kept = written(table.filter(young))
-        dropped = table.count() - kept.count()
+        dropped = table.filter(~young).count()
         if dropped:
-            kept.write.mode("overwrite").parquet(self.path)
+            self._swap(number + 1, [self._part(table.filter(young))])
         return dropped
 
+    def vacuum(self) -> int:
+        """Deletes the parts and manifests that the last manifest has replaced, once nobody reads or writes them; says how many parts."""
+        number, parts = self.manifest()
+        gone = 0
+        for folder, keep in (("parts", set(parts)), ("manifests", {str(number)})):
+            files, _, names = self._files(folder)
+            for name in set(names) - keep:
+                files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}/{name}"), True)
+                gone += folder == "parts"
+        return gone
+
+    def cached(self, made_from: dict, make: Callable[[], DataFrame]) -> DataFrame:
+        """The table that ``make`` gives for these values, made and stored the first time they are asked for."""
+        key = hashlib.sha256(json.dumps(made_from, sort_keys=True).encode()).hexdigest()
+        at = f"{self.path}/cache/{key}"
+        if "_SUCCESS" not in self._files(f"cache/{key}")[2]:
+            make().write.mode("overwrite").parquet(at)
+        return self.spark.read.parquet(at)
+
     def counts(self) -> DataFrame:
-        return self.spark.read.parquet(self.path).groupBy("method", "status").count()
+        return self.read().groupBy("method", "status").count()
