@@ -118,59 +118,51 @@ def macro_paths(periods: int, rng: np.random.Generator) -> np.ndarray:
     return out
 
 
+def _persistent(shocks: np.ndarray, keeps) -> np.ndarray:
+    """Paths down the first axis, each step ``keeps`` of the one before plus a shock."""
+    out = np.array(shocks, float)
+    for i in range(1, len(out)):
+        out[i] += keeps * out[i - 1]
+    return out
+
+
 def priced_products(products: int = 20, periods: int = 120, effect: float = -0.8, realism: str = "moderate", seed: int = 0) -> dict:
     """Sales of products against competitors' rate changes, with macro series common to all and traits of each product.
 
-    simple: independent changes and errors. moderate: autoregressive changes that follow the policy rate, product effects, AR(1)
-    errors and 0.3 of the effect one step later. full: changes that also follow the other products' mean and the business cycle,
-    effects by product that weaken by a fifth after a regime shift and decay over three steps, seasons, changing volatility.
-    All columns are in the same order, product by product."""
+    simple: independent changes and errors. moderate: changes that persist and follow the policy rate, product levels, persistent errors and a third
+    of the effect again one step later. full: changes that also follow growth and a shock common to all products, effects by product that weaken by a quarter in the second half and halve from
+    step to step, a yearly season, changing volatility. All columns are in the same order, product by product."""
     if realism not in REALISM:
         raise ValueError(f"realism: {', '.join(REALISM)}")
-    rng = np.random.default_rng(seed)
-    macro, rich = macro_paths(periods, rng), realism == "full"
-    fed, growth, slack = macro[:, 0], macro[:, 3], macro[:, 4]
-    t = np.zeros((periods, products))
-    if realism == "simple":
-        t = 0.5 * (fed - fed.mean())[:, None] + rng.normal(0, 3.0, (periods, products))
-    else:
-        follows, keeps = rng.uniform(0.3, 0.7, products), rng.uniform(0.3 if rich else 0.2, 0.5 if rich else 0.4, products)
-        cycle = rng.uniform(0.5, 0.8, products)
-        t[0] = rng.normal(0, 2.0, products)
-        for i in range(1, periods):
-            t[i] = keeps * t[i - 1] + follows * 100 * (fed[i] - fed[i - 1]) + rng.normal(0, 2.0 if rich else 2.5, products)
-            if rich:
-                t[i] += cycle * (growth[i] - 2.5) + 0.1 * t[i - 1].mean() - (0.5 if slack[i] > 7 else 0.0)
-    tau = np.full((periods, products), effect)
-    own, errors = np.zeros(products), rng.normal(0, 5.0 if realism == "simple" else 3.0, (periods, products))
-    shift = min(60, periods - 1)
-    lags: tuple[float, ...] = ()
-    if realism != "simple":
-        own, lags = (8.0 if rich else 5.0) * rng.normal(size=products), (0.5, 0.25, 0.125) if rich else (0.3,)
-        spread = 1.0
-        for i in range(1, periods):
-            if rich:
-                spread = 0.7 * spread + 0.3 * np.abs(errors[i - 1]).mean() + 0.5
-                errors[i] *= spread / 3.0
-            errors[i] += (0.4 if rich else 0.3) * errors[i - 1]
-    if rich:
-        tau = tau + 0.3 * rng.normal(size=products)
-        tau[shift:] *= 0.8
-    y = tau * t + (macro @ np.array(list(MACRO.values())))[:, None] + own + errors
-    for k, w in enumerate(lags, 1):
-        y[k:] += w * tau[k:] * t[:-k]
-    if rich:
-        y += 3.0 * np.sin(math.pi * np.arange(periods) / 2)[:, None]
-    age = rng.integers(1, 20, products) + np.arange(periods)[:, None] / 12
-    base = 100 * rng.dirichlet(np.full(products, 2.0))
-    share = np.empty((periods, products))
-    share[0] = base
-    for i in range(1, periods):
-        share[i] = 0.95 * share[i - 1] + 0.05 * base + rng.normal(0, 0.5, products)
-    channel = rng.integers(0, 2, (2, products))
-    flat = lambda v: np.broadcast_to(v, (periods, products)).T.ravel()
-    out = {"product": np.repeat(np.arange(products), periods), "period": np.tile(np.arange(periods), products), "y": flat(y), "t": flat(t), "tau": flat(tau), "product_age": flat(age), "market_share": flat(share), "has_direct": flat(channel[0]), "has_broker": flat(channel[1])}
-    return out | {name: flat(macro[:, j][:, None]) for j, name in enumerate(MACRO)}
+    rng, rank = np.random.default_rng(seed), REALISM.index(realism)
+    macro, months, shape = macro_paths(periods, rng), np.arange(periods)[:, None], (periods, products)
+    policy, growth = macro[:, [0]], macro[:, [3]]
+    shocks = rng.normal(scale=2.5, size=shape)
+    if rank >= 1:
+        shocks += np.diff(policy, axis=0, prepend=policy[:1]) * rng.gamma(9.0, 5.0, products)
+    if rank == 2:
+        shocks += (growth - growth.mean()) * rng.beta(4.0, 2.0, products) + rng.normal(size=(periods, 1))
+    t = _persistent(shocks, rng.beta(3.0, 6.0, products) if rank else 0.0) + (0.0 if rank else policy - policy.mean())
+    swings = np.exp(_persistent(rng.normal(scale=0.15, size=(periods, 1)), 0.85)) if rank == 2 else 1.0
+    errors = _persistent(swings * rng.normal(scale=3.5, size=shape), 0.35 if rank else 0.0)
+    tau = np.full(shape, float(effect))
+    if rank == 2:
+        tau = tau + rng.normal(scale=0.25, size=products)
+        tau[periods // 2 :] *= 0.75
+    levels = rng.laplace(scale=4.0, size=products) if rank else np.zeros(products)
+    y = tau * t + macro @ np.array(list(MACRO.values()))[:, None] + levels + errors
+    for k, part in enumerate(((), (1 / 3,), (1 / 2, 1 / 4, 1 / 8))[rank], 1):
+        y[k:] += part * tau[k:] * t[:-k]
+    if rank == 2:
+        y += 2.5 * np.cos(2 * math.pi * months / 12)
+    # traits: years since a product began, shares by a drifting appeal, ways of selling
+    age = rng.exponential(6.0, products) + months / 12
+    appeal = np.exp(rng.normal(size=products) + np.cumsum(rng.normal(scale=0.03, size=shape), axis=0))
+    share = 100 * appeal / appeal.sum(axis=1, keepdims=True)
+    direct, broker = (rng.random((2, products)) < 0.6).astype(int)
+    flat = lambda v: np.broadcast_to(v, shape).T.ravel()
+    out = {"product": flat(np.arange(products)), "period": flat(months), "y": flat(y), "t": flat(t), "tau": flat(tau), "product_age": flat(age), "market_share": flat(share), "has_direct": flat(direct), "has_broker": flat(broker)}
+    return out | {name: flat(macro[:, [j]]) for j, name in enumerate(MACRO)}
 
 
 def _schema(columns: dict) -> str:

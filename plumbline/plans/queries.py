@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import estimators as E
 from plumbline.operators import diagnosis, generators, monitoring, order, production, quantiles, resampling, sensitivity, series, simulation, spine
 from plumbline.sources import macro, tables
-from plumbline.sources.shared import shared_folder
+from plumbline.sources.shared import shared_path
+from plumbline.streaming import slopes
 from plumbline.streaming.slopes import windowed_slope
 
 _ALL: dict[str, tuple] = {}
@@ -653,7 +652,7 @@ def _retail(spark, sf_dir) -> DataFrame:
         F.ln("l_quantity").alias("logmove"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_discount").alias("feat"), F.col("l_returnflag").alias("brand"),
         F.col("l_tax").alias("INCOME"), F.col("l_linenumber").cast("double").alias("AGE60"), F.col("l_suppkey").cast("double").alias("EDUC"),
     )
-    path = f"{shared_folder(spark)}/plumbline/retail-{uuid.uuid4().hex}"
+    path = shared_path(spark)
     lines.write.csv(path, header=True)
     return tables.csv_source(spark, path, tables.RETAIL)
 
@@ -686,7 +685,7 @@ def _chosen(name: str, ids: list[str], start: str | None, end: str | None, cache
     def f(spark, sf_dir):
         own = _daily(spark, sf_dir)
         if cached:
-            cache = macro.Cache(spark, f"{shared_folder(spark)}/plumbline/cache-{uuid.uuid4().hex}")
+            cache = macro.Cache(spark, shared_path(spark))
             cache.write(own)
             own = cache.read(ids, start, end)
         else:
@@ -737,7 +736,7 @@ def bias_validation(spark, sf_dir):
 
 @query("SELECT event_type AS method, CASE WHEN value > 50 THEN 'FAIL' ELSE 'PASS' END AS status, count(*) AS count FROM events GROUP BY 1, 2")
 def stored_results(spark, sf_dir):
-    store = tables.ResultStore(spark, f"{shared_folder(spark)}/plumbline/results-{uuid.uuid4().hex}")
+    store = tables.ResultStore(spark, shared_path(spark))
     store.write(_read(spark, sf_dir, "events").select(F.col("event_type").alias("method"), F.when(F.col("value") > 50, "FAIL").otherwise("PASS").alias("status"), "value"))
     return store.counts()
 
@@ -825,3 +824,14 @@ def baseline_validation(spark, sf_dir):
     v = simulation.baseline_validation(_runs(spark, sf_dir), 40.0, replicates=400)
     row = (v["n"], round(v["bias"], 6), round(v["mse"], 4), round(v["coverage"], 6), v["bias_lower"] < v["bias"] < v["bias_upper"], v["status"])
     return spark.createDataFrame([row], "n long, bias double, mse double, coverage double, inside boolean, status string")
+
+
+@query(_ALL["windowed_slopes"][1])
+def streamed_slopes(spark, sf_dir):
+    """The windows of a stream that has read the whole table and stopped."""
+    stored = _read(spark, sf_dir, "events")
+    stream = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parquet*")
+    own = stream.select("ts", F.col("value").alias("y"), (F.col("user_id") % 10).cast("double").alias("t"))
+    out = shared_path(spark)
+    slopes.run_through(windowed_slope(own, "y", "t"), out, shared_path(spark), "complete")
+    return slopes.latest(spark, out).withColumn("slope", F.round("slope", 6))

@@ -34,13 +34,18 @@ def nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, lineage cut, safe to reread
-    after executors are lost. It stays until the scratch() around it ends."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared folder. What is written there stays until the scratch() around it ends."""
     path = f"{shared_folder(spark)}/plumbline/{uuid.uuid4().hex}"
     if (own := _open.get()) is not None:
         own.append(path)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: computed once, lineage cut, safe to reread
+    after executors are lost. It stays until the scratch() around it ends."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(nullable(df.schema)).parquet(path)
 
