@@ -114,23 +114,27 @@ def by_vector(rows: DataFrame, keep: int) -> DataFrame:
     return ranked.groupBy("__v").agg(F.array_sort(F.collect_list("__id")).alias("__ids")).select(F.col("__ids")[0].alias("__key"), "__ids", "__v")
 
 
+#: A row is measured at once if its decoded vector is at most so many times as far from the query as from the row.
+NEAR = 3.0
 #: Coded rows of the first pass, and rows and queries scored at a time.
 FIRST, ROWS, QUERIES = 1 << 16, 8192, 64
 
 
 def _coded(index: DataFrame, sent, dimension: int, beam: int) -> DataFrame:
-    """(__key, __codes, __norm) of every row of the index; ``sent``: the broadcast codewords."""
+    """(__key, __codes, __norm, __left, __v) of every row of the index, __left the squared norm of what its code leaves over; ``sent``: the broadcast codewords."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Codebooks(sent.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                codes = own.encode(_matrix(part.column("__v"), dimension), beam)
-                norms = (own.decode(codes).astype(float) ** 2).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([part.column("__key"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], names=["__key", "__codes", "__norm"])
+                x = _matrix(part.column("__v"), dimension)
+                codes = own.encode(x, beam)
+                said = own.decode(codes).astype(float)
+                columns = [pa.array([c.tobytes() for c in codes], pa.binary()), pa.array((said**2).sum(axis=1)), pa.array(((x - said) ** 2).sum(axis=1))]
+                yield pa.RecordBatch.from_arrays([part.column("__key"), *columns, part.column("__v")], names=["__key", "__codes", "__norm", "__left", "__v"])
 
-    return index.select("__key", "__v").mapInArrow(code, "__key long, __codes binary, __norm double")
+    return index.select("__key", "__v").mapInArrow(code, "__key long, __codes binary, __norm double, __left double, __v binary")
 
 
 def _codes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -162,10 +166,24 @@ def _cuts(asked: DataFrame, coded: DataFrame, sent, dimension: int, total: int,
     return asked.select(F.col("__key").alias("__q"), F.col("__v").alias("__qv")).mapInArrow(cut, "__q long, __qv binary, __cut double")
 
 
-def _within_cut(coded: DataFrame, queries: DataFrame, sent, dimension: int) -> DataFrame:
-    """(__q, __key, __s): the rows within the cut of each query of a block, which is small enough to be broadcast."""
+def _nearest_of(pairs: np.ndarray, rows: np.ndarray, queries: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, query and squared distance of the ``keep`` nearest rows of each query among the marked ``pairs``."""
+    out = []
+    for j in np.flatnonzero(pairs.any(axis=0)).tolist():
+        i = np.flatnonzero(pairs[:, j])
+        d = ((rows[i] - queries[j]) ** 2).sum(axis=1)
+        best = np.argpartition(d, keep - 1)[:keep] if len(d) > keep else np.arange(len(d))
+        out.append((i[best], np.full(len(best), j), d[best]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _within_cut(coded: DataFrame, queries: DataFrame, sent, dimension: int, keep: int) -> DataFrame:
+    """(__q, __key, __s): the rows within the cut of each query of a block, which is small enough to be broadcast.
+
+    A row whose decoded vector is not much further from the query than from the row itself is measured where it lies, as its estimate says little; of these each batch sends on the
+    ``keep`` nearest of each query."""
     block = queries.toArrow()
-    asked = coded.sparkSession.sparkContext.broadcast((block.column("__q").to_numpy(), np.frombuffer(b"".join(block.column("__qv").to_pylist()), "<f8").reshape(-1, dimension).astype(np.float32), block.column("__cut").to_numpy().astype(np.float32)))
+    asked = coded.sparkSession.sparkContext.broadcast((block.column("__q").to_numpy(), np.frombuffer(b"".join(block.column("__qv").to_pylist()), "<f8").reshape(-1, dimension), block.column("__cut").to_numpy().astype(np.float32)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, (ids, vectors, cuts) = Codebooks(sent.value), asked.value
@@ -178,14 +196,21 @@ def _within_cut(coded: DataFrame, queries: DataFrame, sent, dimension: int) -> D
             return pa.RecordBatch.from_arrays([pa.array(arrays[0]), pa.array(arrays[1]), pa.array(arrays[2].astype(float))], names=["__q", "__key", "__s"])
 
         for batch in batches:
-            keys, (codes, norms) = batch.column("__key").to_numpy(), _codes(batch)
+            keys, (codes, norms), near = batch.column("__key").to_numpy(), _codes(batch), NEAR**2 * batch.column("__left").to_numpy()
+            rows = _matrix(batch.column("__v"), dimension)
             for at in range(0, len(ids), QUERIES):
                 tables, cut = own.tables(vectors[at : at + QUERIES]), cuts[at : at + QUERIES]
                 for lo in range(0, len(keys), ROWS):
                     s = own.estimates(codes[lo : lo + ROWS], norms[lo : lo + ROWS], tables)
-                    i, j = np.nonzero(s <= cut)
+                    own_norms = (vectors[at : at + QUERIES] ** 2).sum(axis=1)
+                    dense = s + own_norms.astype(np.float32) <= near[lo : lo + ROWS, None]
+                    i, j = np.nonzero((s <= cut) & ~dense)
                     kept.append((ids[at + j], keys[lo + i], s[i, j]))
                     held += len(i)
+                    if dense.any():
+                        i, j, exact = _nearest_of(dense, rows[lo : lo + ROWS], vectors[at : at + QUERIES], keep)
+                        kept.append((ids[at + j], keys[lo + i], exact - own_norms[j]))
+                        held += len(i)
                 if held >= 1 << 18:
                     yield settled()
                     held = 0
@@ -211,7 +236,8 @@ def ann_search(
 
     Euclidean distance, in double precision on the original vectors; ties to the smaller id. Codebooks are fitted on at most
     ``sample`` distinct vectors (those of the smallest hashes); every row is coded and scored, in one pass over the codes for each ``query_block``
-    distinct queries, which are broadcast (8 bytes a component), and each query's ``rerank`` best go on to the exact measure. Work is queries times rows.
+    distinct queries, which are broadcast (8 bytes a component), and each query's ``rerank`` best go on to the exact measure. Among near copies, which have nearly one code and so one
+    estimate, rows are measured during that pass. Work is queries times rows.
     Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, as queries neither; so
     do null ids and vectors of another length than most; rows that repeat id and vector count once; a query whose vector others share
     finds them at distance 0; fewer than ``k`` rows give as many as there are; an empty table gives an empty table.
@@ -236,7 +262,7 @@ def ann_search(
     asked = written(_cuts(asked, coded, sent, dimension, total, rerank).withColumn("__block", F.pmod(F.xxhash64("__qv", F.lit(3)), F.lit(blocks)).cast("int")))
     found = None
     for block in range(blocks):
-        part = written(_within_cut(coded, asked.filter(F.col("__block") == block).select("__q", "__qv", "__cut"), sent, dimension))
+        part = written(_within_cut(coded, asked.filter(F.col("__block") == block).select("__q", "__qv", "__cut"), sent, dimension, k + 2))
         found = part if found is None else found.unionByName(part)
     ranks = Window.partitionBy("__q").orderBy("__s", "__key")
     short = found.withColumn("__n", F.row_number().over(ranks)).filter(F.col("__n") <= rerank).select("__q", "__key")

@@ -305,3 +305,17 @@ def test_runs_of_every_latin_character():
     for c in map(chr, range(256)):
         for text in (f"ab{c}cd 1", f"{c}", f"! {c}{c}? x{c}"):
             assert np.frombuffer(encode(text), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids, repr(c)
+
+
+@pytest.mark.parametrize("noise", [0.01, 0.02, 0.1])
+def test_recall_inside_groups_of_near_copies(spark, noise):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(20_000, 64))
+    x[:3000] = x[0] + noise * rng.normal(size=(3000, 64))
+    x = x[rng.permutation(20_000)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(5)
+    got, want = by_query(A.ann_search(df, df.filter("vec_id % 100 = 0")).collect()), exact(list(enumerate(x)))
+    hit = {q: len({i for i, _ in want[q]} & {i for i, _ in got[q]}) for q in want}
+    inside = [h for q, h in hit.items() if want[q][-1][1] < 2]  # its tenth neighbour is a near copy
+    outside = [h for q, h in hit.items() if want[q][-1][1] >= 2]
+    assert len(inside) > 10 and len(outside) > 100 and np.mean(inside) >= 9 and np.mean(outside) >= 9
