@@ -5,8 +5,8 @@ whose population counts differ by more than the radius are skipped, as are those
 radius + 1 equal slices of bits, one of which two fingerprints within the radius have in common: a tile is
 the fingerprints of one slice value and one population count. Both skips lose no pair; what is left to compare still grows with the
 square of the distinct fingerprints, divided by the number of slice values (65,536) and by the counts. A tile pair gives the
-links of a spanning forest, not all its pairs, and components are found by rounds of star contraction in
-DataFrame operations.
+links of a spanning forest, not all its pairs, and components are found by joining up the links of each partition, then by
+rounds of star contraction in DataFrame operations.
 """
 
 from __future__ import annotations
@@ -139,15 +139,49 @@ def near_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     return rows.repartition(*tile).sortWithinPartitions(*tile, "__visits").mapInArrow(compare, "src long, dst long")
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def _joined(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links from the smallest node of each group that the links join to every other node of it."""
+    nodes, at = np.unique(np.concatenate([lo, hi]), return_inverse=True)
+    a, b = at[: len(lo)], at[len(lo) :]
+    root = np.arange(len(nodes))
+    while (root[a] != root[b]).any():
+        least = np.minimum(root[a], root[b])
+        np.minimum.at(root, np.concatenate([root[a], root[b]]), np.concatenate([least, least]))
+        while (root[root] != root).any():
+            root = root[root]
+    others = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[root[others]], nodes[others]
+
+
+def _joined_where_they_lie(links: DataFrame, stretch: int) -> DataFrame:
+    """(lo, hi): _joined() of every ``stretch`` of the links of a partition, which joins the same nodes with no more links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def settled() -> pa.RecordBatch:
+            lo, hi = _joined(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["lo", "hi"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append((batch.column("lo").to_numpy(), batch.column("hi").to_numpy()))
+            if sum(len(lo) for lo, _ in held) >= stretch:
+                yield settled()
+        if held:
+            yield settled()
+
+    return links.mapInArrow(run, "lo long, hi long")
+
+
+def components(links: DataFrame, rounds: int = 60, stretch: int = 1 << 19) -> DataFrame:
     """(node, root): the smallest node that each node of ``links`` (src, dst: longs) is joined with.
 
-    Large-star and small-star steps in turn, each a grouped minimum and a join; every round is written to the
-    shared folder, which drops the one before, and nothing but two sums comes to the driver. A hub's links meet in one key of two longs a row: adaptive
-    execution splits it where it outgrows a partition, and every round leaves fewer of them."""
-    pairs = written(links.filter("src != dst").select(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi")).distinct())
-    if pairs.isEmpty():
-        return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+    Each partition first joins up, ``stretch`` links at a time, what its own links join. Large-star and small-star steps, each a grouped
+    minimum and a join, then settle what lies across partitions, until every node has one link, to a node that has none below it.
+    Every round is written to the shared folder, which drops the one before, and nothing but a count comes to the driver. A hub's links meet in one
+    key of two longs a row: adaptive execution splits it where it outgrows a partition, and every round leaves fewer of them."""
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.select(F.col("lo").alias("a"), F.col("hi").alias("b"))
@@ -163,14 +197,18 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
             out = joined.select(F.col("m").alias("lo"), F.col("b").alias("hi")).unionByName(least.select(F.col("m").alias("lo"), F.col("a").alias("hi")))
         return out.filter(F.col("lo") != F.col("hi")).distinct()
 
-    last = None
+    def settled(edges: DataFrame) -> bool:
+        ends = edges.select(F.col("hi").alias("node"), F.lit(1).alias("below")).union(edges.select("lo", F.lit(0)))
+        ends = ends.groupBy("node").agg(F.sum("below").alias("links"), F.min("below").alias("least"))
+        return ends.filter("links > 1 or links > least").count() == 0
+
+    pairs = links.filter("src != dst").select(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi")).distinct()
+    pairs = written(_joined_where_they_lie(pairs, stretch))
     for _ in range(rounds):
-        before, pairs = pairs, written(star(star(pairs, True), False))
-        discard(before)
-        now = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first())
-        if now == last:
+        if settled(pairs):
             return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-        last = now
+        before, pairs = pairs, written(_joined_where_they_lie(star(star(pairs, True), False), stretch))
+        discard(before)
     raise RuntimeError("components did not settle")
 
 

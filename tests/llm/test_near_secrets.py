@@ -75,6 +75,22 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 for i in range(1, 301)} | {1001: 1000}
 
 
+def test_components_across_partitions_and_stretches(spark):
+    """Trees, cycles and hubs of every size, links both ways and repeated, joined up in short stretches of many partitions."""
+    rng = np.random.default_rng(11)
+    links = [(int(a), int(b)) for a, b in rng.integers(-(2**62), 2**62, (40, 2))] * 2
+    links += [(int(a), int(b)) for a, b in rng.integers(0, 900, (500, 2))]
+    links += [(5000, int(i)) for i in rng.permutation(np.arange(5001, 5400))] + [(i + 1, i) for i in range(7000, 7100)] + [(7000, 7100)]
+    root = {n: n for p in links for n in p}
+    while any(root[a] != root[b] for a, b in links):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    for stretch, parts in ((3, 9), (1 << 19, 1)):
+        df = spark.createDataFrame(links, "src long, dst long").repartition(parts)
+        got = {r.node: r.root for r in H.components(df, stretch=stretch).collect()}
+        assert got == {n: r for n, r in root.items() if n != r}
+
+
 def test_near_cases(spark):
     rows = [(5, None, "x", "y"), (4, "", "x", "y"), (3, " \n", None, None), (2, "one two", "x", "y"), (1, "ONE\ttwo", "x", "y"), (1, "ONE\ttwo", "x", "y"), (None, "alone in here", "x", "y"), (9, "w " * 150_000, "x", "y")]
     df = spark.createDataFrame(rows, KIND)
