@@ -13,7 +13,7 @@ from plumbline.functions.distributions import normal_quantile
 from plumbline.functions.linear import Moments, solve
 from plumbline.operators.estimators import hash_fold
 from plumbline.operators.moments import moments
-from plumbline.operators.simulation import partially_linear, validation
+from plumbline.operators.simulation import partially_linear, validation, validations
 
 _Z = 1.959963984540054
 
@@ -238,6 +238,11 @@ class Validation:
         return self.status == "PASS"
 
 
+def validated(spark: SparkSession, method: str, estimate, setting: Setting, simulations: int = 100, seed: int = 0) -> Validation:
+    """A user's method on draws of ``setting``: ``estimate`` takes (y, t, x, seed) and gives an estimate and its interval."""
+    return Validation.of(method, method_runs(spark, setting, simulations, {method: estimate}, seed), setting.effect)
+
+
 @dataclass(frozen=True)
 class Replicates:
     """Numbers of bootstrap replicates for estimates and for tests of them."""
@@ -261,12 +266,28 @@ def replication(theta: float, learner: str, tolerance: float = 0.15) -> dict:
 
 
 # -- the tables behind plots -------------------------------------------------------------------
-def histogram(runs: DataFrame, column: str, low: float, high: float, bins: int = 30) -> DataFrame:
-    """(bin, from, to, n): rows of [low, high] in equal bins; ``high`` counts in the last. Empty bins have no row."""
-    v, width = F.col(column), (high - low) / bins
-    b = F.least(F.floor((v - F.lit(low)) / F.lit(width)), F.lit(bins - 1)).cast("int")
-    counted = runs.filter((v >= low) & (v <= high)).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    return counted.select("bin", (F.lit(low) + F.col("bin") * width).alias("from"), (F.lit(low) + (F.col("bin") + 1) * width).alias("to"), "n")
+def histogram(runs: DataFrame, column: str, low: float, high: float, bins: int = 30, outside: bool = False) -> DataFrame:
+    """(bin, from, to, n): rows of [low, high] in equal bins; ``high`` counts in the last. Empty bins have no row.
+
+    ``outside`` adds bin -1, of what lies below, and bin ``bins``, of what lies above; their open end is null. Nulls and NaN are in no bin."""
+    v, width, b = F.col(column), (high - low) / bins, F.col("bin")
+    place = F.when(v < low, -1).when(v > high, bins).otherwise(F.least(F.floor((v - F.lit(low)) / F.lit(width)), F.lit(bins - 1))).cast("int")
+    counted = runs.filter(~F.isnan(v) if outside else (v >= low) & (v <= high)).groupBy(place.alias("bin")).agg(F.count(v).alias("n")).filter("n > 0")
+    return counted.select("bin", F.when(b >= 0, F.lit(low) + b * width).alias("from"), F.when(b < bins, F.lit(low) + (b + 1) * width).alias("to"), "n")
+
+
+def error_curves(runs: DataFrame, truth: float, by: str, group: str | None = None) -> DataFrame:
+    """(by, [group,] mse, rmse, coverage, n): squared error and coverage along ``by``, one curve for each ``group``. Runs without an estimate are left out."""
+    e, inside = F.col("estimate"), ((F.col("ci_lower") <= truth) & (F.col("ci_upper") >= truth)).cast("int")
+    at = runs.filter(e.isNotNull()).groupBy(by, *([group] if group else []))
+    return at.agg(F.avg((e - truth) ** 2).alias("mse"), F.sqrt(F.avg((e - truth) ** 2)).alias("rmse"), F.avg(inside).alias("coverage"), F.count(e).alias("n"))
+
+
+def dashboard(runs: DataFrame, truth: float, by: str = "method", nominal: float = 0.95) -> DataFrame:
+    """(by, n, bias, rmse, coverage, nominal, status, same_status): a summary of all methods; same_status counts those of a row's status."""
+    found = validations(runs, truth, by, confidence=nominal).withColumns({"rmse": F.sqrt("mse"), "nominal": F.lit(nominal)})
+    counts = found.groupBy("status").agg(F.count(F.lit(1)).alias("same_status"))
+    return found.join(counts, "status").select(by, "n", "bias", "rmse", "coverage", "nominal", "status", "same_status")
 
 
 def power_curve(runs: DataFrame, by: str) -> DataFrame:

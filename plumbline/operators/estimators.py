@@ -124,13 +124,20 @@ def ols_with_controls(df: DataFrame, outcome: str, treatment: str, controls: lis
     return _normal("ols_with_controls", float(fit.slopes[0]), se, m.n, alpha)
 
 
-def robinson(df: DataFrame, outcome: str, treatment: str, controls: list[str], learner: str = "ridge", alpha: float = 0.05) -> Effect:
-    """In-sample nuisances and the naive error; biased with flexible learners, kept for comparison."""
+def robinson(df: DataFrame, outcome: str, treatment: str, controls: list[str], learner="ridge", alpha: float = 0.05) -> Effect:
+    """In-sample nuisances and the naive error; biased with flexible learners, kept for comparison.
+
+    ``learner`` is the name of a linear learner, which takes one aggregate, of a forest or boosted trees, or an estimator of pyspark.ml."""
     own = _complete(df, outcome, treatment, *controls)
     m = moments(own, [*controls, treatment, outcome])[None]
-    p = list(range(len(controls)))
-    ft, fy = solve(m, p, len(p), learner), solve(m, p, len(p) + 1, learner)
-    r = own.select((F.col(outcome) - predicted(fy, controls)).alias("y"), (F.col(treatment) - predicted(ft, controls)).alias("t"))
+    p, model = list(range(len(controls))), _learner(learner)
+    if model is None:
+        said = {"y": predicted(solve(m, p, len(p) + 1, learner), controls), "t": predicted(solve(m, p, len(p), learner), controls)}
+        r = own.select((F.col(outcome) - said["y"]).alias("y"), (F.col(treatment) - said["t"]).alias("t"))
+    else:
+        named = own.withColumns({"__o": F.col(outcome).cast("double"), "__t": F.col(treatment).cast("double")})
+        named = _with_predictions(named, controls, {"__o": model, "__t": model}, [(F.lit(True), F.lit(True))])
+        r = named.select((F.col("__o") - F.col("__m___o")).alias("y"), (F.col("__t") - F.col("__m___t")).alias("t"))
     k, c = moments(r, ["t", "y"])[None], m.centred()
     theta = _slope(k, 1, 0, "robinson")
     e = k.centred()

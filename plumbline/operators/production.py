@@ -209,8 +209,36 @@ class EffectPipeline:
         return out
 
 
+#: Steps of a retraining job, in order, and what each does.
+STEPS = {
+    "monitor": "Compare the new rows with the reference",
+    "decide": "See whether a check, or the schedule, asks for a new model",
+    "retrain": "Fit the effect again",
+    "validate": "Hold the new fit against the one in use",
+    "promote": "Put the new version in use",
+}
+
+
 def daily_jobs(scheduler: monitoring.Scheduler, name: str = "retrain", cron: str = "0 6 * * *") -> dict:
     """A plain description of the retraining job for any orchestrator: steps in order, each with what it waits for."""
-    steps = ("monitor", "decide", "retrain", "validate", "promote")
+    steps = tuple(STEPS)
     limits = {"cooldown_hours": scheduler.cooldown.total_seconds() / 3600, "least_rows": scheduler.least_rows, "every_days": scheduler.every.days, "enabled": list(scheduler.enabled)}
     return {"name": name, "schedule": cron, "timezone": "UTC", "retries": 1, "steps": [{"name": s, "after": list(steps[max(0, i - 1) : i])} for i, s in enumerate(steps)], "scheduler": limits}
+
+
+def airflow_dag(scheduler: monitoring.Scheduler, name: str = "retrain", schedule: str = "@daily") -> dict:
+    """daily_jobs() by the names of Airflow: a task for each step, whose callable is <name>_<step>; the new fit waits only for steps not failed."""
+    job = daily_jobs(scheduler, name, schedule)
+    tasks = []
+    for s in job["steps"]:
+        task = {"task_id": s["name"], "description": STEPS[s["name"]], "python_callable": f"{name}_{s['name']}", "depends_on": s["after"]}
+        tasks.append(task | ({"trigger_rule": "none_failed"} if s["name"] == "retrain" else {}))
+    defaults = {"depends_on_past": False, "retries": job["retries"], "retry_delay_minutes": 5}
+    return {"dag_id": name, "schedule_interval": schedule, "default_args": defaults, "tasks": tasks, "scheduler_config": job["scheduler"]}
+
+
+def prefect_flow(scheduler: monitoring.Scheduler, name: str = "retrain", cron: str = "0 6 * * *") -> dict:
+    """daily_jobs() by the names of Prefect; the new fit is conditional on the decision."""
+    job = daily_jobs(scheduler, name, cron)
+    tasks = [{"name": s["name"], "description": STEPS[s["name"]], "retries": job["retries"], "depends_on": s["after"], "conditional": s["name"] == "retrain"} for s in job["steps"]]
+    return {"flow_name": name, "schedule": {"cron": cron, "timezone": job["timezone"]}, "tasks": tasks, "scheduler_config": job["scheduler"]}

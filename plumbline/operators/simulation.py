@@ -6,8 +6,10 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.distributions import binomial_two_sided, holm, normal_quantile, shapiro_wilk, two_sided_t
 from plumbline.operators.order import positioned
@@ -94,9 +96,33 @@ def validation(runs: DataFrame, truth: float, confidence: float = 0.95, level: f
     """Bias, squared error, coverage, their tests and a status, from one aggregate.
 
     The status goes by the size of the bias and by the tests of bias and coverage together, corrected for being two."""
+    return _judged(*runs.agg(*_measures(truth)).first(), confidence, level, correction, negligible)
+
+
+def validations(runs: DataFrame, truth: float, by: str = "method", confidence: float = 0.95, level: float = 0.05, correction: str = "bonferroni", negligible: float = 0.1) -> DataFrame:
+    """validation() of each value of ``by``, one row each: one aggregate for all, judged where its rows lie.
+
+    Runs without an estimate are left out; a method with none at all has no row."""
+    found = runs.filter(F.col("estimate").isNotNull()).groupBy(by).agg(*_measures(truth))
+    names = ("n", "bias", "mse", "coverage", "bias_p_value", "coverage_p_value", "status")
+    kind = T.StructType([found.schema[by], *(T.StructField(c, T.LongType() if c == "n" else T.StringType() if c == "status" else T.DoubleType()) for c in names)])
+
+    def judge(frames):
+        for pdf in frames:
+            rows = [(r[0], *_judged(*r[1:], confidence, level, correction, negligible).values()) for r in pdf.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=[by, *names])
+
+    return found.mapInPandas(judge, kind)
+
+
+def _measures(truth: float) -> list[Column]:
+    """Number, bias, squared error, spread and how many intervals hold ``truth``."""
     e = F.col("estimate")
-    r = runs.agg(F.count(e), F.avg(e - truth), F.avg((e - truth) ** 2), F.stddev_samp(e), F.sum(((F.col("ci_lower") <= truth) & (F.col("ci_upper") >= truth)).cast("int"))).first()
-    n, bias, mse, sd, inside = r
+    inside = F.sum(((F.col("ci_lower") <= truth) & (F.col("ci_upper") >= truth)).cast("int"))
+    return [F.count(e).alias("n"), F.avg(e - truth).alias("bias"), F.avg((e - truth) ** 2).alias("mse"), F.stddev_samp(e).alias("sd"), inside.alias("inside")]
+
+
+def _judged(n: int, bias: float, mse: float, sd: float | None, inside: int, confidence: float, level: float, correction: str, negligible: float) -> dict:
     p_bias = two_sided_t(bias / (sd / math.sqrt(n)), n - 1) if n > 1 and sd else float(bias == 0)
     p_cover = binomial_two_sided(int(inside), int(n), confidence)
     significant, highly = (any_rejected([p_bias, p_cover], at, correction) for at in (level, 0.01))

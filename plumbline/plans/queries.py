@@ -93,6 +93,13 @@ def robinson(spark, sf_dir):
     return _said(E.robinson(_lines(spark, sf_dir), "y", "t", ["x"]), spark)
 
 
+@query(f"WITH {_LINES}, g AS (SELECT {_SUMS} FROM d), m AS (SELECT {_ridge(0)} FROM g), r AS (SELECT y - my - by_ * (x - mx) AS yr, t - mt - bt_ * (x - mx) AS tr FROM d, m), th AS (SELECT sum(yr * tr) / sum(tr * tr) AS theta FROM r) SELECT round(any_value(theta), 6) AS theta, round(sqrt(var_samp(yr - theta * tr) / sum(tr * tr)), 6) AS se, count(*) AS n FROM r, th")
+def robinson_own_learner(spark, sf_dir):
+    from pyspark.ml.regression import LinearRegression
+
+    return _said(E.robinson(_lines(spark, sf_dir), "y", "t", ["x"], LinearRegression(solver="normal")), spark)
+
+
 _FOLDS = f", g AS (SELECT f, {_SUMS} FROM d GROUP BY f), a AS (SELECT sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(st) AS st, sum(sxx) AS sxx, sum(sxy) AS sxy, sum(sxt) AS sxt FROM g), l AS (SELECT g.f, a.n - g.n AS n, a.sx - g.sx AS sx, a.sy - g.sy AS sy, a.st - g.st AS st, a.sxx - g.sxx AS sxx, a.sxy - g.sxy AS sxy, a.sxt - g.sxt AS sxt FROM g, a)"
 
 
@@ -618,9 +625,9 @@ def macro_control_sets(spark, sf_dir):
     return macro.control_sets(spark)
 
 
-@query("SELECT bin, 0.0::DOUBLE + bin * 5.0 AS \"from\", (bin + 1) * 5.0 AS \"to\", n FROM (SELECT CAST(least(floor(value / 5.0), 19) AS INT) AS bin, count(*) AS n FROM events WHERE value BETWEEN 0 AND 100 GROUP BY 1)")
+@query("SELECT bin, CASE WHEN bin >= 0 THEN bin * 5.0::DOUBLE END AS \"from\", CASE WHEN bin < 20 THEN (bin + 1) * 5.0::DOUBLE END AS \"to\", n FROM (SELECT CAST(CASE WHEN value < 0 THEN -1 WHEN value > 100 THEN 20 ELSE least(floor(value / 5.0), 19) END AS INT) AS bin, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1)")
 def value_histogram(spark, sf_dir):
-    return diagnosis.histogram(_read(spark, sf_dir, "events"), "value", 0.0, 100.0, 20)
+    return diagnosis.histogram(_read(spark, sf_dir, "events"), "value", 0.0, 100.0, 20, outside=True)
 
 
 @query("WITH d AS (SELECT CAST(ts AS DATE) AS date, avg(value) AS v FROM events GROUP BY 1) SELECT date, round(avg(v) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING), 6) AS mean FROM d", dated=True)
@@ -734,6 +741,18 @@ def bias_validation(spark, sf_dir):
     return spark.createDataFrame([(v["n"], round(v["bias"], 6), round(v["mse"], 4), round(v["coverage"], 6), v["status"])], "n long, bias double, mse double, coverage double, status string")
 
 
+@query("SELECT hour(ts) AS hour, event_type AS method, round(avg((value - 40) ** 2), 4) AS mse, round(sqrt(avg((value - 40) ** 2)), 6) AS rmse, round(avg(CASE WHEN value BETWEEN 20 AND 60 THEN 1.0 ELSE 0.0 END), 6) AS coverage, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1, 2")
+def error_curves(spark, sf_dir):
+    e = _read(spark, sf_dir, "events")
+    runs = e.select(F.hour("ts").cast("long").alias("hour"), F.col("event_type").alias("method"), F.col("value").alias("estimate"), (F.col("value") - 20).alias("ci_lower"), (F.col("value") + 20).alias("ci_upper"))
+    return diagnosis.error_curves(runs, 40.0, "hour", "method").withColumns({c: F.round(c, 4 if c == "mse" else 6) for c in ("mse", "rmse", "coverage")})
+
+
+@query(f"WITH {_RUNS}, s AS (SELECT *, CASE WHEN abs_bias > 0.15 THEN 'FAIL' END AS status FROM m) SELECT method, n, round(bias, 6) AS bias, round(sqrt(mse), 6) AS rmse, round(coverage, 6) AS coverage, 0.95::DOUBLE AS nominal, status, count(*) OVER (PARTITION BY status) AS same_status FROM s")
+def validation_dashboard(spark, sf_dir):
+    return diagnosis.dashboard(_runs(spark, sf_dir), 40.0).withColumns({c: F.round(c, 6) for c in ("bias", "rmse", "coverage")})
+
+
 @query("SELECT event_type AS method, CASE WHEN value > 50 THEN 'FAIL' ELSE 'PASS' END AS status, count(*) AS count FROM events GROUP BY 1, 2")
 def stored_results(spark, sf_dir):
     store = tables.ResultStore(spark, shared_path(spark))

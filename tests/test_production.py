@@ -14,7 +14,7 @@ from plumbline.operators import moments as O
 from plumbline.operators import order
 from plumbline.operators import series as S
 from plumbline.operators import simulation as Z
-from plumbline.operators.production import Config, EffectPipeline, daily_jobs
+from plumbline.operators.production import STEPS, Config, EffectPipeline, airflow_dag, daily_jobs, prefect_flow
 from plumbline.sources import macro
 
 
@@ -137,6 +137,52 @@ def test_methods_on_the_same_draws(spark):
     assert D.histogram(runs, "estimate", -10.0, 10.0, 5).agg(F.sum("n")).first()[0] == runs.filter("estimate BETWEEN -10 AND 10").count()
 
 
+def test_frames_behind_plots(spark):
+    rng = np.random.default_rng(3)
+    rows = [(m, int(i % 3), float(v), float(v) - 2, float(v) + 2) for m, off in (("good", 0.0), ("bad", 1.0)) for i, v in enumerate(1.0 + off + rng.normal(size=300) * 0.9)]
+    rows += [("none", 0, None, None, None), ("good", 0, None, None, None)]
+    runs = spark.createDataFrame(rows, "method string, size int, estimate double, ci_lower double, ci_upper double")
+    found = {r["method"]: r.asDict() for r in Z.validations(runs, 1.0).collect()}
+    assert set(found) == {"good", "bad"}
+    for m, r in found.items():
+        want = Z.validation(runs.filter(F.col("method") == m), 1.0)
+        assert {k: r[k] for k in want} == pytest.approx(want)
+    shown = {r["method"]: r for r in D.dashboard(runs, 1.0).collect()}
+    assert shown["bad"]["status"] == "FAIL" and shown["bad"]["rmse"] ** 2 == pytest.approx(found["bad"]["mse"]) and all(r["same_status"] == 1 for r in shown.values())
+    curve = D.error_curves(runs, 1.0, "size", "method").collect()
+    assert len(curve) == 6 and sum(r["n"] for r in curve) == 600
+    assert D.error_curves(runs, 1.0, "size").agg(F.sum(F.col("mse") * F.col("n"))).first()[0] == pytest.approx(sum((r[2] - 1) ** 2 for r in rows if r[2] is not None))
+    assert Z.validations(runs.limit(0), 1.0).count() == 0
+    values = spark.createDataFrame([(v,) for v in (-1.0, 0.0, 4.9, 5.0, 10.0, 11.0, float("nan"), None)], "v double")
+    bins = {r["bin"]: (r["from"], r["to"], r["n"]) for r in D.histogram(values, "v", 0.0, 10.0, 2, outside=True).collect()}
+    assert bins == {-1: (None, 0.0, 1), 0: (0.0, 5.0, 2), 1: (5.0, 10.0, 2), 2: (10.0, None, 1)}
+    assert {r["bin"] for r in D.histogram(values, "v", 0.0, 10.0, 2).collect()} == {0, 1}
+
+
+def test_own_methods_and_learners(spark):
+    from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
+
+    v = D.validated(spark, "known", lambda y, t, x, seed: (1.0 + 0.01 * (-1) ** seed, 0.9, 1.1), D.Setting(n=50, p=1, effect=1.0), 10)
+    assert v.method == "known" and v.n == 10 and v.coverage == 1.0 and v.passes()
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 2))
+    t = np.sin(2 * x[:, 0]) + rng.normal(size=1500)
+    y = 2.0 * t + 2 * np.sin(2 * x[:, 0]) + rng.normal(size=1500)
+    d, c = Z.to_df(spark, y, t, x), ["x1", "x2"]
+    plain, own = E.robinson(d, "y", "t", c, "ols"), E.robinson(d, "y", "t", c, LinearRegression(solver="normal"))
+    assert own.theta == pytest.approx(plain.theta, rel=1e-8) and own.se == pytest.approx(plain.se, rel=1e-8) and own.details == pytest.approx(plain.details, abs=1e-8)
+    tree = E.robinson(d, "y", "t", c, DecisionTreeRegressor(maxDepth=4, seed=1))
+    assert abs(tree.theta - 2.0) < abs(plain.theta - 2.0) and abs(tree.theta - 2.0) < 0.3
+
+
+def test_jobs_by_the_names_of_orchestrators():
+    s = M.Scheduler()
+    dag, flow = airflow_dag(s, "fit"), prefect_flow(s, "fit")
+    assert [t["task_id"] for t in dag["tasks"]] == [t["name"] for t in flow["tasks"]] == list(STEPS)
+    assert dag["tasks"][2]["depends_on"] == flow["tasks"][2]["depends_on"] == ["decide"] and dag["tasks"][2]["trigger_rule"] == "none_failed"
+    assert [t["conditional"] for t in flow["tasks"]] == [False, False, True, False, False] and dag["scheduler_config"] == flow["scheduler_config"] == daily_jobs(s)["scheduler"]
+
+
 def test_generators(spark):
     d = G.simulate(spark, G.varied, 3, n=50, p=2, hidden=1, hte=0.3)
     assert d.groupBy("sim_id").count().filter("count = 50").count() == 3
