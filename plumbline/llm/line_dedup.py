@@ -4,8 +4,8 @@
 2. All distinct hashes are split into shards. Each shard builds a minimal perfect hash: levels of bits, where a key owns the first
    level in which no other key shares its position, and the rank of its bit is its slot. The slot holds a 32-bit fingerprint (of the
    half of the hash that chose no position) and the document count.
-3. Documents look their lines up in those arrays, and the count found decides; lines are never joined to lines. A document sends its
-   distinct hashes to the tasks of their shards and gets back those that are frequent. A shard whose keys are asked for
+3. Documents look their lines up in those arrays, and the count found decides; lines are never joined to lines. A document sends each of its
+   distinct hashes to a task of its shard and gets back those that are frequent. A shard whose keys are asked for
    very often is copied to as many tasks as its counts, which are known by then, call for.
 """
 
@@ -175,7 +175,8 @@ def _columns(cut: Iterator[tuple[list[bytes], list[bool]]], text: str) -> dict[s
 
 
 def _asked(docs: DataFrame, text: str, min_chars: int, shards: int, salts: np.ndarray) -> DataFrame:
-    """(shard, salt, key, keys): the distinct hashes of each document, cut up by shard. ``salts``: the copies of each shard."""
+    """(shard, salt, key, h1, h2): the distinct hashes of each document, a row each, so their number is that of the distinct lines whatever
+    the number of shards. ``salts``: the copies of each shard."""
     sent = docs.sparkSession.sparkContext.broadcast(salts)  # one number for each ``keys_per_shard`` distinct lines
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,50 +187,37 @@ def _asked(docs: DataFrame, text: str, min_chars: int, shards: int, salts: np.nd
                 own = {digest(k) for k in line_keys(doc) if _long_enough(k, min_chars)}
                 digests += own
                 sizes.append(len(own))
-            whole = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 16)
-            row, shard = np.repeat(np.arange(len(sizes)), sizes), whole.view("<i8")[:, 0] % shards
-            order = np.lexsort((shard, row))
-            row, shard = row[order], shard[order]
-            starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (shard[1:] != shard[:-1])]) if len(row) else np.zeros(0, int)
-            offsets = np.r_[starts, len(row)].astype(np.int32) * 16
-            data = np.ascontiguousarray(whole[order])
-            keys = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
-            own = batch.column("key").to_numpy()[row[starts]]
-            salt = own.view(np.uint64) % sent.value[shard[starts]].astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(shard[starts].astype(np.int32)), pa.array(salt.astype(np.int32)), pa.array(own), keys], names=["shard", "salt", "key", "keys"])
+            h1, h2 = (h.view("<i8") for h in _halves(digests))
+            key, shard = np.repeat(batch.column("key").to_numpy(), sizes), h1 % shards
+            salt = key.view(np.uint64) % sent.value[shard].astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (shard.astype(np.int32), salt.astype(np.int32), key, h1, h2)], names=["shard", "salt", "key", "h1", "h2"])
 
-    return docs.select(F.col("__key").alias("key"), F.col(text).alias("text")).mapInArrow(ask, "shard int, salt int, key long, keys binary")
+    return docs.select(F.col("__key").alias("key"), F.col(text).alias("text")).mapInArrow(ask, "shard int, salt int, key long, h1 long, h2 long")
 
 
 def _frequent(index: DataFrame, asked: DataFrame, salts: Column, min_docs: int) -> DataFrame:
     """(__key, __hits): those of the hashes asked for whose count is at least ``min_docs``."""
     none: Column = F.lit(None)
     arrays = index.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    both = arrays.select("shard", "salt", F.lit(0).alias("kind"), none.cast("long").alias("key"), none.cast("binary").alias("keys"), *PARTS).unionByName(
-        asked.select("shard", "salt", F.lit(1).alias("kind"), "key", "keys", *(none.cast("binary").alias(p) for p in PARTS))
+    both = arrays.select("shard", "salt", F.lit(0).alias("kind"), *(none.cast("long").alias(c) for c in ("key", "h1", "h2")), F.array(*PARTS).alias("parts")).unionByName(
+        asked.select("shard", "salt", F.lit(1).alias("kind"), "key", "h1", "h2", none.cast("array<binary>").alias("parts"))
     )
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
         for batch in batches:
-            kinds, keys = batch.column("kind").to_numpy(), batch.column("keys")
-            arrays = np.flatnonzero(kinds == 0)
-            at, hits = [], []
+            kinds, (h1, h2) = batch.column("kind").to_numpy(), (batch.column(c).fill_null(0).to_numpy().view("<u8") for c in ("h1", "h2"))
+            arrays, found = np.flatnonzero(kinds == 0), np.zeros(len(kinds), bool)
             # the arrays of a shard come right before what is asked of it
             for lo, hi in zip(np.r_[0, arrays], np.r_[arrays, len(kinds)], strict=True):
                 if lo < len(kinds) and kinds[lo] == 0:
-                    own = PerfectHash.of([batch.column(p)[int(lo)].as_py() for p in PARTS])
+                    own = PerfectHash.of(batch.column("parts")[int(lo)].as_py())
                     lo += 1
-                if lo >= hi:
-                    continue
-                part = keys.slice(lo, hi - lo).to_pylist()
-                found = own.counts_of(*_halves(part)) >= min_docs
-                ends = np.cumsum([len(k) // 16 for k in part])
-                for i in np.unique(np.searchsorted(ends, np.flatnonzero(found), side="right")).tolist():
-                    first = int(ends[i - 1]) if i else 0
-                    at.append(lo + i)
-                    hits.append(b"".join(part[i][16 * j : 16 * j + 16] for j in np.flatnonzero(found[first : ends[i]]).tolist()))
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(at, pa.int64())), pa.array(hits, pa.binary())], names=["__key", "__hits"])
+                if lo < hi:
+                    found[lo:hi] = own.counts_of(h1[lo:hi], h2[lo:hi]) >= min_docs
+            hits = np.stack([h1[found], h2[found]], axis=1).view(np.uint8)
+            kept = batch.column("key").filter(pa.array(found))
+            yield pa.RecordBatch.from_arrays([kept, pa.array([h.tobytes() for h in hits], pa.binary())], names=["__key", "__hits"])
 
     found = both.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(answer, "__key long, __hits binary")
     return found.groupBy("__key").agg(F.collect_set("__hits").alias("__hits"))  # of one document: its own lines at most
@@ -271,7 +259,7 @@ def line_dedup(
                 if not hits:
                     out.append((lines, [False] * len(lines)))
                     continue
-                gone = {h[j : j + 16] for h in hits for j in range(0, len(h), 16)}
+                gone = set(hits)
                 keys = (x.strip(WHITESPACE).lower() for x in lines)
                 out.append((lines, [_long_enough(k, min_chars) and xxhash.xxh3_128_digest(k) in gone for k in keys]))
             yield _columns(iter(out), text)

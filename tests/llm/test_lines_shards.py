@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm import line_dedup as L
@@ -106,3 +107,12 @@ def test_sharding_cases(spark):
 def test_sharding_is_native(spark, small_dir):
     plan = Q.op2_stratified_shards(spark, small_dir)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_lookups_do_not_grow_with_the_shards(spark):
+    """A document asks once for each of its distinct lines, whatever the number of shards."""
+    df = spark.createDataFrame([(k, "\n".join(f"line {k * i % 50}" for i in range(40)) + "\n\n") for k in range(30)], "__key long, text string")
+    lines = sum(len({key(x) for x in r.text.split("\n")} - {""}) for r in df.collect())
+    for shards in (1, 7, 64):
+        assert L._asked(df, "text", 1, shards, np.full(shards, 3)).count() == lines
+    assert L._asked(df.withColumn("text", F.lit("")), "text", 1, 7, np.ones(7, np.int64)).count() == 0
