@@ -22,6 +22,8 @@ from plumbline.llm.simhash import one_of_each
 SHINGLE = 5
 #: Texts are near-duplicates from this similarity of shingle sets on.
 SIMILARITY = 0.8
+#: SimHash tiles join texts whose fingerprints differ in so many of 64 bits, as op7 does; what is similar beyond that is searched after them.
+RADIUS = 3
 
 
 def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -41,7 +43,7 @@ def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_of_each(docs, find=lambda rows, key: similar_components(rows, key, width=SHINGLE, similarity=SIMILARITY))
+    return one_of_each(docs, find=lambda rows, key: similar_components(rows, key, width=SHINGLE, similarity=SIMILARITY, radius=RADIUS))
 
 
 def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,16 +1,18 @@
-"""Near-duplicates by the similarity of shingle sets, on SimHash tiles.
-
-Two texts of similarity 0.8 differ in about 10 of 64 fingerprint bits, give or take 9, which is too wide for slices of the
-fingerprint to tell tiles apart. So here a tile is the texts of one MinHash band value. Within a tile fingerprints
-are compared with exclusive-or and bit counts in numpy, and so are sketches, one bit for each of SKETCH MinHash
-values, whose differing bits estimate the similarity. A tile gives a minimum spanning forest by that estimate, not all
-its pairs: the forest joins, at every threshold, what the pairs join. Each link is then checked exactly
-on whole texts.
-
-The forest goes by estimates (standard deviation 0.04), so links near the threshold can fail where others would hold. What the forests join
-but the verified links do not is searched again in rounds: pairs of different verified groups, by rings of sketch distance, the nearest ring first, out to
-the radii, so no candidate between two final groups stays unchecked. A pair comes up in one ring, and there in the first band that its texts share. Every link is exact, so nothing below the similarity is linked;
-a pair at 0.8 shares no band with chance 3e-5 and less above 0.8.
+"""Near-duplicates by the similarity of shingle sets: SimHash tiles first, then what lies beyond their radius.
+
+1. Fingerprints of all texts are compared by the tiles of ``simhash.near_links``, all within the radius; the links found are checked exactly on
+   whole texts, and those that hold join texts into groups.
+2. Two texts of similarity 0.8 differ in about 10 of 64 fingerprint bits, give or take 9, which is too wide for slices of the
+   fingerprint to tell tiles apart. So further tiles are the texts of one MinHash band value. Within one, fingerprints
+   are compared with exclusive-or and bit counts in numpy, and so are sketches, one bit for each of SKETCH MinHash
+   values, whose differing bits estimate the similarity. A tile gives a minimum spanning forest by that estimate, not all
+   its pairs: the forest joins, at every threshold, what the pairs join. Each link between two groups of step 1 is then checked exactly
+   on whole texts.
+3. The forest goes by estimates (standard deviation 0.04), so links near the threshold can fail where others would hold. What the forests join
+   but the verified links do not is searched again in rounds: pairs of different verified groups, by rings of sketch distance, the nearest ring first, out to
+   the radii, so no candidate between two final groups stays unchecked. A pair comes up in one ring, and there in the first band that its texts share.
+
+Every link is exact, so nothing below the similarity is linked; a pair at 0.8 shares no band with chance 3e-5 and less above 0.8.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import raw_texts, written
-from plumbline.llm.simhash import CHUNK, components
+from plumbline.llm.simhash import CHUNK, components, near_links
 
 #: MinHash values of a text; one bit of each makes the sketch.
 SKETCH = 256
@@ -47,50 +49,73 @@ _FACTORS, _MASKS = _drawn[0] * np.uint64(2) + np.uint64(1), _drawn[1]
 _FOLD = np.uint64(33)
 
 
-def shingle_set(text: bytes, width: int) -> np.ndarray:
-    """The distinct XXH64 (seed 42) of the ``width``-word shingles, sorted. A-Z are lower-cased; fewer words make one shingle; none, no shingle."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """The XXH64 (seed 42) of the ``width``-word shingles, repeats included. A-Z are lower-cased; fewer words make one shingle; none, no shingle."""
     words = text.lower().split()
     if not words:
         return np.empty(0, np.uint64)
     digest, join = xxhash.xxh64_intdigest, b" ".join
     count = max(1, len(words) - width + 1)
-    return np.unique(np.fromiter((digest(join(words[i : i + width]), 42) for i in range(count)), np.uint64, count))
+    return np.fromiter((digest(join(words[i : i + width]), 42) for i in range(count)), np.uint64, count)
+
+
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """The distinct shingle_hashes(), sorted."""
+    return np.unique(shingle_hashes(text, width))
+
+
+def _majority(h: np.ndarray) -> int:
+    """The bits set in over half of ``h``."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(h), CHUNK):
+        bits = np.unpackbits(h[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        votes += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(h), bitorder="little").view("<u8")[0])
 
 
 def _described(h: np.ndarray) -> tuple[int, list[int], list[int]]:
     """Fingerprint, sketch words and band values of a shingle set."""
     if not len(h):
         return 0, [0] * WORDS, [xxhash.xxh64_intdigest(b"", b) for b in range(BANDS)]
-    votes, least = np.zeros(64, np.int64), np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(h), CHUNK):
-        bits = np.unpackbits(h[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes += bits.sum(axis=0, dtype=np.int64)
+    least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(h), 1024):
         part = h[None, at : at + 1024] ^ _MASKS
         part *= _FACTORS
         np.minimum(least, part.min(axis=1), out=least)
-    fp = int(np.packbits(2 * votes > len(h), bitorder="little").view("<u8")[0])
     odd = (least ^ (least >> _FOLD)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63)
     sketch = np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8").tolist()
-    return fp, sketch, [xxhash.xxh64_intdigest(least[b * DEPTH : (b + 1) * DEPTH].tobytes(), b) for b in range(BANDS)]
+    return _majority(h), sketch, [xxhash.xxh64_intdigest(least[b * DEPTH : (b + 1) * DEPTH].tobytes(), b) for b in range(BANDS)]
 
 
 def described(docs: DataFrame, id: str, text: str, width: int) -> DataFrame:
-    """(__id, __text, __node, __fp, __sketch, __bands) of every row; __node is a hash of the shingle set."""
+    """(__id, __text, __node, __print, __fp, __sketch, __bands) of every row; __node is a hash of the shingle set, __print simhash.fingerprint()
+    and __fp that of the shingle set, without repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longs = lambda x: pa.array(np.array(x, "<u8").view("<i8"))
         for batch in batches:
-            sets = [shingle_set(x, width) for x in raw_texts(batch, "__text")]
+            every = [shingle_hashes(x, width) for x in raw_texts(batch, "__text")]
+            sets = [np.unique(h) for h in every]
             fps, sketches, bands = zip(*map(_described, sets), strict=True) if sets else ((), (), ())
             lists = [pa.array(np.array(x, "<u8").reshape(len(sets), k).view("<i8").tolist(), pa.list_(pa.int64())) for x, k in ((sketches, WORDS), (bands, BANDS))]
+            prints = longs([fp if len(h) == len(s) else _majority(h) for fp, h, s in zip(fps, every, sets, strict=True)])
             nodes = longs([xxhash.xxh64_intdigest(s.tobytes(), 1) for s in sets])
-            columns = [batch.column("__id"), batch.column("__text"), nodes, longs(fps), *lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["__id", "__text", "__node", "__fp", "__sketch", "__bands"])
+            columns = [batch.column("__id"), batch.column("__text"), nodes, prints, longs(fps), *lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["__id", "__text", "__node", "__print", "__fp", "__sketch", "__bands"])
 
     kind = docs.schema[id].dataType.simpleString()
     slim = docs.select(F.col(id).alias("__id"), F.col(text).alias("__text"))
-    return slim.mapInArrow(run, f"__id {kind}, __text string, __node long, __fp long, __sketch array<long>, __bands array<long>")
+    return slim.mapInArrow(run, f"__id {kind}, __text string, __node long, __print long, __fp long, __sketch array<long>, __bands array<long>")
+
+
+def simhash_links(marked: DataFrame, radius: int) -> DataFrame:
+    """(src, dst): links that join the nodes of all fingerprints (__print) within ``radius`` bits, by SimHash tiles."""
+    prints = written(marked.select("__print", "__node").distinct())
+    least = written(prints.groupBy("__print").agg(F.min("__node").alias("__least")))
+    near = near_links(least.select(F.col("__print").alias("__fp")), radius).distinct()
+    a, b = (least.select(F.col("__print").alias(end), F.col("__least").alias(name)) for end, name in (("src", "__a"), ("dst", "__b")))
+    links = near.join(a, "src").join(b, "dst").select("__a", "__b").union(prints.join(least, "__print").select("__least", "__node"))
+    return links.filter("__a != __b").select(F.least("__a", "__b").alias("src"), F.greatest("__a", "__b").alias("dst")).distinct()
 
 
 _FAR = 1 << 14
@@ -288,16 +313,29 @@ def checked(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -
     return pairs.join(b, "dst").join(a, "src").select("src", "dst", "__a", "__b").mapInArrow(check, "src long, dst long")
 
 
-def similar_roots(marked: DataFrame, width: int, similarity: float) -> DataFrame:
+def similar_roots(marked: DataFrame, width: int, similarity: float, radius: int = 3) -> DataFrame:
     """(node, root): the smallest node that each node of ``marked`` (rows of described(), with __row) is joined with by a Jaccard
     similarity of ``similarity`` or more of shingle sets, checked on whole texts; nodes that are joined with none may be absent."""
     reps = marked.join(marked.groupBy("__node").agg(F.min("__row").alias("__row")).select("__row"), "__row", "left_semi")
-    tiled = reps.select("__node", "__fp", "__sketch", "__bands")
-    tested = written(candidate_links(tiled).distinct())
-    ends = written(tested.select(F.col("src").alias("__node")).union(tested.select("dst")).distinct())
+    tiles = written(simhash_links(marked, radius))
+    forests = written(candidate_links(reps.select("__node", "__fp", "__sketch", "__bands")).distinct())
+    both = tiles.union(forests)
+    ends = written(both.select(F.col("src").alias("__node")).union(both.select("dst")).distinct())
     near = written(reps.select("__node", "__text", "__fp", "__sketch", "__bands").join(ends, "__node", "left_semi"))
-    # what no forest joins has no candidate pair, so only what it joins and the links do not is open
-    met = ends.join(components(tested).withColumnRenamed("node", "__node"), "__node", "left").select("__node", F.coalesce("root", "__node").alias("__met"))
+
+    def joined(roots: DataFrame, found: DataFrame) -> DataFrame:
+        """``roots`` stand for the links that they came from."""
+        return components(roots.select(F.col("node").alias("src"), F.col("root").alias("dst")).unionByName(found))
+
+    roots = components(written(checked(tiles, near, width, similarity)))
+    # what the SimHash tiles have joined is not checked again
+    a, b = (roots.select(F.col("node").alias(end), F.col("root").alias(name)) for end, name in (("src", "__a"), ("dst", "__b")))
+    rest = forests.join(tiles, ["src", "dst"], "left_anti").join(a, "src", "left").join(b, "dst", "left")
+    rest = written(rest.filter(F.coalesce("__a", "src") != F.coalesce("__b", "dst")).select("src", "dst"))
+    tested = written(tiles.unionByName(rest))
+    roots = joined(roots, written(checked(rest, near, width, similarity)))
+    # what no forest joins has no candidate pair left, so only what it joins and the links do not is open
+    met = ends.join(components(forests).withColumnRenamed("node", "__node"), "__node", "left").select("__node", F.coalesce("root", "__node").alias("__met"))
     met = written(met)
 
     def still_open(roots: DataFrame) -> DataFrame:
@@ -305,7 +343,7 @@ def similar_roots(marked: DataFrame, width: int, similarity: float) -> DataFrame
         split = of.groupBy("__met").agg(F.min("__group").alias("__lo"), F.max("__group").alias("__hi")).filter("__lo != __hi")
         return written(of.join(split, "__met", "left_semi").select("__node", "__group"))
 
-    roots, beyond = components(written(checked(tested, near, width, similarity))), -1
+    beyond = -1
     for reach in REACHES:
         of = still_open(roots)
         if of.isEmpty():
@@ -313,21 +351,20 @@ def similar_roots(marked: DataFrame, width: int, similarity: float) -> DataFrame
         new = written(open_pairs(near.drop("__text").join(of, "__node"), beyond, reach).join(tested, ["src", "dst"], "left_anti"))
         found, beyond = written(checked(new, near, width, similarity)), reach
         if not found.isEmpty():
-            # the roots stand for the links that they came from
-            roots = components(roots.select(F.col("node").alias("src"), F.col("root").alias("dst")).unionByName(found))
+            roots = joined(roots, found)
     return roots
 
 
-def similar_components(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_components(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
     """(id, component_id) for every row; component_id is the smallest id reachable over texts whose sets of ``width``-word
-    shingles have a similarity of ``similarity`` (0.8 or more; the tiles are made for that) or more.
+    shingles have a similarity of ``similarity`` (0.8 or more; the band tiles are made for that) or more. SimHash tiles of ``radius`` bits are searched first.
 
     Defined cases: null and empty texts and those without words have equal (empty) sets and are linked; a text of fewer than ``width`` words is one
     shingle; repeated rows give repeated rows; a null id never names a component unless all its ids are null; an empty table
     gives an empty table; extra columns are not read.
     """
     marked = written(described(docs, id, text, width).withColumn("__row", F.monotonically_increasing_id()))
-    roots = similar_roots(marked, width, similarity)
+    roots = similar_roots(marked, width, similarity, radius)
     of = marked.groupBy("__node").agg(F.min("__id").alias("__least"))
     of = of.join(roots.withColumnRenamed("node", "__node"), "__node", "left").select("__node", "__least", F.coalesce("root", "__node").alias("__root"))
     of = of.join(of.groupBy("__root").agg(F.min("__least").alias("component_id")), "__root").select("__node", "component_id")

@@ -4,10 +4,12 @@ import random
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
 from plumbline.llm import similar as S
+from plumbline.llm.simhash import fingerprint
 
 KIND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("component_id", T.StringType()), T.StructField("__row", T.StringType())])
 
@@ -154,3 +156,29 @@ def test_large_group_below_the_threshold(spark):
         want = low
     got = {r.doc_id: r.component_id for r in S.similar_components(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
     assert got == dict(enumerate(want.tolist())) and near.mean() < 0.2
+
+
+def test_simhash_tiles_join_and_are_checked(spark):
+    """Texts within the radius of op7's tiles are found without any band in common; a near fingerprint alone links nothing."""
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    docs = {}
+    for group in range(20):
+        text = r.choices(words, k=900)
+        for k in range(3):
+            docs[group * 10 + k] = " ".join(text)
+            text = [*text[:450], r.choice(words), *text[451:]]
+    # one word again and again outvotes the rest, which is different
+    for k in range(2):
+        docs[900 + k] = " ".join(["again"] * 900 + r.choices(words, k=60))
+    want, _ = all_pairs(docs)
+    marked = S.described(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), "doc_id", "text", 5).withColumn("__row", F.monotonically_increasing_id())
+    prints = {x["__id"]: x["__print"] % 2**64 for x in marked.collect()}
+    assert prints == {i: fingerprint(t.encode(), 5) for i, t in docs.items()}
+    assert (prints[900] ^ prints[901]).bit_count() <= 3 and want[901] == 901
+    alone = S.written(marked.withColumn("__bands", F.array(*(F.col("__row") * S.BANDS + b for b in range(S.BANDS)))))
+    node = {x["__id"]: x["__node"] for x in alone.collect()}
+    root = {x["node"]: x["root"] for x in S.similar_roots(alone, 5, 0.8).collect()}
+    near = [(a, b) for a, b in combinations(docs, 2) if want[a] == want[b] and (prints[a] ^ prints[b]).bit_count() <= 3]
+    assert len(near) >= 20 and all(root.get(node[a], node[a]) == root.get(node[b], node[b]) for a, b in near)
+    assert not {node[900], node[901]} & {*root, *root.values()}
