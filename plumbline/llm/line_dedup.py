@@ -199,8 +199,8 @@ def _frequent(index: DataFrame, asked: DataFrame, salts: Column, min_docs: int)
     """(__key, __hits): those of the hashes asked for whose count is at least ``min_docs``."""
     none: Column = F.lit(None)
     arrays = index.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    both = arrays.select("shard", "salt", F.lit(0).alias("kind"), *(none.cast("long").alias(c) for c in ("key", "h1", "h2")), F.array(*PARTS).alias("parts")).unionByName(
-        asked.select("shard", "salt", F.lit(1).alias("kind"), "key", "h1", "h2", none.cast("array<binary>").alias("parts"))
+    both = arrays.select("shard", "salt", F.lit(0).alias("kind"), *(none.cast("long").alias(c) for c in ("key", "h1", "h2")), *PARTS).unionByName(
+        asked.select("shard", "salt", F.lit(1).alias("kind"), "key", "h1", "h2", *(none.cast("binary").alias(p) for p in PARTS))
     )
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +211,7 @@ def _frequent(index: DataFrame, asked: DataFrame, salts: Column, min_docs: int)
             # the arrays of a shard come right before what is asked of it
             for lo, hi in zip(np.r_[0, arrays], np.r_[arrays, len(kinds)], strict=True):
                 if lo < len(kinds) and kinds[lo] == 0:
-                    own = PerfectHash.of(batch.column("parts")[int(lo)].as_py())
+                    own = PerfectHash.of([batch.column(p)[int(lo)].as_py() for p in PARTS])
                     lo += 1
                 if lo < hi:
                     found[lo:hi] = own.counts_of(h1[lo:hi], h2[lo:hi]) >= min_docs
