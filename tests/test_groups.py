@@ -51,3 +51,10 @@ def test_production_fit_of_few_values_is_that_of_rows(spark, monkeypatch):
     rows = fit()
     assert (found.effect.theta, found.effect.se, found.effect.n) == pytest.approx((rows.effect.theta, rows.effect.se, 900), rel=1e-9)
     assert found.nuisance == pytest.approx(rows.nuisance) and abs(found.effect.theta - 1) < 4 * found.effect.se
+
+
+def test_constant_covariates_add_nothing(spark):
+    df, train = _few_values(spark).withColumn("x3", F.lit(0.1)), {k: F.col("f") != k for k in range(4)}
+    with_it, without = (MO.logistic_cv(df, "t", names, train, F.col("i")) for names in (["x1", "x2", "x3"], ["x1", "x2"]))
+    for k in train:
+        assert with_it[k].slopes[2] == 0 and [with_it[k].intercept, *with_it[k].slopes[:2]] == pytest.approx([without[k].intercept, *without[k].slopes], abs=1e-7)
