@@ -71,5 +71,6 @@ def test_what_groups_cannot_say_goes_to_the_library(spark, few_values):
     many = spark.range(100_000).select(F.rand(1).alias("a"), F.rand(2).alias("b"), F.rand(3).alias("y"), (F.col("id") % 3).cast("int").alias("f"))
     for df in (lacking, many, few_values.withColumn("y", F.when(F.col("t") > 0, F.col("y")))):
         assert forests.grouped(df, names, {"y": _forest()}, "f", [0, 1, 2]) is None
+    assert forests.grouped(few_values.filter("f = 0"), names, {"y": _forest()}, "f", [0]) is None
     mixed = E.double_ml(few_values, "y", "t", names, fold="f", model_y=_forest(), model_t=GBTRegressor(maxIter=3, maxDepth=3, seed=1))
     assert mixed.n == 6000 and abs(mixed.theta - 2) < 0.2
